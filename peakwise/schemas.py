@@ -1,0 +1,35 @@
+"""Canonical table layouts; missing is always NULL, never NaN."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+
+def _struct(ddl: str) -> T.StructType:
+    return T.StructType.fromDDL(ddl)
+
+
+SPECTRA = _struct(
+    "spectrum_id long, identifier string, inchikey string, smiles string, formula string, adduct string, "
+    "charge int, precursor_mz double, instrument string, frag_method string, ion_mode string, ce_raw string, "
+    "ce_type string, ce_ok int, ce_nce double, ce_ev double, ms_level int, group_key string, split string"
+)
+PEAKS = _struct("spectrum_id long, peak_no int, mz double, intensity double, annotation string")
+BINNED = _struct("spectrum_id long, bin long, intensity double")
+MOLECULES = _struct(
+    "mol_id long, inchikey string, smiles string, formula string, exact_mass double, charge int, n_heavy int, "
+    "n_bonds int, n_rings int, n_radicals int, n_components int, n_aromatic int, elements array<string>"
+)
+CANDIDATES = _struct(
+    "spectrum_id long, cand_id long, group_id long, score double, source_flag int, break_depth int, "
+    "ring_cut int, prior double"
+)
+CAND_PEAKS = _struct("spectrum_id long, cand_id long, bin long, intensity double")
+PREDICTIONS = _struct(
+    "mol_id long, phase string, source_idx long, n_peaks int, peaks array<struct<mz:double,intensity:double>>"
+)
+COMPOUNDS = _struct("id long, inchikey string, smiles string, formula string, exact_mass double")
+ANNOTATION_LIBRARY = _struct("kind string, formula string, intensity double, n long, log_intensity double")
+ATOMS = _struct("mol_id long, atom_id long, element string, n_h int")
+BONDS = _struct("mol_id long, bond_id long, a long, b long, bond_order int, in_ring int")
+METRICS = _struct("run string, step long, key string, value double")
