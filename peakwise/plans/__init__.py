@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["spectra", "quality"]
+MODULES = ["spectra", "quality", "matching", "normalise"]
 
 
 def load_all() -> None:
