@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["spectra", "quality", "matching", "normalise"]
+MODULES = ["spectra", "quality", "matching", "normalise", "policies"]
 
 
 def load_all() -> None:
