@@ -162,3 +162,75 @@ def search_space(formula: Column, elements: Sequence[str]) -> Column:
     return F.aggregate(
         F.map_entries(F.map_filter(m, lambda k, v: k.isin(list(elements)))), F.lit(1).cast("long"),
         lambda acc, e: acc * (e["value"] + 1))
+
+
+def _merge_pairs(pairs: Column) -> Column:
+    """Count map of (e, n) pairs added up, zero entries dropped."""
+    symbols = F.array_sort(F.array_distinct(F.transform(pairs, lambda t: t["e"])))
+    total = lambda s: F.aggregate(
+        pairs, F.lit(0), lambda acc, t: acc + F.when(t["e"] == s, t["n"]).otherwise(0))
+    entries = F.transform(symbols, lambda s: F.struct(s.alias("key"), total(s).alias("value")))
+    return F.map_from_entries(F.filter(entries, lambda e: e["value"] != 0))
+
+
+# Fixed value: one signed term of a peak annotation; ``^`` starts the charge.
+ANNOTATION_TERM = r"([+\-^]?)([^+\-^]+)"
+
+
+def annotation_terms(text: Column) -> Column:
+    """Terms (sign, body) of an annotation such as ``p-H2O+2i``."""
+    return F.zip_with(
+        F.regexp_extract_all(text, F.lit(ANNOTATION_TERM), F.lit(1)),
+        F.regexp_extract_all(text, F.lit(ANNOTATION_TERM), F.lit(2)),
+        lambda s, b: F.struct(s.alias("sign"), b.alias("body")))
+
+
+def _is_isotope(body: Column) -> Column:
+    return body.endswith("i") & ~body.endswith("Si")
+
+
+def parse_annotation(text: Column, precursor: Column) -> Column:
+    """Struct (formula map, adducts, losses, isotope, charge) of an annotation.
+
+    ``p`` stands for the precursor formula, a leading digit multiplies a term,
+    ``i`` terms count isotopes and ``^n`` gives the charge.  Counts may be
+    negative when a loss is larger than what it is taken from.
+    """
+    terms = annotation_terms(text)
+    parts = F.filter(terms, lambda t: (t["sign"] != "^") & ~_is_isotope(t["body"]))
+
+    def body_of(t: Column) -> Column:
+        return F.regexp_replace(t["body"], r"^\d", "")
+
+    def signed(t: Column) -> Column:
+        sign = F.when(t["sign"] == "-", -1).otherwise(1)
+        times = F.when(body_of(t) == "p", 1).otherwise(
+            F.coalesce(F.nullif(F.regexp_extract(t["body"], r"^(\d)", 1), F.lit("")).try_cast("int"), F.lit(1)))
+        tokens = element_tokens(F.when(body_of(t) == "p", precursor).otherwise(body_of(t)))
+        return F.transform(tokens, lambda e: F.struct(e["e"].alias("e"), (e["n"] * times * sign).alias("n")))
+
+    def named(sign: str) -> Column:
+        return F.transform(F.filter(parts, lambda t: t["sign"] == sign), lambda t: t["body"])
+
+    def isotope_of(t: Column) -> Column:
+        number = F.coalesce(F.nullif(F.regexp_extract(t["body"], r"^(\d*)i$", 1), F.lit("")).try_cast("int"), F.lit(1))
+        return F.when(t["sign"] == "-", -number).otherwise(number)
+
+    isotopes = F.transform(F.filter(terms, lambda t: _is_isotope(t["body"])), isotope_of)
+    charges = F.filter(terms, lambda t: t["sign"] == "^")
+    return F.struct(
+        _merge_pairs(F.flatten(F.transform(parts, signed))).alias("formula"),
+        named("+").alias("adducts"), named("-").alias("losses"),
+        F.coalesce(F.try_element_at(isotopes, F.lit(-1)), F.lit(0)).alias("isotope"),
+        F.coalesce(F.try_element_at(charges, F.lit(-1))["body"].try_cast("int"), F.lit(1)).alias("charge"),
+    )
+
+
+def annotation_error(text: Column) -> Column:
+    """Why an annotation cannot be parsed (NULL: fine)."""
+    bad_term = F.exists(
+        annotation_terms(text),
+        lambda t: ~F.when(t["sign"] == "^", t["body"].rlike(r"^\d+$"))
+        .when(_is_isotope(t["body"]), t["body"].rlike(r"^\d*i$"))
+        .otherwise(t["body"].rlike(r"^\d?(p|([A-Z][a-z]?\d*)+)$")))
+    return F.when(F.length(text) == 0, "empty annotation").when(bad_term, "invalid term")

@@ -115,11 +115,10 @@ def epoch_subset(df: DataFrame, key: str, size: int, epoch: int) -> DataFrame:
     Positions come from the two-level rank of a unique key, not from one
     global window.
     """
-    positions = _counted_positions(df, [], key).select(key, F.col("before").alias("position"))
-    total = df.agg(F.count(F.lit(1)).alias("__n"))  # one row
-    rows = df.join(positions, key).crossJoin(F.broadcast(total))
-    offset = F.pmod(F.col("position") - F.lit(epoch * size), F.col("__n"))
-    return rows.filter(offset < size).drop("__n")
+    positions = _counted_positions(df, [], key)
+    offset = F.pmod(F.col("before") - F.lit(epoch * size), F.col("total"))
+    chosen = positions.filter(offset < size).select(key, F.col("before").alias("position"))
+    return df.join(chosen, key)
 
 
 def source_switch(first: DataFrame, second: DataFrame, ratio: float, seed: int) -> DataFrame:

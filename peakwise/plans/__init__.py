@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["spectra", "quality", "matching", "normalise", "policies"]
+MODULES = ["spectra", "quality", "matching", "normalise", "policies", "formulas", "selection"]
 
 
 def load_all() -> None:

@@ -327,12 +327,11 @@ def with_strata(d):
     rows = d.spectra.join(sizes, "spectrum_id", "left").select(
         "spectrum_id", "precursor_mz", N.nce_value(F.col("ce_raw")).alias("ce"),
         F.log1p(F.coalesce("n", F.lit(0))).alias("size"))
-    edges = F.broadcast(S.quantile_edges(rows, "size", 4))  # one row
-    rows = rows.crossJoin(edges)
+    rows = rows.withColumn("edges", S.quantile_edges(rows, "size", 4).select(F.struct("*")).scalar())
     label = F.concat(
         F.lit("p"), S.bucket_index(F.col("precursor_mz"), PRECURSOR_EDGES).cast("string"),
         F.lit("|ce"), S.bucket_index(F.col("ce"), CE_EDGES).cast("string"),
-        F.lit("|f"), S.bucket_index(F.col("size"), [F.col(f"e{i}") for i in range(5)]).cast("string"))
+        F.lit("|f"), S.bucket_index(F.col("size"), [F.col(f"edges.e{i}") for i in range(5)]).cast("string"))
     return rows.select("spectrum_id", label.alias("stratum"))
 
 

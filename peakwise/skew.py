@@ -41,7 +41,7 @@ def value_bucket(col: Column) -> Column:
 
 
 def _counted_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """One row per (group, distinct value): ``n`` rows, ``before`` rows below it."""
+    """One row per (group, distinct value): ``n`` rows, ``before`` rows below it, group ``total``."""
     keys = list(keys)
     counted = (
         df.filter(F.col(value).isNotNull())
@@ -54,7 +54,7 @@ def _counted_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFr
     # The window below sees one row per bucket of a group, not the group itself.
     by_bucket = by_bucket.withColumn(
         "bucket_before", F.coalesce(F.sum("bucket_n").over(earlier), F.lit(0))
-    )
+    ).withColumn("total", F.sum("bucket_n").over(W.partitionBy(*part)))
     inside = W.partitionBy(*keys, "bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     return counted.join(by_bucket, [*keys, "bucket"]).withColumn(
         "before", F.col("bucket_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
@@ -78,15 +78,13 @@ def exact_quantiles(
     """
     keys = list(keys)
     pos = _counted_positions(df, keys, value)
-    size = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    joined = pos.join(size, keys) if keys else pos.crossJoin(F.broadcast(size))  # size: one row
     picks = []
     for name, q in quantiles.items():
         at = (F.col("total") - 1) * F.lit(float(q))
         for side, target in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             hit = (F.col("before") <= target) & (target < F.col("before") + F.col("n"))
             picks.append(F.max(F.when(hit, F.col(value))).alias(f"{name}_{side}"))
-    picked = joined.groupBy(*keys, "total").agg(*picks)
+    picked = pos.groupBy(*keys, "total").agg(*picks)
     cols = []
     for name, q in quantiles.items():
         at = (F.col("total") - 1) * F.lit(float(q))
