@@ -170,7 +170,7 @@ def nce_to_ev(nce: Column, precursor_mz: Column, charge_col: Column, beyond: flo
 
 
 def ev_to_nce(ev: Column, precursor_mz: Column, charge_col: Column, beyond: float = 0.75) -> Column:
-    return ev * 500.0 / (precursor_mz * charge_factor(charge_col, beyond))
+    return ev * 500.0 / F.nullif(precursor_mz * charge_factor(charge_col, beyond), F.lit(0.0))
 
 
 def with_collision_energy(

@@ -308,7 +308,8 @@ def argmax_agreement(pairs: DataFrame, keys: Sequence[str] = ID) -> DataFrame:
 def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "pearson") -> DataFrame:
     """Correlation per group; NULL for one row or a constant side."""
     varied = (F.stddev_pop(x) > TINY) & (F.stddev_pop(y) > TINY)
-    return df.groupBy(*keys).agg(F.when(varied, F.corr(x, y)).alias(out))
+    r = F.covar_pop(x, y) / (F.stddev_pop(x) * F.stddev_pop(y))
+    return df.groupBy(*keys).agg(F.when(varied, r).alias(out))
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "spearman") -> DataFrame:

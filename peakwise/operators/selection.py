@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,18 +148,36 @@ def overflow_cap(cands: DataFrame, cap: int, mode: str = "plausibility", seed: i
 PICKS = "spectrum_id long, cand_id long, step int"
 
 
-def _dense(frame: pd.DataFrame, value: str):
-    """Candidate ids, bins and the (candidate x bin) matrix of a pool."""
-    cands, ci = np.unique(frame["cand_id"].to_numpy(), return_inverse=True)
-    bins, bi = np.unique(frame["bin"].to_numpy(), return_inverse=True)
-    matrix = np.zeros((len(cands), len(bins)))
-    np.add.at(matrix, (ci, bi), frame[value].to_numpy(dtype=float))
-    return cands, bins, matrix
+def _dense(ids, bins, *values):
+    """Distinct candidates, their first row, and one (candidate x bin) matrix per value column."""
+    cands, first, ci = np.unique(ids, return_index=True, return_inverse=True)
+    axis, bi = np.unique(bins, return_inverse=True)
+    matrices = []
+    for value in values:
+        matrix = np.zeros((len(cands), len(axis)))
+        np.add.at(matrix, (ci, bi), value)
+        matrices.append(matrix)
+    return cands, first, matrices
 
 
-def _picked(frame: pd.DataFrame, ids: Sequence[int]) -> pd.DataFrame:
-    sid = frame["spectrum_id"].iloc[0]
-    return pd.DataFrame({"spectrum_id": [sid] * len(ids), "cand_id": list(ids), "step": range(1, len(ids) + 1)})
+def _per_spectrum(rows: DataFrame, choose) -> DataFrame:
+    """Runs ``choose(columns) -> ids in order`` on every spectrum's rows in Arrow tasks.
+
+    ``columns`` maps names to numpy arrays sorted by candidate and bin.  The
+    shuffle keeps its full width: small data would otherwise end in one task.
+    """
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(table: pa.Table) -> pa.Table:
+        cols = {n: table.column(n).to_numpy() for n in table.column_names}
+        order = np.lexsort((cols["bin"], cols["cand_id"]))
+        cols = {n: v[order] for n, v in cols.items()}
+        ids = np.asarray(choose(cols), dtype=np.int64)
+        return pa.table({
+            "spectrum_id": np.full(len(ids), cols["spectrum_id"][0], dtype=np.int64), "cand_id": ids,
+            "step": np.arange(1, len(ids) + 1, dtype=np.int32)})
+
+    return rows.repartition(width, "spectrum_id").groupBy("spectrum_id").applyInArrow(run, PICKS)
 
 
 def coverage_aware_topk(
@@ -173,10 +191,9 @@ def coverage_aware_topk(
     pool = plain_topk(cands, max(k, prefilter), score).select(*KEYS, "group_id", F.col(score).alias("score"))
     rows = pool.join(cand_bins.select(*KEYS, "bin", "intensity"), KEYS, "left").fillna(0.0, ["intensity"]).fillna(-1, ["bin"])
 
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, _, matrix = _dense(frame.sort_values(["cand_id", "bin"]), "intensity")
-        meta = frame.drop_duplicates("cand_id").set_index("cand_id").loc[ids]
-        raw, group = meta["score"].to_numpy(dtype=float), meta["group_id"].to_numpy()
+    def greedy(cols: dict) -> list:
+        ids, at, (matrix,) = _dense(cols["cand_id"], cols["bin"], cols["intensity"])
+        raw, group = cols["score"][at], cols["group_id"][at]
         spread = max(float(np.std(raw, ddof=1)) if len(raw) > 1 else 0.0, 1e-6)
         middle = np.sort(raw)[(len(raw) - 1) // 2]  # lower median
         base = np.clip((raw - middle) / spread, -5.0, 5.0)
@@ -195,9 +212,9 @@ def coverage_aware_topk(
             top = share[pick].max()
             if top > 0:
                 covered = np.maximum(covered, share[pick] / top)
-        return _picked(frame, order)
+        return order
 
-    return rows.groupBy("spectrum_id").applyInPandas(greedy, PICKS)
+    return _per_spectrum(rows, greedy)
 
 
 def setcover_teacher(
@@ -221,14 +238,13 @@ def setcover_teacher(
     pool = top_peaks(scores, prefilter, ID, "base", "cand_id").select(*KEYS, F.col("rank").alias("pool_rank"))
     rows = rows.join(pool, KEYS)
 
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["cand_id", "bin"])
-        frame["tm"] = frame["share"] * frame["true_share"]
-        frame["pm"] = frame["share"] * frame["is_top"]
-        frame["fm"] = frame["share"] * (1.0 - frame["support"])
-        ids, _, tm = _dense(frame, "tm")
-        pm, false = _dense(frame, "pm")[2], _dense(frame, "fm")[2].sum(axis=1)
-        rank = frame.drop_duplicates("cand_id").set_index("cand_id").loc[ids, "pool_rank"].to_numpy()
+    rows = rows.select(
+        *KEYS, "bin", "pool_rank", (F.col("share") * F.col("true_share")).alias("tm"),
+        (F.col("share") * F.col("is_top")).alias("pm"), (F.col("share") * (1.0 - F.col("support"))).alias("fm"))
+
+    def greedy(cols: dict) -> list:
+        ids, at, (tm, pm, fm) = _dense(cols["cand_id"], cols["bin"], cols["tm"], cols["pm"], cols["fm"])
+        false, rank = fm.sum(axis=1), cols["pool_rank"][at]
         first = np.argsort(rank)
         ct, cp = np.zeros(tm.shape[1]), np.zeros(tm.shape[1])
         free, order = np.ones(len(ids), bool), []
@@ -242,9 +258,9 @@ def setcover_teacher(
             order.append(ids[pick])
             free[pick] = False
             ct, cp = ct + tm[pick], cp + pm[pick]
-        return _picked(frame, order)
+        return order
 
-    return rows.groupBy("spectrum_id").applyInPandas(greedy, PICKS)
+    return _per_spectrum(rows, greedy)
 
 
 # Largest pool (candidate-bin rows) one greedy task takes; larger ones go by joins.
@@ -260,24 +276,19 @@ def weighted_cover(
     candidate is the weight of its uncovered bins plus its bonus; it needs
     ``min_new`` uncovered bins.  Ties: larger ``tie``, smaller first bin,
     smaller id.  Bins in ``already(spectrum_id, bin)`` start covered.
-    Candidates with the same bins are interchangeable once one is chosen, so
-    only the best of each bin set enters.
     """
     if already is not None:
         pool = pool.join(already.select(*ID, "bin").distinct(), [*ID, "bin"], "left_anti")
     sized = with_group_stats(pool, ID, __rows=F.count(F.lit(1)))
     small, large = sized.filter(F.col("__rows") <= task_rows), sized.filter(F.col("__rows") > task_rows)
 
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["cand_id", "bin"])
-        ids, starts = np.unique(frame["cand_id"].to_numpy(), return_index=True)
-        bins, inv = np.unique(frame["bin"].to_numpy(), return_inverse=True)
-        ends = np.append(starts[1:], len(frame))
+    def greedy(cols: dict) -> list:
+        ids, starts = np.unique(cols["cand_id"], return_index=True)
+        bins, inv = np.unique(cols["bin"], return_inverse=True)
+        ends = np.append(starts[1:], len(inv))
         members = [inv[a:b] for a, b in zip(starts, ends)]
-        weight = frame["weight"].to_numpy(dtype=float)
-        values = [weight[a:b] for a, b in zip(starts, ends)]
-        bonus = frame["bonus"].to_numpy(dtype=float)[starts]
-        tie = frame["tie"].to_numpy(dtype=float)[starts]
+        values = [cols["weight"][a:b] for a, b in zip(starts, ends)]
+        bonus, tie = cols["bonus"][starts], cols["tie"][starts]
         low = bins[[m[0] for m in members]]
         new = np.ones(len(bins), bool)
         by_bin: dict[int, list[int]] = {}
@@ -304,9 +315,9 @@ def weighted_cover(
                     at = members[c] == b
                     gain[c] -= values[c][at].sum()
                     left[c] -= 1
-        return _picked(frame, order)
+        return order
 
-    picks = small.drop("__rows").groupBy("spectrum_id").applyInPandas(greedy, PICKS)
+    picks = _per_spectrum(small.drop("__rows"), greedy)
     if large.isEmpty():
         return picks
     return picks.unionByName(_cover_by_joins(large.drop("__rows"), budget, min_new))

@@ -137,7 +137,7 @@ def merge_group_spectra(
     merged = rows.groupBy(group, "mz").agg(_merge(F.col("intensity"), agg).alias("intensity"))
     if renormalise:
         merged = with_group_stats(merged, [group], __total=F.sum("intensity")).withColumn(
-            "intensity", F.col("intensity") / F.col("__total")
+            "intensity", F.col("intensity") / F.nullif(F.col("__total"), F.lit(0.0))
         ).drop("__total")
     return merged
 

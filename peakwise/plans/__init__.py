@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["spectra", "quality", "matching", "normalise", "policies", "formulas", "selection"]
+MODULES = ["spectra", "quality", "matching", "normalise", "policies", "formulas", "selection", "audits"]
 
 
 def load_all() -> None:
