@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["spectra", "quality", "matching", "normalise", "policies", "formulas", "selection", "audits"]
+MODULES = ["spectra", "quality", "matching", "normalise", "policies", "formulas", "selection", "audits", "graphs"]
 
 
 def load_all() -> None:
