@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["spectra", "quality", "matching", "normalise", "policies", "formulas", "selection", "audits", "graphs"]
+MODULES = ["spectra", "quality", "matching", "normalise", "policies", "formulas", "selection", "audits", "graphs", "inputs"]
 
 
 def load_all() -> None:

@@ -45,3 +45,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder path below the shared checkpoint folder (a local one only in one-JVM sessions)."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="spark-scratch-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
