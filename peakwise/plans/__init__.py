@@ -2,7 +2,9 @@
 
 import importlib
 
-MODULES = ["spectra", "quality", "matching", "normalise", "policies", "formulas", "selection", "audits", "graphs", "inputs"]
+MODULES = [
+    "spectra", "quality", "matching", "normalise", "policies", "formulas", "selection", "audits", "graphs", "inputs", "streams",
+]
 
 
 def load_all() -> None:
