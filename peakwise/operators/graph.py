@@ -158,10 +158,16 @@ def fragment_formulas(parts: DataFrame, keys: Sequence[str], atoms: DataFrame, h
     counts = cells.groupBy(*group, "element").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum("n_h").cast("int").alias("h"))
     rows = counts.groupBy(*group).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("element", "n")))).alias("heavy"), F.sum("h").cast("int").alias("h"))
-    rows = rows.withColumn("h_shift", F.explode(F.sequence(F.lit(h_min), F.lit(h_max))))
-    with_h = F.map_concat("heavy", F.create_map(F.lit("H"), F.greatest(F.col("h") + F.col("h_shift"), F.lit(0))))
-    return rows.select(*group, "h_shift", with_h.alias("counts")).withColumn("formula", FX.hill(F.col("counts"))).withColumn(
-        "mass", FX.mass_of(F.col("counts"))).drop("counts")
+    # Only the hydrogen part changes with the shift: the rest of text and mass is made once per fragment.
+    one = lambda symbol, n: F.when(n > 0, F.concat(F.lit(symbol), F.when(n == 1, "").otherwise(n.cast("string")))).otherwise("")
+    rows = rows.withColumns({
+        "__c": one("C", F.coalesce(F.col("heavy")["C"], F.lit(0))),
+        "__rest": FX.hill(F.map_filter("heavy", lambda k, v: ~k.isin("C", "H"))), "__m": FX.mass_of(F.col("heavy"))})
+    rows = rows.withColumn("h_shift", F.explode(F.sequence(F.lit(h_min), F.lit(h_max)))).withColumn(
+        "__h", F.greatest(F.col("h") + F.col("h_shift"), F.lit(0)))
+    return rows.select(
+        *group, "h_shift", F.concat("__c", one("H", F.col("__h")), "__rest").alias("formula"),
+        (F.col("__m") + F.col("__h") * F.lit(K.ISOTOPE_MASS["H"])).alias("mass"))
 
 
 def single_bond_masses(sides: DataFrame, atoms: DataFrame) -> DataFrame:

@@ -124,9 +124,8 @@ def bin_window_support(
     true_bins: DataFrame, cand_bins: DataFrame, window: int, keys: Sequence[str] = ID, examples: int = 5
 ) -> DataFrame:
     """Per true bin: candidate bins within ``window`` bins, candidates there and the first few ids."""
-    around = F.explode(F.sequence(F.col("bin") - window, F.col("bin") + window))
-    wide = true_bins.select(*keys, F.col("bin").alias("true_bin"), around.alias("bin"))
-    hits = wide.join(cand_bins.select(*keys, "bin", "cand_id").distinct(), [*keys, "bin"])
+    true = true_bins.select(*keys, F.col("bin").alias("true_bin"))
+    hits = range_join(true, cand_bins.select(*keys, "bin", "cand_id").distinct(), "true_bin", "bin", window, keys, inclusive=True)
     group = [*keys, "true_bin"]
     order = W.partitionBy(*group).orderBy("cand_id")
     firsts = (

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 from peakwise.functions import spectrum as S
 from peakwise.operators import metrics as M
 from peakwise.operators.matching import gather_at_candidates
-from peakwise.operators.transforms import ID, TINY, normalise, top_peaks
+from peakwise.operators.transforms import ID, TINY, shares, top_peaks
 from peakwise.skew import with_group_stats
 
 KEYS = ["spectrum_id", "cand_id"]
@@ -29,19 +29,22 @@ def overlap_scores(cand_bins: DataFrame, true_bins: DataFrame, tol_bins: int = 0
     largest within ``tol_bins``; support_near, top_near: share on true bins /
     on the ``top`` strongest; false_exact: share on bins without a true peak.
     """
-    share = normalise(cand_bins.select(*KEYS, "bin", "intensity"), "l1", KEYS)
-    true = normalise(true_bins.select(*ID, "bin", "intensity"), "l1")
-    best = top_peaks(true, top, ID, "intensity", "bin").select(*ID, "bin", F.lit(1.0).alias("intensity"))
-    rows = gather_at_candidates(share, true, tol_bins)
-    tops = gather_at_candidates(share, best, tol_bins).select(*KEYS, "bin", F.col("true_near").alias("top_near"))
-    rows = rows.join(tops, [*KEYS, "bin"])
+    share = shares(cand_bins.select(*KEYS, "bin", "intensity"), KEYS)
+    rank = F.row_number().over(W.partitionBy(*ID).orderBy(F.col("intensity").desc(), "bin"))  # bounded by the axis
+    true = shares(true_bins.select(*ID, "bin", "intensity")).withColumn("top", (rank <= top).cast("double"))
+    # One row per bin near a true peak: its own value, the largest around it, the top flag around it.
+    moved = true.select(*ID, "bin", "intensity", "top", F.explode(F.sequence(F.lit(-tol_bins), F.lit(tol_bins))).alias("o"))
+    near = moved.groupBy(*ID, (F.col("bin") + F.col("o")).alias("bin")).agg(
+        F.max(F.when(F.col("o") == 0, F.col("intensity"))).alias("true_exact"), F.max("intensity").alias("true_near"),
+        F.max("top").alias("near_top"))
+    rows = share.join(near, [*ID, "bin"], "left").fillna(0.0, ["true_exact", "true_near", "near_top"])
     s = F.col("intensity")
     on = lambda c: F.when(F.col(c) > 0, s).otherwise(0.0)
     total = F.sum(s)
     return rows.groupBy(*KEYS).agg(
         F.sum(s * F.col("true_exact")).alias("overlap_exact"), F.sum(s * F.col("true_near")).alias("overlap_near"),
         F.sum(on("true_exact")).alias("support_exact"), F.sum(on("true_near")).alias("support_near"),
-        F.sum(s * F.col("top_near")).alias("top_near"), (total - F.sum(on("true_exact"))).alias("false_exact"))
+        F.sum(s * F.col("near_top")).alias("top_near"), (total - F.sum(on("true_exact"))).alias("false_exact"))
 
 
 def softmax(rows: DataFrame, score: Column, temperature: float, out: str, keep: Column | None = None) -> DataFrame:
@@ -287,8 +290,8 @@ def oracle_mixture(cand_bins: DataFrame, true_bins: DataFrame, ks: Sequence[int]
     Candidates are ranked by true dot product plus 0.1 overlap minus 0.02 false
     share; positive scores are the weights, all equal where none is positive.
     """
-    share = normalise(cand_bins.select(*KEYS, "bin", "intensity"), "l1", KEYS)
-    true = normalise(true_bins.select(*ID, "bin", "intensity"), "l1")
+    share = shares(cand_bins.select(*KEYS, "bin", "intensity"), KEYS)
+    true = shares(true_bins.select(*ID, "bin", "intensity"))
     at = gather_at_candidates(share, true)
     x, t = F.col("intensity"), F.col("true_exact")
     hit = F.sum(F.when(t > 0, x).otherwise(0.0))
@@ -332,7 +335,7 @@ def fragment_nodes(nodes: DataFrame, true_bins: DataFrame, precursors: DataFrame
     rows = nodes.join(precursors.select(*ID, "precursor_mz"), ID, "left").filter(
         (F.col("mz") > 0) & (F.col("mz") < max_mz) & F.coalesce(F.col("mz") <= F.col("precursor_mz") + slack, F.lit(True)))
     best = top_peaks(true_bins, top, ID, "intensity", "bin").select(*ID, "bin", F.lit(1).alias("is_top"))
-    true = normalise(true_bins.select(*ID, "bin", "intensity"), "l1").withColumnRenamed("intensity", "true_intensity")
+    true = shares(true_bins.select(*ID, "bin", "intensity")).withColumnRenamed("intensity", "true_intensity")
     return rows.withColumn("bin", S.bin_index(F.col("mz"), bin_width)).join(true, [*ID, "bin"], "left").join(
         best, [*ID, "bin"], "left").fillna(0.0, ["true_intensity"]).fillna(0, ["is_top"]).select(
         *ID, "node_id", "mz", "bin", "true_intensity", (F.col("true_intensity") > 0).cast("int").alias("label"), "is_top")

@@ -177,6 +177,16 @@ def normalise(
     return normalise_many(peaks, {out or value: kind}, keys, value)
 
 
+def shares(binned: DataFrame, keys: Sequence[str] = ID) -> DataFrame:
+    """Binned intensities divided by their total.
+
+    For binned rows only: a group has at most one row per bin of the axis, so a
+    window over it is bounded and saves the second scan ``normalise`` takes.
+    """
+    total = F.sum("intensity").over(W.partitionBy(*keys))
+    return binned.withColumn("intensity", F.when(total > TINY, F.col("intensity") / total).otherwise(0.0))
+
+
 def normalise_many(
     peaks: DataFrame, kinds: dict[str, str], keys: Sequence[str] = ID, value: str = "intensity"
 ) -> DataFrame:
@@ -255,7 +265,7 @@ def bin_candidates(
     keys = ["spectrum_id", "cand_id"]
     binned = bin_spectra(cand_peaks.filter(F.col("mz") < max_mz), keys, bin_width, max_mz)
     if l1:
-        binned = normalise(binned, "l1", keys)
+        binned = shares(binned, keys)
     if k is None:
         return binned
     if l1:

@@ -169,10 +169,10 @@ def probe(d):
     return G.probe_candidates(cand_bins(d), pred_bins(d))
 
 
-@query("a11_candidate_probe", f"WITH {PROBE_SQL} SELECT spectrum_id, cand_id, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in PROBE_COLS)}, rank FROM pk",
+@query("a11_candidate_probe", f"WITH {PROBE_SQL} SELECT spectrum_id, cand_id, {', '.join(f'round({c}, 9) + 0.0 AS {c}' for c in PROBE_COLS)}, rank FROM pk",
        PROBE_VIEWS)
 def _(d):
-    return out(probe(d), *PROBE_COLS)
+    return probe(d).withColumns({c: r6(c, 9) for c in PROBE_COLS})
 
 
 @query("a11_union_at_k", f"""WITH {PROBE_SQL}, fr AS (SELECT c.spectrum_id, bin, min(rank) AS first FROM cand_bins c JOIN pk ON pk.spectrum_id = c.spectrum_id AND pk.cand_id = c.cand_id GROUP BY 1, 2),
@@ -217,9 +217,9 @@ u AS (SELECT spectrum_id, score AS s, 'prior' AS f, prior AS v FROM z WHERE n >=
   UNION ALL SELECT spectrum_id, score, 'break_depth', break_depth FROM z WHERE n >= 5),
 r AS (SELECT spectrum_id, f, {_rank('v', 'spectrum_id, f')} AS rv, {_rank('s', 'spectrum_id, f')} AS rs FROM u),
 c AS (SELECT spectrum_id, f, CASE WHEN stddev_pop(rv) > 1e-12 AND stddev_pop(rs) > 1e-12 THEN round(abs(corr(rv, rs)), 9) END AS a FROM r GROUP BY 1, 2)
-SELECT spectrum_id, round(max(a), 6) AS best_abs_rho, arg_max(f, (a, f)) AS best_feature, round(avg(a), 6) AS mean_abs_rho FROM c WHERE a IS NOT NULL GROUP BY 1""", "candidates")
+SELECT spectrum_id, round(max(a), 9) AS best_abs_rho, arg_max(f, (a, f)) AS best_feature, round(avg(a) + 1e-12, 6) AS mean_abs_rho FROM c WHERE a IS NOT NULL GROUP BY 1""", "candidates")
 def _(d):
-    return out(G.feature_correlation(d.candidates, ["prior", "group_id", "break_depth"], "score"), "best_abs_rho", "mean_abs_rho")
+    return G.feature_correlation(d.candidates, ["prior", "group_id", "break_depth"], "score").withColumns({"best_abs_rho": r6("best_abs_rho", 9), "mean_abs_rho": r6(F.col("mean_abs_rho") + 1e-12)})
 
 
 OV_SQL = f"""{CB}, {TB}, cs AS (SELECT *, intensity / sum(intensity) OVER (PARTITION BY spectrum_id, cand_id) AS x FROM cand_bins),
@@ -338,9 +338,9 @@ def _(d):
 OV_COLS = ("overlap_exact", "overlap_near", "support_exact", "support_near", "top_near", "false_exact")
 
 
-@query("a23_overlap_scores", f"WITH {OV_SQL} SELECT spectrum_id, cand_id, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in OV_COLS)} FROM ov", PROBE_VIEWS)
+@query("a23_overlap_scores", f"WITH {OV_SQL} SELECT spectrum_id, cand_id, {', '.join(f'round({c}, 9) + 0.0 AS {c}' for c in OV_COLS)} FROM ov", PROBE_VIEWS)
 def _(d):
-    return out(G.overlap_scores(cand_bins(d), pred_bins(d), 1), *OV_COLS)
+    return G.overlap_scores(cand_bins(d), pred_bins(d), 1).withColumns({c: r6(c, 9) for c in OV_COLS})
 
 
 @query("a23_quality_labels", f"""WITH {OV_SQL}, s0 AS (SELECT *, least(greatest(1 - false_exact, 0), 1) AS sup FROM ov),

@@ -163,10 +163,10 @@ def _(d):
 
 
 @query("m05_l1_distance", f"""
-WITH {WIDE_SQL}, {SHARES_SQL} SELECT spectrum_id, round(sum(abs(pt - pp)), 6) AS l1 FROM shares GROUP BY 1""",
+WITH {WIDE_SQL}, {SHARES_SQL} SELECT spectrum_id, round(sum(abs(pt - pp)), 9) AS l1 FROM shares GROUP BY 1""",
        "peaks pred_peaks")
 def _(d):
-    return out(M.distances(pairs(d, bin_width=1.0), 1006).select("spectrum_id", "l1"), "l1")
+    return M.distances(pairs(d, bin_width=1.0), 1006).select("spectrum_id", r6("l1", 9).alias("l1"))
 
 
 @query("m06_false_mass", f"""

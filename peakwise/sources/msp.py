@@ -93,7 +93,8 @@ def split_sections(records: DataFrame) -> DataFrame:
 
 def _field(key: str) -> Column:
     """Last value of a header key, NULL when absent or blank."""
-    return N.optional_string(F.regexp_extract("head", rf"(?ims)(?:.*^|\A)[ \t]*{key}[ \t]*:([^\n]*)", 1))
+    hits = F.regexp_extract_all("head", F.lit(rf"(?im)^[ \t]*{key}[ \t]*:(.*)$"), F.lit(1))
+    return N.optional_string(F.try_element_at(hits, F.lit(-1)))
 
 
 def _valid(rows: DataFrame, test) -> DataFrame:
