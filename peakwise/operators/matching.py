@@ -15,7 +15,8 @@ from pyspark.sql.window import Window as W
 
 from peakwise.operators.metrics import cosine_expr
 from peakwise.operators.transforms import ID, TINY, top_peaks
-from peakwise.skew import exact_quantiles, with_group_stats
+from peakwise.session import cut_lineage
+from peakwise.skew import exact_quantiles
 
 MIN_RELATIVE_MZ = 200.0
 
@@ -235,14 +236,6 @@ def gather_at_candidates(cand_bins: DataFrame, true_bins: DataFrame, tol_bins: i
     return rows.fillna(0.0, ["true_exact", "true_near"])
 
 
-def unit_spectra(binned: DataFrame) -> DataFrame:
-    """Binned spectra divided by their Euclidean norm."""
-    rows = with_group_stats(binned, ID, __n=F.sqrt(F.sum(F.col("intensity") * F.col("intensity"))))
-    return rows.filter(F.col("__n") > TINY).select(
-        *ID, "bin", (F.col("intensity") / F.col("__n")).alias("u")
-    )
-
-
 def copy_groups(binned: DataFrame, precursors: DataFrame) -> DataFrame:
     """``rep``: the smallest id among spectra with the same bins, intensities and precursor.
 
@@ -274,15 +267,18 @@ def library_search(
     group and all members of a query group are put back, which changes nothing
     in the result (ties rank by library id).
     """
-    q_map = copy_groups(queries, query_precursors)
-    l_map = copy_groups(library, library_precursors)
+    # One small row per spectrum, used several times below.
+    q_map = cut_lineage(copy_groups(queries, query_precursors))
+    l_map = cut_lineage(copy_groups(library, library_precursors))
 
     def index(binned: DataFrame, mapping: DataFrame, prefix: str) -> DataFrame:
         reps = mapping.filter(F.col("spectrum_id") == F.col("rep")).select(*ID, "precursor_mz")
-        return unit_spectra(binned.join(reps.select(*ID), ID, "left_semi")).join(reps, ID).select(
-            F.col("spectrum_id").alias(f"{prefix}_id"), "bin", F.col("u").alias(f"{prefix}_u"),
-            F.col("precursor_mz").alias(f"{prefix}_pmz"),
-        )
+        x = F.col("intensity")
+        norm = F.sqrt(F.sum(x * x).over(W.partitionBy(*ID)))  # bounded by the bins of the axis
+        rows = binned.join(reps, ID).withColumn("__n", norm).filter(F.col("__n") > TINY)
+        return rows.select(
+            F.col("spectrum_id").alias(f"{prefix}_id"), "bin", (x / F.col("__n")).alias(f"{prefix}_u"),
+            F.col("precursor_mz").alias(f"{prefix}_pmz"))
 
     scores = _indexed_scores(index(queries, q_map, "q"), index(library, l_map, "l"), precursor_tol)
     members = (

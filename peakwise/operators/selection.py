@@ -105,6 +105,7 @@ def bin_quota(
 
     base = best(keyed.filter(F.col("source_type").isin(1, 2)))
     base = top_peaks(quota(base, base_per_bin).drop("rank"), min(base_reserve, max_nodes), [mol], "__o", key).drop("rank")
+    base = cut_lineage(base)  # at most the reserve per molecule, used four times
     used = base.groupBy(mol, "bin").agg(F.count(F.lit(1)).alias("__used"))
     n_base = base.groupBy(mol).agg(F.count(F.lit(1)).alias("__n"))
     rec = best(keyed.filter("source_type = 3").join(base.select(mol, key), [mol, key], "left_anti"))
@@ -112,7 +113,7 @@ def bin_quota(
         F.col("rank") + F.coalesce("__used", F.lit(0)) <= recursive_per_bin).drop("rank", "__used")
     rec = top_peaks(rec, recursive_reserve, [mol], "__o", key).join(n_base, mol, "left").filter(
         F.col("rank") <= F.lit(max_nodes) - F.coalesce("__n", F.lit(0))).drop("rank", "__n")
-    chosen = base.withColumn("stage", F.lit("base")).unionByName(rec.withColumn("stage", F.lit("recursive")))
+    chosen = cut_lineage(base.withColumn("stage", F.lit("base")).unionByName(rec.withColumn("stage", F.lit("recursive"))))
     n_chosen = chosen.groupBy(mol).agg(F.count(F.lit(1)).alias("__n"))
     rest = best(keyed.join(chosen.select(mol, key), [mol, key], "left_anti"))
     fill = top_peaks(rest, max_nodes, [mol], "__o", key).join(n_chosen, mol, "left").filter(

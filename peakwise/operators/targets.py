@@ -17,6 +17,7 @@ from peakwise.functions import spectrum as S
 from peakwise.operators import metrics as M
 from peakwise.operators.matching import gather_at_candidates
 from peakwise.operators.transforms import ID, TINY, shares, top_peaks
+from peakwise.session import cut_lineage
 from peakwise.skew import with_group_stats
 
 KEYS = ["spectrum_id", "cand_id"]
@@ -51,8 +52,10 @@ def softmax(rows: DataFrame, score: Column, temperature: float, out: str, keep:
     """Softmax per spectrum over the kept rows; others get 0."""
     kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
     rows = rows.withColumn("__s", F.when(kept, score / F.lit(max(temperature, 1e-6))))
-    rows = with_group_stats(rows, ID, __top=F.max("__s"))
-    rows = with_group_stats(rows, ID, __z=F.sum(F.exp(F.col("__s") - F.col("__top"))))
+    tops = rows.groupBy(*ID).agg(F.max("__s").alias("__top"))
+    sums = rows.select(*ID, "__s").join(tops, ID).groupBy(*ID).agg(
+        F.max("__top").alias("__top"), F.sum(F.exp(F.col("__s") - F.col("__top"))).alias("__z"))
+    rows = rows.join(sums, ID)
     prob = F.coalesce(F.exp(F.col("__s") - F.col("__top")) / F.col("__z"), F.lit(0.0))
     return rows.withColumn(out, prob).drop("__s", "__top", "__z")
 
@@ -64,7 +67,7 @@ def overlap_teacher(scores: DataFrame, top_k: int = 64, temperature: float = 0.2
     """
     score = F.round(
         6.0 * F.col("overlap_exact") + 0.5 * F.col("support_exact") + 2.0 * F.col("top_near") - 2.0 * F.col("false_exact"), 9)
-    rows = scores.select(*KEYS, score.alias("score"))
+    rows = cut_lineage(scores.select(*KEYS, score.alias("score")))  # one row per candidate, used several times
     chosen = top_peaks(rows, top_k, ID, "score", "cand_id").filter("score > 0").select(*KEYS, F.lit(True).alias("__in"))
     rows = rows.join(chosen, KEYS, "left")
     return softmax(rows, F.col("score"), temperature, "prob", F.col("__in")).drop("__in")
@@ -72,7 +75,7 @@ def overlap_teacher(scores: DataFrame, top_k: int = 64, temperature: float = 0.2
 
 def utility(scores: DataFrame, false_weight: float = 1.2, temperature: float = 0.7) -> DataFrame:
     """True-hit mass minus weighted false mass: min-max scaled and as a softmax."""
-    rows = scores.select(*KEYS, (F.col("overlap_exact") - false_weight * F.col("false_exact")).alias("raw"))
+    rows = cut_lineage(scores.select(*KEYS, (F.col("overlap_exact") - false_weight * F.col("false_exact")).alias("raw")))
     rows = softmax(rows, F.col("raw"), temperature, "utility_prob")
     rows = with_group_stats(rows, ID, __lo=F.min("raw"), __hi=F.max("raw"))
     scaled = (F.col("raw") - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1e-8)
@@ -87,7 +90,7 @@ def quality_labels(scores: DataFrame, top_k: int = 64, min_pos: int = 8, pool_k:
     score = F.round(F.greatest(raw, F.lit(0.0)) * support * support, 12)
     keep = (score > 0) & (support >= 0.20) & (sn >= 0.25) & (fe <= 0.80)
     rows = scores.select("*", support.alias("__support")).withColumn("__q", F.when(keep, score).otherwise(0.0))
-    rows = with_group_stats(rows, ID, __top=F.max("__q"))
+    rows = cut_lineage(with_group_stats(cut_lineage(rows), ID, __top=F.max("__q")))  # one row per candidate
     rows = rows.withColumn("quality", F.when(F.col("__top") > 1e-8, F.round(F.col("__q") / F.col("__top"), 9)).otherwise(0.0))
     fb = F.round(0.5 * F.col("__support") + 0.35 * sn + 0.15 * tn, 9)
     fb_keep = (fb > 0) & (F.col("__support") >= 0.05) & (fe <= 0.95)
