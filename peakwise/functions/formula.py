@@ -29,7 +29,10 @@ def counts(formula: Column) -> Column:
     symbols = F.array_sort(F.array_distinct(F.transform(tokens, lambda t: t["e"])))
     total = lambda s: F.aggregate(
         tokens, F.lit(0), lambda acc, t: acc + F.when(t["e"] == s, t["n"]).otherwise(0))
-    entries = F.transform(symbols, lambda s: F.struct(s.alias("key"), total(s).alias("value")))
+    added = F.transform(symbols, lambda s: F.struct(s.alias("key"), total(s).alias("value")))
+    plain = F.transform(F.array_sort(tokens), lambda t: F.struct(t["e"].alias("key"), t["n"].alias("value")))
+    # Most formulas name every element once; adding up is needed only for repeats.
+    entries = F.when(F.size(symbols) == F.size(tokens), plain).otherwise(added)
     return F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0))
 
 

@@ -174,15 +174,14 @@ def library_features(cands: DataFrame, library: DataFrame, keys: Sequence[str])
 
     ``cands`` has ``formula`` and ``parent_formula``; logs are divided by the
     95th percentile of the positive ones per spectrum and cut at one.  The
-    library is bounded by its own top-n (20 000 rows by default), so it is
-    broadcast.
+    library is small by its own top-n, but its size is left to Spark to check.
     """
     own = FX.hill(FX.counts(F.col("formula")))
     rows = cands.withColumn("__own", own).withColumn("__loss", FX.subtract(F.col("parent_formula"), F.col("formula")))
     for kind, key, name in (("product", "__own", "product"), ("neutral_loss", "__loss", "loss")):
         part = library.filter(F.col("kind") == kind).select(
             F.col("formula").alias(key), F.lit(1.0).alias(f"{name}_hit"), F.col("log_intensity").alias(f"{name}_log"))
-        rows = rows.join(F.broadcast(part), key, "left").fillna(0.0, [f"{name}_hit", f"{name}_log"])
+        rows = rows.join(part, key, "left").fillna(0.0, [f"{name}_hit", f"{name}_log"])
     logs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in ("product_log", "loss_log")])
     long = rows.select(*keys, F.explode(logs).alias("x")).select(*keys, "x.*").filter("value > 0")
     scale = exact_quantiles(long, [*keys, "name"], "value", {"p95": 0.95}).groupBy(*keys).agg(*[

@@ -105,7 +105,7 @@ def stratified_pick(df: DataFrame, key: str, target: int, seed: int) -> DataFram
     alloc = stratified_allocation(df.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")), target)
     order = W.partitionBy("stratum").orderBy(hash_order(F.col(key), seed), key)
     ranked = df.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= target)
-    return ranked.join(F.broadcast(alloc.select("stratum", "alloc")), "stratum").filter(
+    return ranked.join(alloc.select("stratum", "alloc"), "stratum").filter(
         F.col("__r") <= F.col("alloc")).drop("__r", "alloc")
 
 
