@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakwise.llm import mixing, quality, sharding, toxicity
+from peakwise.llm import bpe, mixing, quality, sharding, toxicity
 from peakwise.llm.common import WORD, id_crc, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,10 +56,11 @@ SELECT doc_id, size, n::BIGINT AS source_size, target,
 
 @query
 def op7_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # The checksum is taken before the rows move, so that no text is shuffled.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(text_or_empty("text").cast("binary")).alias("text_crc32"))
     sharded = sharding.shard_documents(docs, shards=16)
     return sharded.select(
-        "doc_id", "size", F.crc32(text_or_empty("text").cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"),
         F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -78,3 +80,15 @@ def op3_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels").filter(~held_out))
     scored = quality.score_quality(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op5_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode_documents(docs, vocabulary).drop("text")
+    decoded = bpe.decode_documents(encoded, vocabulary)
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        sha(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
