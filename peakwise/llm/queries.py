@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakwise.llm import bpe, mixing, quality, sharding, topk, toxicity
-from peakwise.llm.common import WORD, id_crc, table, text_or_empty
+from peakwise.llm import bpe, mixing, quality, rules, sharding, topk, toxicity
+from peakwise.llm.common import WORD, id_crc, stored, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,56 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGIN
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    measured = stored(rules.measure(docs).drop("text"), "rule-measures")
+    judged = rules.judge(measured, rules.thresholds(measured))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_OP6_LIMITS = """
+ SELECT {keys}, measure, max(total) AS rows, min(CASE WHEN upto * 4 >= total THEN middle END) AS q1,
+        min(CASE WHEN upto * 4 >= total * 3 THEN middle END) AS q3
+ FROM (SELECT {keys}, measure, CASE WHEN bucket < 0 THEN 0.0::DOUBLE ELSE exp((bucket + 0.5::DOUBLE) / 50) END AS middle,
+              sum(n) OVER (PARTITION BY {keys}, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}, measure) AS total
+       FROM (SELECT {keys}, measure, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL
+"""
+ORACLES["op6_quality_rules"] = rf"""
+WITH worded AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+windows AS (SELECT doc_id, i, w[i:i + 7] AS g FROM worded, unnest(generate_series(1, len(w) - 7)) AS t(i)),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows),
+steps AS (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS step FROM twice WHERE n > 1),
+repeats AS (SELECT doc_id, sum(step)::BIGINT AS n_repeat_words FROM steps GROUP BY doc_id),
+lined AS (SELECT doc_id, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '{WORD}')] AS l FROM worded),
+measured AS (
+  SELECT doc_id, coalesce(lang, 'null') AS lang, coalesce(source, 'null') AS source, len(w)::BIGINT AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM worded JOIN lined USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+failing AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+                   CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words ELSE 0 END AS symbols,
+                   CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words ELSE 0 END AS word_length,
+                   CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS repeated_lines FROM measured),
+long AS (SELECT lang, source, 'symbols' AS measure, symbols AS v FROM failing WHERE NOT base_failed
+         UNION ALL SELECT lang, source, 'word_length', word_length FROM failing WHERE NOT base_failed
+         UNION ALL SELECT lang, source, 'repeated_lines', repeated_lines FROM failing WHERE NOT base_failed),
+sketch AS (SELECT lang, source, '' AS everything, measure, CASE WHEN v <= 0 THEN -1 ELSE floor(ln(v::DOUBLE) * 50) END AS bucket, count(*) AS n
+           FROM long GROUP BY ALL),
+own AS ({_OP6_LIMITS.format(keys='lang, source')}), by_lang AS ({_OP6_LIMITS.format(keys='lang')}),
+overall AS ({_OP6_LIMITS.format(keys='everything')}),
+chosen AS (
+  SELECT own.lang, own.source, own.measure, CASE WHEN own.rows >= 100 THEN own.q1 WHEN by_lang.rows >= 100 THEN by_lang.q1 ELSE overall.q1 END AS q1,
+         CASE WHEN own.rows >= 100 THEN own.q3 WHEN by_lang.rows >= 100 THEN by_lang.q3 ELSE overall.q3 END AS q3
+  FROM own JOIN by_lang ON own.lang = by_lang.lang AND own.measure = by_lang.measure JOIN overall ON own.measure = overall.measure),
+limits AS (SELECT lang, source, measure, round(q1 - 5 * greatest(q3 - q1, least_spread)) AS low, round(q3 + 5 * greatest(q3 - q1, least_spread)) AS high
+           FROM chosen JOIN (VALUES ('symbols', 40.0::DOUBLE), ('word_length', 100), ('repeated_lines', 100)) AS s(measure, least_spread) USING (measure))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND symbols BETWEEN a.low AND a.high AND word_length BETWEEN b.low AND b.high AND repeated_lines BETWEEN c.low AND c.high AS kept
+FROM failing f LEFT JOIN limits a ON a.lang = f.lang AND a.source = f.source AND a.measure = 'symbols'
+LEFT JOIN limits b ON b.lang = f.lang AND b.source = f.source AND b.measure = 'word_length'
+LEFT JOIN limits c ON c.lang = f.lang AND c.source = f.source AND c.measure = 'repeated_lines'
+"""
