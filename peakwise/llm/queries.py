@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakwise.llm import bpe, mixing, quality, rules, sharding, topk, toxicity
+from peakwise.llm import bpe, licenses, mixing, quality, rules, sharding, topk, toxicity
 from peakwise.llm.common import WORD, id_crc, stored, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,40 @@ FROM failing f LEFT JOIN limits a ON a.lang = f.lang AND a.source = f.source AND
 LEFT JOIN limits b ON b.lang = f.lang AND b.source = f.source AND b.measure = 'word_length'
 LEFT JOIN limits c ON c.lang = f.lang AND c.source = f.source AND c.measure = 'repeated_lines'
 """
+
+
+@query
+def op8_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = licenses.scan_licenses(docs)
+    return scanned.select(
+        "doc_id", "n_words", F.size("starts").cast("long").alias("n_base"), F.array_min("starts").cast("long").alias("first_word"),
+        F.array_max("starts").cast("long").alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score")
+
+
+def _op8_sql() -> str:
+    word, lowered = licenses.WORD_ANY_CASE, "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    phrases = ", ".join(f"({p.split(' ')!r}, {label!r})" for p, label in licenses.PHRASES.items())
+    templates = ", ".join(f"({text!r}, {label!r})" for text, label in licenses.TEMPLATES)
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all({lowered.format("coalesce(text, '')")}, '{word}') AS w FROM documents),
+phrases(p, label) AS (VALUES {phrases}),
+places AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM w) x
+           JOIN phrases ON w[i:i + len(p) - 1] = p),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
+templates AS (SELECT list_distinct(regexp_extract_all({lowered.format("t")}, '{word}')) AS t, label FROM (VALUES {templates}) AS x(t, label)),
+lines AS (SELECT DISTINCT doc_id, regexp_extract_all({lowered.format("line")}, '{word}') AS b
+          FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
+found AS (SELECT doc_id, label, len(list_intersect(t, b))::DOUBLE / len(t) AS share FROM lines JOIN templates
+          ON len(list_intersect(t, b)) >= ceil({licenses.THRESHOLD} * len(t) - 1e-9)),
+more AS (SELECT doc_id, max(share) AS share, list(DISTINCT label) AS labels FROM found GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
+"""
+
+
+ORACLES["op8_scan_licenses"] = _op8_sql()
