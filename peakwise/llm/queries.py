@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakwise.llm import bpe, licenses, mixing, quality, rules, sharding, topk, toxicity
+from peakwise.llm import bpe, licenses, mixing, pii, quality, rules, sharding, topk, toxicity
 from peakwise.llm.common import WORD, id_crc, stored, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,12 @@ FROM w LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 
 
 ORACLES["op8_scan_licenses"] = _op8_sql()
+
+
+@query
+def op9_find_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda k: F.size(F.filter("spans", lambda s: s["k"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+    base = F.filter("spans", lambda s: s["k"] < len(pii.PATTERNS))
+    return found.select("doc_id", *[n(k) for k in range(len(pii.PATTERNS))],
+                        F.sha2(pii.span_text(base).cast("binary"), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
