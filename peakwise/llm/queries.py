@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakwise.llm import bpe, licenses, mixing, pii, quality, rules, sharding, topk, toxicity
+from peakwise.llm import bpe, jaccard, licenses, mixing, pii, quality, rules, sharding, topk, toxicity
 from peakwise.llm.common import WORD, id_crc, stored, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +207,8 @@ def op9_find_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["k"] < len(pii.PATTERNS))
     return found.select("doc_id", *[n(k) for k in range(len(pii.PATTERNS))],
                         F.sha2(pii.span_text(base).cast("binary"), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
