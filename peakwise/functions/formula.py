@@ -84,10 +84,14 @@ def alphabetic(count_map: Column, explicit_one: bool = False) -> Column:
 
 
 def canonical(count_map: Column, order: Sequence[str] = K.FORMULA_ELEMENTS) -> Column:
-    """Fixed element order; other elements are left out."""
-    known = F.map_filter(count_map, lambda k, v: k.isin(list(order)))
+    """Fixed element order, then the other elements alphabetically."""
     positions = F.array(*[F.lit(e) for e in order])
-    return _render(_ordered(known, lambda k: F.array_position(positions, k)))
+
+    def rank(k: Column) -> Column:
+        at = F.array_position(positions, k)
+        return F.when(at > 0, at).otherwise(F.lit(len(order) + 1))
+
+    return _render(_ordered(count_map, rank))
 
 
 def difference(parent: Column, child: Column) -> Column:

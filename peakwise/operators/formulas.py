@@ -17,17 +17,19 @@ from peakwise.skew import exact_quantiles
 
 
 def enumerate_subformulas(
-    formulas: DataFrame, key: str, elements: Sequence[str], cap: int = 50000
+    formulas: DataFrame, key: str, elements: Sequence[str], cap: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(sub-formula rows, refused rows): all count vectors 0..n of the given elements.
 
-    The size product is checked before anything is exploded; formulas above
-    ``cap`` come back whole in the second table with their size.
+    Every formula is enumerated, one element range after the other.  With a
+    ``cap`` the size product is checked before anything is exploded, and
+    formulas above it come back whole in the second table with their size.
     """
     rows = formulas.withColumn("__size", FX.search_space(F.col("formula"), elements))
     rows = rows.withColumns({f"__max_{e}": FX.count(F.col("formula"), e) for e in elements})
-    refused = rows.filter(F.col("__size") > cap).select(key, "formula", F.col("__size").alias("search_space"))
-    small = rows.filter(F.col("__size") <= cap)
+    large = F.lit(False) if cap is None else F.col("__size") > cap
+    refused = rows.filter(large).select(key, "formula", F.col("__size").alias("search_space"))
+    small = rows.filter(~large)
     for e in elements:
         small = small.withColumn(f"n_{e.lower()}", F.explode(F.sequence(F.lit(0), F.col(f"__max_{e}"))))
     mass = F.lit(0.0)
@@ -146,9 +148,9 @@ def common_loss_lookup(
 
 
 def annotation_library(
-    annotated: DataFrame, split_of_group: Column, top_product: int = 10000, top_loss: int = 10000
+    annotated: DataFrame, split_of_group: Column, top_product: int | None = None, top_loss: int | None = None
 ) -> DataFrame:
-    """Product and neutral-loss statistics of the training split.
+    """Product and neutral-loss statistics of the training split, all or the strongest of each kind.
 
     ``annotated(group_key, parent_formula, intensity, formulas)`` has one row
     per peak; a peak's intensity is shared equally by its formulas.  Sums are
@@ -163,10 +165,11 @@ def annotation_library(
     both = pairs.select(F.lit("product").alias("kind"), "formula", "w", "n").unionByName(
         pairs.select(F.lit("neutral_loss").alias("kind"), loss.alias("formula"), "w", "n").filter("formula <> ''"))
     totals = both.groupBy("kind", "formula").agg(F.sum("w").alias("intensity"), F.sum("n").alias("n"))
-    ranked = top_peaks(totals, max(top_product, top_loss), ["kind"], "intensity", "formula")
-    limit = F.when(F.col("kind") == "product", top_product).otherwise(top_loss)
-    return ranked.filter(F.col("rank") <= limit).select(
-        "kind", "formula", "intensity", "n", F.log1p("intensity").alias("log_intensity"))
+    kinds = []
+    for kind, top in (("product", top_product), ("neutral_loss", top_loss)):
+        part = totals.filter(F.col("kind") == kind)
+        kinds.append(part if top is None else top_peaks(part, top, ["kind"], "intensity", "formula").drop("rank"))
+    return kinds[0].unionByName(kinds[1]).select("kind", "formula", "intensity", "n", F.log1p("intensity").alias("log_intensity"))
 
 
 def library_features(cands: DataFrame, library: DataFrame, keys: Sequence[str]) -> DataFrame:

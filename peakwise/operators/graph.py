@@ -19,6 +19,7 @@ from peakwise.operators.transforms import top_peaks
 from peakwise.session import cut_lineage
 
 PACK_LIMIT = 512
+MASK_BITS = 63
 
 
 def element_counts(atoms: DataFrame, h_cap: int = 0) -> DataFrame:
@@ -104,45 +105,52 @@ def _single_cuts_by_joins(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     return seen.join(joined, ["mol_id", "cut"], "left_anti")
 
 
-def double_cuts(atoms: DataFrame, bonds: DataFrame, order: Sequence[Column] = (), max_pairs: int = 1200) -> DataFrame:
-    """Components after removing two bonds, for the first ``max_pairs`` bond pairs of each molecule.
+def double_cuts(atoms: DataFrame, bonds: DataFrame, order: Sequence[Column] = (), max_pairs: int | None = None) -> DataFrame:
+    """Components after removing two bonds, for every bond pair of each molecule.
 
     Rows (mol_id, cut_a, cut_b, part); cuts that leave one piece give nothing.
+    With ``max_pairs`` only the first pairs of a molecule are cut, and ``pairs_left`` counts the others.
     """
     packed = pack(atoms, bonds, order)
     n = F.size("bonds")
-    index = F.flatten(F.transform(
-        F.sequence(F.lit(1), n), lambda i: F.transform(
-            F.filter(F.sequence(F.lit(1), n), lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    pairs = packed.withColumn("pair", F.explode(F.slice(index, 1, max_pairs)))
-    pairs = pairs.withColumn("x", F.element_at("bonds", F.col("pair.i"))).withColumn("y", F.element_at("bonds", F.col("pair.j")))
+    first = packed.select("*", n.cast("long").alias("n"), F.posexplode("bonds").alias("i", "x"))
+    pairs = first.select("*", F.posexplode(F.slice("bonds", F.col("i") + 2, n)).alias("step", "y"))
+    left = []
+    if max_pairs is not None:
+        i = F.col("i").cast("long")
+        number = (i * (2 * F.col("n") - i - 1) / 2).cast("long") + F.col("step")
+        pairs = pairs.filter(number < max_pairs)
+        left = [F.greatest((F.col("n") * (F.col("n") - 1) / 2).cast("long") - max_pairs, F.lit(0)).alias("pairs_left")]
     rest = F.filter("bonds", lambda e: (e["bond_id"] != F.col("x.bond_id")) & (e["bond_id"] != F.col("y.bond_id")))
     parts = pairs.withColumn("labels", _labels(F.col("atoms"), rest)).withColumn(
         "parts", _parts(F.col("atoms"), F.col("labels"))).filter(F.size("parts") > 1)
     return parts.select(
         "mol_id", F.least("x.bond_id", "y.bond_id").alias("cut_a"), F.greatest("x.bond_id", "y.bond_id").alias("cut_b"),
-        F.explode("parts").alias("part"))
+        F.explode("parts").alias("part"), *left)
 
 
 def recursive_fragments(
-    atoms: DataFrame, bonds: DataFrame, order: Sequence[Column] = (), depth: int = 3, branch: int = 8
+    atoms: DataFrame, bonds: DataFrame, order: Sequence[Column] = (), depth: int = 3, branch: int | None = None
 ) -> DataFrame:
-    """Fragments by cutting again inside fragments, ``branch`` best bonds each, down to ``depth``.
+    """Fragments by cutting again inside fragments, down to ``depth``.
 
-    Rows (mol_id, depth, path, part): ``path`` lists the cut bonds in order.
+    Rows (mol_id, depth, path, part, bonds_left): ``path`` lists the cut bonds
+    in order.  With ``branch`` only the best bonds of a fragment are cut, and
+    ``bonds_left`` counts the others of the fragment that was cut last.
     Each level is one projection over the fragments of the level above.
     """
     level = pack(atoms, bonds, order).select("mol_id", "bonds", F.col("atoms").alias("part"), F.array().cast("array<long>").alias("path"))
     out = None
     for d in range(1, depth + 1):
         inside = F.filter("bonds", lambda e: F.array_contains("part", e["a"]) & F.array_contains("part", e["b"]))
-        cuts = level.withColumn("inside", inside).withColumn("cut", F.explode(F.slice("inside", 1, branch)))
+        cuts = level.withColumn("inside", inside).withColumn("cut", F.explode(F.col("inside") if branch is None else F.slice("inside", 1, branch)))
+        left = F.lit(0) if branch is None else F.greatest(F.size("inside") - branch, F.lit(0))
         rest = F.filter("inside", lambda e: e["bond_id"] != F.col("cut.bond_id"))
         cuts = cuts.withColumn("labels", _labels(F.col("part"), rest)).withColumn("parts", _parts(F.col("part"), F.col("labels")))
         level = cuts.filter(F.size("parts") > 1).select(
             "mol_id", "bonds", F.concat("path", F.array(F.col("cut.bond_id").cast("long"))).alias("path"),
-            F.explode("parts").alias("part"))
-        found = level.select("mol_id", F.lit(d).alias("depth"), "path", "part")
+            F.explode("parts").alias("part"), left.alias("bonds_left"))
+        found = level.select("mol_id", F.lit(d).alias("depth"), "path", "part", "bonds_left")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -258,14 +266,19 @@ def molecule_stats(atoms: DataFrame, bonds: DataFrame, elements: Sequence[str] =
 
 
 def atom_mask(sides: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Atom sets as bit masks (ids 0..62) per group."""
-    bit = F.expr("shiftleft(cast(1 as bigint), cast(atom_id as int))")
-    return sides.select(*keys, "atom_id").distinct().filter(F.col("atom_id").between(0, 62)).groupBy(*keys).agg(F.sum(bit).alias("mask"))
-
-
-def mask_atoms(mask: Column, n_atoms: int = 63) -> Column:
-    """Atom ids of a bit mask."""
-    return F.filter(F.sequence(F.lit(0), F.lit(n_atoms - 1)), lambda i: F.getbit(mask, i.cast("int")) == 1)
+    """Atom sets as ``words`` per group: an array of (word, mask), each with the atoms ``63 * word + 0..62``."""
+    bit = F.expr("shiftleft(cast(1 as bigint), cast(pmod(atom_id, 63) as int))")
+    word = F.floor(F.col("atom_id") / MASK_BITS).cast("int")
+    masks = sides.select(*keys, "atom_id").distinct().groupBy(*keys, word.alias("word")).agg(F.sum(bit).alias("mask"))
+    # One entry per 63 atom ids of a molecule.
+    return masks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("word", "mask"))).alias("words"))
+
+
+def mask_atoms(words: Column) -> Column:
+    """Sorted atom ids of the words of a set."""
+    places = F.sequence(F.lit(0), F.lit(MASK_BITS - 1))
+    return F.flatten(F.transform(words, lambda w: F.transform(
+        F.filter(places, lambda i: F.getbit(w["mask"], i) == 1), lambda i: w["word"] * MASK_BITS + i)))
 
 
 def heavy_key(count_map: Column) -> Column:

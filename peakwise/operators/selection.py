@@ -182,14 +182,15 @@ def _per_spectrum(rows: DataFrame, choose) -> DataFrame:
 
 
 def coverage_aware_topk(
-    cands: DataFrame, cand_bins: DataFrame, k: int = 64, prefilter: int = 256, base_weight: float = 0.2,
+    cands: DataFrame, cand_bins: DataFrame, k: int = 64, prefilter: int | None = None, base_weight: float = 0.2,
     duplicate_penalty: float = 0.35, novelty_bonus: float = 0.10, block_groups: bool = True, score: str = "score",
 ) -> DataFrame:
     """Greedy top-k that prefers peaks not covered yet; the true spectrum is not used.
 
-    The pool of a task is the ``prefilter`` best candidates of one spectrum.
+    Every candidate of a spectrum can be chosen, in one task per spectrum;
+    ``prefilter`` keeps only the best ones by score before that.
     """
-    pool = plain_topk(cands, max(k, prefilter), score).select(*KEYS, "group_id", F.col(score).alias("score"))
+    pool = (cands if prefilter is None else plain_topk(cands, max(k, prefilter), score)).select(*KEYS, "group_id", F.col(score).alias("score"))
     rows = pool.join(cand_bins.select(*KEYS, "bin", "intensity"), KEYS, "left").fillna(0.0, ["intensity"]).fillna(-1, ["bin"])
 
     def greedy(cols: dict) -> list:
@@ -202,6 +203,8 @@ def coverage_aware_topk(
         covered = np.zeros(matrix.shape[1])
         free, blocked, order = np.ones(len(ids), bool), np.zeros(len(ids), bool), []
         first = np.lexsort((ids, -raw))  # argmax ties go to the better score
+        if not matrix.any():  # nothing to cover: the plain best
+            return list(ids[first[:k]])
         for _ in range(min(k, len(ids))):
             allowed = free & ~blocked if (block_groups and (free & ~blocked).any()) else free
             gain = base_weight * base - duplicate_penalty * (share @ covered) + novelty_bonus * (share @ (1.0 - covered))

@@ -217,14 +217,24 @@ def restore_intensities(peaks: DataFrame, kind: str, keys: Sequence[str] = ID) -
     ).drop("__top")
 
 
+# Spark limits a ranked group before the shuffle below this k only.
+WIDE_K = 1000
+WIDE_PARTS = 64
+
+
 def top_peaks(
     rows: DataFrame, k: int, keys: Sequence[str] = ID, value: str = "intensity", tie: str = "bin"
 ) -> DataFrame:
     """The k strongest rows per group, ties by ascending ``tie``; column ``rank`` from 1.
 
-    The rank filter is pushed below the shuffle, so each task sends at most k
-    rows of a group however large the group is.
+    Each task sends at most k rows of a group however large the group is: Spark
+    pushes the rank filter below the shuffle for small k.  From ``WIDE_K`` on it
+    does not, and the group is ranked in ``WIDE_PARTS`` parts by hash first.
     """
+    if k >= WIDE_K:
+        part = F.pmod(F.xxhash64(F.col(value), F.col(tie)), F.lit(WIDE_PARTS))
+        inside = W.partitionBy(*keys, part).orderBy(F.col(value).desc(), F.col(tie))
+        rows = rows.withColumn("rank", F.row_number().over(inside)).filter(F.col("rank") <= k).drop("rank")
     order = W.partitionBy(*keys).orderBy(F.col(value).desc(), F.col(tie))
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

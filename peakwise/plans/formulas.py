@@ -130,13 +130,13 @@ def annotated_texts(d):
 
 def ion_formulas(d):
     f = d.formulas.select(F.col("formula_id").alias("fid"), F.col("formula").alias("ion_formula"))
-    return d.spectra.select("spectrum_id", F.pmod(F.col("mol_id"), F.lit(150)).alias("fid")).join(f, "fid")
+    return d.spectra.select("spectrum_id", (F.pmod(F.col("mol_id"), F.lit(150)) + 1).alias("fid")).join(f, "fid", "left")
 
 
 @query("c07_annotation_table", f"""WITH {FPARTS_SQL}, bad AS (
   SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 97 = 0 AND l_linenumber = 1),
 r AS (SELECT l_orderkey AS spectrum_id, l_linenumber AS peak_no, l_extendedprice / 100.0 AS mz, f.* FROM lineitem l
-  JOIN part p ON p.p_partkey = l.l_partkey JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN fm f ON f.k = o.o_custkey % 150
+  JOIN part p ON p.p_partkey = l.l_partkey JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN fm f ON f.k = o.o_custkey % 150 + 1
   WHERE l_orderkey NOT IN (SELECT l_orderkey FROM bad)),
 x AS (SELECT *, CASE WHEN peak_no % 2 = 0 THEN 0 ELSE 1 END AS lc, CASE WHEN peak_no % 2 = 0 THEN 2 ELSE 0 END AS lh,
   CASE WHEN peak_no % 2 = 0 THEN 1 ELSE 2 END AS lo FROM r)
@@ -195,9 +195,9 @@ SPACE_SQL = "(c + 1) * (h + 1) * (n + 1) * (o + 1) * (cl + 1)"
 
 @query("c10_subformulas", f"""WITH {FPARTS_SQL}
 SELECT k AS formula_id, {SPACE_SQL} AS n, round({SPACE_SQL} * mass / 2, 3) AS mass_sum, round(mass, 6) AS heaviest
-FROM fm WHERE {SPACE_SQL} <= 2500""")
+FROM fm""")
 def _(d):
-    rows, _ = C.enumerate_subformulas(d.formulas, "formula_id", ELEMENTS, 2500)
+    rows, _ = C.enumerate_subformulas(d.formulas, "formula_id", ELEMENTS)
     return rows.groupBy("formula_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("mass"), 3).alias("mass_sum"),
                                           r6(F.max("mass")).alias("heaviest"))
 
@@ -353,9 +353,9 @@ def annotated_peaks(d):
 
 ANNOTATED_SQL = f"""{FPARTS_SQL}, an0 AS (SELECT l_orderkey AS spectrum_id, l_linenumber AS peak_no, l_extendedprice / 100.0 AS mz,
   l_quantity AS intensity, l_partkey AS k1, CASE WHEN l_linenumber % 2 = 0 AND f2.k IS NOT NULL THEN f2.k END AS k2,
-  concat('MOL', o_custkey) AS inchikey, o_custkey % 150 AS pk
+  concat('MOL', o_custkey) AS inchikey, o_custkey % 150 + 1 AS pk
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN fp f1 ON f1.k = l_partkey LEFT JOIN fp f2 ON f2.k = l_partkey + 1
-  JOIN fp f3 ON f3.k = o_custkey % 150),
+  JOIN fp f3 ON f3.k = o_custkey % 150 + 1),
 an AS (SELECT spectrum_id, peak_no, mz, inchikey, pk, k1 AS k, intensity / CASE WHEN k2 IS NULL THEN 1 ELSE 2 END AS w FROM an0
   UNION ALL SELECT spectrum_id, peak_no, mz, inchikey, pk, k2, intensity / 2 FROM an0 WHERE k2 IS NOT NULL)"""
 LIBRARY_SQL = f"""{ANNOTATED_SQL}, tr AS (SELECT an.*, a.c, a.h, a.n, a.o, a.cl, b.c AS pc, b.h AS ph, b.n AS pn, b.o AS po, b.cl AS pcl
@@ -388,7 +388,7 @@ def pool(d):
 
 
 @query("j12_library_features", f"""WITH {LIBRARY_SQL}, p AS (
-  SELECT DISTINCT l_orderkey AS spectrum_id, l_partkey AS cand_id, o_custkey % 150 AS pk FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  SELECT DISTINCT l_orderkey AS spectrum_id, l_partkey AS cand_id, o_custkey % 150 + 1 AS pk FROM lineitem JOIN orders ON o_orderkey = l_orderkey
   WHERE l_linenumber % 4 > 0),
 x AS (SELECT p.spectrum_id, p.cand_id, {text_sql(HILL, OWN)} AS own, CASE WHEN {FITS} THEN {text_sql(HILL, DIFF)} ELSE '' END AS loss FROM (
   SELECT p.*, a.c, a.h, a.n, a.o, a.cl, b.c AS pc, b.h AS ph, b.n AS pn, b.o AS po, b.cl AS pcl FROM p JOIN fp a ON a.k = p.cand_id

@@ -178,7 +178,8 @@ def _(d):
        "atoms")
 def _(d):
     masks = G.atom_mask(G.single_cuts(atoms(d), bonds(d)), ["mol_id", "cut", "side"])
-    return masks.withColumn("atoms", F.array_join(G.mask_atoms(F.col("mask")).cast("array<string>"), ","))
+    atoms_text = F.array_join(G.mask_atoms(F.col("words")).cast("array<string>"), ",")
+    return masks.select("mol_id", "cut", "side", F.element_at("words", 1)["mask"].alias("mask"), atoms_text.alias("atoms"))
 
 
 def subsets(d):

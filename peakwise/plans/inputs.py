@@ -97,14 +97,17 @@ def _(d):
 
 
 @query("io05_header_scan", """WITH s AS (SELECT * FROM spectra WHERE spectrum_id IN (SELECT spectrum_id FROM peaks))
-SELECT identifier AS name, 'id' AS key, CAST(spectrum_id AS varchar) AS value FROM s
-UNION ALL SELECT identifier, 'precursor_type', adduct_raw FROM s UNION ALL SELECT identifier, 'inchikey', inchikey FROM s
-UNION ALL SELECT identifier, 'instrument', instrument_raw FROM s WHERE instrument_raw IS NOT NULL
-UNION ALL SELECT identifier, 'collision_energy', ce_raw FROM s WHERE ce_raw IS NOT NULL
-UNION ALL SELECT s.identifier, 'num peaks', CAST(count(*) AS varchar) FROM s JOIN peaks p ON p.spectrum_id = s.spectrum_id GROUP BY 1""", "spectra peaks")
+SELECT identifier AS name, 'id' AS key, CAST(spectrum_id AS varchar) AS value, NULL::DOUBLE AS number FROM s
+UNION ALL SELECT identifier, 'precursormz', NULL, round(precursor_mz, 6) FROM s
+UNION ALL SELECT identifier, 'precursor_type', adduct_raw, NULL FROM s UNION ALL SELECT identifier, 'inchikey', inchikey, NULL FROM s
+UNION ALL SELECT identifier, 'instrument', instrument_raw, NULL FROM s WHERE instrument_raw IS NOT NULL
+UNION ALL SELECT identifier, 'collision_energy', ce_raw, NULL FROM s WHERE ce_raw IS NOT NULL
+UNION ALL SELECT s.identifier, 'num peaks', CAST(count(*) AS varchar), NULL FROM s JOIN peaks p ON p.spectrum_id = s.spectrum_id GROUP BY 1""", "spectra peaks")
 def _(d):
-    rows = msp.scan_headers(d.spark, library_path(d)).filter("key <> 'precursormz'")
-    return rows.select("name", "key", "value")
+    rows = msp.scan_headers(d.spark, library_path(d))
+    numeric = F.col("key") == "precursormz"  # compared as a number
+    return rows.select("name", "key", F.when(~numeric, F.col("value")).alias("value"),
+                       F.when(numeric, r6(F.col("value").cast("double"))).alias("number"))
 
 
 @query("io06_library_files")
@@ -125,14 +128,15 @@ def _(d):
     return IO.structure_headers(d.spark, path, "*.txt", r"/ID=(\d+)/")
 
 
-@query("io08_interchange_fold", """SELECT o_orderkey AS identifier, round(o_totalprice, 2) AS price, o_orderstatus AS fold FROM orders WHERE o_orderstatus = 'F'""")
+@query("io08_interchange_fold", """SELECT o_orderkey AS identifier, round(o_totalprice, 2) AS price, o_orderstatus AS fold, round(o_totalprice, 2) AS parquet_price FROM orders WHERE o_orderstatus = 'F'""")
 def _(d):
     base = scratch_dir(d.spark, "interchange")
     rows = d.table("orders").select(F.col("o_orderkey").alias("identifier"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("fold"))
     rows.write.parquet(f"{base}/spectra")
     rows.write.option("sep", "\t").option("header", True).csv(f"{base}/rows")
-    _, tsv = IO.read_interchange(d.spark, f"{base}/spectra", f"{base}/rows", "identifier long, price double, fold string", "F")
-    return tsv.withColumn("price", r6("price", 2))
+    parquet, tsv = IO.read_interchange(d.spark, f"{base}/spectra", f"{base}/rows", "identifier long, price double, fold string", "F")
+    both = tsv.join(parquet.select("identifier", r6("price", 2).alias("parquet_price")), "identifier")
+    return both.withColumn("price", r6("price", 2))
 
 
 @query("io09_csv_arrays", "SELECT spectrum_id, round(mz, 6) AS mz, intensity FROM peaks", "peaks")
@@ -204,3 +208,9 @@ def _(d):
 @query("io16_sharded_read", "SELECT spectrum_id FROM spectra WHERE spectrum_id % 4 = 1", "spectra")
 def _(d):
     return IO.shard(d.spectra, "spectrum_id", 4, 1).select("spectrum_id")
+
+
+@query("io15_distributions", """SELECT 'instrument_raw' AS "column", coalesce(instrument_raw, '<missing>') AS value, count(*) AS n FROM spectra GROUP BY ALL
+UNION ALL SELECT 'ce_raw', coalesce(ce_raw, '<missing>'), count(*) FROM spectra GROUP BY ALL""", "spectra")
+def _(d):
+    return sinks.distributions(d.spectra, ["instrument_raw", "ce_raw"])

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-# Buckets per factor of two used by the two-level ranks: at most about
-# 2 * 1024 * BUCKETS_PER_OCTAVE buckets exist for any group of doubles.
-BUCKETS_PER_OCTAVE = 256
+# Buckets per factor of two used by the two-level ranks.  They follow the
+# value's own exponent, so values below 1 spread as well as those above.
+BUCKETS_PER_OCTAVE = 4096
+LOWEST_OCTAVE = 1100  # below the exponent of the smallest double
 
 
 def r6(col: Column | str, digits: int = 6) -> Column:
@@ -36,8 +37,9 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> Dat
 
 def value_bucket(col: Column) -> Column:
     """A coarse bucket that never decreases with the value."""
-    scaled = F.signum(col) * F.log2(1.0 + F.abs(col)) * F.lit(float(BUCKETS_PER_OCTAVE))
-    return F.floor(scaled)
+    size = F.abs(col.cast("double"))
+    octave = F.when(size > 0, F.floor((F.log2(size) + LOWEST_OCTAVE) * BUCKETS_PER_OCTAVE)).otherwise(F.lit(0))
+    return F.when(col < 0, -octave).otherwise(octave)
 
 
 def _counted_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -48,11 +48,18 @@ def write_diagnostics(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def distributions(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, value, n`` of every value of the columns; a missing one is ``<missing>``."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("<missing>")).alias("value")) for c in columns]))
+    return rows.select(pairs.alias("p")).groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def manifest(rows: DataFrame, name: str, filters: dict[str, str], distributions: Sequence[str], gate: DataFrame | None = None) -> DataFrame:
     """One JSON document: row count, filters, value distributions and gate result.
 
-    Each distribution keeps its 50 most frequent values and the number of
-    distinct ones, so the document's size does not grow with the data.
+    Each distribution shows its 50 most frequent values and the number of
+    distinct ones, so the document's size does not grow with the data; the
+    whole distributions are a table, ``distributions``.
     """
     total = rows.agg(F.count(F.lit(1))).scalar()
     parts = []
