@@ -74,8 +74,30 @@ def ingest_rules(
     ]
 
 
-def _elements_bad(allowed: Sequence[str]) -> Column:
-    return ~FX.elements_subset(F.col("formula"), allowed)
+def attach_molecules(spectra: DataFrame, molecules: DataFrame, key: str = "mol_id") -> tuple[DataFrame, DataFrame]:
+    """(every spectrum with its molecule's columns and ``mol_found``, one row with the numbers of hits and misses).
+
+    ``molecules`` has one row per key; ``mol_found`` is NULL where there is none.
+    """
+    rows = spectra.join(molecules.withColumn("mol_found", F.lit(True)), key, "left")
+    return rows, rows.agg(F.count("mol_found").alias("joined"), (F.count(F.lit(1)) - F.count("mol_found")).alias("missed"))
+
+
+def soft_match_flags(rows: DataFrame, name: str, mol_name: str, inchikey: str = "inchikey", mol_inchikey: str = "mol_inchikey") -> DataFrame:
+    """``rows`` plus ``soft_name_match`` and ``soft_inchikey_match``; NULL where a side is missing.  They reject nothing."""
+    same = lambda key, a, b: key(F.col(a)) == key(F.col(b))
+    return rows.withColumns({"soft_name_match": same(N.name_key, name, mol_name),
+                             "soft_inchikey_match": same(N.upper_key, inchikey, mol_inchikey)})
+
+
+def with_formula_facts(molecules: DataFrame, elements: Sequence[str]) -> DataFrame:
+    """``molecules`` plus ``elements_ok`` and ``search_space``: a formula is parsed once per molecule, before any join."""
+    return molecules.withColumns({"elements_ok": FX.elements_subset(F.col("formula"), elements),
+                                  "search_space": FX.search_space(F.col("formula"), elements)})
+
+
+def _elements_bad(allowed: Sequence[str], facts: bool = False) -> Column:
+    return ~(F.col("elements_ok") if facts else FX.elements_subset(F.col("formula"), allowed))
 
 
 def strict_rules(
@@ -99,9 +121,13 @@ def strict_rules(
 
 def row_rules(
     whitelisted: Column, adducts: Sequence[str], instruments: Sequence[str], max_precursor_mz: float, max_heavy: int,
-    elements: Sequence[str], hard_formula_cap: int, require_ce: bool = True, strict_molecule: bool = True,
+    elements: Sequence[str], hard_formula_cap: int, require_ce: bool = True, strict_molecule: bool = True, facts: bool = False,
 ) -> list[Rule]:
-    """Row filter before sampling: whitelist, molecule, conditions, size and formula-count cap."""
+    """Row filter before sampling: whitelist, molecule, conditions, size and formula-count cap.
+
+    ``facts``: the rows carry the columns of ``with_formula_facts``, so no formula is parsed again.
+    """
+    space = F.col("search_space") if facts else FX.search_space(F.col("formula"), elements)
     c = F.col
     low = lambda x: F.lower(F.trim(x))
     molecule = [
@@ -118,18 +144,18 @@ def row_rules(
         ("adduct_not_allowed", not_in(low(c("adduct")), [a.lower() for a in adducts])),
         ("instrument_not_allowed", not_in(low(c("instrument")), [i.lower() for i in instruments])),
         ("precursor_mz_invalid", above(c("precursor_mz"), max_precursor_mz)),
-        ("allowed_elements_not_ok", _elements_bad(elements)),
+        ("allowed_elements_not_ok", _elements_bad(elements, facts)),
         ("heavy_atom_overflow", c("n_heavy") > max_heavy if max_heavy > 0 else F.lit(False)),
         ("formula_n_raw_overflow",
-         FX.search_space(c("formula"), elements) > hard_formula_cap if hard_formula_cap > 0 else F.lit(False)),
+         space > hard_formula_cap if hard_formula_cap > 0 else F.lit(False)),
     ]
 
 
-def pass_rates(df: DataFrame, masks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+def pass_rates(df: DataFrame, masks: dict[str, Column], must_keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows passing every mask, one row per mask with the share of rows it passes).
 
     All shares, and that of the conjunction, come from one scan; a NULL mask
-    counts as failed.
+    counts as failed.  ``must_keep``: an empty result is an error.
     """
     flags = {n: F.coalesce(m, F.lit(False)) for n, m in masks.items()}
     every = F.lit(True)
@@ -139,7 +165,10 @@ def pass_rates(df: DataFrame, masks: dict[str, Column]) -> tuple[DataFrame, Data
     names = [*flags, "everything"]
     report = rows.select(F.explode(F.array(*[
         F.struct(F.lit(n).alias("mask"), F.col(n).alias("pass_rate")) for n in names])).alias("x")).select("x.*")
-    return df.filter(every), report
+    kept = df.filter(every)
+    if must_keep and kept.isEmpty():
+        raise ValueError(f"no row passes all of {', '.join(flags)}")
+    return kept, report
 
 
 def molecule_class(

@@ -37,7 +37,7 @@ FROM spectra s LEFT JOIN (SELECT spectrum_id, sum(greatest(intensity, 0)) AS tot
 LEFT JOIN (SELECT * FROM molecules WHERE mol_id % 29 <> 0) m ON s.mol_id = m.mol_id)"""
 
 
-def policy_rows(d):
+def policy_rows(d, facts=False):
     """Spectra with normalised conditions, total intensity and their molecule's attributes."""
     s = d.spectra
     totals = d.peaks.groupBy("spectrum_id").agg(
@@ -53,6 +53,7 @@ def policy_rows(d):
         N.adduct(F.col("adduct_raw")).alias("adduct"), N.instrument(F.col("instrument_raw")).alias("instrument"),
         N.fragmentation_method(F.col("ce_raw")).alias("frag_method"), N.nce_value(F.col("ce_raw")).alias("ce_nce"))
     group = N.group_key(F.col("inchikey"), F.lit(None).cast("string"), k)
+    mol = P.with_formula_facts(mol, ["C", "H", "N", "O"]) if facts else mol
     return rows.join(totals, "spectrum_id", "left").join(mol, "mol_id", "left").withColumn(
         "split", S.split_name(S.uniform_hash(group, 42)))
 
@@ -101,9 +102,9 @@ SELECT coalesce(reason, 'kept') AS reason, count(*) AS n,
        F_VIEWS)
 def _(d):
     rules = P.row_rules(~F.col("inchikey").endswith("9"), ["[M+H]+", "[M+Na]+"], ["Orbitrap", "QTOF"], 950.0, 60,
-                        ["C", "H", "N", "O"], 6000)
-    rows = P.apply_policy(policy_rows(d), rules)
-    soft = F.col("reject_reason").isNull() & (FX.search_space(F.col("formula"), ["C", "H", "N", "O"]) > 3000)
+                        ["C", "H", "N", "O"], 6000, facts=True)
+    rows = P.apply_policy(policy_rows(d, facts=True), rules)
+    soft = F.col("reject_reason").isNull() & (F.col("search_space") > 3000)
     return rows.groupBy(F.coalesce("reject_reason", F.lit("kept")).alias("reason")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(soft, F.lit(False)).cast("long")).alias("soft_overflow"))
 
@@ -399,3 +400,23 @@ def _(d):
     a = d.cand_peaks.filter("source_flag > 0").select(*cols)
     b = d.cand_peaks.filter("break_depth = 2").select(*cols)
     return out(S.source_switch(a, b, 0.5, 3), "mz")
+
+
+@query("j01_attach_molecules", """SELECT count(m.mol_id) AS joined, count(*) - count(m.mol_id) AS missed
+FROM spectra s LEFT JOIN (SELECT * FROM molecules WHERE mol_id % 29 <> 0) m ON s.mol_id = m.mol_id""", "spectra molecules")
+def _(d):
+    _, counts = P.attach_molecules(d.spectra.select("spectrum_id", "mol_id"), d.molecules.filter("mol_id % 29 <> 0").select("mol_id"))
+    return counts
+
+
+@query("j02_soft_match_flags", """SELECT s.mol_id % 41 = 0 AS renamed, CASE WHEN s.mol_id % 7 = 0 OR m.mol_id IS NULL THEN NULL ELSE s.mol_id % 41 <> 0 END AS soft_name_match,
+  CASE WHEN m.mol_id IS NULL THEN NULL ELSE s.mol_id % 37 <> 0 END AS soft_inchikey_match, count(*) AS n
+FROM spectra s LEFT JOIN (SELECT * FROM molecules WHERE mol_id % 29 <> 0) m ON s.mol_id = m.mol_id GROUP BY ALL""", "spectra molecules")
+def _(d):
+    k = F.col("mol_id")
+    mol = d.molecules.filter(k % 29 != 0).select("mol_id", F.concat(F.lit("mol "), (k + F.when(k % 41 == 0, 1).otherwise(0)).cast("string")).alias("mol_name"),
+                                                 F.when(k % 37 == 0, "other").otherwise(F.lower("inchikey")).alias("mol_inchikey"))
+    spectra = d.spectra.select("spectrum_id", "mol_id", "inchikey", F.when(k % 7 != 0, F.concat(F.lit("Mol-"), k.cast("string"))).alias("name"))
+    rows, _ = P.attach_molecules(spectra, mol)
+    return P.soft_match_flags(rows, "name", "mol_name").groupBy(
+        (k % 41 == 0).alias("renamed"), "soft_name_match", "soft_inchikey_match").agg(F.count(F.lit(1)).alias("n"))

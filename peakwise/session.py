@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,17 @@ def build_session(app: str = "peakwise", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_OWN: list[str] = []
+
+
+def _local_folder() -> str:
+    """One folder for sessions inside one JVM that name none; removed at exit."""
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="spark-scratch-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return _OWN[0]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder the cluster names.
 
@@ -42,7 +55,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         if shared is None:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="spark-checkpoint-")
+            shared = _local_folder()
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
@@ -55,5 +68,5 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="spark-scratch-")
+        base = _local_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -54,25 +54,18 @@ def drop_repeated_conditions(events: DataFrame, time: str, content_key: Column,
 
 
 def idempotent_writer(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that appends rows whose keys the table does not have, tagged by batch.
+    """A ``foreachBatch`` function that writes each batch as a partition of the table, replacing that partition only.
 
-    A batch that is replayed after a failure adds nothing: its rows are found
-    by the anti join.  Rows repeated inside a batch are written once.
+    A batch that is replayed after a failure writes the same partition again,
+    so it adds nothing, and nothing written before is read.  Rows repeated
+    inside a batch are written once; repetitions across batches are the
+    stream's to drop (``drop_repeated_conditions``), whose state expires.
     """
     keys = list(keys)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.dropDuplicates(keys)
-        spark = batch.sparkSession
-        try:
-            done = spark.read.parquet(path).select(*keys)
-        except Exception as exc:
-            if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-                raise
-            done = None
-        if done is not None:
-            rows = rows.join(done, keys, "left_anti")
-        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+        rows = batch.dropDuplicates(keys).withColumn("batch_id", F.lit(batch_id))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
     return write
 
