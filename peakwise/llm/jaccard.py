@@ -1,16 +1,18 @@
 """N-gram Jaccard join with prefix trees.
 
 Every document is its set of distinct word n-grams (64-bit hashes).  Two
-documents link when the intersection holds at least 90 % of the union; the
-result is the connected component of each document.
+documents link when the intersection holds at least ``percent`` of the union;
+the result is the connected component of each document.
 
 1. Equal sets are one class; only classes are compared.
-2. Two sets that link differ in at most ``(a + b) / 19`` n-grams.  The n-grams
+2. Two sets that link differ in a share of their n-grams that ``percent`` bounds.  The n-grams
    of a set are dealt by hash into three parts more than that, so at least
    three parts are equal in both; the hashes of the parts are the set's keys, and sets
    that link share a key.  (If the equal parts are all empty, both sets have
    three empty parts; such sets take part in a second dealing as well, and
    sets with three empty parts in both dealings share a key of their own.)
+   Keys are gathered before they are shuffled: of the sets of a run of rows
+   that hold a key one stands for all, so a key of very many sets is no hot spot.
 3. Sets that share keys, directly or through others, form groups.  A group is
    cut into blocks of bounded size, and a block is joined in a prefix tree: the
    sets, their n-grams in one order by frequency, are stored as paths, so sets
@@ -32,14 +34,39 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from peakwise.llm.common import stored
 
 NGRAM = 3
-# Sets of one block, the bound of what one task joins at a time.
-BLOCK = 2048
-# Linked sets: 100 * intersection >= 90 * union, hence intersection >= 9 (a + b) / 19 and difference <= (a + b) / 19.
-LEAST_SIZE = 9  # smaller sets link only with equal ones
+PERCENT = 90
+# Sets and n-grams of one block, the bound of what one task joins at a time.
+BLOCK = 4096
+BLOCK_NGRAMS = 4_000_000
+# Sets of one run of rows whose keys are gathered before the shuffle.
+RUN = 2048
+
+
+# Edges that one task contracts.
+TASK_EDGES = 2_000_000
+
+
+class Link:
+    """Two sets of sizes a and b link when ``100 * shared >= percent * (a + b - shared)``, percent from 50 to 99."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.least = max(1, -(-percent // (100 - percent)))  # smaller sets link only with equal ones
+        starts = [self.least]
+        while starts[-1] < 1 << 40:
+            starts.append(100 * starts[-1] // percent + 1)
+        # First sizes of the bands: sizes that can link are in the same band or in neighbours.
+        self.bands = np.array(starts)
+
+    def most_different(self, band: int) -> int:
+        """The most n-grams in which linked sets differ whose smaller one is in the band."""
+        both = int(self.bands[band + 1]) - 1 + int(self.bands[band + 2]) - 1
+        return both * (100 - self.percent) // (100 + self.percent)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,17 +91,6 @@ def ngram_set(text: str | None, n: int = NGRAM) -> np.ndarray:
     return np.unique(joined)
 
 
-def size_bands(limit: int = 1 << 40) -> np.ndarray:
-    """First sizes of the bands: sizes that can link are in the same band or in neighbours."""
-    starts = [LEAST_SIZE]
-    while starts[-1] < limit:
-        starts.append(10 * starts[-1] // 9 + 1)
-    return np.array(starts)
-
-
-BANDS = size_bands()
-
-
 def _part_keys(tokens: np.ndarray, parts: int, salt: int) -> tuple[np.ndarray, int]:
     """Keys of the parts that hold something, and the number of empty parts."""
     spread = _mix(tokens ^ np.uint64(salt & 0xFFFF))
@@ -87,16 +103,16 @@ def _part_keys(tokens: np.ndarray, parts: int, salt: int) -> tuple[np.ndarray, i
     return keys, parts - len(first)
 
 
-def set_keys(tokens: np.ndarray) -> np.ndarray:
+def set_keys(tokens: np.ndarray, link: Link) -> np.ndarray:
     """Keys such that sets that link, and are not equal, share at least one."""
-    if len(tokens) < LEAST_SIZE:
+    if len(tokens) < link.least:
         return np.zeros(0, dtype=np.uint64)
-    band = int(np.searchsorted(BANDS, len(tokens), side="right")) - 1
+    band = int(np.searchsorted(link.bands, len(tokens), side="right")) - 1
     out = []
     for lower in {max(band - 1, 0), band}:  # pairs whose smaller set is in that band
-        most = (int(BANDS[lower + 1]) - 1 + int(BANDS[lower + 2]) - 1) // 19
+        parts = link.most_different(lower) + 3
         for dealing in (1, 2):
-            keys, empty = _part_keys(tokens, most + 3, lower * 8 + dealing)
+            keys, empty = _part_keys(tokens, parts, lower * 8 + dealing)
             out.append(keys)
             if empty < 3:
                 break
@@ -116,157 +132,182 @@ def _class_id(tokens: np.ndarray) -> int:
 
 
 def document_sets(docs: DataFrame, n: int = NGRAM) -> DataFrame:
-    """``doc_id, n_shingles, class, keys`` of each row; a class's keys come once from each task."""
+    """``doc_id, n_shingles, class`` of each row; equal sets have the same class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # classes of this task: no more than its rows
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                sizes, classes, keys = [], [], []
-                for text in part.column(1).to_pylist():
-                    tokens = ngram_set(text, n)
-                    number = _class_id(tokens)
-                    sizes.append(len(tokens))
-                    classes.append(number)
-                    keys.append(np.zeros(0, dtype=np.uint64) if number in seen else set_keys(tokens))
-                    seen.add(number)
+                found = [ngram_set(text, n) for text in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, type=pa.int64()), pa.array(classes, type=pa.int64()), _lists(keys)],
-                    ["doc_id", "n_shingles", "class", "keys"])
+                    [part.column(0), pa.array([len(t) for t in found], type=pa.int64()),
+                     pa.array([_class_id(t) for t in found], type=pa.int64())], ["doc_id", "n_shingles", "class"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, class long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, class long")
 
 
-class _Node:
-    """A piece of a path that has no branch inside: its n-grams, what goes on, and the sizes of the sets below."""
+def class_keys(docs: DataFrame, n: int, link: Link) -> DataFrame:
+    """``key, class, gathered``.
 
-    __slots__ = ("tokens", "children", "ends", "low", "high", "some", "mixed")
+    Of the classes of a run of rows that hold a key, the smallest comes with
+    ``gathered`` false; if there are several, all of them come also with true.
+    """
 
-    def __init__(self, tokens: np.ndarray):
-        self.tokens, self.children, self.ends = tokens, {}, []
-        self.low, self.high, self.some, self.mixed = 1 << 62, 0, -1, False
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # classes of this task: no more than its rows
+        keys: list[np.ndarray] = []
+        classes: list[int] = []
+
+        def gathered() -> pa.RecordBatch:
+            key = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
+            number = np.repeat(np.array(classes, dtype=np.int64), [len(k) for k in keys])
+            order = np.lexsort((number, key))
+            key, number = key[order].view(np.int64), number[order]
+            first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=bool)
+            group = np.cumsum(first) - 1
+            several = np.bincount(group, minlength=1)[group] > 1 if len(key) else first
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([key[first], key[several]])), pa.array(np.concatenate([number[first], number[several]])),
+                 pa.array(np.arange(first.sum() + several.sum()) >= first.sum())], ["key", "class", "gathered"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                tokens = ngram_set(text.as_py(), n)
+                number = _class_id(tokens)
+                if number not in seen:
+                    seen.add(number)
+                    keys.append(np.unique(set_keys(tokens, link)))
+                    classes.append(number)
+                if len(keys) >= RUN:
+                    yield gathered()
+                    keys.clear()
+                    classes.clear()
+        yield gathered()
+
+    return docs.select("text").mapInArrow(run, "key long, class long, gathered boolean")
+
+
+def shared_keys(docs: DataFrame, n: int, link: Link) -> DataFrame:
+    """``key, class``: the keys that several classes hold, by one shuffle of the gathered keys."""
+    rows = class_keys(docs, n, link)
+    # Gathered classes are known to share their key; apart from them a key has one row per run.
+    group = W.partitionBy("key", F.when(F.col("gathered"), F.col("class")).otherwise(F.lit(0)))
+    several = F.col("gathered") | (F.min("class").over(group) < F.max("class").over(group))
+    return rows.withColumn("several", several).filter("several").select("key", "class").distinct()
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, end to end."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class PrefixTree:
-    """Sets added one after the other; each is first linked with those already there."""
+    """Sets as paths of a tree, their frequent n-grams first; a node holds a piece of a path without branches.
+
+    Nodes are arrays in the order of levels, so that the children of a node
+    and the sets below it (in the order of their paths) are ranges.
+    """
 
-    def __init__(self, sets: list[np.ndarray]):
-        lengths = [len(s) for s in sets]
+    def __init__(self, sets: list[np.ndarray], known: list[int], link: Link):
+        self.link = link
         every, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         rank = np.empty(len(every), dtype=np.int64)
-        rank[np.lexsort((every, -count))] = np.arange(len(every))  # frequent n-grams first: long shared beginnings
-        self.sets = [np.sort(x) for x in np.split(rank[place], np.cumsum(lengths)[:-1])]
-        self.root = _Node(np.zeros(0, dtype=np.int64))
-        self.parent = list(range(len(sets)))
+        rank[np.lexsort((every, -count))] = np.arange(len(every))
+        ranked = [np.sort(x) for x in np.split(rank[place], np.cumsum([len(s) for s in sets])[:-1])]
+        self.order = sorted(range(len(sets)), key=lambda i: ranked[i].astype(">i8").tobytes())
+        self.sets = [ranked[i] for i in self.order]
+        first: dict[int, int] = {}
+        self.component = np.array([first.setdefault(known[i], x) for x, i in enumerate(self.order)])
         self.mask = np.zeros(len(every), dtype=bool)
-
-    def find(self, x: int) -> int:
-        parent = self.parent
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def unite(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
+        self._build()
+        self._note_changes()
+
+    def _build(self) -> None:
+        sets, n = self.sets, len(self.sets)
+        common = np.zeros(n + 1, dtype=np.int64)  # length of the beginning that a set shares with the one before
+        for i in range(1, n):
+            shorter = min(len(sets[i - 1]), len(sets[i]))
+            differ = np.flatnonzero(sets[i - 1][:shorter] != sets[i][:shorter])
+            common[i] = differ[0] if len(differ) else shorter
+        todo, nodes, pieces, held = [(0, n, 0)], [], [], 0
+        for low, high, start in todo:  # grows while it runs: level after level
+            end = len(sets[low]) if high - low == 1 else int(common[low + 1:high].min())
+            ends_here = len(sets[low]) == end
+            first = low + 1 if ends_here else low
+            cuts = [first, *(first + 1 + np.flatnonzero(common[first + 1:high] == end)).tolist(), high] if first < high else []
+            sizes = [len(x) for x in sets[low:high]] if high - low < 3 else self._sizes(low, high)
+            nodes.append((held, held + end - start, end, len(todo), len(todo) + max(len(cuts) - 1, 0), low, high,
+                          min(sizes), max(sizes), low if ends_here else -1))
+            pieces.append(sets[low][start:end])
+            held += end - start
+            todo.extend((a, b, end) for a, b in zip(cuts, cuts[1:]))
+        self.tokens = np.concatenate(pieces)
+        (self.t0, self.t1, self.depth, self.c0, self.c1, self.l0, self.l1, self.low, self.high, self.ends) = np.array(nodes, dtype=np.int64).T
+
+    def _sizes(self, low: int, high: int) -> np.ndarray:
+        if not hasattr(self, "_lengths"):
+            self._lengths = np.array([len(x) for x in self.sets])
+        return self._lengths[low:high]
+
+    def _note_changes(self) -> None:
+        """Counts the places where the component changes along the sets: a range without one is of one component."""
+        self.changes = np.concatenate([[0], np.cumsum(self.component[1:] != self.component[:-1])])
 
     def probe(self, x: int) -> None:
-        """Links set ``x`` with every set of the tree that it is not yet connected to."""
-        tokens = self.sets[x]
-        size = len(tokens)
+        """Links set ``x`` with the sets after it that it is not yet connected to."""
+        tokens, percent, size = self.sets[x], self.link.percent, len(self.sets[x])
         self.mask[tokens] = True
-        stack: list[tuple[_Node, int, int, bool]] = [(self.root, 0, 0, False)]
-        while stack:
-            node, depth, shared, leaving = stack.pop()
-            if leaving:  # all below has been seen: it may be of one component by now
-                one = self.find(node.some)
-                node.mixed = any(self.find(d) != one for d in node.ends) or any(
-                    c.mixed or self.find(c.some) != one for c in node.children.values())
-                continue
-            if node.high * 10 < size * 9 or node.low * 9 > size * 10 or node.some < 0:
-                continue
-            if not node.mixed and self.find(node.some) == self.find(x):
-                continue
-            depth += len(node.tokens)
-            shared += int(np.count_nonzero(self.mask[node.tokens]))
-            rest = size - int(np.searchsorted(tokens, node.tokens[-1], side="right")) if len(node.tokens) else size
-            best = min(max(depth + rest, node.low), node.high)
-            if 19 * (shared + min(best - depth, rest)) < 9 * (size + best):
-                continue
-            for other in node.ends:
-                if 19 * shared >= 9 * (size + depth):
-                    self.unite(x, other)
-                    break  # the others that end here are equal to it
-            if node.mixed:
-                stack.append((node, 0, 0, True))
-            stack.extend((child, depth, shared, False) for child in node.children.values())
+        nodes, shared, linked = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), []
+        while len(nodes):
+            one = (self.changes[self.l1[nodes] - 1] == self.changes[self.l0[nodes]]) & (self.component[self.l0[nodes]] == self.component[x])
+            near = (self.high[nodes] * 100 >= size * percent) & (self.low[nodes] * percent <= size * 100)
+            stay = near & ~one & (self.l1[nodes] > x + 1)
+            nodes, shared = nodes[stay], shared[stay]
+            lengths = self.t1[nodes] - self.t0[nodes]
+            hits = np.concatenate([[0], np.cumsum(self.mask[self.tokens[_ranges(self.t0[nodes], lengths)]])])
+            upto = np.cumsum(lengths)
+            shared = shared + hits[upto] - hits[upto - lengths]
+            depth = self.depth[nodes]
+            passed = np.searchsorted(tokens, self.tokens[np.maximum(self.t1[nodes] - 1, 0)], side="right")
+            rest = size - np.where(depth > 0, passed, 0)
+            best = np.clip(depth + rest, self.low[nodes], self.high[nodes])
+            able = (100 + percent) * (shared + np.minimum(best - depth, rest)) >= percent * (size + best)
+            nodes, shared, depth = nodes[able], shared[able], depth[able]
+            hit = (self.ends[nodes] > x) & ((100 + percent) * shared >= percent * (size + depth))
+            linked.append(self.ends[nodes[hit]])
+            lengths = self.c1[nodes] - self.c0[nodes]
+            nodes, shared = _ranges(self.c0[nodes], lengths), np.repeat(shared, lengths)
         self.mask[tokens] = False
+        linked = np.concatenate(linked)
+        if len(linked):
+            labels = np.unique(np.append(self.component[linked], self.component[x]))
+            if len(labels) > 1:
+                self.component[np.isin(self.component, labels)] = labels[0]
+                self._note_changes()
 
-    def add(self, x: int) -> None:
-        """Puts set ``x`` into the tree."""
-        tokens, size, node, at = self.sets[x], len(self.sets[x]), self.root, 0
-        while True:
-            node.low, node.high = min(node.low, size), max(node.high, size)
-            if node.some < 0:
-                node.some = x
-            elif self.find(node.some) != self.find(x):
-                node.mixed = True
-            if at == size:
-                node.ends.append(x)
-                return
-            child = node.children.get(int(tokens[at]))
-            if child is None:
-                leaf = _Node(tokens[at:])
-                leaf.low = leaf.high = size
-                leaf.some = x
-                leaf.ends.append(x)
-                node.children[int(tokens[at])] = leaf
-                return
-            n = min(len(child.tokens), size - at)
-            differ = np.flatnonzero(child.tokens[:n] != tokens[at:at + n])
-            same = int(differ[0]) if len(differ) else n
-            if same < len(child.tokens):  # the piece is cut where the paths part
-                upper = _Node(child.tokens[:same])
-                upper.low, upper.high, upper.some, upper.mixed = child.low, child.high, child.some, child.mixed
-                child.tokens = child.tokens[same:]
-                upper.children[int(child.tokens[0])] = child
-                node.children[int(tokens[at])] = upper
-                child = upper
-            node, at = child, at + same
-
-
-def link_block(classes: list[int], known: list[int], sets: list[np.ndarray]) -> list[int]:
+
+def link_block(classes: list[int], known: list[int], sets: list[np.ndarray], link: Link) -> list[int]:
     """For each set the smallest class of its component; ``known``: components found before."""
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), classes[i]))
-    tree = PrefixTree([sets[i] for i in order])
-    first: dict[int, int] = {}
-    for x, i in enumerate(order):
-        tree.unite(first.setdefault(known[i], x), x)
-    for x in range(len(order)):
+    tree = PrefixTree(sets, known, link)
+    for x in range(len(sets)):
         tree.probe(x)
-        tree.add(x)
     smallest: dict[int, int] = {}
-    for x, i in enumerate(order):
-        root = tree.find(x)
-        smallest[root] = min(smallest.get(root, classes[i]), classes[i])
-    out = [0] * len(order)
-    for x, i in enumerate(order):
-        out[i] = smallest[tree.find(x)]
-    return out
+    label = dict(zip(tree.order, tree.component.tolist()))
+    for i, number in enumerate(classes):
+        smallest[label[i]] = min(smallest.get(label[i], number), number)
+    return [smallest[label[i]] for i in range(len(classes))]
 
 
-def _join_blocks(members: DataFrame) -> DataFrame:
+def _join_blocks(members: DataFrame, link: Link) -> DataFrame:
     """``a, b``: each class and the smallest class it is connected to within a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, classes, known, sets = None, [], [], []
 
         def finished() -> pa.RecordBatch:
-            leaders = link_block(classes, known, sets)
+            leaders = link_block(classes, known, sets, link)
             pairs = [(c, leader) for c, leader in zip(classes, leaders) if c != leader]
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], type=pa.int64()) for i in (0, 1)], ["a", "b"])
 
@@ -286,14 +327,43 @@ def _join_blocks(members: DataFrame) -> DataFrame:
     return placed.select("block", "class", "component", "tokens").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one task as stars: each node and the smallest node it is connected to by them."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    stars = [(x, find(x)) for x in list(parent)]
+    yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in stars], type=pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """``node, component`` (the smallest node connected) of the undirected edges ``a, b``.
 
-    Each round a node takes the smallest label among itself and its neighbours,
-    and then that label's own label; rounds end when nothing changes.  Labels
-    are written to the shared folder every round; the driver sees one count.
+    Tasks of at most about ``task_edges`` edges turn their edges into stars.
+    With several tasks, rounds follow in which a node takes the smallest label
+    among itself and its neighbours, and then that label's own label, until
+    nothing changes.  Labels are written to the shared folder every round; the
+    driver sees one count.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "graph-edges")
+    edges = stored(edges.select("a", "b"), "graph-edges")
+    tasks = max(1, -(-edges.count() // task_edges))
+    stars = stored(edges.repartition(tasks).mapInArrow(_contract, "a long, b long"), "graph-stars")
+    labels = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    if tasks == 1:
+        return labels
+    both = stored(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "graph-edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "graph-labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
@@ -317,7 +387,7 @@ def _undecided(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(split.filter("low < high").select("key", "leader"), "key")
 
 
-def jaccard_components(docs: DataFrame, n: int = NGRAM, block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     ``component_id`` is the smallest id reachable by links, the row's own
@@ -326,11 +396,9 @@ def jaccard_components(docs: DataFrame, n: int = NGRAM, block: int = BLOCK) -> D
     in the smallest id, and is itself given the component of its set.  Other
     columns are not looked at.  Empty tables give no rows.  N-grams and sets are told apart by 64-bit hashes.
     """
+    link = Link(percent)
     sets = stored(document_sets(docs, n), "jaccard-sets")
-    rows = sets.select(F.explode("keys").alias("key"), "class")
-    several = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("key")
-    several = stored(several, "jaccard-keys")
-    shared = stored(rows.join(several, "key").distinct(), "jaccard-shared")
+    shared = stored(shared_keys(docs, n, link), "jaccard-shared")
     candidates = shared.select("class").distinct()
     first = sets.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     chosen = stored(candidates.join(first, "class").filter("doc_id IS NOT NULL"), "jaccard-chosen")
@@ -343,7 +411,8 @@ def jaccard_components(docs: DataFrame, n: int = NGRAM, block: int = BLOCK) -> D
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_class_id(t) for t in found], type=pa.int64()), _lists(found)],
                                                  ["class", "own", "tokens"])
 
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("class", "text")
+    # Always by a merge join: how many texts are chosen grows with the data.
+    texts = docs.select("doc_id", "text").join(chosen.hint("merge"), "doc_id").select("class", "text")
     full = texts.mapInArrow(tokens, "class long, own long, tokens array<long>")
     # An id that repeats with other texts brings other sets along: only the class's own one counts.
     full = stored(full.filter("class = own").dropDuplicates(["class"]).select("class", "tokens"), "jaccard-full")
@@ -358,8 +427,10 @@ def jaccard_components(docs: DataFrame, n: int = NGRAM, block: int = BLOCK) -> D
         previous = undecided
         group = components(pending.filter("class <> leader").select(F.col("class").alias("a"), F.col("leader").alias("b")))
         group = stored(group.select(F.col("node").alias("class"), F.col("component").alias("group")), "jaccard-groups")
-        size = group.groupBy("group").agg(F.count(F.lit(1)).alias("sets"))
-        placed = group.join(size, "group").withColumn("blocks", F.ceil(F.col("sets") / block).cast("int"))
+        sized = group.join(full.select("class", F.size("tokens").alias("size")), "class")
+        size = stored(sized.groupBy("group").agg(F.greatest(
+            F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / BLOCK_NGRAMS)).cast("int").alias("blocks")), "jaccard-sizes")
+        placed = group.join(size, "group")
         place = F.pmod(F.xxhash64("class", F.lit(int(undecided))), F.col("blocks")).cast("int")
         if pairwise:  # each set meets the sets of every block
             other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -371,10 +442,14 @@ def jaccard_components(docs: DataFrame, n: int = NGRAM, block: int = BLOCK) -> D
         if labels is not None:
             placed = placed.join(labels.withColumnRenamed("node", "class"), "class", "left")
         members = placed.select("block", "class", known).join(full, "class")
-        found = stored(_join_blocks(members), "jaccard-links")
+        found = stored(_join_blocks(members, link), "jaccard-links")
+        decided = size.filter("blocks > 1").isEmpty()
+        if decided and links is None:  # every set was in one block: the links are its components
+            labels = found.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            break
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-        if pairwise or size.filter(F.col("sets") > block).isEmpty():
+        if pairwise or decided:
             break
         pending = _undecided(shared, labels)
 
