@@ -77,9 +77,10 @@ def _terms(features: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndar
     return np.column_stack([np.ones(len(a)), a, b, n, a * a, b * b, a * b, a * n, b * n, n * n, a ** 3, b ** 3])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> np.ndarray:
-    """Newton steps for a ridge-penalised logistic regression."""
-    w, penalty = np.zeros(x.shape[1]), ridge * max(len(y), 1) * np.eye(x.shape[1]) + 1e-6 * np.eye(x.shape[1])
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, least: float = 0.1) -> np.ndarray:
+    """Newton steps for a logistic regression; ``least`` keeps small samples from being fitted too closely."""
+    w, penalty = np.zeros(x.shape[1]), (ridge * len(y) + least) * np.eye(x.shape[1])
+    penalty[0, 0] = 1e-6
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (p - y) + penalty @ w)
@@ -90,27 +91,32 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> np.ndarray:
 
 
 def fit_compression(labels: list[int], texts: list[str], share_good: float) -> bytes:
-    """The pickled model: dictionaries from every other text of a class, calibration from the rest.
+    """The pickled model: dictionaries of each class, and the calibration.
 
-    ``share_good``: the share of good texts among all labelled ones, which the
-    sample (taken per class) need not have; the intercept is moved to it.
+    The calibration sees every text with dictionaries made from the other half
+    of the sample.  ``share_good``: the share of good texts among all labelled
+    ones, which the sample (taken per class) need not have; the intercept is
+    moved to it.
     """
-    parts: dict[int, tuple[list[str], list[str]]] = {0: ([], []), 1: ([], [])}
+    halves: dict[int, tuple[list[str], list[str]]] = {0: ([], []), 1: ([], [])}
     for label, text in zip(labels, texts):
-        parts[label][len(parts[label][0]) > len(parts[label][1])].append(text)
-    n_good, n_bad = (sum(map(len, parts[c])) for c in (1, 0))
-    if not n_good or not n_bad:
+        halves[label][len(halves[label][0]) > len(halves[label][1])].append(text)
+    if not all(halves[c][0] and halves[c][1] for c in (0, 1)):
         return pickle.dumps({"constant": share_good})
-    good, bad = _dictionary(parts[1][0]), _dictionary(parts[0][0])
-    if len(good) < 8 or len(bad) < 8:
-        return pickle.dumps({"constant": share_good})
-    sizes = _Sizes(good, bad)
-    seen = [(c, t) for c in (0, 1) for t in (parts[c][1] or parts[c][0])]
-    features = np.array([sizes.of(t) for _, t in seen])
-    mean, scale = features.mean(axis=0), np.maximum(features.std(axis=0), 1e-6)
-    weights = _logistic(_terms(features, mean, scale), np.array([c for c, _ in seen], dtype=float))
-    shown = sum(c for c, _ in seen) / len(seen)
-    weights[0] += np.log(share_good / (1 - share_good)) - np.log(shown / (1 - shown))
+    features, truth = [], []
+    for seen in (0, 1):
+        pair = [_dictionary(halves[c][seen]) for c in (1, 0)]
+        if min(map(len, pair)) < 8:
+            return pickle.dumps({"constant": share_good})
+        sizes = _Sizes(*pair)
+        for c in (0, 1):
+            features += [sizes.of(t) for t in halves[c][1 - seen]]
+            truth += [c] * len(halves[c][1 - seen])
+    x, y = np.array(features), np.array(truth, dtype=float)
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    weights = _logistic(_terms(x, mean, scale), y)
+    weights[0] += np.log(share_good / (1 - share_good)) - np.log(y.mean() / (1 - y.mean()))
+    good, bad = (_dictionary(halves[c][0] + halves[c][1]) for c in (1, 0))
     return pickle.dumps({"good": good, "bad": bad, "mean": mean, "scale": scale, "weights": weights})
 
 

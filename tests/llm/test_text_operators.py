@@ -268,6 +268,18 @@ def test_jaccard_empty(empty, spark):
     assert sorted(jaccard.jaccard_components(odd).collect(), key=str) == sorted([(None, 2, 3), (3, 2, 3), (None, 0, None), (4, 2, 3)], key=str)
 
 
+def test_components_with_several_tasks(spark):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(200)]
+    label = {x: x for e in edges for x in e}
+    for _ in range(400):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    for size in (1000, 40):
+        assert dict(map(tuple, jaccard.components(frame, size).collect())) == label
+
+
 def test_prefix_tree_is_exact():
     rng = np.random.default_rng(2)
     link = jaccard.Link(80)
