@@ -222,13 +222,15 @@ def coverage_aware_topk(
 
 
 def setcover_teacher(
-    cand_bins: DataFrame, true_bins: DataFrame, steps: int = 16, min_steps: int = 16, prefilter: int = 128,
+    cand_bins: DataFrame, true_bins: DataFrame, steps: int = 16, min_steps: int = 16, prefilter: int | None = None,
     top: int = 20, w_gain: float = 3.0, w_top: float = 1.5, w_false: float = 0.8, w_redundant: float = 0.3,
 ) -> DataFrame:
     """Greedy cover of the true spectrum by candidate peaks.
 
-    Overlaps with the true shares are joined and summed in Spark; a task only
-    sees the ``prefilter`` best candidates of one spectrum.
+    Overlaps with the true shares are joined and summed in Spark; a task sees
+    the candidates of one spectrum, with ``prefilter`` only the best of them.
+    ``probability``: base scores of the picks, at least 0, as shares of their
+    sum; equal shares where all are 0.
     """
     share = with_group_stats(cand_bins, KEYS, __t=F.sum("intensity")).select(
         *KEYS, "bin", (F.col("intensity") / F.greatest("__t", F.lit(1e-8))).alias("share"))
@@ -239,17 +241,17 @@ def setcover_teacher(
     rows = rows.withColumn("support", (F.col("true_share") > 0).cast("double"))
     base = (4.0 * F.col("true_share") + F.col("support") + 2.0 * F.col("is_top") - (1.0 - F.col("support"))) * F.col("share")
     scores = rows.groupBy(*KEYS).agg(F.round(F.sum(base), 9).alias("base"))
-    pool = top_peaks(scores, prefilter, ID, "base", "cand_id").select(*KEYS, F.col("rank").alias("pool_rank"))
+    pool = scores if prefilter is None else top_peaks(scores, prefilter, ID, "base", "cand_id").drop("rank")
     rows = rows.join(pool, KEYS)
 
     rows = rows.select(
-        *KEYS, "bin", "pool_rank", (F.col("share") * F.col("true_share")).alias("tm"),
+        *KEYS, "bin", "base", (F.col("share") * F.col("true_share")).alias("tm"),
         (F.col("share") * F.col("is_top")).alias("pm"), (F.col("share") * (1.0 - F.col("support"))).alias("fm"))
 
     def greedy(cols: dict) -> list:
         ids, at, (tm, pm, fm) = _dense(cols["cand_id"], cols["bin"], cols["tm"], cols["pm"], cols["fm"])
-        false, rank = fm.sum(axis=1), cols["pool_rank"][at]
-        first = np.argsort(rank)
+        false = fm.sum(axis=1)
+        first = np.lexsort((ids, -cols["base"][at]))
         ct, cp = np.zeros(tm.shape[1]), np.zeros(tm.shape[1])
         free, order = np.ones(len(ids), bool), []
         for _ in range(min(steps, len(ids))):
@@ -264,7 +266,10 @@ def setcover_teacher(
             ct, cp = ct + tm[pick], cp + pm[pick]
         return order
 
-    return _per_spectrum(rows, greedy)
+    picks = _per_spectrum(rows, greedy).join(scores.select(*KEYS, F.greatest("base", F.lit(0.0)).alias("__base")), KEYS)
+    sums = with_group_stats(picks, ID, __sum=F.sum("__base"), __n=F.count(F.lit(1)))
+    share = F.when(F.col("__sum") > 0, F.col("__base") / F.col("__sum")).otherwise(1.0 / F.col("__n"))
+    return sums.select(*KEYS, "step", share.alias("probability"))
 
 
 # Largest pool (candidate-bin rows) one greedy task takes; larger ones go by joins.
@@ -278,9 +283,12 @@ def weighted_cover(
 
     ``pool(spectrum_id, cand_id, bin, weight, bonus, tie)``: the gain of a
     candidate is the weight of its uncovered bins plus its bonus; it needs
-    ``min_new`` uncovered bins.  Ties: larger ``tie``, smaller first bin,
-    smaller id.  Bins in ``already(spectrum_id, bin)`` start covered.
+    ``min_new`` uncovered bins.  Ties: larger ``tie``, smaller ``first``,
+    smaller id; ``first`` is the candidate's smallest bin, that of the pool where the column is missing.
+    Bins in ``already(spectrum_id, bin)`` start covered.
     """
+    if "first" not in pool.columns:
+        pool = with_group_stats(pool, KEYS, first=F.min("bin"))
     if already is not None:
         pool = pool.join(already.select(*ID, "bin").distinct(), [*ID, "bin"], "left_anti")
     sized = with_group_stats(pool, ID, __rows=F.count(F.lit(1)))
@@ -293,7 +301,7 @@ def weighted_cover(
         members = [inv[a:b] for a, b in zip(starts, ends)]
         values = [cols["weight"][a:b] for a, b in zip(starts, ends)]
         bonus, tie = cols["bonus"][starts], cols["tie"][starts]
-        low = bins[[m[0] for m in members]]
+        low = cols["first"][starts]
         new = np.ones(len(bins), bool)
         by_bin: dict[int, list[int]] = {}
         for c, m in enumerate(members):
@@ -336,10 +344,8 @@ def _cover_by_joins(pool: DataFrame, budget: int, min_new: int) -> DataFrame:
     for step in range(1, budget + 1):
         gains = left.groupBy(*KEYS).agg(
             F.round(F.sum("weight") + F.max("bonus"), 9).alias("gain"), F.max("tie").alias("tie"),
-            F.min("bin").alias("low"), F.count(F.lit(1)).alias("n"))
-        # ``low`` is the first bin still open; the original first bin breaks ties.
-        firsts = pool.groupBy(*KEYS).agg(F.min("bin").alias("first"))
-        gains = gains.filter(F.col("n") >= min_new).join(firsts, KEYS)
+            F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
+        gains = gains.filter(F.col("n") >= min_new)
         best = gains.groupBy(*ID).agg(F.max(F.struct(
             "gain", "tie", (-F.col("first")).alias("f"), (-F.col("cand_id")).alias("c"))).alias("b"))
         now = cut_lineage(best.select(*ID, (-F.col("b.c")).alias("cand_id"), F.lit(step).alias("step")))
@@ -373,14 +379,18 @@ def region_set_cover(
 
     ``cands`` has ``base_score``.  Pools within the limit are kept whole.
     Inside a region, what the cover leaves of the budget goes to the region's
-    best remaining candidates.
+    best remaining candidates.  ``left_out`` is the number of candidates of the
+    spectrum that did not fit.
     """
     sized = with_group_stats(cands, ID, __n=F.count(F.lit(1)))
-    whole = sized.filter(F.col("__n") <= max_keep).select(*KEYS, F.lit("whole").alias("stage"))
-    big = cut_lineage(sized.filter(F.col("__n") > max_keep).drop("__n"))
+    whole = sized.filter(F.col("__n") <= max_keep).select(*KEYS, F.lit("whole").alias("stage"), F.lit(0).cast("long").alias("left_out"))
+    big = cut_lineage(sized.filter(F.col("__n") > max_keep))
     if big.isEmpty():
         return whole
+    left_out = big.select(*ID, (F.col("__n") - max_keep).alias("left_out")).distinct()
+    big = big.drop("__n")
     bins = cand_bins.join(big.select(*KEYS, "base_score"), KEYS).select(*KEYS, "bin", "base_score")
+    bins = with_group_stats(bins, KEYS, first=F.min("bin"))
 
     def room(chosen: DataFrame) -> DataFrame:
         return chosen.groupBy(*ID).agg((F.lit(max_keep) - F.count(F.lit(1))).alias("__room"))
@@ -397,7 +407,7 @@ def region_set_cover(
         inside = bins.filter(F.col("bin").between(int(lo / bin_width), int(hi / bin_width) - 1))
         covered = inside.join(chosen.select(*KEYS), KEYS, "left_semi").select(*ID, "bin")
         pool = inside.join(chosen.select(*KEYS), KEYS, "left_anti").select(
-            *KEYS, "bin", F.lit(1.0).alias("weight"), F.lit(0.0).alias("bonus"), F.col("base_score").alias("tie"))
+            *KEYS, "bin", "first", F.lit(1.0).alias("weight"), F.lit(0.0).alias("bonus"), F.col("base_score").alias("tie"))
         cover = weighted_cover(pool, budget, 1, covered).join(room(chosen), ID, "left").filter(
             F.col("step") <= F.coalesce("__room", F.lit(max_keep))).select(*KEYS, F.lit(name).alias("stage"))
         cover = cut_lineage(cover)
@@ -408,7 +418,8 @@ def region_set_cover(
         more = more.filter((F.col("rank") <= F.lit(budget) - F.coalesce("__spent", F.lit(0)))
                            & (F.col("rank") <= F.coalesce("__room", F.lit(max_keep))))
         chosen = cut_lineage(chosen.unionByName(more.select(*KEYS, F.lit(f"{name}_fill").alias("stage"))))
-    return whole.unionByName(chosen).unionByName(take(big, chosen, max_keep, "fill"))
+    picked = chosen.unionByName(take(big, chosen, max_keep, "fill")).join(left_out, ID)
+    return whole.unionByName(picked.select(*KEYS, "stage", "left_out"))
 
 
 def marginal_coverage_cap(
