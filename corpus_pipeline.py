@@ -24,7 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return jaccard.keep_one_of_each(docs, n=5, percent=80)
+    return jaccard.keep_one_of_each(docs, n=5, percent=80, prefix=True)
 
 
 def sanitise_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

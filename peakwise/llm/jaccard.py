@@ -11,6 +11,8 @@ the result is the connected component of each document.
    that link share a key.  (If the equal parts are all empty, both sets have
    three empty parts; such sets take part in a second dealing as well, and
    sets with three empty parts in both dealings share a key of their own.)
+   Or the keys are the set's first n-grams in one global order, rare ones first (a prefix filter): sets that link
+   share one of them.
    Keys are gathered before they are shuffled: of the sets of a run of rows
    that hold a key one stands for all, so a key of very many sets is no hot spot.
 3. Sets that share keys, directly or through others, form groups.  A group is
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -47,6 +49,8 @@ BLOCK_NGRAMS = 4_000_000
 RUN = 2048
 
 
+# Bits of the table of n-gram frequencies behind the order of the prefix keys.
+COUNT_BITS = 18
 # Edges that one task contracts.
 TASK_EDGES = 2_000_000
 
@@ -63,6 +67,11 @@ class Link:
         # First sizes of the bands: sizes that can link are in the same band or in neighbours.
         self.bands = np.array(starts)
 
+    @staticmethod
+    def spare(size):
+        """How many more than one of the prefix keys sets share whose smaller one has at least ``size`` n-grams."""
+        return size / 12 if isinstance(size, Column) else size // 12
+
     def most_different(self, band: int) -> int:
         """The most n-grams in which linked sets differ whose smaller one is in the band."""
         both = int(self.bands[band + 1]) - 1 + int(self.bands[band + 2]) - 1
@@ -121,6 +130,55 @@ def set_keys(tokens: np.ndarray, link: Link) -> np.ndarray:
     return np.concatenate(out)
 
 
+def prefix_keys(tokens: np.ndarray, link: Link, counts: np.ndarray) -> np.ndarray:
+    """The first n-grams of a set in the global order, rare buckets first.
+
+    Sets that link share one of the first ``n - least overlap + 1``; each
+    further n-gram taken adds one that they share, ``spare`` of them in all.
+    """
+    if len(tokens) < link.least:
+        return np.zeros(0, dtype=np.uint64)
+    first = len(tokens) - -(-link.percent * len(tokens) // 100) + 1 + link.spare(100 * len(tokens) // link.percent + 1)
+    frequency = counts[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+    return tokens[np.lexsort((tokens, frequency))[:first]]
+
+
+def bucket_counts(docs: DataFrame, n: int) -> np.ndarray:
+    """How often the n-grams of each of ``2 ** COUNT_BITS`` hash buckets occur in all documents.
+
+    The size of the table is fixed; it only decides the order of n-grams.
+    """
+    size = 1 << COUNT_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                tokens = ngram_set(text.as_py(), n)
+                np.add.at(counts, (tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
+        held = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(counts[held])], ["bucket", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    table = np.zeros(size, dtype=np.int64)
+    for bucket, number in counted.collect():  # at most one row a bucket
+        table[bucket] = number
+    return table
+
+
+def without_common_keys(shared: DataFrame, sizes: DataFrame, link: Link) -> DataFrame:
+    """``key, class`` without each class's most common keys, as many as it can spare.
+
+    Sets that link share one key more than either spares, so of all keys they
+    share the rarest stays with both.  A class has no more keys than n-grams.
+    """
+    held = shared.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
+    common = W.partitionBy("class").orderBy(F.col("held").desc(), F.col("key").desc())
+    spare = link.spare(F.floor(F.col("n_shingles") * link.percent / 100))
+    ranked = shared.join(held, "key").join(sizes, "class").withColumn("place", F.row_number().over(common))
+    return ranked.filter(F.col("place") > F.floor(spare)).select("key", "class")
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
     values = np.concatenate(rows) if rows else np.zeros(0, dtype=np.uint64)
@@ -147,14 +205,17 @@ def document_sets(docs: DataFrame, n: int = NGRAM) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, class long")
 
 
-def class_keys(docs: DataFrame, n: int, link: Link) -> DataFrame:
+def class_keys(docs: DataFrame, n: int, link: Link, counts: np.ndarray | None = None) -> DataFrame:
     """``key, class, gathered``.
 
     Of the classes of a run of rows that hold a key, the smallest comes with
     ``gathered`` false; if there are several, all of them come also with true.
+    ``counts``: from ``bucket_counts``, for prefix keys in place of part keys.
     """
+    shared = None if counts is None else docs.sparkSession.sparkContext.broadcast(counts)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None if shared is None else shared.value
         seen: set[int] = set()  # classes of this task: no more than its rows
         keys: list[np.ndarray] = []
         classes: list[int] = []
@@ -177,7 +238,7 @@ def class_keys(docs: DataFrame, n: int, link: Link) -> DataFrame:
                 number = _class_id(tokens)
                 if number not in seen:
                     seen.add(number)
-                    keys.append(np.unique(set_keys(tokens, link)))
+                    keys.append(np.unique(set_keys(tokens, link) if table is None else prefix_keys(tokens, link, table)))
                     classes.append(number)
                 if len(keys) >= RUN:
                     yield gathered()
@@ -188,9 +249,9 @@ def class_keys(docs: DataFrame, n: int, link: Link) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, class long, gathered boolean")
 
 
-def shared_keys(docs: DataFrame, n: int, link: Link) -> DataFrame:
+def shared_keys(docs: DataFrame, n: int, link: Link, prefix: bool = False) -> DataFrame:
     """``key, class``: the keys that several classes hold, by one shuffle of the gathered keys."""
-    rows = class_keys(docs, n, link)
+    rows = class_keys(docs, n, link, bucket_counts(docs, n) if prefix else None)
     # Gathered classes are known to share their key; apart from them a key has one row per run.
     group = W.partitionBy("key", F.when(F.col("gathered"), F.col("class")).otherwise(F.lit(0)))
     several = F.col("gathered") | (F.min("class").over(group) < F.max("class").over(group))
@@ -387,20 +448,27 @@ def _undecided(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(split.filter("low < high").select("key", "leader"), "key")
 
 
-def jaccard_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, prefix: bool = False, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     ``component_id`` is the smallest id reachable by links, the row's own
     included.  A row without words (NULL or empty text) links with nothing.
-    Rows with equal sets are linked, also repeated rows; a NULL id has no part
+    ``prefix``: sets are grouped by the first n-grams in the global order
+    instead of by parts; better where n-grams are long and ``percent`` is low.
+    Both ways give the same result.  Rows with equal sets are linked, also repeated rows; a NULL id has no part
     in the smallest id, and is itself given the component of its set.  Other
     columns are not looked at.  Empty tables give no rows.  N-grams and sets are told apart by 64-bit hashes.
     """
     link = Link(percent)
     sets = stored(document_sets(docs, n), "jaccard-sets")
-    shared = stored(shared_keys(docs, n, link), "jaccard-shared")
+    shared = stored(shared_keys(docs, n, link, prefix), "jaccard-shared")
+    first = sets.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
+    if prefix:
+        shared = without_common_keys(shared, first.select("class", "n_shingles"), link)
+        several = shared.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("key")
+        shared = stored(shared.join(several, "key"), "jaccard-shared")
     candidates = shared.select("class").distinct()
-    first = sets.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    first = first.drop("n_shingles")
     chosen = stored(candidates.join(first, "class").filter("doc_id IS NOT NULL"), "jaccard-chosen")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,7 +519,9 @@ def jaccard_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT,
         labels = components(links)
         if pairwise or decided:
             break
-        pending = _undecided(shared, labels)
+        # Groups of one block are decided; the others are taken up again.
+        open_sets = stored(placed.filter("blocks > 1").select("class").distinct(), "jaccard-open")
+        pending = _undecided(shared.join(open_sets, "class", "left_semi"), labels)
 
     classes = first.select("class", F.col("doc_id").alias("least_id"))
     if labels is not None:

@@ -255,8 +255,8 @@ def test_jaccard(spark, docs, rows, percent, n):
             changed = changed or label[a] != low or label[b] != low
             label[a] = label[b] = low
     want = sorted((d, len(s), c) for (d, _), s, c in zip(every, sets, label))
-    for block in (jaccard.BLOCK, 7):  # small blocks: several rounds
-        got = jaccard.jaccard_components(frame, n=n, percent=percent, block=block)
+    for block, prefix in ((jaccard.BLOCK, False), (7, False), (9, True)):  # small blocks: several rounds
+        got = jaccard.jaccard_components(frame, n=n, percent=percent, prefix=prefix, block=block)
         assert sorted(map(tuple, got.collect())) == want
     kept = jaccard.keep_one_of_each(docs, n=n, percent=percent)
     assert kept.columns == docs.columns
