@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,17 +137,17 @@ def score_quality(docs: DataFrame, model: bytes, out: str = "score") -> DataFram
     share of good ones (0.5 without any label).  A column called ``out`` is replaced.
     """
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fitted = pickle.loads(model)
         sizes = None if "constant" in fitted else _Sizes(fitted["good"], fitted["bad"])
-        for texts in batches:
+        for texts in batches:  # one text at a time: a batch never stands in memory as Python strings
             if sizes is None or not len(texts):
-                yield pd.Series([fitted.get("constant", 0.5)] * len(texts), dtype=float)
+                yield pa.array([fitted.get("constant", 0.5)] * len(texts), type=pa.float64())
                 continue
-            features = np.array([sizes.of(t or "") for t in texts])
+            features = np.array([sizes.of(t.as_py() or "") for t in texts])
             raw = _terms(features, fitted["mean"], fitted["scale"]) @ fitted["weights"]
-            yield pd.Series(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
+            yield pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
 
     return docs.withColumn(out, score(F.col("text")))
 

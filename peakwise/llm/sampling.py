@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +43,16 @@ def fit_in_task(sample: DataFrame, fit: Callable[[list[int], list[str]], bytes],
     def run(batches):
         marks, texts, used = [], [], 0
         for batch in batches:
-            for mark, text in zip(batch["mark"], batch["text"]):
+            for mark, text in zip(batch.column(0), batch.column(1)):
+                if len(texts) >= rows or used > max_chars:
+                    break
+                text = text.as_py()
                 used += len(text)
-                if len(texts) < rows and used <= max_chars:
-                    marks.append(int(mark))
+                if used <= max_chars:
+                    marks.append(mark.as_py())
                     texts.append(text)
-        yield pd.DataFrame({"model": [fit(marks, texts)]})
+        yield pa.RecordBatch.from_arrays([pa.array([fit(marks, texts)], type=pa.binary())], ["model"])
 
     ordered = sample.repartition(1).sortWithinPartitions("h", "mark", "text")
-    fitted = ordered.select("mark", "text").mapInPandas(run, "model binary").collect()
+    fitted = ordered.select("mark", "text").mapInArrow(run, "model binary").collect()
     return bytes(fitted[0]["model"]) if fitted else fit([], [])  # an empty sample has no task
