@@ -1,12 +1,16 @@
 """License scans by an exact set-similarity join.
 
-Every line of a text is a block, a set of words.  A template matches a block
+Every line of a text is a block, a set of words, and so is every run of twice
+as many consecutive words as a template has, wherever lines end: a notice that
+is wrapped over lines stands in such a run.  A template matches a block
 that contains at least ``threshold`` of its words.  The words of all templates
 are ordered by the number of documents that hold them, rarest first; a
 matching block must hold one of the first words of the template (prefix
 filter), enough template words altogether (length filter), and enough words
 after the first shared one on both sides (positional filter).  Only blocks that
-pass are compared with the template.  Fixed phrases are found besides.
+pass are compared with the template.  Runs are looked at around the words of
+the prefix filter only, first all of them together, then one by one.  Fixed
+phrases are found besides.
 
 All steps are DataFrame functions.  Python runs nowhere.
 """
@@ -74,27 +78,29 @@ def text_keys(text: Column) -> list[Column]:
 def template_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``text_key, text_key2, found_labels, found_score`` of the texts with a block that matches.
 
-    ``found_score`` is the largest share of a template found in one block.
+    ``found_score`` is the largest share of a template found in one block, a line or a run of words.
     """
     templates = TEMPLATES if templates is None else templates
-    sets = [(sorted(set(_words_of(text))), label) for text, label in templates]
-    sets = [(words, label) for words, label in sets if words]
-    order = word_order(docs, sorted({w for words, _ in sets for w in words}))
+    sets = [(sorted(set(_words_of(text))), 2 * len(_words_of(text)), label) for text, label in templates]
+    sets = [(words, run, label) for words, run, label in sets if words]
+    order = word_order(docs, sorted({w for words, _, _ in sets for w in words}))
     rank = {w: i for i, w in enumerate(order)}
+    reach = max([run for _, run, _ in sets], default=1)
     index, first_words = [], set()
-    for words, label in sets:
+    for words, run, label in sets:
         words = sorted(words, key=rank.__getitem__)
         need = max(1, math.ceil(threshold * len(words) - 1e-9))
         for place, word in enumerate(words[:len(words) - need + 1]):
-            index.append((word, place, words, need, label))
+            index.append((word, place, words, need, run, label))
             first_words.add(word)
-    index = docs.sparkSession.createDataFrame(index, "word string, place int, template array<string>, need int, label string")
+    index = docs.sparkSession.createDataFrame(index, "word string, place int, template array<string>, need int, run int, label string")
 
     text = text_or_empty("text")
     # A quick look for any first word, before lines are cut.
     some = rf"(?i)(?<!{WORD_ANY_CASE[:-1]})(?:{'|'.join(re.escape(w) for w in sorted(first_words)) or '(?!)'})(?!{WORD_ANY_CASE[:-1]})"
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(some))
-    blocks = docs.filter(text.rlike(some)).select(*text_keys(text), F.explode(F.array_distinct(lines)).alias("line"))
+    likely = docs.filter(text.rlike(some))
+    blocks = likely.select(*text_keys(text), F.explode(F.array_distinct(lines)).alias("line"))
     held = F.array_intersect(_strings(order), F.regexp_extract_all(lower_ascii(F.col("line")), F.lit(WORD_ANY_CASE), F.lit(0)))
     blocks = blocks.select("text_key", "text_key2", held.alias("held"))
     started = blocks.select("*", F.posexplode("held").alias("at", "word"))
@@ -102,11 +108,37 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] | None =
     candidates = started.join(index, "word").filter((F.size("held") >= F.col("need")) & (left >= F.col("need")))
     overlap = F.size(F.array_intersect("template", "held"))
     matched = candidates.withColumn("overlap", overlap).filter(F.col("overlap") >= F.col("need"))
+    matched = matched.select("text_key", "text_key2", "template", "label", "overlap").unionByName(
+        _matched_runs(likely, text, sorted(first_words), index, reach))
     return matched.groupBy("text_key", "text_key2").agg(
         F.collect_set("label").alias("found_labels"),  # at most one entry per template
         F.max(F.col("overlap") / F.size("template")).alias("found_score"))
 
 
+def _matched_runs(docs: DataFrame, text: Column, first_words: list[str], index: DataFrame, reach: int) -> DataFrame:
+    """``text_key, text_key2, template, label, overlap`` of the templates found in runs of words, whatever the lines.
+
+    A run that matches holds one of the template's first words; ``near`` is all that such runs can hold, at most
+    ``2 * reach - 1`` words with the first word at place ``at``.
+    """
+    def around(w: Column) -> Column:
+        hits = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("word"), i.alias("i"))), lambda h: h["word"].isin(first_words))
+        return F.transform(hits, lambda h: F.struct(
+            h["word"].alias("word"), F.least(h["i"], F.lit(reach - 1)).alias("at"),
+            F.slice(w, F.greatest(h["i"] - reach + 2, F.lit(1)), F.least(h["i"], F.lit(reach - 1)) + reach).alias("near")))
+
+    words = F.regexp_extract_all(lower_ascii(text), F.lit(WORD_ANY_CASE), F.lit(0))
+    hits = docs.select(*text_keys(text), F.explode(F.array_distinct(bound(words, around))).alias("hit")).select("text_key", "text_key2", "hit.*")
+    begin = F.greatest(F.col("at") - F.col("run") + 1, F.lit(0))
+    own = F.slice("near", begin + 1, F.col("at") + F.col("run") - begin)
+    hits = hits.join(index, "word").withColumn("own", own)
+    hits = hits.filter(F.size(F.array_intersect("template", "own")) >= F.col("need"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("own") - F.col("run"), F.lit(0)) + 1)
+    overlap = F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect("template", F.slice("own", s, F.col("run"))))))
+    return hits.withColumn("overlap", overlap).filter(F.col("overlap") >= F.col("need")).select(
+        "text_key", "text_key2", "template", "label", "overlap")
+
+
 def _starts(w: Column, parts: list[str]) -> Column:
     """Numbers of the words at which the phrase stands."""
     def fits(i: Column) -> Column:
@@ -135,7 +167,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     ``starts`` are the word numbers at which a phrase begins; ``base_labels``
     and ``labels`` are sorted arrays, ``labels`` with those of the templates;
     ``score`` is 1 where a phrase was found, else the largest share of a
-    template in one line (0 below the threshold).  NULL and empty texts have no
+    template in one block (0 below the threshold).  NULL and empty texts have no
     words and no labels; equal rows get equal results; columns of ``docs`` with the names of the results are replaced.
     """
     results = ["n_words", "starts", "base_labels", "labels", "score"]

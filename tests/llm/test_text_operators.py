@@ -179,6 +179,33 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(docs, templates=[]).count() == docs.count()
 
 
+def test_licenses_wrapped_over_lines(spark):
+    rng = random.Random(11)
+    bsd = "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided"
+    texts = [bsd, "This work is licensed under a Creative Commons\nAttribution 4.0 International License.",
+             " ".join(words(rng, 3000)) + "\n" + bsd.replace(" ", "\n") + "\n" + " ".join(words(rng, 3000)),
+             "Redistribution and use in\n" + "other " * 40 + "\nsource and binary forms with or without modification are permitted",
+             "Released\n" + "other " * 30 + "\nunder the\nlicense"]
+    sets = [(set(licenses._words_of(t)), 2 * len(licenses._words_of(t)), label) for t, label in licenses.TEMPLATES]
+    for _ in range(150):  # parts of notices among other words, cut anywhere
+        w = []
+        for _ in range(rng.randint(1, 4)):
+            t = licenses._words_of(rng.choice(licenses.TEMPLATES)[0])
+            w += words(rng, rng.randint(0, 25)) + [x for x in t if rng.random() < 0.9 for _ in range(rng.choice([1, 1, 1, 2]))]
+        texts.append("".join(x + rng.choice([" ", " ", "\n"]) for x in w))
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[i]["labels"] for i in range(5)] == [["bsd"], ["cc-by-4"], ["bsd"], [], []]
+    assert found[0]["score"] == found[1]["score"] == found[2]["score"] == 1.0
+    for i, text in enumerate(texts):
+        w = licenses._words_of(text)
+        blocks = [(set(licenses._words_of(line)), None) for line in text.split("\n")]
+        blocks += [(set(w[s:s + n]), n) for n in {n for _, n, _ in sets} for s in range(max(len(w) - n, 0) + 1)]
+        hits = [(len(t & b) / len(t), label) for t, n, label in sets for b, m in blocks if m in (None, n)]
+        hits = [(s, label) for s, label in hits if s >= licenses.THRESHOLD - 1e-12]
+        assert found[i]["labels"] == sorted(set(found[i]["base_labels"]) | {label for _, label in hits}), text
+        assert found[i]["score"] == pytest.approx(1.0 if found[i]["base_labels"] else max([s for s, _ in hits], default=0.0))
+
+
 def luhn(digits):
     doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
     return sum(d - 9 if d > 9 else d for d in doubled) % 10 == 0
