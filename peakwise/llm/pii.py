@@ -1,12 +1,14 @@
 """Personal data: fixed patterns and information-theoretic sanitisation.
 
-Patterns find protected entities (addresses, numbers).  A term that stands
-near an entity tells something about it: with document counts its pointwise
-mutual information is ``ln(n(e, t) N / (n(e) n(t)))``, and the entity's own
-information ``ln(N / n(e))``.  A term whose share of that information reaches
-``DISCLOSURE`` in at least ``SUPPORT`` different surroundings is sanitised
-wherever it stands: generalised, or removed if it occurs near nothing else.
-Counts cover every document.
+Patterns find protected entities (addresses, numbers).  A term that stands in
+the documents of an entity, wherever in them, tells something about it: with
+document counts its pointwise mutual information is
+``ln(n(e, t) N / (n(e) n(t)))``, and the entity's own information
+``ln(N / n(e))``.  A term whose share of that information reaches
+``DISCLOSURE`` and that shares at least ``SUPPORT`` different texts with the
+entity is sanitised wherever it stands: generalised, or removed if it occurs
+in no document without the entity.  Counts cover every document.  An entity in
+fewer than ``SUPPORT`` different texts reveals no term.
 
 All steps are DataFrame functions.  Python runs nowhere.
 """
@@ -35,9 +37,7 @@ PATTERNS = {
 }
 IP_PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 TERM = r"\p{L}[\p{L}\p{N}]+"
-# Parameters of the sanitisation: terms on each side of an entity, and the limits.
-CONTEXT_TERMS = 5
-CONTEXT_CHARS = 100
+# Parameters of the sanitisation.
 SUPPORT = 3
 DISCLOSURE = 0.95
 SPAN = "struct<start:int,k:int,end:int,value:string>"
@@ -83,42 +83,33 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(text), F.lit(TERM), F.lit(0))
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """``entity, term, context, text_key, text_key2``: the terms around each entity of each document."""
-    at = found.select("text_key", "text_key2", "text", F.explode("spans").alias("s"))
-    before = F.greatest(F.col("s.start") - CONTEXT_CHARS, F.lit(0))
-    left = F.substring(F.col("text"), before + 1, F.col("s.start") - before)
-    right = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(CONTEXT_CHARS))
-    # A word cut by the edge of the context is left off.
-    left = F.when(before > 0, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
-    right = F.when(F.length(right) == CONTEXT_CHARS, F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right)
-    near_left = bound(_terms(left), lambda t: F.slice(t, F.greatest(F.size(t) - CONTEXT_TERMS + 1, F.lit(1)), F.lit(CONTEXT_TERMS)))
-    near = F.concat(near_left, F.slice(_terms(right), 1, CONTEXT_TERMS))
-    entity = F.xxhash64(F.col("s.k"), F.col("s.value"))
-    rows = at.select("text_key", "text_key2", entity.alias("entity"), near.alias("near")).withColumn("context", F.xxhash64("near"))
-    return rows.select("text_key", "text_key2", "entity", "context", F.explode(F.array_distinct("near")).alias("term"))
-
-
 def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """``term, term_hash, share``: terms that reveal an entity, with the largest share of its information."""
-    total = docs.count()
-    contexts = _contexts(found)
-    copies = found.groupBy("text_key", "text_key2").agg(F.sum("copies").alias("copies"))
-    # One row per (entity, term, surrounding, text); the copies of a text count for documents, not for surroundings.
-    seen = contexts.groupBy("entity", "term", "context", "text_key", "text_key2").agg(F.lit(1).alias("one"))
-    seen = seen.join(copies, ["text_key", "text_key2"])
-    by_context = seen.groupBy("entity", "term", "context").agg(F.sum("copies").alias("n_et"))
-    pairs = by_context.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n_et").alias("n_et"))
-    pairs = stored(pairs.filter(F.col("contexts") >= support).withColumn("term_hash", F.xxhash64("term")), "pii-pairs")
-    with_entity = found.select("text_key", "text_key2", "copies", F.explode(F.array_distinct(F.transform(
+    """``term, term_hash, share``: terms that reveal an entity, with the largest share of its information.
+
+    A share of ``disclosure`` needs ``n(t) <= n(e) (N / n(e)) ** (1 - disclosure)``, so terms in more documents are left
+    out before they are paired with entities; so are entities in fewer than ``support`` different texts.
+    """
+    total = float(max(docs.count(), 1))
+    keys = ["text_key", "text_key2"]
+    with_entity = found.select(*keys, "copies", F.explode(F.array_distinct(F.transform(
         "spans", lambda s: F.xxhash64(s["k"], s["value"])))).alias("entity"))
-    n_e = with_entity.groupBy("entity").agg(F.sum("copies").alias("n_e"))
+    # One row per (entity, text); the copies of a text count for documents, not for texts.
+    entities = with_entity.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
+    most = F.col("n_e") * F.pow(F.lit(total) / F.col("n_e"), F.lit(1 - disclosure)) * (1 + 1e-9)
+    held = stored(with_entity.join(entities.select("entity", "n_e", most.alias("most")), "entity"), "pii-entities")
+    most_of_all = held.agg(F.max("most")).first()[0] or 0.0
     words = docs.select(F.explode(F.array_distinct(_terms(text_or_empty("text")))).alias("term"))
     n_t = words.groupBy(F.xxhash64("term").alias("term_hash")).agg(F.count(F.lit(1)).alias("n_t"))
-    joined = pairs.join(n_e, "entity").join(n_t, "term_hash")
-    information = F.log(F.lit(float(max(total, 1))) / F.col("n_e"))
+    n_t = stored(n_t.filter(F.col("n_t").between(support, most_of_all)), "pii-term-counts")
+    texts = found.join(held.select(*keys).distinct(), keys, "left_semi")
+    terms = texts.select(*keys, F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    terms = terms.withColumn("term_hash", F.xxhash64("term")).join(n_t, "term_hash")
+    pairs = terms.join(held, keys).filter(F.col("n_t") <= F.col("most"))
+    pairs = pairs.groupBy("entity", "term", "term_hash", "n_e", "n_t").agg(F.sum("copies").alias("n_et"), F.count(F.lit(1)).alias("texts"))
+    information = F.log(F.lit(total) / F.col("n_e"))
     share = F.when(information > 0, 1 + F.log(F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0))) / information).otherwise(F.lit(0.0))
-    return joined.groupBy("term", "term_hash").agg(F.max(share).alias("share")).filter(F.col("share") >= disclosure)
+    found_terms = pairs.filter(F.col("texts") >= support).groupBy("term", "term_hash").agg(F.max(share).alias("share"))
+    return found_terms.filter(F.col("share") >= disclosure)
 
 
 def find_personal_data(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -126,8 +117,8 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, disclosure: floa
 
     ``spans``: array of (start, k, end, value) by start and kind, ``k`` the
     place in ``KINDS``, offsets in code points, end exclusive; the last kind
-    are disclosing terms.  ``removed`` lists those of them that occur near one
-    entity only.  NULL and empty texts have no spans; equal texts have equal
+    are disclosing terms.  ``removed`` lists those of them that occur in the
+    documents of one entity only.  NULL and empty texts have no spans; equal texts have equal
     spans; columns of ``docs`` with the names of the results are replaced.
     """
     docs = docs.drop("spans", "removed")

@@ -253,6 +253,30 @@ def test_disclosing_terms(spark, empty):
     assert pii.sanitise(empty).count() == 0 and pii.sanitise(empty).columns == empty.columns
 
 
+def test_disclosing_terms_of_the_whole_document(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(words(rng, 40))) for i in range(300)]
+    long = "x" * 60
+    for i in range(4):  # a name in the heading, the address in the signature that is always the same
+        rows.append((1000 + i, f"Zebulon\n{' '.join(words(rng, 60))} {long} {long} {long}\nwrite to us here at the office zeb@example.org thanks and kind regards from all"))
+    rows += [(2000 + i, f"Copernica {' '.join(words(rng, 60))} cop@example.org") for i in range(2)]  # too few texts
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = {(s["value"]).lower() for r in pii.find_personal_data(frame).collect() for s in r["spans"] if s["k"] == len(pii.PATTERNS)}
+    held = {i: set(re.findall(r"[^\W\d_][^\W_]+", text.lower())) for i, text in rows}
+    entity = {i: e for i, text in rows for e in re.findall(r"\w+@example\.org", text)}
+    want = set()
+    for e in set(entity.values()):
+        at = [i for i in entity if entity[i] == e]
+        for t in set().union(*[held[i] for i in at]):
+            n_et, n_t = sum(t in held[i] for i in at), sum(t in h for h in held.values())
+            if n_et >= pii.SUPPORT and 1 + math.log(n_et / n_t) / math.log(len(rows) / len(at)) >= pii.DISCLOSURE:
+                want.add(t)
+    assert {"zebulon", long} <= terms and "copernica" not in terms
+    assert terms == want - {"zeb"}  # stands in the address only
+    clean = {r["doc_id"]: r["text"].lower() for r in pii.sanitise(frame).collect()}
+    assert all("zebulon" not in clean[1000 + i] and "zeb@" not in clean[1000 + i] for i in range(4))
+
+
 @pytest.mark.parametrize("percent, n", [(90, 3), (80, 5)])
 def test_jaccard(spark, docs, rows, percent, n):
     rng = random.Random(percent)
