@@ -145,12 +145,12 @@ def unit_cand_bins(d):
 
 @query("k09_coverage_aware_topk")
 def _(d):
-    return K.coverage_aware_topk(d.candidates, unit_cand_bins(d), 3, 5)
+    return K.coverage_aware_topk(d.candidates, unit_cand_bins(d), 3)
 
 
 @query("k10_setcover_teacher")
 def _(d):
-    return K.setcover_teacher(unit_cand_bins(d), true_bins(d, bin_width=50.0, max_mz=2000.0), 4, 2, 6)
+    return K.setcover_teacher(unit_cand_bins(d), true_bins(d, bin_width=50.0, max_mz=2000.0), 4, 2)
 
 
 @query("k11_region_set_cover")

@@ -1,5 +1,6 @@
 """Golden cases, invariants and brute-force checks on small fixtures."""
 
+import inspect
 import itertools
 import random
 
@@ -16,6 +17,8 @@ from peakwise.operators import metrics as M
 from peakwise.operators import sampling as S
 from peakwise.operators import selection as K
 from peakwise.operators import transforms as T
+from peakwise.plans import selection as _selection  # noqa: F401
+from peakwise.plans.registry import QUERIES
 from peakwise.session import scratch_dir
 from peakwise.skew import average_rank, exact_quantiles
 from peakwise.sources import msp, sinks
@@ -187,6 +190,21 @@ def test_greedy_selections_keep_their_limits(spark, pool):
         K.marginal_coverage_cap(cands, bins, true, 3)
 
 
+@pytest.mark.parametrize("name", ["k09_coverage_aware_topk", "k10_setcover_teacher"])
+def test_selection_queries_take_the_whole_pool(spark, monkeypatch, name):
+    asked = {}
+    operator = name.split("_", 1)[1]
+    original = getattr(K, operator)
+
+    def spy(*args, **kwargs):
+        asked.update(inspect.signature(original).bind(*args, **kwargs).arguments)
+        return original(*args, **kwargs)
+
+    monkeypatch.setattr(K, operator, spy)
+    rows = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert rows and asked.get("prefilter") is None
+
+
 def test_single_cuts_by_joins_equal_packed(spark):
     edges = [(m, i, i, i + 1) for m in (1, 2) for i in range(1, 6)] + [(2, 9, 1, 6), (1, 10, 3, 7)]
     bonds = spark.createDataFrame(edges, "mol_id long, bond_id long, a long, b long")
