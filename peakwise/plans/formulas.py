@@ -366,11 +366,16 @@ lib AS (SELECT kind, formula, sum(w) AS intensity, count(*) AS n FROM lib0 WHERE
   QUALIFY row_number() OVER (PARTITION BY kind ORDER BY sum(w) DESC, formula) <= 100)"""
 
 
-def library(d):
+# The library of all products and losses.
+_TOP_100 = "\n  QUALIFY row_number() OVER (PARTITION BY kind ORDER BY sum(w) DESC, formula) <= 100"
+LIBRARY_ALL_SQL = LIBRARY_SQL.replace(_TOP_100, "")
+
+
+def library(d, top=100):
     group = N.group_key(F.col("inchikey"), F.lit(None).cast("string"), F.col("mol_id"))
     # The spelling of a product is its Hill form on both sides.
     rows = annotated_peaks(d).withColumn("formulas", F.transform("formulas", lambda f: FX.hill(FX.counts(f))))
-    return C.annotation_library(rows, C.train_split(group), 100, 100)
+    return C.annotation_library(rows, C.train_split(group), top, top)
 
 
 @query("a09_annotation_library", f"""WITH {LIBRARY_SQL}
@@ -379,6 +384,12 @@ def _(d):
     return out(library(d), "intensity", "log_intensity")
 
 
+@query("a09_annotation_library_all", f"""WITH {LIBRARY_ALL_SQL}
+SELECT kind, formula, round(intensity, 6) AS intensity, n, round(ln(1 + intensity), 6) AS log_intensity FROM lib""")
+def _(d):
+    return out(library(d, None), "intensity", "log_intensity")
+
+
 def pool(d):
     f = d.formulas.select(F.col("formula_id").alias("l_partkey"), "formula")
     rows = d.table("lineitem").filter("l_linenumber % 4 > 0").join(f, "l_partkey")
@@ -387,7 +398,7 @@ def pool(d):
                        ((F.col("l_extendedprice") + shift) / 100.0).alias("mz"))
 
 
-@query("j12_library_features", f"""WITH {LIBRARY_SQL}, p AS (
+_FEATURES_SQL = f""", p AS (
   SELECT DISTINCT l_orderkey AS spectrum_id, l_partkey AS cand_id, o_custkey % 150 + 1 AS pk FROM lineitem JOIN orders ON o_orderkey = l_orderkey
   WHERE l_linenumber % 4 > 0),
 x AS (SELECT p.spectrum_id, p.cand_id, {text_sql(HILL, OWN)} AS own, CASE WHEN {FITS} THEN {text_sql(HILL, DIFF)} ELSE '' END AS loss FROM (
@@ -398,14 +409,26 @@ y AS (SELECT x.spectrum_id, x.cand_id, CASE WHEN a.formula IS NULL THEN 0.0 ELSE
   LEFT JOIN lib a ON a.kind = 'product' AND a.formula = x.own LEFT JOIN lib b ON b.kind = 'neutral_loss' AND b.formula = x.loss),
 s AS (SELECT spectrum_id, quantile_cont(CASE WHEN pl > 0 THEN pl END, 0.95) AS ps, quantile_cont(CASE WHEN ll > 0 THEN ll END, 0.95) AS ls FROM y GROUP BY 1)
 SELECT y.spectrum_id, cand_id, product_hit, round(CASE WHEN ps > 1e-8 THEN least(pl / ps, 1) ELSE pl END, 6) AS product_log, loss_hit,
-  round(CASE WHEN ls > 1e-8 THEN least(ll / ls, 1) ELSE ll END, 6) AS loss_log FROM y JOIN s ON y.spectrum_id = s.spectrum_id""")
-def _(d):
+  round(CASE WHEN ls > 1e-8 THEN least(ll / ls, 1) ELSE ll END, 6) AS loss_log FROM y JOIN s ON y.spectrum_id = s.spectrum_id"""
+
+
+def with_library_features(d, top=100):
     cands = pool(d).select("spectrum_id", "cand_id", "formula").distinct().join(
         ion_formulas(d).withColumnRenamed("ion_formula", "parent_formula").drop("fid"), "spectrum_id")
-    rows = C.library_features(cands, cut_lineage(library(d)), ["spectrum_id"])  # a stored table in use
+    rows = C.library_features(cands, cut_lineage(library(d, top)), ["spectrum_id"])  # a stored table in use
     return out(rows.drop("formula", "parent_formula"), "product_log", "loss_log")
 
 
+@query("j12_library_features", f"WITH {LIBRARY_SQL}{_FEATURES_SQL}")
+def _(d):
+    return with_library_features(d)
+
+
+@query("j12_library_features_all", f"WITH {LIBRARY_ALL_SQL}{_FEATURES_SQL}")
+def _(d):
+    return with_library_features(d, None)
+
+
 POOL_SQL = """pool AS (SELECT l_orderkey AS spectrum_id, f.*, (l_extendedprice + CASE WHEN l_linenumber = 3 THEN 1 ELSE 0 END) / 100.0 AS pmz
   FROM lineitem JOIN fp f ON f.k = l_partkey WHERE l_linenumber % 4 > 0)"""
 
