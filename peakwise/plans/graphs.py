@@ -87,6 +87,22 @@ def _(d):
                        F.array_min("part").alias("first_atom"), F.size("part").alias("n_atoms"))
 
 
+# Every bond of a fragment is cut.
+RECURSE_ALL_SQL = """b3 AS (SELECT l.mol_id, n, bond_id AS c FROM lin l JOIN bd USING (mol_id)),
+f1 AS (SELECT mol_id, 1 AS lo, c AS hi, CAST(c AS varchar) AS path FROM b3 UNION ALL SELECT mol_id, c + 1, n, CAST(c AS varchar) FROM b3),
+c2 AS (SELECT f1.*, c FROM f1 JOIN b3 ON b3.mol_id = f1.mol_id AND c >= lo AND c < hi),
+f2 AS (SELECT mol_id, lo, c AS hi, concat(path, ',', c) AS path FROM c2 UNION ALL SELECT mol_id, c + 1, hi, concat(path, ',', c) FROM c2)"""
+
+
+@query("g04_recursive_fragments_all", f"""WITH {ATOMS_SQL}, {RECURSE_ALL_SQL}
+SELECT mol_id, 1 AS depth, path, lo AS first_atom, hi - lo + 1 AS n_atoms, 0 AS bonds_left FROM f1
+UNION ALL SELECT mol_id, 2, path, lo, hi - lo + 1, 0 FROM f2""", "atoms")
+def _(d):
+    rows = G.recursive_fragments(atoms(d), bonds(d), cut_order(), 2)
+    return rows.select("mol_id", "depth", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"),
+                       F.array_min("part").alias("first_atom"), F.size("part").alias("n_atoms"), "bonds_left")
+
+
 def sides_as_parts(d):
     return G.single_cuts(atoms(d), bonds(d)).groupBy("mol_id", "cut", "side").agg(F.array_sort(F.collect_list("atom_id")).alias("part"))
 

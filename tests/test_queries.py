@@ -37,3 +37,11 @@ def test_matches_sql(spark, duck, name):
 def test_entry_and_names(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(ORACLE) <= set(entry_module.queries())
+
+
+@pytest.mark.parametrize("name, cut", [
+    ("a09_annotation_library_all", "a09_annotation_library"), ("g04_recursive_fragments_all", "g04_recursive_fragments")])
+def test_whole_queries(spark, duck, name, cut):
+    whole = entry_module.queries()[name](spark, SF)
+    assert compare(duck, whole, ORACLE[name]) is None
+    assert whole.count() > entry_module.queries()[cut](spark, SF).count()
