@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakwise.llm import bpe, jaccard, licenses, lines, mixing, pii, quality, rules, sharding, topk, toxicity
+from peakwise.llm import bpe, jaccard, licenses, lines, mixing, pii, quality, rules, sharding, spelling, topk, toxicity
 from peakwise.llm.common import WORD, id_crc, stored, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,3 +231,38 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+@query
+def op12_group_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = found.select(spelling.drop_letter(F.col("doc_id"), F.col("run")).alias("word"))
+    return spelling.group_variants(spelling.count_words(words))
+
+
+ORACLES["op12_group_spellings"] = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS v
+    FROM generate_series(0::BIGINT, 255::BIGINT) AS s(i))),
+found AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+runs AS (SELECT doc_id, run, count(*) AS n, coalesce(doc_id::VARCHAR, '') || ':' || run AS s FROM found WHERE length(run) >= 6 GROUP BY doc_id, run),
+bytes AS (SELECT run, n, flatten([CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [(192 | (unicode(x) >> 6))::BIGINT, (128 | (unicode(x) & 63))::BIGINT] END
+                                  FOR x IN string_split(s, '')]) AS b FROM runs),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295::BIGINT) AS h
+           FROM bytes, crc),
+dropped AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM dropped WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+shorter AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM words)),
+longer AS (SELECT DISTINCT w.word AS a, w.n AS na, s.word AS b, s.n AS nb FROM shorter s JOIN words w ON s.d = w.word),
+near AS (SELECT x.word, y.word AS near, y.n AS near_n FROM shorter x JOIN shorter y ON x.i = y.i AND x.d = y.d AND x.word <> y.word
+         UNION ALL SELECT a, b, nb FROM longer UNION ALL SELECT b, a, na FROM longer),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form,
+                 CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+follow AS (SELECT word, word AS at FROM forms UNION ALL SELECT f.word, g.form FROM follow f JOIN forms g ON f.at = g.word AND g.form IS NOT NULL),
+roots AS (SELECT f.word, f.at AS root FROM follow f JOIN forms g ON f.at = g.word AND g.form IS NULL)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM forms JOIN roots USING (word)
+"""
