@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakwise.llm import bpe, jaccard, licenses, lines, mixing, pii, quality, rules, sharding, spelling, topk, toxicity
+from peakwise.llm import bpe, jaccard, licenses, lines, mixing, pii, quality, rules, sharding, spelling, topk, toxicity, whitening
 from peakwise.llm.common import WORD, id_crc, stored, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,8 +86,7 @@ def op3_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode_documents(docs, vocabulary).drop("text")
-    decoded = bpe.decode_documents(encoded, vocabulary)
+    decoded = bpe.encode_documents(docs, vocabulary, decoded="decoded")
     sha = lambda text: F.sha2(text.cast("binary"), 256)
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
@@ -266,3 +265,9 @@ follow AS (SELECT word, word AS at FROM forms UNION ALL SELECT f.word, g.form FR
 roots AS (SELECT f.word, f.at AS root FROM follow f JOIN forms g ON f.at = g.word AND g.form IS NULL)
 SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM forms JOIN roots USING (word)
 """
+
+
+@query
+def op13_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return rows.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")

@@ -22,7 +22,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_names():
     names = [n for n in entry_module.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry_module.queries() and set(queries.ORACLES) <= set(names)
     assert len(corpus_pipeline.STAGES) == 5
 
