@@ -3,11 +3,12 @@
 A sequence of tokens is what byte-pair encoding produces exactly when every
 two neighbours stay apart on their own (``MergeList.apart``).  So the last
 token of each prefix of a word follows from the prefixes before it, one symbol
-at a time.  A token that is still open can start at most ``lookahead`` symbols
-back, the length of the longest token less one; every later result continues
-from one of these positions.  What the token chains of all of them share is
-final: it is emitted and forgotten.  Memory is bounded by the merge list, not
-by the word or the text.
+at a time.  The token that covers the next symbol starts at most the length of the
+longest token less one back, so every later result continues from one of these
+positions.  What the token chains of all of them share is final: it is emitted
+and forgotten.  How many symbols can stay open follows from the merge list
+(``MergeList.lookahead``), not from the word: merges that wait for each other
+can only form chains of falling rank.
 
 Decoding is a state machine that keeps at most an unfinished UTF-8 sequence
 (byte-level vocabularies) or the fact that a token was seen (vocabularies
@@ -20,7 +21,9 @@ import codecs
 import json
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -36,9 +39,10 @@ LATIN_LETTERS = r"A-Za-z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-\u024F"
 LATIN_NUMBERS = r"0-9\xB2\xB3\xB9\xBC-\xBE"
 BEYOND_LATIN = re.compile(r"[^\x00-\u024F]")
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS = 400_000
-CACHED_PAIRS = 1_000_000
+CACHED_WORDS = 80_000  # in each of two generations, about 200 bytes each
+CACHED_PAIRS = 250_000  # about 130 bytes each
 LONG_WORD = 64
+BATCH_BYTES = 4 << 20  # texts and ids handed on at a time
 
 
 def byte_symbols() -> list[str]:
@@ -76,9 +80,34 @@ class MergeList:
             self.rank.setdefault(pair, rank)
             self.made.setdefault(vocab[left + right], (rank, *pair))
         self.longest = max([len(t) for t in self.inner] + [len(t) for t in self.ending])
-        self.lookahead = self.longest - 1
+        self.sizes = {number: len(t) for tokens in (self.inner, self.ending) for t, number in tokens.items()}
         self._known: dict[tuple[int, int], bool] = {}
 
+    @cached_property
+    def lookahead(self) -> int:
+        """The sufficient lookahead: how many symbols after a merge can still decide whether it happens.
+
+        A merge fails if its right piece, or a piece at the right end of that, merges to the right first.  Such a
+        merge has a lower rank and may itself fail through one of lower rank still, so the reach of each merge
+        follows from those before it.
+        """
+        reached: dict[int, tuple[list[int], list[int]]] = {}  # by left piece: ranks, and the furthest reach up to each
+        furthest = 0
+        for (left, right), rank in sorted(self.rank.items(), key=lambda item: item[1]):
+            reach, piece, until = 0, right, rank
+            while True:
+                ranks, best = reached.get(piece, ((), ()))
+                if (before := bisect_left(ranks, until)):
+                    reach = max(reach, best[before - 1])
+                if (how := self.made.get(piece)) is None:
+                    break
+                until, piece = how[0], how[2]
+            furthest = max(furthest, reach)
+            ranks, best = reached.setdefault(left, ([], []))
+            ranks.append(rank)
+            best.append(max(best[-1] if best else 0, self.sizes[right] + reach))
+        return furthest
+
     def apart(self, left: int, right: int) -> bool:
         """Whether encoding the text of the two tokens gives the two tokens.
 
@@ -119,6 +148,7 @@ class Transducer:
 
     def clear(self) -> None:
         self.size = 0  # symbols since the last emitted token
+        self.limit = 4 * self.merges.longest  # symbols after which tokens are looked for that are final
         self.held = ""  # one symbol that may be the last of the word
         self.tokens, self.before = [-1], [0]  # last token of each prefix, and where it begins
         self.open: list[tuple[int, dict]] = []  # where tokens may have begun, longest first, with their place in the tree
@@ -159,15 +189,19 @@ class Transducer:
         for symbol in symbols:
             if self.held:
                 self._step(self.held, False)
-                if self.size > 4 * self.merges.longest:
+                if self.size > self.limit:
                     out += self._settled()
+                    # Beyond the lookahead and the tokens around it nothing can stay open.
+                    self.limit = max(4 * self.merges.longest, 2 * self.size)
+                    if self.size > self.merges.lookahead + 2 * self.merges.longest:
+                        raise AssertionError("more symbols are open than the merge list allows")
             self.held = symbol
         return out
 
     def _settled(self) -> list[int]:
-        """The tokens that the chains of all positions inside the lookahead share; they are cut off."""
+        """The tokens that the chains of all positions share from which a token may still go on; they are cut off."""
         end = self.size
-        open_ends = set(range(max(0, end - self.merges.lookahead), end + 1))
+        open_ends = set(range(max(0, end - self.merges.longest + 1), end + 1))
         while len(open_ends) > 1:
             latest = max(open_ends)
             open_ends.remove(latest)
@@ -255,10 +289,15 @@ class Vocabulary:
 
 
 class Encoder(dict):
-    """Text to token ids.  As a dict: short word -> its ids as 32-bit integers, emptied when full."""
+    """Text to token ids.
+
+    As a dict: short word -> its ids as 32-bit integers.  When it is full it becomes the older of two generations,
+    from which words that come again are taken over.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.older: dict[str, bytes] = {}
         self.transducer = Transducer(vocabulary.merges)
 
     def _stream(self, word: str) -> Iterator[int]:
@@ -268,9 +307,12 @@ class Encoder(dict):
         yield from self.transducer.finish()
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.fromiter(self._stream(word), dtype=np.int32).tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = np.fromiter(self._stream(word), dtype=np.int32).tobytes()
         if len(word) <= LONG_WORD:
             if len(self) >= CACHED_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -337,30 +379,60 @@ def _list_batches(flat: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=pa.int32()))
 
 
-def encode_documents(docs: DataFrame, vocabulary: bytes, out: str = "ids", rows: int = 256) -> DataFrame:
-    """``docs`` plus ``out``, the token ids of the whole text.
+def _texts(column: pa.Array) -> Iterator[tuple[int, str]]:
+    """The texts of a column one after the other, missing ones empty; a batch is never turned into a list at once."""
+    for i in range(len(column)):
+        yield i, column[i].as_py() or ""
+
+
+def _in_parts(batch: pa.RecordBatch, made: Iterator[tuple[list, int]], names: list[str], arrays) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``BATCH_BYTES`` with the new columns that ``arrays`` builds from what ``made`` gives row by row."""
+    start, held, size = 0, [], 0
+    for i, (values, more) in enumerate(made):
+        held.append(values)
+        size += more
+        if size >= BATCH_BYTES or i + 1 == batch.num_rows:
+            part = batch.slice(start, len(held))
+            yield pa.RecordBatch.from_arrays([*part.columns, *arrays(held)], [*part.schema.names, *names])
+            start, held, size = i + 1, [], 0
+
 
-    NULL and empty texts have no ids.  The result is that of the tokenizer
-    file's own encoder without special tokens added; special tokens written in
-    a text count as such.  ``rows``: texts handed on at a time.  A column called ``out`` is replaced.
+def encode_documents(docs: DataFrame, vocabulary: bytes, out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` plus ``out``, the token ids of the whole text, and, if named, ``decoded``, the text of these ids.
+
+    NULL and empty texts have no ids, and an empty decoded text.  The result is that of the tokenizer file's own
+    encoder without special tokens added; special tokens written in a text count as such.  Columns called ``out`` or
+    ``decoded`` are replaced.  Both are made in one pass, so that a task holds the vocabulary once.
     """
-    docs = docs.drop(out)
+    names = [out] if decoded is None else [out, decoded]
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # one file, whatever the data's size
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    new = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    schema = T.StructType([*docs.schema.fields, *new])
     at = docs.columns.index("text")
 
     def run(batches):
-        encoder = Encoder(Vocabulary(shared.value))
+        known = Vocabulary(shared.value)
+        encoder, decoder = Encoder(known), Decoder(known)
+        none = np.zeros(0, dtype=np.int32)
+
+        def made(column):
+            for _, text in _texts(column):
+                ids = encoder.ids(text) if text else none
+                back = decoder.text(ids) if decoded and len(ids) else ""
+                yield (ids, back), len(text) + ids.nbytes + len(back)
+
+        def arrays(held):
+            ids = _list_batches([ids for ids, _ in held])
+            return [ids, pa.array([back for _, back in held], type=pa.string())] if decoded else [ids]
+
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
-                found = [encoder.ids(t) if t else np.zeros(0, dtype=np.int32) for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, _list_batches(found)], [*part.schema.names, out])
+            yield from _in_parts(batch, made(batch.column(at)), names, arrays)
 
     return docs.mapInArrow(run, schema)
 
 
-def decode_documents(docs: DataFrame, vocabulary: bytes, ids: str = "ids", out: str = "decoded", rows: int = 256) -> DataFrame:
+def decode_documents(docs: DataFrame, vocabulary: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` plus ``out``, the text of the token ids in column ``ids`` (NULL or no ids: empty).
 
     A column called ``out`` is replaced.
@@ -372,12 +444,14 @@ def decode_documents(docs: DataFrame, vocabulary: bytes, ids: str = "ids", out:
 
     def run(batches):
         decoder = Decoder(Vocabulary(shared.value))
+
+        def made(column):
+            for i in range(len(column)):
+                x = column[i]
+                text = decoder.text(x.values.to_numpy()) if x.is_valid and len(x.values) else ""
+                yield text, len(text)
+
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
-                column = part.column(at)
-                texts = [decoder.text(x.values.to_numpy()) if x.is_valid and len(x.values) else "" for x in column]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, type=pa.string())], [*part.schema.names, out])
+            yield from _in_parts(batch, made(batch.column(at)), [out], lambda held: [pa.array(held, type=pa.string())])
 
     return docs.mapInArrow(run, schema)
-
