@@ -41,8 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, their number, and whether decoding them gives the text of the same tokens back."""
     vocabulary = bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
-    encoded = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), vocabulary).drop("text")
-    decoded = bpe.decode_documents(encoded, vocabulary)
+    decoded = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), vocabulary, decoded="decoded")
     return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
