@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakwise.llm.common import lower_ascii, set_aside, text_or_empty
+from peakwise.llm.common import lower_ascii, set_aside, stored, text_or_empty
 
 # Fixed value: the white space of the contract, [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\f\r"
@@ -68,7 +68,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     docs = docs.drop("n_lines", "n_dropped")
     docs, back = set_aside(docs, ["row1", "row2", "dropped"])
     lines = places(docs.select("doc_id", "text"), min_chars)
-    lost = lines.join(repeated_keys(lines, min_docs), ["key1", "key2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    # Written first, so that the join has a shuffle of its own on both sides and Spark can split a key of many places.
+    repeated = stored(repeated_keys(lines, min_docs), "repeated-lines")
+    lost = lines.join(repeated, ["key1", "key2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     lost = lost.groupBy("row1", "row2").agg(F.collect_set("pos").alias("dropped"))
     joined = docs.withColumns(dict(zip(("row1", "row2"), _row_hashes()))).join(lost, ["row1", "row2"], "left")
     n_lines = F.size(split_lines("text"))
