@@ -1,4 +1,4 @@
-"""Range, nearest and library matching without cross joins.
+"""Range and nearest matching without cross joins.
 
 A range join becomes an equi join on buckets: one side keeps its bucket, the
 other is copied to its bucket and both neighbours, and the exact predicate is
@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from peakwise.operators.metrics import cosine_expr
-from peakwise.operators.transforms import ID, TINY, top_peaks
-from peakwise.session import cut_lineage
+from peakwise.operators.transforms import ID, TINY
 from peakwise.skew import exact_quantiles
 
 MIN_RELATIVE_MZ = 200.0
@@ -236,77 +235,6 @@ def gather_at_candidates(cand_bins: DataFrame, true_bins: DataFrame, tol_bins: i
     return rows.fillna(0.0, ["true_exact", "true_near"])
 
 
-def copy_groups(binned: DataFrame, precursors: DataFrame) -> DataFrame:
-    """``rep``: the smallest id among spectra with the same bins, intensities and precursor.
-
-    The content key is a 128-bit order-free digest of the binned peaks, so no
-    peak list is collected.
-    """
-    cell = [F.col("bin"), F.col("intensity")]
-    digest = binned.groupBy(*ID).agg(
-        F.bit_xor(F.xxhash64(F.lit(1), *cell)).alias("h1"), F.bit_xor(F.xxhash64(F.lit(2), *cell)).alias("h2"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    content = ["h1", "h2", "n", "precursor_mz"]
-    rows = digest.join(precursors.select(*ID, "precursor_mz"), ID)
-    reps = rows.groupBy(*content).agg(F.min("spectrum_id").alias("rep"))
-    # One content key may hold a third of all rows: the join splits it, no window does.
-    return rows.join(reps, content).select(*ID, "precursor_mz", "rep")
-
-
-def library_search(
-    queries: DataFrame, query_precursors: DataFrame, library: DataFrame, library_precursors: DataFrame,
-    precursor_tol: float, top_k: int,
-) -> DataFrame:
-    """The ``top_k`` library spectra per query by cosine within a precursor window.
-
-    Inverted index: unit-norm peaks of both sides meet on (precursor bucket,
-    bin) and their products are summed, so only spectra sharing a bin meet.
-    Identical spectra of either side are searched once: scores are computed
-    between representatives, then at most ``top_k`` members of each library
-    group and all members of a query group are put back, which changes nothing
-    in the result (ties rank by library id).
-    """
-    # One small row per spectrum, used several times below.
-    q_map = cut_lineage(copy_groups(queries, query_precursors))
-    l_map = cut_lineage(copy_groups(library, library_precursors))
-
-    def index(binned: DataFrame, mapping: DataFrame, prefix: str) -> DataFrame:
-        reps = mapping.filter(F.col("spectrum_id") == F.col("rep")).select(*ID, "precursor_mz")
-        x = F.col("intensity")
-        norm = F.sqrt(F.sum(x * x).over(W.partitionBy(*ID)))  # bounded by the bins of the axis
-        rows = binned.join(reps, ID).withColumn("__n", norm).filter(F.col("__n") > TINY)
-        return rows.select(
-            F.col("spectrum_id").alias(f"{prefix}_id"), "bin", (x / F.col("__n")).alias(f"{prefix}_u"),
-            F.col("precursor_mz").alias(f"{prefix}_pmz"))
-
-    scores = _indexed_scores(index(queries, q_map, "q"), index(library, l_map, "l"), precursor_tol)
-    members = (
-        l_map.withColumn("__m", F.row_number().over(W.partitionBy("rep").orderBy("spectrum_id")))
-        .filter(F.col("__m") <= top_k)
-        .select(F.col("rep").alias("l_id"), F.col("spectrum_id").alias("library_id"))
-    )
-    # A representative outside the best top_k of a query cannot place a member there.
-    best_reps = top_peaks(scores, top_k, ["q_id"], "score", "l_id").drop("rank")
-    ranked = top_peaks(best_reps.join(members, "l_id"), top_k, ["q_id"], "score", "library_id")
-    back = q_map.select(F.col("rep").alias("q_id"), F.col("spectrum_id").alias("query_id"))
-    return ranked.join(back, "q_id").select("query_id", "library_id", "score", "rank")
-
-
-def _indexed_scores(q: DataFrame, lib: DataFrame, precursor_tol: float) -> DataFrame:
-    """Summed products of the index entries meeting on (precursor bucket, bin)."""
-    at = tolerance_bucket(F.col("q_pmz"), precursor_tol, False)
-    q_rows = q.withColumn("__bucket", F.explode(F.sequence(at - 1, at + 1)))
-    l_rows = lib.withColumn("__bucket", tolerance_bucket(F.col("l_pmz"), precursor_tol, False))
-    met = l_rows.join(q_rows, ["__bucket", "bin"]).filter(
-        F.abs(F.col("q_pmz") - F.col("l_pmz")) <= precursor_tol
-    )
-    # Scores equal up to summation order must tie, hence the rounding.
-    return met.groupBy("q_id", "l_id").agg(
-        F.round(F.sum(F.col("q_u") * F.col("l_u")), 9).alias("score")
-    )
-
-
 def retrieval_hits(ranked: DataFrame, truth: DataFrame, ks: Sequence[int]) -> DataFrame:
     """Share of queries whose true library id is among the first k, per k."""
     best = ranked.join(truth, ["query_id", "library_id"]).groupBy("query_id").agg(F.min("rank").alias("rank"))

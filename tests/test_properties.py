@@ -15,8 +15,10 @@ from peakwise.operators import graph as G
 from peakwise.operators import matching as J
 from peakwise.operators import metrics as M
 from peakwise.operators import sampling as S
+from peakwise.operators import search as LS
 from peakwise.operators import selection as K
 from peakwise.operators import transforms as T
+from peakwise.operators.search import library_search
 from peakwise.plans import selection as _selection  # noqa: F401
 from peakwise.plans.registry import QUERIES
 from peakwise.session import scratch_dir
@@ -119,7 +121,7 @@ def test_library_search_with_copies(spark):
     rows = [(i, b, x) for i, s in spectra.items() for b, x in s.items()]
     bins = spark.createDataFrame(rows, "spectrum_id long, bin long, intensity double")
     meta = spark.createDataFrame(list(pmz.items()), "spectrum_id long, precursor_mz double")
-    got = {(r.query_id, r["rank"]): (r.library_id, r.score) for r in J.library_search(bins, meta, bins, meta, 0.5, 4).collect()}
+    got = {(r.query_id, r["rank"]): (r.library_id, r.score) for r in library_search(bins, meta, bins, meta, 0.5, 4).collect()}
 
     def unit(s):
         n = sum(x * x for x in s.values()) ** 0.5
@@ -136,6 +138,46 @@ def test_library_search_with_copies(spark):
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
 
 
+def test_library_search_in_a_hot_window(spark, monkeypatch):
+    """A third of the library in one precursor window, near copies with 1 % noise among them; most meetings are never made."""
+    rng = np.random.default_rng(4)
+    n, axis, k = 1500, 400, 5
+    base = [(np.sort(rng.choice(axis, 30, replace=False)), rng.gamma(0.3, 10.0, 30) + 0.01) for _ in range(n)]
+    spectra = []
+    for i in range(n):
+        bins, x = base[i] if i % 6 else base[i % 60]
+        spectra.append((bins, x * (1 + 0.01 * rng.standard_normal(30)) if i % 6 == 0 else x))
+    pmz = np.where(np.arange(n) % 3 == 0, 300.0 + (np.arange(n) % 5) * 0.05, 100.0 + np.arange(n) * 0.9)
+    dense = np.zeros((n, axis))
+    for i, (bins, x) in enumerate(spectra):
+        dense[i, bins] = x
+    unit = dense / np.linalg.norm(dense, axis=1)[:, None]
+    scores = np.round(unit @ unit.T, 9)
+    meets = ((dense > 0).astype(int) @ (dense > 0).astype(int).T) * (np.abs(pmz[:, None] - pmz[None, :]) <= 0.5)
+    want = {}
+    for q in range(n):
+        best = sorted((-scores[q, m], m) for m in np.flatnonzero(meets[q]))[:k]
+        want |= {(q, rank): (int(m), -s) for rank, (s, m) in enumerate(best, 1)}
+    rows = [(i, int(b), float(v)) for i, (bins, x) in enumerate(spectra) for b, v in zip(bins, x)]
+    bins = spark.createDataFrame(rows, "spectrum_id long, bin long, intensity double")
+    meta = spark.createDataFrame([(i, float(p)) for i, p in enumerate(pmz)], "spectrum_id long, precursor_mz double")
+    looked_up = []
+    plain = LS._meetings
+
+    def counted(entries, lib, buckets, tol):
+        looked_up.append(entries.join(lib, "bin").filter(F.abs(F.col("q_pmz") - F.col("l_pmz")) <= tol).count())
+        return plain(entries, lib, buckets, tol)
+
+    monkeypatch.setattr(LS, "_meetings", counted)
+    monkeypatch.setattr(LS, "TILE", 100)
+    got = {(r.query_id, r["rank"]): (r.library_id, r.score) for r in library_search(bins, meta, bins, meta, 0.5, k).collect()}
+    assert set(got) == set(want)
+    assert all(got[key][1] == pytest.approx(want[key][1], abs=2e-9) for key in want)
+    differ = [key for key in want if got[key][0] != want[key][0]]
+    assert all(abs(scores[key[0], got[key][0]] - want[key][1]) < 2e-9 for key in differ)
+    assert sum(looked_up) < 0.2 * meets.sum()
+
+
 def cover(rows, budget, min_new):
     """Plain greedy coverage used as the yardstick."""
     out = []
