@@ -2,23 +2,25 @@
 
 Rank limits go through ``top_peaks`` (each task sends at most k rows of a
 group); "best of a group" is an aggregate, never a window over the group.
-Sequential greedy selections run in Python tasks on pools of bounded size; a
-pool above the bound takes the same greedy steps as joins and aggregates.
+Sequential greedy selections go in rounds: Spark sums the gains of all
+candidates, a task takes greedy steps among the strongest of a spectrum.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from peakwise.operators.sampling import hash_order
 from peakwise.operators.transforms import ID, top_peaks
-from peakwise.session import cut_lineage
-from peakwise.skew import with_group_stats
+from peakwise.session import cut_lineage, write_once
+from peakwise.skew import lower_medians, with_group_stats
 
 KEYS = ["spectrum_id", "cand_id"]
 
@@ -148,37 +150,138 @@ def overflow_cap(cands: DataFrame, cap: int, mode: str = "plausibility", seed: i
 
 PICKS = "spectrum_id long, cand_id long, step int"
 
+HEAD = 256  # candidates of a spectrum that one task sees in a round
+HEAD_ROWS = 200_000  # and their rows, unless the first candidate alone has more
 
-def _dense(ids, bins, *values):
-    """Distinct candidates, their first row, and one (candidate x bin) matrix per value column."""
-    cands, first, ci = np.unique(ids, return_index=True, return_inverse=True)
-    axis, bi = np.unique(bins, return_inverse=True)
-    matrices = []
-    for value in values:
-        matrix = np.zeros((len(cands), len(axis)))
-        np.add.at(matrix, (ci, bi), value)
-        matrices.append(matrix)
-    return cands, first, matrices
 
+@dataclass(frozen=True)
+class Greedy:
+    """A greedy selection whose gains never grow as bins are marked.
 
-def _per_spectrum(rows: DataFrame, choose) -> DataFrame:
-    """Runs ``choose(columns) -> ids in order`` on every spectrum's rows in Arrow tasks.
-
-    ``columns`` maps names to numpy arrays sorted by candidate and bin.  The
-    shuffle keeps its full width: small data would otherwise end in one task.
+    ``gain(entry, state, least)``: what one (candidate, bin) row adds in the current state of its bin; ``entry`` and
+    ``state`` give columns by name, of Spark or of numpy, and ``least(x)`` bounds one by 1.  ``marks``: state column ->
+    (entry column, "max" or "sum"), how the picks mark their bins.  ``order``: candidate columns that break ties,
+    larger first, before the smaller id.
     """
-    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    gain: Callable
+    marks: dict[str, tuple[str, str]]
+    order: tuple[str, ...]
+    min_new: int = 0  # unmarked bins a candidate needs
+    block: bool = False  # candidates of a group already picked come after all others
+    min_steps: int | None = None  # from so many picks on only gains above 0 count
+
+
+def _ranked_heads(entries: DataFrame, picks: DataFrame | None, rule: Greedy) -> tuple[DataFrame, DataFrame]:
+    """Rows of the strongest candidates of each spectrum with the state of their bins, and the first candidate beyond them."""
+    if picks is None:
+        rows = entries.withColumns({m: F.lit(0.0) for m in rule.marks}).withColumn("__open", F.lit(1))
+    else:
+        taken = entries.join(picks.select(*KEYS), KEYS, "left_semi")
+        state = taken.groupBy(*ID, "bin").agg(*[(F.max if how == "max" else F.sum)(col).alias(m) for m, (col, how) in rule.marks.items()])
+        rows = entries.join(picks.select(*KEYS), KEYS, "left_anti").join(state, [*ID, "bin"], "left").fillna(0.0, list(rule.marks))
+        if rule.block:
+            groups = taken.select(*ID, "group_id").distinct().withColumn("__open", F.lit(0))
+            rows = rows.join(groups, [*ID, "group_id"], "left").fillna(1, ["__open"])
+        else:
+            rows = rows.withColumn("__open", F.lit(1))
+    at = {c: F.col(c) for c in rows.columns}
+    fresh = F.lit(True)
+    for m in rule.marks:
+        fresh = fresh & (F.col(m) == 0)
+    gains = rows.groupBy(*KEYS).agg(
+        F.max("__open").alias("__open"), F.round(F.sum(rule.gain(at, at, lambda x: F.least(x, F.lit(1.0)))) + F.max("fixed"), 9).alias("__gain"),
+        *[F.max(c).alias(c) for c in rule.order], F.sum(fresh.cast("int")).alias("__new"), F.count(F.lit(1)).alias("__rows"))
+    gains = gains.filter(F.col("__new") >= rule.min_new)
+    tuple_order = [F.col("__open").desc(), F.col("__gain").desc(), *[F.col(c).desc() for c in rule.order], F.col("cand_id")]
+    by_order = W.partitionBy(*ID).orderBy(*tuple_order)
+    # Spark pushes the rank limit below the shuffle, so these windows see at most HEAD + 1 rows a spectrum.
+    ranked = gains.withColumn("__rank", F.row_number().over(by_order)).filter(F.col("__rank") <= HEAD + 1)
+    inside = (F.col("__rank") == 1) | ((F.col("__rank") <= HEAD) & (F.sum("__rows").over(by_order.rowsBetween(W.unboundedPreceding, 0)) <= HEAD_ROWS))
+    ranked = ranked.withColumn("__inside", inside)
+    heads = ranked.filter("__inside").select(*KEYS, "__rank", "__gain")
+    first_out = ranked.filter(~F.col("__inside")).groupBy(*ID).agg(F.min_by(
+        F.struct(F.col("__open").alias("o"), F.col("__gain").alias("g"), *rule.order, "cand_id"), "__rank").alias("t"))
+    beyond = first_out.select(*ID, F.col("t.o").alias("__t_open"), F.col("t.g").alias("__t_gain"),
+                              *[F.col(f"t.{c}").alias(f"__t_{c}") for c in rule.order], F.col("t.cand_id").alias("__t_cand"))
+    return rows.join(heads, KEYS), beyond
+
+
+def _pick_in_task(rule: Greedy, budget: int):
+    """Greedy steps among the strongest candidates, as long as no candidate beyond them can be better."""
     def run(table: pa.Table) -> pa.Table:
-        cols = {n: table.column(n).to_numpy() for n in table.column_names}
-        order = np.lexsort((cols["bin"], cols["cand_id"]))
-        cols = {n: v[order] for n, v in cols.items()}
-        ids = np.asarray(choose(cols), dtype=np.int64)
+        cols = {n: table.column(n).to_numpy(zero_copy_only=False) for n in table.column_names}
+        ids, at, ci = np.unique(cols["cand_id"], return_index=True, return_inverse=True)
+        _, bin_at, bi = np.unique(cols["bin"], return_index=True, return_inverse=True)
+        state = {m: cols[m][bin_at].astype(float) for m in rule.marks}
+        fixed, opened = cols["fixed"][at], cols["__open"][at].astype(int)
+        ties = [cols[c][at] for c in rule.order]
+        group = cols["group_id"][at] if rule.block else None
+        done, free = int(cols["__done"][0]), np.ones(len(ids), bool)
+        more = not np.isnan(float(cols["__t_open"][0]))
+        limit = tuple(cols[f"__t_{c}"][0] for c in ("open", "gain", *rule.order)) + (-cols["__t_cand"][0],) if more else None
+        picked: list[int] = []
+        while done + len(picked) < budget and free.any():
+            now = {m: v[bi] for m, v in state.items()}
+            gain = np.round(np.bincount(ci, rule.gain(cols, now, lambda x: np.minimum(x, 1.0)), len(ids)) + fixed, 9)
+            new = np.bincount(ci, np.all([v == 0 for v in now.values()], axis=0), len(ids))
+            if not picked:  # the first of the ranking, whatever the last digits of the sums are here
+                pick = int(ci[np.argmin(cols["__rank"])])
+                gain[pick] = cols["__gain"][np.argmin(cols["__rank"])]
+            else:
+                able = np.flatnonzero(free & (new >= rule.min_new))
+                if not len(able):
+                    break
+                pick = int(able[np.lexsort((ids[able], *[-t[able] for t in reversed(ties)], -gain[able], -opened[able]))[0]])
+                if more and (opened[pick], gain[pick], *[t[pick] for t in ties], -ids[pick]) <= limit:
+                    break
+            if rule.min_steps is not None and gain[pick] <= 0 and done + len(picked) >= rule.min_steps:
+                more = False
+                break
+            picked.append(pick)
+            free[pick] = False
+            if rule.block:
+                opened[group == group[pick]] = 0
+            mine = ci == pick
+            for m, (col, how) in rule.marks.items():
+                (np.maximum if how == "max" else np.add).at(state[m], bi[mine], cols[col][mine])
+        more = more and done + len(picked) < budget
         return pa.table({
-            "spectrum_id": np.full(len(ids), cols["spectrum_id"][0], dtype=np.int64), "cand_id": ids,
-            "step": np.arange(1, len(ids) + 1, dtype=np.int32)})
+            "spectrum_id": pa.array(np.full(len(picked), cols["spectrum_id"][0], dtype=np.int64)), "cand_id": pa.array(ids[picked].astype(np.int64)),
+            "step": pa.array(np.arange(done + 1, done + len(picked) + 1, dtype=np.int32)), "more": pa.array(np.full(len(picked), more))})
+
+    return run
+
 
-    return rows.repartition(width, "spectrum_id").groupBy("spectrum_id").applyInArrow(run, PICKS)
+def lazy_greedy(entries: DataFrame, budget: int, rule: Greedy) -> DataFrame:
+    """(spectrum_id, cand_id, step): greedy picks per spectrum, exact for pools of any size.
+
+    A round sums the gains of all candidates of the open spectra in Spark and takes the strongest ``HEAD`` of each
+    spectrum to one task.  Since gains never grow, what a candidate beyond them gained in this round bounds what it
+    can gain later: the task picks until its best falls behind the first one beyond.  A spectrum of at most ``HEAD``
+    candidates needs one round, others as many as their bounds are overtaken; rounds do not follow the budget.
+    Each round is written to the shared folder.  ``entries`` has a row per candidate and bin, with ``fixed`` (added to
+    the gain) and the columns that break ties repeated on the rows of a candidate.
+    """
+    spark = entries.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))  # small data would otherwise end in one task
+    entries = write_once(entries, "greedy-entries")
+    picks, here = None, entries
+    while True:
+        rows, beyond = _ranked_heads(here, picks, rule)
+        rows = rows.join(beyond, ID, "left")
+        if picks is None:
+            rows = rows.withColumn("__done", F.lit(0))
+        else:
+            rows = rows.join(picks.groupBy(*ID).agg(F.max("step").alias("__done")), ID)
+        found = rows.repartition(width, "spectrum_id").groupBy("spectrum_id").applyInArrow(_pick_in_task(rule, budget), f"{PICKS}, more boolean")
+        found = write_once(found, "greedy-picks")
+        mine = found.drop("more")
+        picks = mine if picks is None else picks.unionByName(mine)
+        still = found.filter("more").select(*ID).distinct()
+        if still.isEmpty():
+            return picks
+        here = entries.join(still, ID, "left_semi")
 
 
 def coverage_aware_topk(
@@ -187,38 +290,31 @@ def coverage_aware_topk(
 ) -> DataFrame:
     """Greedy top-k that prefers peaks not covered yet; the true spectrum is not used.
 
-    Every candidate of a spectrum can be chosen, in one task per spectrum;
-    ``prefilter`` keeps only the best ones by score before that.
+    Every candidate of a spectrum can be chosen; ``prefilter`` keeps only the
+    best ones by score before that.  Spectra without any peak to cover take
+    their plain best.  Gains are compared to nine digits.
     """
-    pool = (cands if prefilter is None else plain_topk(cands, max(k, prefilter), score)).select(*KEYS, "group_id", F.col(score).alias("score"))
+    pool = (cands if prefilter is None else plain_topk(cands, max(k, prefilter), score)).select(*KEYS, "group_id", F.col(score).cast("double").alias("score"))
     rows = pool.join(cand_bins.select(*KEYS, "bin", "intensity"), KEYS, "left").fillna(0.0, ["intensity"]).fillna(-1, ["bin"])
-
-    def greedy(cols: dict) -> list:
-        ids, at, (matrix,) = _dense(cols["cand_id"], cols["bin"], cols["intensity"])
-        raw, group = cols["score"][at], cols["group_id"][at]
-        spread = max(float(np.std(raw, ddof=1)) if len(raw) > 1 else 0.0, 1e-6)
-        middle = np.sort(raw)[(len(raw) - 1) // 2]  # lower median
-        base = np.clip((raw - middle) / spread, -5.0, 5.0)
-        share = matrix / np.maximum(matrix.sum(axis=1, keepdims=True), 1e-8)
-        covered = np.zeros(matrix.shape[1])
-        free, blocked, order = np.ones(len(ids), bool), np.zeros(len(ids), bool), []
-        first = np.lexsort((ids, -raw))  # argmax ties go to the better score
-        if not matrix.any():  # nothing to cover: the plain best
-            return list(ids[first[:k]])
-        for _ in range(min(k, len(ids))):
-            allowed = free & ~blocked if (block_groups and (free & ~blocked).any()) else free
-            gain = base_weight * base - duplicate_penalty * (share @ covered) + novelty_bonus * (share @ (1.0 - covered))
-            gain = np.where(allowed, gain, -np.inf)
-            pick = first[np.argmax(gain[first])]
-            order.append(ids[pick])
-            free[pick] = False
-            blocked |= group == group[pick]
-            top = share[pick].max()
-            if top > 0:
-                covered = np.maximum(covered, share[pick] / top)
-        return order
-
-    return _per_spectrum(rows, greedy)
+    # The middle score is the lower of two middle ones.
+    middle = lower_medians(pool, ID, "score", "middle")
+    spread = pool.groupBy(*ID).agg(F.greatest(F.coalesce(F.stddev_samp("score"), F.lit(0.0)), F.lit(1e-6)).alias("spread"))
+    total = rows.groupBy(*KEYS).agg(F.greatest(F.sum("intensity"), F.lit(1e-8)).alias("total"), F.max("intensity").alias("top"))
+    filled = total.groupBy(*ID).agg(F.max("top").alias("any"))
+    base = F.least(F.greatest((F.col("score") - F.col("middle")) / F.col("spread"), F.lit(-5.0)), F.lit(5.0))
+    seen = F.when(F.col("top") > 0, F.col("intensity") / F.col("top")).otherwise(0.0)
+    statics = pool.join(total, KEYS).join(middle, ID).join(spread, ID).join(filled, ID)
+    # Of a spectrum without peaks every candidate is its own group, and the score alone decides.
+    bare = F.col("any") <= 0
+    statics = statics.select(*KEYS, "total", "top", F.when(bare, F.col("score")).otherwise(base_weight * base).alias("fixed"), "score",
+                             F.when(~bare, F.col("group_id").cast("string")).alias("group_id"))
+    # A candidate without a group is one of its own.
+    statics = statics.withColumn("group_id", F.coalesce("group_id", F.concat(F.lit("alone "), "cand_id")))
+    entries = rows.select(*KEYS, "bin", "intensity").join(statics, KEYS).select(
+        *KEYS, "bin", (F.col("intensity") / F.col("total")).alias("share"), seen.alias("seen"), "fixed", "score", "group_id")
+    rule = Greedy(lambda e, s, least: e["share"] * (novelty_bonus - (duplicate_penalty + novelty_bonus) * s["covered"]),
+                  {"covered": ("seen", "max")}, ("score",), block=block_groups)
+    return lazy_greedy(entries, k, rule)
 
 
 def setcover_teacher(
@@ -227,8 +323,7 @@ def setcover_teacher(
 ) -> DataFrame:
     """Greedy cover of the true spectrum by candidate peaks.
 
-    Overlaps with the true shares are joined and summed in Spark; a task sees
-    the candidates of one spectrum, with ``prefilter`` only the best of them.
+    Every candidate can be chosen, with ``prefilter`` only the best of them by base score.
     ``probability``: base scores of the picks, at least 0, as shares of their
     sum; equal shares where all are 0.
     """
@@ -240,45 +335,20 @@ def setcover_teacher(
     rows = share.join(true.join(best, [*ID, "bin"], "left"), [*ID, "bin"], "left").fillna(0.0, ["true_share", "is_top"])
     rows = rows.withColumn("support", (F.col("true_share") > 0).cast("double"))
     base = (4.0 * F.col("true_share") + F.col("support") + 2.0 * F.col("is_top") - (1.0 - F.col("support"))) * F.col("share")
-    scores = rows.groupBy(*KEYS).agg(F.round(F.sum(base), 9).alias("base"))
+    wrong = F.col("share") * (1.0 - F.col("support"))
+    scores = rows.groupBy(*KEYS).agg(F.round(F.sum(base), 9).alias("base"), (-w_false * F.sum(wrong)).alias("fixed"))
     pool = scores if prefilter is None else top_peaks(scores, prefilter, ID, "base", "cand_id").drop("rank")
-    rows = rows.join(pool, KEYS)
-
-    rows = rows.select(
-        *KEYS, "bin", "base", (F.col("share") * F.col("true_share")).alias("tm"),
-        (F.col("share") * F.col("is_top")).alias("pm"), (F.col("share") * (1.0 - F.col("support"))).alias("fm"))
-
-    def greedy(cols: dict) -> list:
-        ids, at, (tm, pm, fm) = _dense(cols["cand_id"], cols["bin"], cols["tm"], cols["pm"], cols["fm"])
-        false = fm.sum(axis=1)
-        first = np.lexsort((ids, -cols["base"][at]))
-        ct, cp = np.zeros(tm.shape[1]), np.zeros(tm.shape[1])
-        free, order = np.ones(len(ids), bool), []
-        for _ in range(min(steps, len(ids))):
-            ot, op = np.clip(ct, 0, 1), np.clip(cp, 0, 1)
-            gain = w_gain * (tm @ (1 - ot)) + w_top * (pm @ (1 - op)) - w_false * false - w_redundant * (tm @ ot)
-            gain = np.where(free, np.round(gain, 12), -np.inf)
-            pick = first[np.argmax(gain[first])]
-            if gain[pick] <= 0 and len(order) >= min_steps:
-                break
-            order.append(ids[pick])
-            free[pick] = False
-            ct, cp = ct + tm[pick], cp + pm[pick]
-        return order
-
-    picks = _per_spectrum(rows, greedy).join(scores.select(*KEYS, F.greatest("base", F.lit(0.0)).alias("__base")), KEYS)
+    entries = rows.join(pool, KEYS).select(
+        *KEYS, "bin", "base", "fixed", (F.col("share") * F.col("true_share")).alias("tm"), (F.col("share") * F.col("is_top")).alias("pm"))
+    rule = Greedy(lambda e, s, least: w_gain * e["tm"] - (w_gain + w_redundant) * e["tm"] * least(s["ct"]) + w_top * e["pm"] * (1.0 - least(s["cp"])),
+                  {"ct": ("tm", "sum"), "cp": ("pm", "sum")}, ("base",), min_steps=min_steps)
+    picks = lazy_greedy(entries, steps, rule).join(scores.select(*KEYS, F.greatest("base", F.lit(0.0)).alias("__base")), KEYS)
     sums = with_group_stats(picks, ID, __sum=F.sum("__base"), __n=F.count(F.lit(1)))
     share = F.when(F.col("__sum") > 0, F.col("__base") / F.col("__sum")).otherwise(1.0 / F.col("__n"))
     return sums.select(*KEYS, "step", share.alias("probability"))
 
 
-# Largest pool (candidate-bin rows) one greedy task takes; larger ones go by joins.
-TASK_POOL_ROWS = 500_000
-
-
-def weighted_cover(
-    pool: DataFrame, budget: int, min_new: int = 1, already: DataFrame | None = None, task_rows: int = TASK_POOL_ROWS
-) -> DataFrame:
+def weighted_cover(pool: DataFrame, budget: int, min_new: int = 1, already: DataFrame | None = None) -> DataFrame:
     """Greedy maximum coverage per spectrum.
 
     ``pool(spectrum_id, cand_id, bin, weight, bonus, tie)``: the gain of a
@@ -291,72 +361,10 @@ def weighted_cover(
         pool = with_group_stats(pool, KEYS, first=F.min("bin"))
     if already is not None:
         pool = pool.join(already.select(*ID, "bin").distinct(), [*ID, "bin"], "left_anti")
-    sized = with_group_stats(pool, ID, __rows=F.count(F.lit(1)))
-    small, large = sized.filter(F.col("__rows") <= task_rows), sized.filter(F.col("__rows") > task_rows)
-
-    def greedy(cols: dict) -> list:
-        ids, starts = np.unique(cols["cand_id"], return_index=True)
-        bins, inv = np.unique(cols["bin"], return_inverse=True)
-        ends = np.append(starts[1:], len(inv))
-        members = [inv[a:b] for a, b in zip(starts, ends)]
-        values = [cols["weight"][a:b] for a, b in zip(starts, ends)]
-        bonus, tie = cols["bonus"][starts], cols["tie"][starts]
-        low = cols["first"][starts]
-        new = np.ones(len(bins), bool)
-        by_bin: dict[int, list[int]] = {}
-        for c, m in enumerate(members):
-            for b in m:
-                by_bin.setdefault(int(b), []).append(c)
-        left = np.array([len(m) for m in members])
-        gain = np.array([v.sum() for v in values]) + bonus
-        free, order = np.ones(len(ids), bool), []
-        while len(order) < budget:
-            ok = free & (left >= min_new)
-            if not ok.any():
-                break
-            g = np.round(np.where(ok, gain, -np.inf), 9)
-            best = np.flatnonzero(g == g.max())
-            pick = best[np.lexsort((ids[best], low[best], -tie[best]))[0]]
-            order.append(ids[pick])
-            free[pick] = False
-            for b, v in zip(members[pick], values[pick]):
-                if not new[b]:
-                    continue
-                new[b] = False
-                for c in by_bin[int(b)]:
-                    at = members[c] == b
-                    gain[c] -= values[c][at].sum()
-                    left[c] -= 1
-        return order
-
-    picks = _per_spectrum(small.drop("__rows"), greedy)
-    if large.isEmpty():
-        return picks
-    return picks.unionByName(_cover_by_joins(large.drop("__rows"), budget, min_new))
-
-
-def _cover_by_joins(pool: DataFrame, budget: int, min_new: int) -> DataFrame:
-    """The same greedy steps for all large pools at once: one aggregate and two anti joins per step.
-
-    Lineage is cut every few steps by a reliable checkpoint.
-    """
-    left, picks = pool, None
-    for step in range(1, budget + 1):
-        gains = left.groupBy(*KEYS).agg(
-            F.round(F.sum("weight") + F.max("bonus"), 9).alias("gain"), F.max("tie").alias("tie"),
-            F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
-        gains = gains.filter(F.col("n") >= min_new)
-        best = gains.groupBy(*ID).agg(F.max(F.struct(
-            "gain", "tie", (-F.col("first")).alias("f"), (-F.col("cand_id")).alias("c"))).alias("b"))
-        now = cut_lineage(best.select(*ID, (-F.col("b.c")).alias("cand_id"), F.lit(step).alias("step")))
-        if now.isEmpty():
-            break
-        picks = now if picks is None else picks.unionByName(now)
-        covered = left.join(now.select(*KEYS), KEYS, "left_semi").select(*ID, "bin")
-        left = left.join(covered, [*ID, "bin"], "left_anti")
-        if step % 5 == 0:
-            left = cut_lineage(left)
-    return picks if picks is not None else pool.sparkSession.createDataFrame([], PICKS)
+    entries = pool.select(*KEYS, "bin", F.col("weight").cast("double").alias("weight"), F.col("bonus").cast("double").alias("fixed"), "tie",
+                          (-F.col("first")).alias("early"), F.lit(1.0).alias("one"))
+    rule = Greedy(lambda e, s, least: e["weight"] * (1.0 - s["covered"]), {"covered": ("one", "max")}, ("tie", "early"), min_new=min_new)
+    return lazy_greedy(entries, budget, rule)
 
 
 # m/z regions of the set cover and how many candidates each may add.
@@ -384,9 +392,7 @@ def region_set_cover(
     """
     sized = with_group_stats(cands, ID, __n=F.count(F.lit(1)))
     whole = sized.filter(F.col("__n") <= max_keep).select(*KEYS, F.lit("whole").alias("stage"), F.lit(0).cast("long").alias("left_out"))
-    big = cut_lineage(sized.filter(F.col("__n") > max_keep))
-    if big.isEmpty():
-        return whole
+    big = write_once(sized.filter(F.col("__n") > max_keep), "cover-pool")
     left_out = big.select(*ID, (F.col("__n") - max_keep).alias("left_out")).distinct()
     big = big.drop("__n")
     bins = cand_bins.join(big.select(*KEYS, "base_score"), KEYS).select(*KEYS, "bin", "base_score")

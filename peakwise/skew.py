@@ -93,3 +93,10 @@ def exact_quantiles(
         lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
         cols.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
     return picked.select(*keys, F.col("total").alias("n"), *cols)
+
+
+def lower_medians(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """The middle value of each group, the lower of two middle ones, as column ``out``."""
+    pos = _counted_positions(df, keys, value)
+    at = F.floor((F.col("total") - 1) / 2)
+    return pos.filter((F.col("before") <= at) & (at < F.col("before") + F.col("n"))).select(*keys, F.col(value).alias(out))

@@ -200,14 +200,14 @@ def cover(rows, budget, min_new):
     return sorted(out)
 
 
-@pytest.mark.parametrize("min_new", [1, 2])
-def test_weighted_cover_both_paths(spark, pool, min_new):
+@pytest.mark.parametrize("min_new, head", [(1, 256), (2, 256), (1, 2), (2, 1)])
+def test_weighted_cover_in_rounds(spark, pool, monkeypatch, min_new, head):
+    monkeypatch.setattr(K, "HEAD", head)
     rows = bins_of(spark, pool).select(
         "spectrum_id", "cand_id", "bin", F.col("intensity").alias("weight"), (F.col("cand_id") * 0.01).alias("bonus"),
         (-F.col("cand_id")).cast("double").alias("tie"))
     want = cover(pool, 4, min_new)
     assert sorted(map(tuple, K.weighted_cover(rows, 4, min_new).collect())) == want
-    assert sorted(map(tuple, K.weighted_cover(rows, 4, min_new, task_rows=1).collect())) == want
 
 
 def test_greedy_selections_keep_their_limits(spark, pool):
