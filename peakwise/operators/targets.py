@@ -18,7 +18,7 @@ from peakwise.operators import metrics as M
 from peakwise.operators.matching import gather_at_candidates
 from peakwise.operators.transforms import ID, TINY, shares, top_peaks
 from peakwise.session import cut_lineage
-from peakwise.skew import with_group_stats
+from peakwise.skew import row_positions, with_group_stats
 
 KEYS = ["spectrum_id", "cand_id"]
 
@@ -237,8 +237,7 @@ def probe_candidates(cand_bins: DataFrame, true_bins: DataFrame, top: int = 20)
         F.when(n_t > 0, sim).otherwise(0.0).alias("js"), (F.col("bt") / F.col("ts")).alias("coverage"),
         (F.col("hits") / F.least(F.col("tn"), F.lit(top))).alias("top_recall"), (n_both / n_c).alias("precision"),
         (n_both / F.col("tn")).alias("recall"), (n_both / (n_c + n_t - n_both)).alias("iou"))
-    ranks = W.partitionBy(*ID).orderBy(F.col("cosine").desc(), "cand_id")
-    return scored.withColumn("rank", F.row_number().over(ranks))
+    return row_positions(scored, ID, "cosine", "cand_id", "rank")
 
 
 def union_at_k(cand_bins: DataFrame, ranks: DataFrame, true_bins: DataFrame, ks: Sequence[int] = (5, 10, 100, 1000), top: int = 20) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A window partitioned by spectrum or source puts the whole group into one task.
 These helpers aggregate first (partial sums before the shuffle) and join the
-small result back, or rank in two levels: a monotone bucket of the value first,
-the rows of one bucket second.
+small result back, or rank in two levels: parts of a group between splitters
+from a quantile sketch first, the values of one part second.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-# Buckets per factor of two used by the two-level ranks.  They follow the
-# value's own exponent, so values below 1 spread as well as those above.
-BUCKETS_PER_OCTAVE = 4096
-LOWEST_OCTAVE = 1100  # below the exponent of the smallest double
+# A group with more distinct values than PART_VALUES is cut into parts of about
+# that many, at most CUTS + 1, at splitters from a quantile sketch of the group.
+PART_VALUES = 10_000
+CUTS = 1023
+SKETCH = 16_384  # the sketch's rank error is the group's size divided by this
 
 
 def r6(col: Column | str, digits: int = 6) -> Column:
@@ -35,32 +36,57 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> Dat
     return df.join(totals, list(keys))
 
 
-def value_bucket(col: Column) -> Column:
-    """A coarse bucket that never decreases with the value."""
-    size = F.abs(col.cast("double"))
-    octave = F.when(size > 0, F.floor((F.log2(size) + LOWEST_OCTAVE) * BUCKETS_PER_OCTAVE)).otherwise(F.lit(0))
-    return F.when(col < 0, -octave).otherwise(octave)
+def _cut(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``counted`` plus ``part``, which never decreases with the value inside a group, and the group's ``total``.
+
+    The splitters come from a mergeable sketch, so parts of a group hold about
+    equally many values however dense the values lie; where they lie exactly
+    changes no result.
+    """
+    v = F.col(value).cast("double")
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("__d"), F.sum("n").alias("total"))
+    large = counted.join(sizes.filter(F.col("__d") > PART_VALUES).select(*keys, "__d"), keys)
+    shares = F.array(*[F.lit(i / (CUTS + 1)) for i in range(1, CUTS + 1)])
+    cuts = large.groupBy(*keys, "__d").agg(F.percentile_approx(v, shares, F.lit(SKETCH)).alias("__q"))
+    parts = F.least(F.ceil(F.col("__d") / PART_VALUES), F.lit(CUTS + 1)).cast("int")
+    thin = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.get("__q", F.floor(i * F.lit(CUTS + 1) / parts).cast("int") - 1))
+    cuts = cuts.select(*keys, F.array_sort(thin).alias("__cuts"))
+    rows = counted.join(sizes.drop("__d").join(cuts, keys, "left"), keys).withColumn("part", F.lit(0))
+    half = (CUTS + 1) // 2
+    while half:  # binary search: how many splitters lie below the value
+        below = F.get("__cuts", F.col("part") + half - 1) < v
+        rows = rows.withColumn("part", F.when(below, F.col("part") + half).otherwise(F.col("part")))
+        half //= 2
+    return rows.drop("__cuts")
 
 
 def _counted_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per (group, distinct value): ``n`` rows, ``before`` rows below it, group ``total``."""
-    keys = list(keys)
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bucket", value_bucket(F.col(value)))
-    )
-    by_bucket = counted.groupBy(*keys, "bucket").agg(F.sum("n").alias("bucket_n"))
-    part = keys or [F.lit(0)]
-    earlier = W.partitionBy(*part).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    # The window below sees one row per bucket of a group, not the group itself.
-    by_bucket = by_bucket.withColumn(
-        "bucket_before", F.coalesce(F.sum("bucket_n").over(earlier), F.lit(0))
-    ).withColumn("total", F.sum("bucket_n").over(W.partitionBy(*part)))
-    inside = W.partitionBy(*keys, "bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return counted.join(by_bucket, [*keys, "bucket"]).withColumn(
-        "before", F.col("bucket_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    )
+    group = list(keys) or ["__all"]
+    rows = df.filter(F.col(value).isNotNull())
+    if not keys:
+        rows = rows.withColumn("__all", F.lit(0))
+    counted = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
+    cut = _cut(counted, group, value)
+    by_part = cut.groupBy(*group, "part").agg(F.sum("n").alias("__part_n"))
+    # This window sees one row per part of a group, the next one the values of one part.
+    earlier = W.partitionBy(*group).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    by_part = by_part.withColumn("__part_before", F.coalesce(F.sum("__part_n").over(earlier), F.lit(0)))
+    inside = W.partitionBy(*group, "part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    out = cut.join(by_part, [*group, "part"]).withColumn(
+        "before", F.col("__part_before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return out.select(*keys, value, "n", "before", "total")
+
+
+def row_positions(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str) -> DataFrame:
+    """``df`` plus ``out``, the rank from 1 by descending ``value`` and ascending ``tie`` within a group, without a window over the group.
+
+    Rows need a value and a tie, both numbers; rows equal in both share a rank.
+    """
+    first = _counted_positions(df, keys, value).select(*keys, value, (F.col("total") - F.col("before") - F.col("n")).alias("__ahead"))
+    second = _counted_positions(df, [*keys, value], tie).select(*keys, value, tie, F.col("before").alias("__same"))
+    rows = df.join(second, [*keys, value, tie]).join(first, [*keys, value])
+    return rows.withColumn(out, (F.col("__ahead") + F.col("__same") + 1).cast("int")).drop("__ahead", "__same")
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:

@@ -21,6 +21,7 @@ from peakwise.operators import transforms as T
 from peakwise.operators.search import library_search
 from peakwise.plans import selection as _selection  # noqa: F401
 from peakwise.plans.registry import QUERIES
+from peakwise import skew
 from peakwise.session import scratch_dir
 from peakwise.skew import average_rank, exact_quantiles
 from peakwise.sources import msp, sinks
@@ -281,3 +282,29 @@ def test_quality_gate_stops_the_job(spark):
     assert not report.first()["passed"]
     with pytest.raises(Exception, match="quality gate"):
         A.assert_quality(report).collect()
+
+
+def test_exact_ranks_in_a_dense_zone(spark, monkeypatch):
+    """A million values within a tenth are cut into over a hundred parts; ranks and quantiles stay exact."""
+    n = 1_000_000
+    value = 300.0 + F.pmod(F.col("id") * 7919, F.lit(n)) / (10.0 * n)
+    df = spark.range(n).select(F.when(F.col("id") % 1000 == 0, 2).otherwise(1).alias("g"), value.alias("v"))
+    counted = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    sizes = skew._cut(counted, ["g"], "v").filter("g = 1").groupBy("part").count().toPandas()["count"]
+    assert len(sizes) > 90 and sizes.max() < 3 * skew.PART_VALUES
+    monkeypatch.setattr(skew, "PART_VALUES", 2_000)
+    assert skew._cut(counted, ["g"], "v").filter("g = 1").select("part").distinct().count() > 400
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", {"q": 0.37}).collect()}
+    plain = df.toPandas()
+    for g, part in plain.groupby("g"):
+        assert got[g].n == len(part) and got[g].q == pytest.approx(np.quantile(part.v, 0.37), abs=1e-12)
+
+
+def test_row_positions(spark, monkeypatch):
+    monkeypatch.setattr(skew, "PART_VALUES", 7)
+    rng = random.Random(8)
+    rows = [(g, rng.choice([0.0, 0.5, -1.25, rng.random()]), i) for i in range(400) for g in ([1] if i % 3 else [1, 2])]
+    got = skew.row_positions(spark.createDataFrame(rows, "g int, v double, i long"), ["g"], "v", "i", "r").collect()
+    for g in (1, 2):
+        want = {i: r for r, (_, i) in enumerate(sorted((-v, i) for h, v, i in rows if h == g), 1)}
+        assert {r.i: r.r for r in got if r.g == g} == want
