@@ -38,12 +38,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from peakwise.llm.common import stored
+from peakwise.llm.common import set_aside, stored
 
 NGRAM = 3
 PERCENT = 90
 # Sets and n-grams of one block, the bound of what one task joins at a time.
 BLOCK = 4096
+TOKENS_AT_A_TIME = 1_000_000
 BLOCK_NGRAMS = 4_000_000
 # Sets of one run of rows whose keys are gathered before the shuffle.
 RUN = 2048
@@ -189,20 +190,27 @@ def _class_id(tokens: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(tokens.tobytes())], dtype=np.uint64).view(np.int64)[0])
 
 
+def row_hash() -> Column:
+    """What tells rows with different ids or texts apart, ids and texts that are missing included."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
 def document_sets(docs: DataFrame, n: int = NGRAM) -> DataFrame:
-    """``doc_id, n_shingles, class`` of each row; equal sets have the same class."""
+    """``doc_id, n_shingles, class, row`` of each row; equal sets have the same class, equal rows the same ``row``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                found = [ngram_set(text, n) for text in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(t) for t in found], type=pa.int64()),
-                     pa.array([_class_id(t) for t in found], type=pa.int64())], ["doc_id", "n_shingles", "class"])
+            sizes, classes = [], []
+            for text in batch.column(1):  # one text and its set at a time
+                found = ngram_set(text.as_py(), n)
+                sizes.append(len(found))
+                classes.append(_class_id(found))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, type=pa.int64()), pa.array(classes, type=pa.int64()), batch.column(2)],
+                ["doc_id", "n_shingles", "class", "row"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, class long")
+    return docs.select("doc_id", "text", row_hash()).mapInArrow(run, f"doc_id {kind}, n_shingles long, class long, row long")
 
 
 def class_keys(docs: DataFrame, n: int, link: Link, counts: np.ndarray | None = None) -> DataFrame:
@@ -449,40 +457,51 @@ def _undecided(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, prefix: bool = False, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``.
+    """``doc_id, n_shingles, component_id`` for every row of ``docs``; see ``row_components``."""
+    return row_components(docs, n, percent, prefix, block).select("doc_id", "n_shingles", "component_id")
+
+
+def row_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, prefix: bool = False, block: int = BLOCK) -> DataFrame:
+    """``doc_id, n_shingles, component_id, component, row`` for every row of ``docs``.
 
     ``component_id`` is the smallest id reachable by links, the row's own
     included.  A row without words (NULL or empty text) links with nothing.
     ``prefix``: sets are grouped by the first n-grams in the global order
     instead of by parts; better where n-grams are long and ``percent`` is low.
-    Both ways give the same result.  Rows with equal sets are linked, also repeated rows; a NULL id has no part
-    in the smallest id, and is itself given the component of its set.  Other
+    Both ways give the same result.  Rows with equal sets are linked, also repeated rows; rows with a NULL id link
+    others, but the smallest id is that of a row that has one, NULL if none has.  ``component`` numbers the components,
+    ``row`` is the hash of id and text.  Other
     columns are not looked at.  Empty tables give no rows.  N-grams and sets are told apart by 64-bit hashes.
     """
     link = Link(percent)
     sets = stored(document_sets(docs, n), "jaccard-sets")
     shared = stored(shared_keys(docs, n, link, prefix), "jaccard-shared")
-    first = sets.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
+    first = sets.filter("n_shingles > 0").groupBy("class").agg(
+        F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.max("n_shingles").alias("n_shingles"))
     if prefix:
         shared = without_common_keys(shared, first.select("class", "n_shingles"), link)
         several = shared.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("key")
         shared = stored(shared.join(several, "key"), "jaccard-shared")
     candidates = shared.select("class").distinct()
     first = first.drop("n_shingles")
-    chosen = stored(candidates.join(first, "class").filter("doc_id IS NOT NULL"), "jaccard-chosen")
+    chosen = stored(candidates.join(first.select("class", "row"), "class"), "jaccard-chosen")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                found = [ngram_set(t, n) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_class_id(t) for t in found], type=pa.int64()), _lists(found)],
-                                                 ["class", "own", "tokens"])
+            start, found, size = 0, [], 0
+            for i, text in enumerate(batch.column(1)):
+                found.append(ngram_set(text.as_py(), n))
+                size += len(found[-1])
+                if size >= TOKENS_AT_A_TIME or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(start, len(found)), pa.array([_class_id(t) for t in found], type=pa.int64()), _lists(found)],
+                        ["class", "own", "tokens"])
+                    start, found, size = i + 1, [], 0
 
     # Always by a merge join: how many texts are chosen grows with the data.
-    texts = docs.select("doc_id", "text").join(chosen.hint("merge"), "doc_id").select("class", "text")
+    texts = docs.select(row_hash().alias("row"), "text").join(chosen.hint("merge"), "row").select("class", "text")
     full = texts.mapInArrow(tokens, "class long, own long, tokens array<long>")
-    # An id that repeats with other texts brings other sets along: only the class's own one counts.
+    # Rows may be repeated, and hashes of rows may meet: only the class's own set counts, once.
     full = stored(full.filter("class = own").dropDuplicates(["class"]).select("class", "tokens"), "jaccard-full")
 
     links, labels, pending, previous, pairwise = None, None, _undecided(shared, None), None, False
@@ -530,15 +549,27 @@ def jaccard_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT,
         least = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
         classes = classes.join(least, "component")
     else:
-        classes = classes.withColumnRenamed("least_id", "component_id")
-    joined = sets.select("doc_id", "n_shingles", "class").join(classes.select("class", "component_id"), "class", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        classes = classes.select("class", F.col("class").alias("component"), F.col("least_id").alias("component_id"))
+    joined = sets.join(classes.select("class", "component", "component_id"), "class", "left")
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return joined.select("doc_id", "n_shingles", own.alias("component_id"), "component", "row")
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with the columns of ``docs``.
+    """One row of each component of ``docs``, that with the smallest id, with the columns of ``docs``.
 
-    Rows that share an id share its fate; rows with a NULL id stay.
+    Of rows with one id the one with the smallest hash of its text stays, of repeated rows any one; rows without an id
+    come after all others.  Rows without words link with nothing and stay.
     """
-    dropped = jaccard_components(docs, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(stored(dropped, "jaccard-dropped"), F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    rows = stored(row_components(docs, **options).filter("n_shingles > 0"), "jaccard-rows")
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("best"))
+    kept = rows.join(best, "component").filter(F.col("row") == F.col("best.row")).groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    kept = stored(kept, "jaccard-kept")
+    renamed, back = set_aside(docs, ["row_hash"])
+    renamed = renamed.withColumn("row_hash", row_hash())
+    gone = stored(rows.select("row").distinct().join(kept, "row", "left_anti").select(F.col("row").alias("row_hash")), "jaccard-dropped")
+    again = kept.filter("n > 1").select(F.col("row").alias("row_hash"))
+    left = renamed.join(gone, "row_hash", "left_anti")
+    # Repeated rows are few or one hot row: they alone are looked at twice, and merged before they move.
+    once = left.join(again, "row_hash", "left_anti").select(*back)
+    return once.unionByName(left.join(again, "row_hash", "left_semi").dropDuplicates(["row_hash"]).select(*back))

@@ -28,6 +28,7 @@ SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 100_000_000
 PIECE_BYTES = 2048
 DICTIONARY_BYTES = 64 * 1024
+TRAINING_BYTES = 100 * DICTIONARY_BYTES  # pieces a dictionary is trained on
 LEVEL = 3
 FRAME_BYTES = 6  # what every piece costs before its content
 
@@ -36,14 +37,15 @@ def _pieces(data: bytes) -> list[bytes]:
     return [data[i:i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
 
 
-def _dictionary(texts: list[str]) -> bytes:
-    """A trained dictionary; the plain text where there is too little to train on."""
-    samples, size = [], 0
-    for text in texts:
-        for piece in _pieces(text.encode("utf-8", "replace")):
-            if size < 100 * DICTIONARY_BYTES:
-                samples.append(piece)
-                size += len(piece)
+def _dictionary(texts: list[str], training_bytes: int = TRAINING_BYTES) -> bytes:
+    """A trained dictionary; the plain text where there is too little to train on.
+
+    Of more than ``training_bytes`` of text, pieces at equal distances through all texts are taken.
+    """
+    samples = [piece for text in texts for piece in _pieces(text.encode("utf-8", "replace"))]
+    room = max(1, training_bytes // PIECE_BYTES)
+    if len(samples) > room:
+        samples = [samples[i * len(samples) // room] for i in range(room)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, d=8, k=256, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -90,7 +92,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, least: float =
     return w
 
 
-def fit_compression(labels: list[int], texts: list[str], share_good: float) -> bytes:
+def fit_compression(labels: list[int], texts: list[str], share_good: float, training_bytes: int = TRAINING_BYTES) -> bytes:
     """The pickled model: dictionaries of each class, and the calibration.
 
     The calibration sees every text with dictionaries made from the other half
@@ -105,7 +107,7 @@ def fit_compression(labels: list[int], texts: list[str], share_good: float) -> b
         return pickle.dumps({"constant": share_good})
     features, truth = [], []
     for seen in (0, 1):
-        pair = [_dictionary(halves[c][seen]) for c in (1, 0)]
+        pair = [_dictionary(halves[c][seen], training_bytes) for c in (1, 0)]
         if min(map(len, pair)) < 8:
             return pickle.dumps({"constant": share_good})
         sizes = _Sizes(*pair)
@@ -116,17 +118,24 @@ def fit_compression(labels: list[int], texts: list[str], share_good: float) -> b
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     weights = _logistic(_terms(x, mean, scale), y)
     weights[0] += np.log(share_good / (1 - share_good)) - np.log(y.mean() / (1 - y.mean()))
-    good, bad = (_dictionary(halves[c][0] + halves[c][1]) for c in (1, 0))
+    good, bad = (_dictionary(halves[c][0] + halves[c][1], training_bytes) for c in (1, 0))
     return pickle.dumps({"good": good, "bad": bad, "mean": mean, "scale": scale, "weights": weights})
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, column: str = "quality", rows_per_class: int = SAMPLE_ROWS) -> bytes:
-    """A model fitted on at most ``rows_per_class`` labelled texts of each class."""
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, column: str = "quality", rows_per_class: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS,
+    training_bytes: int = TRAINING_BYTES,
+) -> bytes:
+    """A model fitted on a bounded sample of the labelled texts.
+
+    The bounds: ``rows_per_class`` texts of each class, first by hash; ``max_chars`` characters of all of them, of which
+    the texts that do not fit are left out; ``training_bytes`` of pieces for a dictionary, dealt over all texts kept.
+    """
     known = known_labels(labels, column)
     n_good, n = known.agg(F.sum("label"), F.count(F.lit(1))).first()
     share = ((n_good or 0) + 0.5) / (n + 1.0)
     sample = sampled_texts(docs, *[(known.filter(F.col("label") == c), c, rows_per_class) for c in (0, 1)])
-    return fit_in_task(sample, partial(fit_compression, share_good=share), 2 * rows_per_class, SAMPLE_CHARS)
+    return fit_in_task(sample, partial(fit_compression, share_good=share, training_bytes=training_bytes), 2 * rows_per_class, max_chars)
 
 
 def score_quality(docs: DataFrame, model: bytes, out: str = "score") -> DataFrame:

@@ -25,13 +25,25 @@ from peakwise.llm.common import stored
 QUERY_BLOCK = 2048
 CANDIDATE_BLOCK = 2048
 ROUND_BITS = 10
+EXACT = float(1 << 53)  # products of norms below this have exact scores as doubles
+BOUND = 1 << 61  # scores beyond count as this
+
+
+def _exact_scores(queries: np.ndarray, candidates: np.ndarray, found: np.ndarray) -> None:
+    """Scores of pairs too large for doubles, by whole numbers, in place."""
+    reach = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(candidates, axis=1)[None, :]
+    rows, at = np.nonzero(reach >= EXACT)
+    wide_q = {i: [int(x) for x in queries[i]] for i in set(rows.tolist())}
+    wide_c = {i: [int(x) for x in candidates[i]] for i in set(at.tolist())}
+    for i, j in zip(rows.tolist(), at.tolist()):
+        found[i, j] = max(-BOUND, min(BOUND, sum(a * b for a, b in zip(wide_q[i], wide_c[j]))))
 
 
 def integer_vectors(df: DataFrame, scale: float = 256.0) -> DataFrame:
     """``vec_id, vector`` with ``floor(scale * x)`` of each component, x as double.
 
     Rows whose id or vector is NULL, or whose vector holds a NULL or a value
-    that is not finite, are left out.
+    that is not finite, are left out.  Values beyond the range of a long count as its end.
     """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     usable = df.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True)))
@@ -63,7 +75,7 @@ class _Block:
             self.vectors[i, :len(row["vector"])] = row["vector"]
         self.k = k
         # No score is further from 0 than the product of the norms.
-        reach = int(np.ceil(np.sqrt((self.vectors ** 2).sum(axis=1).max()) * norm)) + 1
+        reach = int(min(np.ceil(np.sqrt((self.vectors ** 2).sum(axis=1).max()) * norm * (1 + 1e-9)), BOUND)) + 1
         self.shift = max(0, (2 * reach + 1).bit_length() - ROUND_BITS)
         self.low = np.full(len(rows), -reach, dtype=np.int64)
 
@@ -72,7 +84,11 @@ class _Block:
         for start in range(0, batch.num_rows, CANDIDATE_BLOCK):
             part = batch.slice(start, CANDIDATE_BLOCK)
             ids = part.column(0).to_numpy()
-            found = (self.vectors @ _matrix(part.column(1), self.width).T).astype(np.int64)
+            candidates = _matrix(part.column(1), self.width)
+            raw = self.vectors @ candidates.T
+            found = np.clip(raw, -EXACT, EXACT).astype(np.int64)
+            if part.num_rows and np.abs(candidates).max(initial=0) * np.abs(self.vectors).max(initial=0) * self.width >= EXACT:
+                _exact_scores(self.vectors, candidates, found)
             order = np.argsort(self.ids, kind="stable")
             at = np.searchsorted(self.ids[order], ids)
             own = (at < len(order)) & (self.ids[order[np.minimum(at, len(order) - 1)]] == ids)
@@ -147,7 +163,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     another id (all results, if fewer than k).  Repeated candidate rows count
     one by one; a query id that repeats is asked once, with its smallest
     vector.  A shorter vector counts as followed by zeros.  Without queries or
-    candidates the result is empty.  Scores are exact below 2^53.
+    candidates the result is empty.  Scores are exact; beyond 2^61 they count as 2^61.
     """
     vectors = vectors.select("vec_id", "vector")
     squares = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)

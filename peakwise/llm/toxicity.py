@@ -111,9 +111,10 @@ def fit_toxicity_sample(marks: list[int], texts: list[str], prior: float) -> byt
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, column: str = "toxic", toxic_rows: int = TOXIC_ROWS, unlabelled_rows: int = UNLABELLED_ROWS
+    docs: DataFrame, labels: DataFrame, column: str = "toxic", toxic_rows: int = TOXIC_ROWS, unlabelled_rows: int = UNLABELLED_ROWS,
+    max_chars: int = SAMPLE_CHARS,
 ) -> bytes:
-    """A model from at most ``toxic_rows`` confirmed and ``unlabelled_rows`` unlabelled texts.
+    """A model from at most ``toxic_rows`` confirmed and ``unlabelled_rows`` unlabelled texts of ``max_chars`` characters together.
 
     Unlabelled texts are rows of ``labels`` whose label is not looked at; the
     class prior is the share of toxic rows among all of ``labels``.
@@ -122,7 +123,7 @@ def fit_toxicity(
     n_toxic, n = known.agg(F.sum("label"), F.count(F.lit(1))).first()
     prior = min(max(((n_toxic or 0) + 0.5) / (n + 1.0), 1e-6), 0.95)
     sample = sampled_texts(docs, (known.filter(F.col("label") == 1), 1, toxic_rows), (known, 0, unlabelled_rows))
-    return fit_in_task(sample, partial(fit_toxicity_sample, prior=prior), toxic_rows + unlabelled_rows, SAMPLE_CHARS)
+    return fit_in_task(sample, partial(fit_toxicity_sample, prior=prior), toxic_rows + unlabelled_rows, max_chars)
 
 
 def score_toxicity(docs: DataFrame, model: bytes, out: str = "score") -> DataFrame:

@@ -319,6 +319,40 @@ def test_jaccard_empty(empty, spark):
     assert sorted(jaccard.jaccard_components(odd).collect(), key=str) == sorted([(None, 2, 3), (3, 2, 3), (None, 0, None), (4, 2, 3)], key=str)
 
 
+def test_links_through_texts_without_an_id(spark):
+    """Documents 1 and 2 are linked only through a text whose row has no id."""
+    w = [f"w{i}" for i in range(103)]
+    near = [" ".join(["x"] * k + w[k:]) for k in (0, 4, 8)]  # one step apart at 0.9, two steps not
+    rows = [(1, near[0]), (None, near[1]), (2, near[2]), (None, "alone without an id and of other words"), (7, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard.jaccard_components(docs).select("doc_id", "component_id").collect()), key=str)
+    assert got == sorted([(1, 1), (None, 1), (2, 1), (None, None), (7, 7), (None, None)], key=str)
+    kept = jaccard.keep_one_of_each(docs, n=3, percent=90)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[3], rows[4], rows[5]], key=str)
+
+
+def test_survivors_are_rows(spark):
+    """An id that repeats with another text keeps that text; repeated rows leave one."""
+    w = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, w, "a"), (2, w, "a"), (2, "quite another text under this id", "b"), (5, "said again and again", "c"), (5, "said again and again", "c"), (6, "", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_hash string")
+    kept = jaccard.keep_one_of_each(docs, n=5, percent=80, prefix=True)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2], rows[3], rows[5]]
+
+
+def test_dictionary_sees_every_text(monkeypatch):
+    """Texts late in the sample reach the dictionary though the texts before them fill the bound many times."""
+    seen = []
+    monkeypatch.setattr(quality.zstandard, "train_dictionary", lambda size, samples, **_: seen.extend(samples) or quality.zstandard.ZstdCompressionDict(b"d" * 8))
+    texts = [chr(97 + i) * 20_000 for i in range(26)]
+    quality._dictionary(texts, training_bytes=60 * 2048)
+    assert len(seen) == 60 and {s[:1].decode() for s in seen} == {t[0] for t in texts}
+    seen.clear()
+    quality._dictionary(["short", "texts"], training_bytes=60 * 2048)
+    assert seen == [b"short", b"texts"]
+
+
+
 def test_components_with_several_tasks(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(200)]

@@ -41,3 +41,22 @@ def test_few_candidates_and_none(spark):
 def test_wide_range_of_scores(spark):
     rng = random.Random(2)
     check(spark, [(i, [rng.uniform(-1, 1) * 10 ** rng.randint(-3, 3) for _ in range(4)]) for i in range(60)], k=4)
+
+
+def test_huge_components(spark):
+    """Scores beyond doubles are whole numbers; what does not fit counts as the bound."""
+    def whole(x):
+        return max(-(1 << 63), min((1 << 63) - 1, math.floor(256.0 * x)))
+
+    rng = random.Random(6)
+    rows = [(i, [rng.choice([1.0, -1.0]) * rng.uniform(1, 9) * 10 ** rng.randint(0, 6) for _ in range(4)]) for i in range(30)]
+    rows += [(35, [1e38, 1.0, 0.0, 0.0]), (40, [-1e38, 1e38, 2.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = {i: [int(float(whole(x))) for x in v] for i, v in rows}
+    want = []
+    for q in vectors:
+        if q % 5 == 0:
+            score = {i: max(-topk.BOUND, min(topk.BOUND, sum(a * b for a, b in zip(vectors[q], v)))) for i, v in vectors.items() if i != q}
+            want += [(q, rank, i, score[i]) for rank, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:5], 1)]
+    got = topk.top_k(topk.integer_vectors(frame), F.col("vec_id") % 5 == 0)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
