@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from peakwise.operators.metrics import cosine_expr
 from peakwise.operators.transforms import ID, TINY
-from peakwise.skew import exact_quantiles
+from peakwise.skew import cut_groups, exact_quantiles
 
 MIN_RELATIVE_MZ = 200.0
 
@@ -61,41 +61,34 @@ def range_join(
     return l_rows.join(r_rows, cond, how).drop("__bucket", "__rb", *[f"__r_{k}" for k in keys])
 
 
-def nearest_distance(
-    true: DataFrame, cand: DataFrame, keys: Sequence[str] = ID, zone_width: float = 5.0
-) -> DataFrame:
+def nearest_distance(true: DataFrame, cand: DataFrame, keys: Sequence[str] = ID) -> DataFrame:
     """``true`` rows plus ``distance`` to the closest candidate m/z (NULL without candidates).
 
-    Two levels: neighbours inside a zone come from a window over that zone,
-    neighbours further away from a window over the zones of a spectrum, which
-    are few because the m/z axis is.
+    A sweep over the distinct m/z values of both sides in parts of bounded
+    size, cut where the values lie (``cut_groups``): each part hands its last
+    candidate on to the next ones and its first to those before.  Rows without
+    m/z or key are left out.
     """
-    zone = F.floor(F.col("mz") / F.lit(zone_width))
-    extra = [c for c in true.columns if c not in (*keys, "mz")]
+    keys = list(keys)
     none = F.lit(None).cast("double")
-    t = true.select(*keys, "mz", *extra, F.lit(1).alias("__true"), none.alias("__cand"))
-    c = cand.select(*keys, "mz").distinct().select(
-        *keys, "mz", *[F.lit(None).cast(true.schema[x].dataType).alias(x) for x in extra],
-        F.lit(0).alias("__true"), F.col("mz").alias("__cand"))
-    both = t.unionByName(c).withColumn("__zone", zone)
-    zones = both.groupBy(*keys, "__zone").agg(F.min("__cand").alias("lo"), F.max("__cand").alias("hi"))
-    per_key = W.partitionBy(*keys).orderBy("__zone")
-    zones = zones.select(
-        *keys, "__zone",
+    both = true.select(*keys, "mz", none.alias("__cand")).unionByName(cand.select(*keys, "mz", F.col("mz").cast("double").alias("__cand")))
+    values = both.filter(F.col("mz").isNotNull()).groupBy(*keys, "mz").agg(F.count(F.lit(1)).alias("n"), F.max("__cand").alias("__cand"))
+    cut = cut_groups(values, keys, "mz")
+    parts = cut.groupBy(*keys, "part").agg(F.min("__cand").alias("lo"), F.max("__cand").alias("hi"))
+    per_key = W.partitionBy(*keys).orderBy("part")  # the parts of a group are bounded in number
+    parts = parts.select(
+        *keys, "part",
         F.last("hi", ignorenulls=True).over(per_key.rowsBetween(W.unboundedPreceding, -1)).alias("__far_below"),
-        F.first("lo", ignorenulls=True).over(per_key.rowsBetween(1, W.unboundedFollowing)).alias("__far_above"),
+        F.last("lo", ignorenulls=True).over(W.partitionBy(*keys).orderBy(F.col("part").desc()).rowsBetween(W.unboundedPreceding, -1)).alias("__far_above"),
     )
-    inside = W.partitionBy(*keys, "__zone")
-    below = F.last("__cand", ignorenulls=True).over(
-        inside.orderBy("mz", "__true").rowsBetween(W.unboundedPreceding, 0))
-    above = F.last("__cand", ignorenulls=True).over(
-        inside.orderBy(F.col("mz").desc(), "__true").rowsBetween(W.unboundedPreceding, 0))
-    rows = both.withColumn("__below", below).withColumn("__above", above).filter("__true = 1")
-    rows = rows.join(zones, [*keys, "__zone"])
+    inside = W.partitionBy(*keys, "part")
+    below = F.last("__cand", ignorenulls=True).over(inside.orderBy("mz").rowsBetween(W.unboundedPreceding, 0))
+    above = F.last("__cand", ignorenulls=True).over(inside.orderBy(F.col("mz").desc()).rowsBetween(W.unboundedPreceding, 0))
+    swept = cut.withColumn("__below", below).withColumn("__above", above).join(parts, [*keys, "part"])
     distance = F.least(
-        F.col("mz") - F.coalesce("__below", "__far_below"), F.coalesce("__above", "__far_above") - F.col("mz")
-    )
-    return rows.select(*keys, "mz", *extra, distance.alias("distance"))
+        F.col("mz") - F.coalesce("__below", "__far_below"), F.coalesce("__above", "__far_above") - F.col("mz"))
+    return true.join(swept.select(*keys, "mz", distance.alias("distance")), [*keys, "mz"]).select(
+        *keys, "mz", *[c for c in true.columns if c not in (*keys, "mz")], "distance")
 
 
 TOLERANCES = (0.002, 0.005, 0.01, 0.02, 0.05, 0.10)

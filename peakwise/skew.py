@@ -36,7 +36,7 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> Dat
     return df.join(totals, list(keys))
 
 
-def _cut(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
+def cut_groups(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``counted`` plus ``part``, which never decreases with the value inside a group, and the group's ``total``.
 
     The splitters come from a mergeable sketch, so parts of a group hold about
@@ -67,7 +67,7 @@ def _counted_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFr
     if not keys:
         rows = rows.withColumn("__all", F.lit(0))
     counted = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    cut = _cut(counted, group, value)
+    cut = cut_groups(counted, group, value)
     by_part = cut.groupBy(*group, "part").agg(F.sum("n").alias("__part_n"))
     # This window sees one row per part of a group, the next one the values of one part.
     earlier = W.partitionBy(*group).orderBy("part").rowsBetween(W.unboundedPreceding, -1)

@@ -290,10 +290,10 @@ def test_exact_ranks_in_a_dense_zone(spark, monkeypatch):
     value = 300.0 + F.pmod(F.col("id") * 7919, F.lit(n)) / (10.0 * n)
     df = spark.range(n).select(F.when(F.col("id") % 1000 == 0, 2).otherwise(1).alias("g"), value.alias("v"))
     counted = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-    sizes = skew._cut(counted, ["g"], "v").filter("g = 1").groupBy("part").count().toPandas()["count"]
+    sizes = skew.cut_groups(counted, ["g"], "v").filter("g = 1").groupBy("part").count().toPandas()["count"]
     assert len(sizes) > 90 and sizes.max() < 3 * skew.PART_VALUES
     monkeypatch.setattr(skew, "PART_VALUES", 2_000)
-    assert skew._cut(counted, ["g"], "v").filter("g = 1").select("part").distinct().count() > 400
+    assert skew.cut_groups(counted, ["g"], "v").filter("g = 1").select("part").distinct().count() > 400
     got = {r.g: r for r in exact_quantiles(df, ["g"], "v", {"q": 0.37}).collect()}
     plain = df.toPandas()
     for g, part in plain.groupby("g"):
@@ -308,3 +308,23 @@ def test_row_positions(spark, monkeypatch):
     for g in (1, 2):
         want = {i: r for r, (_, i) in enumerate(sorted((-v, i) for h, v, i in rows if h == g), 1)}
         assert {r.i: r.r for r in got if r.g == g} == want
+
+
+def test_nearest_distance_in_a_dense_zone(spark, monkeypatch):
+    """One spectrum with half of all peaks within 5 Da is swept in many parts; neighbours across their borders count."""
+    monkeypatch.setattr(skew, "PART_VALUES", 50)
+    rng = np.random.default_rng(2)
+    true = [(1, float(m), i) for i, m in enumerate(200 + 5 * rng.random(2000))] + [(s, float(m), 7) for s in (2, 3) for m in 1000 * rng.random(40)]
+    true += [(1, 200.0, 1), (1, 200.0, 2), (1, None, 3), (None, 5.0, 4), (4, 10.0, 5)]
+    cand = [(1, float(m)) for m in 200 + 5 * rng.random(300)] + [(1, 990.0), (2, 3.0), (2, 3.0), (5, 1.0), (3, None), (3, 500.0)]
+    df = spark.createDataFrame(true, "spectrum_id long, mz double, extra int")
+    got = J.nearest_distance(df, spark.createDataFrame(cand, "spectrum_id long, mz double"))
+    want = []
+    for s, m, extra in true:
+        if s is not None and m is not None:
+            gaps = [abs(m - c) for t, c in cand if t == s and c is not None]
+            want.append((s, m, extra, round(min(gaps), 9) if gaps else None))
+    rows = [(r.spectrum_id, r.mz, r.extra, None if r.distance is None else round(r.distance, 9)) for r in got.collect()]
+    assert sorted(rows, key=str) == sorted(want, key=str)
+    counted = df.filter("mz IS NOT NULL").groupBy("spectrum_id", "mz").agg(F.count(F.lit(1)).alias("n"))
+    assert skew.cut_groups(counted, ["spectrum_id"], "mz").filter("spectrum_id = 1").select("part").distinct().count() >= 30
