@@ -73,20 +73,21 @@ def nearest_distance(true: DataFrame, cand: DataFrame, keys: Sequence[str] = ID)
     none = F.lit(None).cast("double")
     both = true.select(*keys, "mz", none.alias("__cand")).unionByName(cand.select(*keys, "mz", F.col("mz").cast("double").alias("__cand")))
     values = both.filter(F.col("mz").isNotNull()).groupBy(*keys, "mz").agg(F.count(F.lit(1)).alias("n"), F.max("__cand").alias("__cand"))
-    cut = cut_groups(values, keys, "mz")
-    parts = cut.groupBy(*keys, "part").agg(F.min("__cand").alias("lo"), F.max("__cand").alias("hi"))
-    per_key = W.partitionBy(*keys).orderBy("part")  # the parts of a group are bounded in number
-    parts = parts.select(
-        *keys, "part",
-        F.last("hi", ignorenulls=True).over(per_key.rowsBetween(W.unboundedPreceding, -1)).alias("__far_below"),
-        F.last("lo", ignorenulls=True).over(W.partitionBy(*keys).orderBy(F.col("part").desc()).rowsBetween(W.unboundedPreceding, -1)).alias("__far_above"),
-    )
+    cut, several = cut_groups(values, keys, "mz")
     inside = W.partitionBy(*keys, "part")
     below = F.last("__cand", ignorenulls=True).over(inside.orderBy("mz").rowsBetween(W.unboundedPreceding, 0))
     above = F.last("__cand", ignorenulls=True).over(inside.orderBy(F.col("mz").desc()).rowsBetween(W.unboundedPreceding, 0))
-    swept = cut.withColumn("__below", below).withColumn("__above", above).join(parts, [*keys, "part"])
-    distance = F.least(
-        F.col("mz") - F.coalesce("__below", "__far_below"), F.coalesce("__above", "__far_above") - F.col("mz"))
+    swept = cut.withColumn("__below", below).withColumn("__above", above)
+    if several:
+        parts = cut.groupBy(*keys, "part").agg(F.min("__cand").alias("lo"), F.max("__cand").alias("hi"))
+        per_key = W.partitionBy(*keys)  # the parts of a group are bounded in number
+        parts = parts.select(
+            *keys, "part",
+            F.last("hi", ignorenulls=True).over(per_key.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("__far_below"),
+            F.last("lo", ignorenulls=True).over(per_key.orderBy(F.col("part").desc()).rowsBetween(W.unboundedPreceding, -1)).alias("__far_above"))
+        swept = swept.join(parts, [*keys, "part"])
+        swept = swept.withColumns({"__below": F.coalesce("__below", "__far_below"), "__above": F.coalesce("__above", "__far_above")})
+    distance = F.least(F.col("mz") - F.col("__below"), F.col("__above") - F.col("mz"))
     return true.join(swept.select(*keys, "mz", distance.alias("distance")), [*keys, "mz"]).select(
         *keys, "mz", *[c for c in true.columns if c not in (*keys, "mz")], "distance")
 

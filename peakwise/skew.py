@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from peakwise.session import write_once
+
 # A group with more distinct values than PART_VALUES is cut into parts of about
 # that many, at most CUTS + 1, at splitters from a quantile sketch of the group.
 PART_VALUES = 10_000
@@ -36,28 +38,32 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> Dat
     return df.join(totals, list(keys))
 
 
-def cut_groups(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
+def cut_groups(counted: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, bool]:
     """``counted`` plus ``part``, which never decreases with the value inside a group, and the group's ``total``.
 
-    The splitters come from a mergeable sketch, so parts of a group hold about
-    equally many values however dense the values lie; where they lie exactly
-    changes no result.
+    ``counted`` (keys, value, n) is written once: its values are looked at before they are dealt.  The splitters
+    come from a mergeable sketch, so parts of a group hold about equally many values however dense the values lie;
+    where they lie exactly changes no result.  The second result tells whether any group has several parts.
     """
+    counted = write_once(counted, "counted-values")
     v = F.col(value).cast("double")
     sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("__d"), F.sum("n").alias("total"))
-    large = counted.join(sizes.filter(F.col("__d") > PART_VALUES).select(*keys, "__d"), keys)
+    large = sizes.filter(F.col("__d") > PART_VALUES)
+    if large.isEmpty():  # every group is one part
+        return counted.withColumns({"total": F.sum("n").over(W.partitionBy(*keys)), "part": F.lit(0)}), False
     shares = F.array(*[F.lit(i / (CUTS + 1)) for i in range(1, CUTS + 1)])
-    cuts = large.groupBy(*keys, "__d").agg(F.percentile_approx(v, shares, F.lit(SKETCH)).alias("__q"))
+    rows = counted.join(large.select(*keys, "__d"), keys)
+    cuts = rows.groupBy(*keys, "__d").agg(F.percentile_approx(v, shares, F.lit(SKETCH)).alias("__q"))
     parts = F.least(F.ceil(F.col("__d") / PART_VALUES), F.lit(CUTS + 1)).cast("int")
     thin = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.get("__q", F.floor(i * F.lit(CUTS + 1) / parts).cast("int") - 1))
-    cuts = cuts.select(*keys, F.array_sort(thin).alias("__cuts"))
+    cuts = write_once(cuts.select(*keys, F.array_sort(thin).alias("__cuts")), "splitters")
     rows = counted.join(sizes.drop("__d").join(cuts, keys, "left"), keys).withColumn("part", F.lit(0))
     half = (CUTS + 1) // 2
     while half:  # binary search: how many splitters lie below the value
         below = F.get("__cuts", F.col("part") + half - 1) < v
         rows = rows.withColumn("part", F.when(below, F.col("part") + half).otherwise(F.col("part")))
         half //= 2
-    return rows.drop("__cuts")
+    return rows.drop("__cuts"), True
 
 
 def _counted_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -66,27 +72,30 @@ def _counted_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFr
     rows = df.filter(F.col(value).isNotNull())
     if not keys:
         rows = rows.withColumn("__all", F.lit(0))
-    counted = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    cut = cut_groups(counted, group, value)
+    cut, several = cut_groups(rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n")), group, value)
+    # This window sees the values of one part, the next one a row per part of a group.
+    inside = W.partitionBy(*group, "part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(inside), F.lit(0))
+    if not several:
+        return cut.withColumn("before", before).select(*keys, value, "n", "before", "total")
     by_part = cut.groupBy(*group, "part").agg(F.sum("n").alias("__part_n"))
-    # This window sees one row per part of a group, the next one the values of one part.
     earlier = W.partitionBy(*group).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     by_part = by_part.withColumn("__part_before", F.coalesce(F.sum("__part_n").over(earlier), F.lit(0)))
-    inside = W.partitionBy(*group, "part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    out = cut.join(by_part, [*group, "part"]).withColumn(
-        "before", F.col("__part_before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    out = cut.join(by_part, [*group, "part"]).withColumn("before", F.col("__part_before") + before)
     return out.select(*keys, value, "n", "before", "total")
 
 
 def row_positions(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str) -> DataFrame:
     """``df`` plus ``out``, the rank from 1 by descending ``value`` and ascending ``tie`` within a group, without a window over the group.
 
-    Rows need a value and a tie, both numbers; rows equal in both share a rank.
+    Rows need a value and a tie, both numbers; rows equal in both share a rank.  Ties are only ranked where there are any.
     """
-    first = _counted_positions(df, keys, value).select(*keys, value, (F.col("total") - F.col("before") - F.col("n")).alias("__ahead"))
-    second = _counted_positions(df, [*keys, value], tie).select(*keys, value, tie, F.col("before").alias("__same"))
-    rows = df.join(second, [*keys, value, tie]).join(first, [*keys, value])
-    return rows.withColumn(out, (F.col("__ahead") + F.col("__same") + 1).cast("int")).drop("__ahead", "__same")
+    first = _counted_positions(df, keys, value).select(*keys, value, "n", (F.col("total") - F.col("before") - F.col("n")).alias("__ahead"))
+    rows = write_once(df.join(first, [*keys, value]), "ranked-rows")
+    tied = _counted_positions(rows.filter("n > 1"), [*keys, value], tie).select(*keys, value, tie, F.col("before").alias("__same"))
+    alone = rows.filter("n = 1").withColumn("__same", F.lit(0).cast("long"))
+    both = alone.unionByName(rows.filter("n > 1").join(tied, [*keys, value, tie]))
+    return both.withColumn(out, (F.col("__ahead") + F.col("__same") + 1).cast("int")).drop("__ahead", "__same", "n")
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
