@@ -449,14 +449,16 @@ def _(d):
     return out(C.annotation_support(annotated_peaks(d), p, bins), "in_pool", "in_bin")
 
 
-@query("j14_annotation_mass_delta", f"""WITH {ANNOTATED_SQL}, {POOL_SQL}, nf AS (SELECT f.k, f.mass, g.formula FROM fm f JOIN formulas g ON g.formula_id = f.k),
-t AS (SELECT an.spectrum_id, an.peak_no, an.mz, nf.formula, nf.mass FROM an JOIN nf ON nf.k = an.k),
-pf AS (SELECT spectrum_id, nf.formula, pmz FROM pool JOIN nf ON nf.k = pool.k),
-nr AS (SELECT t.spectrum_id, t.peak_no, t.formula, min(abs(pmz - mz)) AS nearest, count(*) AS n FROM t JOIN pf
-  ON pf.spectrum_id = t.spectrum_id AND pf.formula = t.formula GROUP BY 1, 2, 3)
+# Formulas with one text have one class, a whole number: the joins compare no texts.
+@query("j14_annotation_mass_delta", f"""WITH {ANNOTATED_SQL}, {POOL_SQL},
+nf AS MATERIALIZED (SELECT f.k, f.mass, g.formula, min(f.k) OVER (PARTITION BY g.formula) AS cls FROM fm f JOIN formulas g ON g.formula_id = f.k),
+t AS MATERIALIZED (SELECT an.spectrum_id, an.peak_no, an.mz, nf.formula, nf.mass, nf.cls FROM an JOIN nf ON nf.k = an.k),
+pf AS MATERIALIZED (SELECT spectrum_id, nf.cls, pmz FROM pool JOIN nf ON nf.k = pool.k),
+nr AS MATERIALIZED (SELECT t.spectrum_id, t.peak_no, t.cls, min(abs(pmz - mz)) AS nearest, count(*) AS n FROM t JOIN pf
+  ON pf.spectrum_id = t.spectrum_id AND pf.cls = t.cls GROUP BY 1, 2, 3)
 SELECT t.spectrum_id, t.peak_no, round(mz, 6) AS mz, t.formula, round(mass, 6) AS neutral_exact, round(mass - {K.ELECTRON_MASS}, 6) AS ion_exact,
   round(mz - (mass - {K.ELECTRON_MASS}), 6) AS delta, round(nearest, 6) AS nearest, n AS candidate_peak_n FROM t LEFT JOIN nr
-  ON nr.spectrum_id = t.spectrum_id AND nr.peak_no = t.peak_no AND nr.formula = t.formula""", "formulas")
+  ON nr.spectrum_id = t.spectrum_id AND nr.peak_no = t.peak_no AND nr.cls = t.cls""", "formulas")
 def _(d):
     rows = C.annotation_mass_delta(annotated_peaks(d), pool(d))
     return out(rows, "mz", "neutral_exact", "ion_exact", "delta", "nearest")

@@ -110,10 +110,17 @@ def _(d):
                        F.when(numeric, r6(F.col("value").cast("double"))).alias("number"))
 
 
-@query("io06_library_files")
+@query("io06_library_files", "SELECT concat('part=', spectrum_id % 4) AS folder, 1 AS files, 1 AS filled FROM peaks GROUP BY ALL", "peaks")
 def _(d):
-    path = library_path(d)
-    return IO.find_library_files(d.spark, path, ("*.txt",)).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    """A library of one file in each of four folders, found by pattern; what does not match it is not."""
+    path = scratch_dir(d.spark, "libraries")
+    text = msp.render_msp(d.spectra.select("spectrum_id", F.col("identifier").alias("name")), d.peaks)
+    part = F.pmod(F.regexp_extract("value", r"(?m)^ID: (\d+)", 1).cast("long"), F.lit(4))
+    text.withColumn("part", part).repartition("part").write.partitionBy("part").text(path)
+    text.limit(1).write.option("compression", "gzip").text(f"{path}/other")
+    found = IO.find_library_files(d.spark, path, ("part-*.txt",))
+    folder = F.element_at(F.split("path", "/"), -2)
+    return found.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.max((F.col("length") > 0).cast("int")).alias("filled"))
 
 
 @query("io07_structure_headers", """SELECT c_custkey AS mol_id, c_name AS name, 'src' AS source, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey * 7 AS varchar) END AS cas,
@@ -199,10 +206,29 @@ def _(d):
     return diag.join(values.distinct(), "identifier", "left_semi").select("identifier", "inchikey")
 
 
-@query("io15_manifest")
+def _manifest_sql(column: str) -> str:
+    return f"""SELECT '{column}' AS section, coalesce({column}, '<missing>') AS key, count(*) AS n FROM spectra GROUP BY ALL
+  QUALIFY row_number() OVER (ORDER BY count(*) DESC, key) <= 50
+UNION ALL SELECT 'distinct', '{column}', count(DISTINCT coalesce({column}, '<missing>')) FROM spectra"""
+
+
+@query("io15_manifest", f"""SELECT 'library' AS section, 'all' AS key, count(*) AS n FROM spectra
+UNION ALL ({_manifest_sql('adduct_raw')}) UNION ALL ({_manifest_sql('instrument_raw')})
+UNION ALL SELECT 'gate', 'checked', 1""", "spectra")
 def _(d):
+    """The manifest, written as JSON and read again: one row per number in it."""
     gate = A.peak_audit(A.peak_stage_counts(d.cand_peaks, 1.0))
-    return sinks.manifest(d.spectra, "library", {"adducts": "all"}, ["adduct_raw", "instrument_raw"], gate)
+    path = scratch_dir(d.spark, "manifest")
+    sinks.manifest(d.spectra, "library", {"adducts": "all"}, ["adduct_raw", "instrument_raw"], gate).write.text(path)
+    part = "struct<top:array<struct<n:long,value:string>>,distinct:long>"
+    schema = f"name string, rows long, filters struct<adducts:string>, distributions struct<adduct_raw:{part},instrument_raw:{part}>, gate struct<passed:boolean>"
+    read = d.spark.read.text(path).select(F.from_json("value", schema).alias("m")).select("m.*")
+    numbers = [F.array(F.struct(F.col("name").alias("section"), F.col("filters.adducts").alias("key"), F.col("rows").alias("n")),
+                       F.struct(F.lit("gate").alias("section"), F.lit("checked").alias("key"), F.col("gate.passed").isNotNull().cast("long").alias("n")))]
+    for c in ("adduct_raw", "instrument_raw"):
+        numbers.append(F.transform(f"distributions.{c}.top", lambda x, c=c: F.struct(F.lit(c).alias("section"), x["value"].alias("key"), x["n"].alias("n"))))
+        numbers.append(F.array(F.struct(F.lit("distinct").alias("section"), F.lit(c).alias("key"), F.col(f"distributions.{c}.distinct").alias("n"))))
+    return read.select(F.inline(F.flatten(F.array(*numbers))))
 
 
 @query("io16_sharded_read", "SELECT spectrum_id FROM spectra WHERE spectrum_id % 4 = 1", "spectra")
