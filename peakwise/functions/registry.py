@@ -57,9 +57,31 @@ SCALARS: dict[str, tuple[str, str, str]] = {
         "WHEN CAST(CAST(conv(substring(sha1(concat(seed, '|', k)), 1, 16), 16, 10) AS DECIMAL(20, 0)) AS DOUBLE) / 18446744073709551616D < 0.9D THEN 'val' ELSE 'test' END"),
 }
 
+_PAIRS = (
+    "filter(transform(split(regexp_replace(line, '\"[^\"]*\"', ''), ';'), t -> named_struct("
+    f"'mz', try_cast(nullif(regexp_extract(t, '^\\\\s*({_FLOAT})\\\\s+({_FLOAT})\\\\b', 1), '') AS DOUBLE), "
+    f"'intensity', try_cast(nullif(regexp_extract(t, '^\\\\s*({_FLOAT})\\\\s+({_FLOAT})\\\\b', 2), '') AS DOUBLE))), "
+    "p -> p.mz >= 0 AND p.mz < double('inf') AND p.intensity > 0 AND p.intensity < double('inf'))")
+
+# name -> (arguments, columns, query): table-valued functions, called with LATERAL; they are inlined like the others.
+TABLES: dict[str, tuple[str, str, str]] = {
+    "ms_peaks_of": (
+        "line STRING", "peak_no INT, mz DOUBLE, intensity DOUBLE",
+        f"SELECT pos, col.mz, col.intensity FROM (SELECT posexplode({_PAIRS}))"),
+    "ms_atoms_of": (
+        "f STRING", "element STRING, n INT",
+        f"SELECT t['0'], CAST(sum({_COUNT}) AS INT) FROM (SELECT explode({_TOKENS}) AS t) GROUP BY 1"),
+    "ms_bins_of": (
+        "mzs ARRAY<DOUBLE>, intensities ARRAY<DOUBLE>, width DOUBLE", "bin BIGINT, intensity DOUBLE",
+        "SELECT p.b, sum(p.i) FROM (SELECT explode(transform(mzs, (m, k) -> named_struct("
+        "'b', CAST(floor(m / width + 1e-8D) AS BIGINT), 'i', intensities[k]))) AS p) WHERE p.b IS NOT NULL AND p.i > 0 GROUP BY 1"),
+}
+
 
 def register(spark: SparkSession) -> list[str]:
     """Creates all functions in the session and returns their names."""
     for name, (args, returns, body) in SCALARS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {returns} RETURN {body}")
-    return sorted(SCALARS)
+    for name, (args, columns, body) in TABLES.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS TABLE ({columns}) RETURN {body}")
+    return sorted([*SCALARS, *TABLES])

@@ -207,8 +207,8 @@ def _(d):
 
 
 def _manifest_sql(column: str) -> str:
-    return f"""SELECT '{column}' AS section, coalesce({column}, '<missing>') AS key, count(*) AS n FROM spectra GROUP BY ALL
-  QUALIFY row_number() OVER (ORDER BY count(*) DESC, key) <= 50
+    return f"""SELECT * FROM (SELECT '{column}' AS section, coalesce({column}, '<missing>') AS key, count(*) AS n FROM spectra GROUP BY ALL)
+  QUALIFY row_number() OVER (ORDER BY n DESC, key) <= 50
 UNION ALL SELECT 'distinct', '{column}', count(DISTINCT coalesce({column}, '<missing>')) FROM spectra"""
 
 
@@ -222,11 +222,13 @@ def _(d):
     sinks.manifest(d.spectra, "library", {"adducts": "all"}, ["adduct_raw", "instrument_raw"], gate).write.text(path)
     part = "struct<top:array<struct<n:long,value:string>>,distinct:long>"
     schema = f"name string, rows long, filters struct<adducts:string>, distributions struct<adduct_raw:{part},instrument_raw:{part}>, gate struct<passed:boolean>"
-    read = d.spark.read.text(path).select(F.from_json("value", schema).alias("m")).select("m.*")
+    # Exploded, so that the document is parsed once and not once for every number.
+    read = d.spark.read.text(path).select(F.explode(F.array(F.from_json("value", schema))).alias("m")).select("m.*")
     numbers = [F.array(F.struct(F.col("name").alias("section"), F.col("filters.adducts").alias("key"), F.col("rows").alias("n")),
                        F.struct(F.lit("gate").alias("section"), F.lit("checked").alias("key"), F.col("gate.passed").isNotNull().cast("long").alias("n")))]
     for c in ("adduct_raw", "instrument_raw"):
-        numbers.append(F.transform(f"distributions.{c}.top", lambda x, c=c: F.struct(F.lit(c).alias("section"), x["value"].alias("key"), x["n"].alias("n"))))
+        top = F.transform(f"distributions.{c}.top", lambda x: F.struct(F.lit(c).alias("section"), x["value"].alias("key"), x["n"].alias("n")))  # noqa: B023
+        numbers.append(top)
         numbers.append(F.array(F.struct(F.lit("distinct").alias("section"), F.lit(c).alias("key"), F.col(f"distributions.{c}.distinct").alias("n"))))
     return read.select(F.inline(F.flatten(F.array(*numbers))))
 

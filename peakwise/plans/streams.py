@@ -72,6 +72,17 @@ def _(d):
     return ST.run_available(ST.drop_repeated_conditions(event_stream(d), "ts", key, "3650 days")).select("content_key")
 
 
+@query("t03_expiring_conditions", """WITH RECURSIVE e AS (SELECT sha1(concat('{"event_type":"', event_type, '","precursor_mz":"', format('{:.4f}', round(CAST(user_id AS double), 4)), '"}')) AS content_key, ts FROM events),
+p AS (SELECT content_key, min(ts) AS ts FROM e GROUP BY 1
+  UNION ALL SELECT e.content_key, min(e.ts) FROM p JOIN e ON e.content_key = p.content_key AND e.ts >= p.ts + INTERVAL 2 DAY GROUP BY e.content_key, p.ts)
+SELECT content_key, ts FROM p""")
+def _(d):
+    """A condition passes again once two days have gone by since it last passed."""
+    key = N.content_key(F.col("user_id").cast("double"), event_type=F.col("event_type"))
+    rows = ST.run_available(ST.suppress_repeats(event_stream(d), "ts", key, 2 * 86400, "10 minutes"))
+    return rows.select("content_key", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 @query("t04_idempotent_sink", "SELECT event_id, user_id FROM events")
 def _(d):
     """The same stream is delivered twice; every event is stored once."""
@@ -120,3 +131,34 @@ def _(d):
     d.spectra.createOrReplaceTempView("ms_spectra")
     return d.spark.sql("""SELECT ms_split(concat('inchikey:', inchikey), 42) AS split, ms_adduct(adduct_raw) AS adduct, count(*) AS n,
       round(avg(ms_nce_to_ev(30D, precursor_mz, 1)), 6) AS ev FROM ms_spectra GROUP BY 1, 2""")
+
+
+@query("u04_table_function_on_peak_lines", """WITH li AS (SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice / 100.0, 6) AS mz, CAST(l_quantity AS DOUBLE) AS i FROM lineitem)
+SELECT l_orderkey AS spectrum_id, l_linenumber AS line_no, l_partkey AS part, 0 AS peak_no, mz, i AS intensity FROM li
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 1, mz, 7.5 FROM li WHERE l_linenumber = 2""")
+def _(d):
+    register(d.spark)
+    mz, i, k = (F.col("l_extendedprice") / 100.0).cast("string"), F.col("l_quantity").cast("string"), F.col("l_linenumber")
+    line = F.concat(mz, F.lit(" "), i, F.when(k == 2, F.concat(F.lit('; rest ; '), mz, F.lit(" 7.5;"))).otherwise(F.lit(' "C2H5=p-CO 3/9"')))
+    lines = d.table("lineitem").select(F.col("l_orderkey").alias("spectrum_id"), k.alias("line_no"), F.col("l_partkey").alias("part"), line.alias("line"))
+    lines.withColumn("line", F.replace("line", F.lit(" rest ;"), F.lit(""))).createOrReplaceTempView("ms_lines")
+    return d.spark.sql("SELECT spectrum_id, line_no, part, p.peak_no, round(p.mz, 6) AS mz, p.intensity FROM ms_lines, LATERAL ms_peaks_of(line) AS p")
+
+
+@query("u05_table_function_on_formulas", """SELECT element, sum(n)::BIGINT AS n, count(*) AS formulas FROM (
+  SELECT 'C' AS element, p_size AS n FROM part UNION ALL SELECT 'H', 2 * p_size + 2 FROM part
+  UNION ALL SELECT 'N', p_partkey % 4 FROM part WHERE p_partkey % 4 > 0 UNION ALL SELECT 'O', p_partkey % 6 FROM part WHERE p_partkey % 6 > 0
+  UNION ALL SELECT 'Cl', 1 FROM part WHERE p_partkey % 11 = 0) GROUP BY 1""")
+def _(d):
+    register(d.spark)
+    d.formulas.createOrReplaceTempView("ms_formulas")
+    return d.spark.sql("SELECT a.element, sum(a.n) AS n, count(*) AS formulas FROM ms_formulas, LATERAL ms_atoms_of(formula) AS a GROUP BY a.element")
+
+
+@query("u06_table_function_on_spectra", f"WITH {BINNED_SQL} SELECT spectrum_id, bin, round(intensity, 6) AS intensity FROM binned", "peaks")
+def _(d):
+    register(d.spark)
+    arrays = d.peaks.filter("intensity > 0 AND mz < 1005").groupBy("spectrum_id").agg(F.collect_list(F.struct("mz", "intensity")).alias("p"))
+    arrays.select("spectrum_id", F.transform("p", lambda x: x["mz"]).alias("mzs"), F.transform("p", lambda x: x["intensity"]).alias("intensities")
+                  ).createOrReplaceTempView("ms_arrays")
+    return d.spark.sql("SELECT spectrum_id, b.bin, round(b.intensity, 6) AS intensity FROM ms_arrays, LATERAL ms_bins_of(mzs, intensities, 0.01D) AS b")

@@ -8,8 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from peakwise.functions import spectrum as S
 from peakwise.operators.matching import tolerance_bucket
@@ -53,6 +57,45 @@ def drop_repeated_conditions(events: DataFrame, time: str, content_key: Column,
     return rows.dropDuplicatesWithinWatermark(["content_key"])
 
 
+def suppress_repeats(events: DataFrame, time: str, content_key: Column, delay_seconds: float, late: str) -> DataFrame:
+    """(content_key, ``time``) of the rows of each condition that come ``delay_seconds`` or more after the last one that passed.
+
+    The state of a key is the time of its last row that passed.  It expires
+    once the watermark (``late`` behind the newest row) is past the delay, so
+    keys that do not return cost nothing; a key that returns then passes again.
+    Rows of a key inside one trigger are taken in order of time; one earlier
+    than the last that passed is a repeat.  Rows without a time are left out.
+    """
+    rows = events.filter(F.col(time).isNotNull()).select(F.coalesce(content_key, F.lit("")).alias("content_key"), F.col(time).alias(time))
+    wait = int(delay_seconds * 1_000_000)
+    schema = T.StructType([T.StructField("content_key", T.StringType()), T.StructField(time, T.TimestampType())])
+
+    def keep(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        # Times alone, eight bytes a row; whole rows are never held.
+        times = np.sort(np.concatenate([f[time].to_numpy().astype("datetime64[us]").astype(np.int64) for f in frames]))
+        passed, at = [], 0
+        while at < len(times):
+            if last is None or times[at] - last >= wait:
+                last = int(times[at])
+                passed.append(last)
+            at = int(np.searchsorted(times, last + wait)) if times[-1] - last >= wait else len(times)
+        if state.getCurrentWatermarkMs() * 1000 < last + wait:
+            state.update((last,))
+            state.setTimeoutTimestamp((last + wait) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        if passed:
+            stamps = np.array(passed, dtype="datetime64[us]")
+            yield pd.DataFrame({"content_key": key[0], time: pd.Series(stamps).dt.tz_localize("UTC")})
+
+    return rows.withWatermark(time, late).groupBy("content_key").applyInPandasWithState(
+        keep, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def idempotent_writer(path: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that writes each batch as a partition of the table, replacing that partition only.
 

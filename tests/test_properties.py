@@ -328,3 +328,24 @@ def test_nearest_distance_in_a_dense_zone(spark, monkeypatch):
     assert sorted(rows, key=str) == sorted(want, key=str)
     counted = df.filter("mz IS NOT NULL").groupBy("spectrum_id", "mz").agg(F.count(F.lit(1)).alias("n"))
     assert skew.cut_groups(counted, ["spectrum_id"], "mz")[0].filter("spectrum_id = 1").select("part").distinct().count() >= 30
+
+
+def test_conditions_expire(spark, tmp_path):
+    """A key that returns after the delay passes again; the state of keys that do not return is dropped."""
+    import datetime
+
+    from peakwise.streaming import streams as ST
+
+    start = datetime.datetime(2024, 1, 1)
+    hours = [[("a", 0), ("a", 5), ("b", 1), ("c", 2)], [("a", 23), ("d", 30)], [("a", 49), ("d", 60), ("a", 49.5)], [("e", 500)], [("e", 700), ("a", 701)]]
+    for i, batch in enumerate(hours):
+        rows = [(k, start + datetime.timedelta(hours=h)) for k, h in batch] + [("late", None)]
+        spark.createDataFrame(rows, "k string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{i}"))
+    stream = spark.readStream.schema("k string, ts timestamp").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = ST.suppress_repeats(stream, "ts", F.col("k"), 24 * 3600, "1 hour")
+    query = out.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).format("memory").queryName("expiring").start()
+    query.awaitTermination()
+    got = sorted((r.content_key, (r.ts - start).total_seconds() / 3600) for r in spark.table("expiring").collect())
+    assert got == [("a", 0.0), ("a", 49.0), ("a", 701.0), ("b", 1.0), ("c", 2.0), ("d", 30.0), ("d", 60.0), ("e", 500.0), ("e", 700.0)]
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) >= 3 and held[-1] <= 2
