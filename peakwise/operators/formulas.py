@@ -404,6 +404,32 @@ def peak_summary(
         (F.greatest(F.col("precursor_mz") - F.col("mean"), F.lit(0.0)) / pmz).alias("relative_gap"))
 
 
+def subset_peak_summary(
+    members: DataFrame, precursors: DataFrame, subset: str = "subset_id", peak_slots: int = 32, bin_width: float = S.BIN_WIDTH
+) -> DataFrame:
+    """The eight summaries for every subset of a spectrum's peaks, one row per (spectrum, subset).
+
+    ``members(spectrum_id, subset, bin, intensity)``; a subset may overlap others.  Peaks with a negative bin or an
+    intensity that is missing, not finite or not positive are not valid: they keep their subset in the result but add
+    nothing.  A subset without valid peaks has zeros, and the whole precursor as its gap; a spectrum without a
+    precursor counts as precursor 0.  One aggregate with map-side combine, as for candidates.
+    """
+    x = F.col("intensity").cast("double")
+    valid = F.coalesce((F.col("bin") >= 0) & (x > 0) & (x < float("inf")) & ~F.isnan(x), F.lit(False))
+    rows = members.select("spectrum_id", subset, F.when(valid, x).alias("__x"), F.when(valid, S.bin_to_mz(F.col("bin"), bin_width)).alias("__mz"))
+    v, zero = F.col("__x"), F.lit(0.0)
+    agg = rows.groupBy("spectrum_id", subset).agg(
+        F.count("__x").alias("n"), F.coalesce(F.sum(v), zero).alias("s"), F.coalesce(F.max(v), zero).alias("hi"), F.sum(v * F.log(v)).alias("xl"),
+        F.coalesce(F.avg("__mz"), zero).alias("mean"), F.coalesce(F.stddev_pop("__mz"), zero).alias("std"))
+    pmz = F.coalesce(F.col("precursor_mz"), zero)
+    per = F.greatest(pmz, F.lit(1e-6))
+    entropy = F.when(F.col("n") > 0, (F.log("s") - F.col("xl") / F.col("s")) / F.log(F.lit(float(max(2, peak_slots))))).otherwise(0.0)
+    return agg.join(precursors.select("spectrum_id", "precursor_mz"), "spectrum_id", "left").select(
+        "spectrum_id", subset, (F.col("n") / 32.0).alias("count"), F.col("s").alias("total"), F.col("hi").alias("largest"), entropy.alias("entropy"),
+        (F.col("mean") / 1500.0).alias("mz_mean"), (F.col("std") / 300.0).alias("mz_std"), (F.col("mean") / per).alias("relative_center"),
+        (F.greatest(pmz - F.col("mean"), zero) / per).alias("relative_gap"))
+
+
 def peak_features(cand_bins: DataFrame, precursors: DataFrame, bin_width: float = S.BIN_WIDTH) -> DataFrame:
     """Six features of every candidate peak."""
     mz, pmz = S.bin_to_mz(F.col("bin"), bin_width), F.greatest("precursor_mz", F.lit(1e-6))

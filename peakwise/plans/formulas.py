@@ -318,6 +318,32 @@ def _(d):
     return out(rows, "mz_relative", "gap_relative", "intensity", "log_intensity").withColumn("mz_scaled", r6("mz_scaled", 9))
 
 
+SUBSETS_SQL = """members AS (SELECT l_orderkey AS spectrum_id, l_partkey % 4 + 10 * z AS subset_id,
+  CASE WHEN l_linenumber = 5 THEN -1 ELSE CAST(floor(l_extendedprice / 100.0 / 0.01 + 1e-8) AS bigint) END AS bin,
+  CASE WHEN l_linenumber = 4 THEN NULL WHEN l_linenumber = 6 THEN 0.0 ELSE CAST(l_quantity AS double) END AS intensity
+  FROM lineitem, (VALUES (0), (1)) v(z) WHERE z = 0 OR l_quantity > 20)"""
+
+
+@query("c20_subset_summaries", f"""WITH {SUBSETS_SQL},
+v AS (SELECT spectrum_id, subset_id, CASE WHEN bin >= 0 AND intensity > 0 THEN intensity END AS x, CASE WHEN bin >= 0 AND intensity > 0 THEN (bin + 0.5) * 0.01 END AS mz FROM members),
+a AS (SELECT spectrum_id, subset_id, count(x) AS n, coalesce(sum(x), 0) AS s, coalesce(max(x), 0) AS hi, sum(x * ln(x)) AS xl,
+  coalesce(avg(mz), 0) AS mean, coalesce(stddev_pop(mz), 0) AS std FROM v GROUP BY 1, 2)
+SELECT a.spectrum_id, subset_id, round(n / 32.0, 6) AS count, round(s, 6) AS total, round(hi, 6) AS largest,
+  round(CASE WHEN n > 0 THEN (ln(s) - xl / s) / ln(8.0) ELSE 0 END, 6) + 0.0 AS entropy, round(mean / 1500, 6) AS mz_mean, round(std / 300, 6) AS mz_std,
+  round(mean / greatest(precursor_mz, 1e-6), 6) AS relative_center, round(greatest(precursor_mz - mean, 0) / greatest(precursor_mz, 1e-6), 6) AS relative_gap
+FROM a JOIN spectra USING (spectrum_id)""", "spectra")
+def _(d):
+    """Two overlapping families of subsets: by part, and of the strong peaks by part; some peaks are not valid."""
+    li, k = d.table("lineitem"), F.col("l_linenumber")
+    mz = S.bin_index(F.col("l_extendedprice") / 100.0)
+    families = F.when(F.col("l_quantity") > 20, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    members = li.select(
+        F.col("l_orderkey").alias("spectrum_id"), F.explode(families).alias("z"), (F.col("l_partkey") % 4).alias("part"),
+        F.when(k == 5, -1).otherwise(mz).alias("bin"), F.when(k == 6, 0.0).when(k != 4, F.col("l_quantity").cast("double")).alias("intensity"))
+    rows = C.subset_peak_summary(members.withColumn("subset_id", F.col("part") + 10 * F.col("z")), d.spectra, peak_slots=8)
+    return out(rows, "count", "total", "largest", "entropy", "mz_mean", "mz_std", "relative_center", "relative_gap")
+
+
 # ---- formula joins ----
 
 
