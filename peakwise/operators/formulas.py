@@ -154,7 +154,8 @@ def annotation_library(
 
     ``annotated(group_key, parent_formula, intensity, formulas)`` has one row
     per peak; a peak's intensity is shared equally by its formulas.  Sums are
-    taken per (parent, formula) before any loss is computed.
+    taken per (parent, formula) before any loss is computed.  ``left_out`` is the number of formulas of the kind beyond
+    its limit.
     """
     rows = annotated.withColumn("__split", split_of_group).filter(
         (F.col("__split") == "train") & F.col("parent_formula").isNotNull() & (F.size("formulas") > 0))
@@ -168,8 +169,13 @@ def annotation_library(
     kinds = []
     for kind, top in (("product", top_product), ("neutral_loss", top_loss)):
         part = totals.filter(F.col("kind") == kind)
-        kinds.append(part if top is None else top_peaks(part, top, ["kind"], "intensity", "formula").drop("rank"))
-    return kinds[0].unionByName(kinds[1]).select("kind", "formula", "intensity", "n", F.log1p("intensity").alias("log_intensity"))
+        if top is None:
+            kinds.append(part.withColumn("left_out", F.lit(0).cast("long")))
+            continue
+        beyond = part.groupBy("kind").agg(F.greatest(F.count(F.lit(1)) - top, F.lit(0)).alias("left_out"))
+        kinds.append(top_peaks(part, top, ["kind"], "intensity", "formula").drop("rank").join(beyond, "kind"))
+    return kinds[0].unionByName(kinds[1]).select(
+        "kind", "formula", "intensity", "n", F.log1p("intensity").alias("log_intensity"), "left_out")
 
 
 def library_features(cands: DataFrame, library: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -178,6 +184,7 @@ def library_features(cands: DataFrame, library: DataFrame, keys: Sequence[str])
     ``cands`` has ``formula`` and ``parent_formula``; logs are divided by the
     95th percentile of the positive ones per spectrum and cut at one.  The
     library is small by its own top-n, but its size is left to Spark to check.
+    ``left_out``: formulas of both kinds that the library's limits left out, whose candidates have no features.
     """
     own = FX.hill(FX.counts(F.col("formula")))
     rows = cands.withColumn("__own", own).withColumn("__loss", FX.subtract(F.col("parent_formula"), F.col("formula")))
@@ -194,7 +201,8 @@ def library_features(cands: DataFrame, library: DataFrame, keys: Sequence[str])
         top = F.col(f"__{name}")
         rows = rows.withColumn(name, F.when(
             F.coalesce(top > 1e-8, F.lit(False)), F.least(F.col(name) / top, F.lit(1.0))).otherwise(F.col(name))).drop(top)
-    return rows.drop("__own", "__loss")
+    beyond = library.groupBy("kind").agg(F.max("left_out").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return rows.drop("__own", "__loss").withColumn("left_out", beyond.scalar())
 
 
 def annotation_support(annotated: DataFrame, pool: DataFrame, pool_bins: DataFrame, bin_width: float = S.BIN_WIDTH) -> DataFrame:

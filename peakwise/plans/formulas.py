@@ -388,13 +388,13 @@ LIBRARY_SQL = f"""{ANNOTATED_SQL}, tr AS (SELECT an.*, a.c, a.h, a.n, a.o, a.cl,
   FROM an JOIN fp a ON a.k = an.k JOIN fp b ON b.k = an.pk WHERE {split_sql(U64)} = 'train'),
 lib0 AS (SELECT 'product' AS kind, {text_sql(HILL, OWN)} AS formula, w FROM tr
   UNION ALL SELECT 'neutral_loss', {text_sql(HILL, DIFF)}, w FROM tr WHERE {FITS}),
-lib AS (SELECT kind, formula, sum(w) AS intensity, count(*) AS n FROM lib0 WHERE formula <> '' GROUP BY 1, 2
+lib AS (SELECT kind, formula, sum(w) AS intensity, count(*) AS n, greatest(count(*) OVER (PARTITION BY kind) - 100, 0) AS left_out FROM lib0 WHERE formula <> '' GROUP BY 1, 2
   QUALIFY row_number() OVER (PARTITION BY kind ORDER BY sum(w) DESC, formula) <= 100)"""
 
 
 # The library of all products and losses.
 _TOP_100 = "\n  QUALIFY row_number() OVER (PARTITION BY kind ORDER BY sum(w) DESC, formula) <= 100"
-LIBRARY_ALL_SQL = LIBRARY_SQL.replace(_TOP_100, "")
+LIBRARY_ALL_SQL = LIBRARY_SQL.replace(_TOP_100, "").replace("greatest(count(*) OVER (PARTITION BY kind) - 100, 0)", "0")
 
 
 def library(d, top=100):
@@ -405,13 +405,13 @@ def library(d, top=100):
 
 
 @query("a09_annotation_library", f"""WITH {LIBRARY_SQL}
-SELECT kind, formula, round(intensity, 6) AS intensity, n, round(ln(1 + intensity), 6) AS log_intensity FROM lib""")
+SELECT kind, formula, round(intensity, 6) AS intensity, n, round(ln(1 + intensity), 6) AS log_intensity, left_out FROM lib""")
 def _(d):
     return out(library(d), "intensity", "log_intensity")
 
 
 @query("a09_annotation_library_all", f"""WITH {LIBRARY_ALL_SQL}
-SELECT kind, formula, round(intensity, 6) AS intensity, n, round(ln(1 + intensity), 6) AS log_intensity FROM lib""")
+SELECT kind, formula, round(intensity, 6) AS intensity, n, round(ln(1 + intensity), 6) AS log_intensity, left_out FROM lib""")
 def _(d):
     return out(library(d, None), "intensity", "log_intensity")
 
@@ -435,7 +435,8 @@ y AS (SELECT x.spectrum_id, x.cand_id, CASE WHEN a.formula IS NULL THEN 0.0 ELSE
   LEFT JOIN lib a ON a.kind = 'product' AND a.formula = x.own LEFT JOIN lib b ON b.kind = 'neutral_loss' AND b.formula = x.loss),
 s AS (SELECT spectrum_id, quantile_cont(CASE WHEN pl > 0 THEN pl END, 0.95) AS ps, quantile_cont(CASE WHEN ll > 0 THEN ll END, 0.95) AS ls FROM y GROUP BY 1)
 SELECT y.spectrum_id, cand_id, product_hit, round(CASE WHEN ps > 1e-8 THEN least(pl / ps, 1) ELSE pl END, 6) AS product_log, loss_hit,
-  round(CASE WHEN ls > 1e-8 THEN least(ll / ls, 1) ELSE ll END, 6) AS loss_log FROM y JOIN s ON y.spectrum_id = s.spectrum_id"""
+  round(CASE WHEN ls > 1e-8 THEN least(ll / ls, 1) ELSE ll END, 6) AS loss_log,
+  (SELECT coalesce(sum(l), 0)::BIGINT FROM (SELECT max(left_out) AS l FROM lib GROUP BY kind)) AS left_out FROM y JOIN s ON y.spectrum_id = s.spectrum_id"""
 
 
 def with_library_features(d, top=100):

@@ -72,19 +72,20 @@ def cut_order():
     return [F.col("bond_id") % 3]
 
 RECURSE_SQL = """b3 AS (SELECT l.mol_id, n, bond_id FROM lin l JOIN bd USING (mol_id)),
-c1 AS (SELECT mol_id, n, bond_id AS c FROM b3 QUALIFY row_number() OVER (PARTITION BY mol_id ORDER BY bond_id % 3, bond_id) <= 2),
-f1 AS (SELECT mol_id, 1 AS lo, c AS hi, CAST(c AS varchar) AS path FROM c1 UNION ALL SELECT mol_id, c + 1, n, CAST(c AS varchar) FROM c1),
-c2 AS (SELECT f1.*, bond_id AS c FROM f1 JOIN b3 ON b3.mol_id = f1.mol_id AND bond_id >= lo AND bond_id < hi
+c1 AS (SELECT mol_id, n, bond_id AS c, greatest(count(*) OVER (PARTITION BY mol_id) - 2, 0) AS bl FROM b3 QUALIFY row_number() OVER (PARTITION BY mol_id ORDER BY bond_id % 3, bond_id) <= 2),
+f1 AS (SELECT mol_id, 1 AS lo, c AS hi, CAST(c AS varchar) AS path, bl FROM c1 UNION ALL SELECT mol_id, c + 1, n, CAST(c AS varchar), bl FROM c1),
+c2 AS (SELECT f1.mol_id, lo, hi, path, bond_id AS c, greatest(hi - lo - 2, 0) AS bl FROM f1 JOIN b3 ON b3.mol_id = f1.mol_id AND bond_id >= lo AND bond_id < hi
   QUALIFY row_number() OVER (PARTITION BY f1.mol_id, lo, hi, path ORDER BY bond_id % 3, bond_id) <= 2),
-f2 AS (SELECT mol_id, lo, c AS hi, concat(path, ',', c) AS path FROM c2 UNION ALL SELECT mol_id, c + 1, hi, concat(path, ',', c) FROM c2)"""
+f2 AS (SELECT mol_id, lo, c AS hi, concat(path, ',', c) AS path, bl FROM c2 UNION ALL SELECT mol_id, c + 1, hi, concat(path, ',', c), bl FROM c2)"""
 
 
 @query("g04_recursive_fragments", f"""WITH {ATOMS_SQL}, {RECURSE_SQL}
-SELECT mol_id, 1 AS depth, path, lo AS first_atom, hi - lo + 1 AS n_atoms FROM f1 UNION ALL SELECT mol_id, 2, path, lo, hi - lo + 1 FROM f2""", "atoms")
+SELECT mol_id, 1 AS depth, path, lo AS first_atom, hi - lo + 1 AS n_atoms, bl AS bonds_left FROM f1
+UNION ALL SELECT mol_id, 2, path, lo, hi - lo + 1, bl FROM f2""", "atoms")
 def _(d):
     rows = G.recursive_fragments(atoms(d), bonds(d), cut_order(), 2, 2)
     return rows.select("mol_id", "depth", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"),
-                       F.array_min("part").alias("first_atom"), F.size("part").alias("n_atoms"))
+                       F.array_min("part").alias("first_atom"), F.size("part").alias("n_atoms"), "bonds_left")
 
 
 # Every bond of a fragment is cut.

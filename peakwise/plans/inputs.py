@@ -96,6 +96,24 @@ def _(d):
     return out(rows.select("spectrum_id", "line_no", "part", "p.mz", "p.intensity", F.array_join("p.formulas", "|").alias("formulas")), "mz")
 
 
+@query("io04_annotated_library", """WITH p AS (SELECT spectrum_id, mz, intensity, row_number() OVER (PARTITION BY spectrum_id ORDER BY mz, intensity) AS r FROM peaks)
+SELECT s.spectrum_id AS id, upper(s.inchikey) AS inchikey, round(mz, 6) AS mz, intensity,
+  CASE WHEN r % 2 = 0 THEN 'C14H25N2O3|C17H23N3' WHEN r % 3 = 0 THEN 'C2H5' ELSE '' END AS formulas
+FROM spectra s JOIN p USING (spectrum_id)""", "spectra peaks")
+def _(d):
+    """The library with annotations on its peak lines, through the annotated reader."""
+    path = scratch_dir(d.spark, "annotated")
+    text = msp.render_msp(d.spectra.select("spectrum_id", F.col("identifier").alias("name"), F.col("inchikey").alias("InChIKey")), d.peaks)
+    lines = F.split("value", "\n")
+    first = F.array_position(F.transform(lines, lambda x: x.startswith("Num Peaks:")), True).cast("int")
+    note = lambda i: (F.when(i % 2 == 0, ' "C14H25N2O3=p-C6H13NO/1.2ppm;C17H23N3=p-C3H15O4/-8.7ppm 14/14"')
+                      .when(i % 3 == 0, ' "C2H5+i=p-CO/0.3ppm;?;p/1ppm 3/9"').otherwise(' "? 1/9"'))
+    noted = F.transform(lines, lambda x, i: F.when((i >= first) & (x != ""), F.concat(x, note(i - first + 1))).otherwise(x))
+    text.select(F.array_join(noted, "\n")).write.text(path)
+    rows = msp.read_msp_annotated(d.spark, path).select("id", "inchikey", F.explode("peaks").alias("p"))
+    return out(rows.select("id", "inchikey", "p.mz", "p.intensity", F.array_join("p.formulas", "|").alias("formulas")), "mz")
+
+
 @query("io05_header_scan", """WITH s AS (SELECT * FROM spectra WHERE spectrum_id IN (SELECT spectrum_id FROM peaks))
 SELECT identifier AS name, 'id' AS key, CAST(spectrum_id AS varchar) AS value, NULL::DOUBLE AS number FROM s
 UNION ALL SELECT identifier, 'precursormz', NULL, round(precursor_mz, 6) FROM s

@@ -18,6 +18,10 @@ SELECTION = [
     "f11_removal_counts", "s01_stable_split", "s08_stratified_pick", "c03_formula_styles", "c06_parse_annotation", "c12_isotope_envelope",
     "j11_common_losses", "k02_group_unique_topk", "k05_active_pool", "k07_bin_quota", "a03_numeric_summary", "a06_split_leakage",
     "a11_union_at_k", "a23_quality_labels", "g02_single_cuts", "g07_wl_fingerprint", "io01_read_msp", "io05_header_scan",
+    "k09_coverage_aware_topk", "k10_setcover_teacher", "k11_region_set_cover", "k12_marginal_coverage", "j14_annotation_mass_delta",
+    "io04_annotated_library", "io06_library_files", "io15_manifest", "t03_expiring_conditions", "u04_table_function_on_peak_lines",
+    "u05_table_function_on_formulas", "u06_table_function_on_spectra", "c20_subset_summaries", "a09_annotation_library", "j12_library_features",
+    "g04_recursive_fragments", "a11_candidate_probe",
     "t02_tumbling_means", "t06_stream_stream_join", "u02_sql_functions_on_formulas",
 ]
 ORACLE = entry_module.oracle_sql()
