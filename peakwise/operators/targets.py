@@ -17,7 +17,7 @@ from peakwise.functions import spectrum as S
 from peakwise.operators import metrics as M
 from peakwise.operators.matching import gather_at_candidates
 from peakwise.operators.transforms import ID, TINY, shares, top_peaks
-from peakwise.session import cut_lineage
+from peakwise.session import cut_lineage, write_once
 from peakwise.skew import row_positions, with_group_stats
 
 KEYS = ["spectrum_id", "cand_id"]
@@ -67,10 +67,14 @@ def overlap_teacher(scores: DataFrame, top_k: int = 64, temperature: float = 0.2
     """
     score = F.round(
         6.0 * F.col("overlap_exact") + 0.5 * F.col("support_exact") + 2.0 * F.col("top_near") - 2.0 * F.col("false_exact"), 9)
-    rows = cut_lineage(scores.select(*KEYS, score.alias("score")))  # one row per candidate, used several times
-    chosen = top_peaks(rows, top_k, ID, "score", "cand_id").filter("score > 0").select(*KEYS, F.lit(True).alias("__in"))
-    rows = rows.join(chosen, KEYS, "left")
-    return softmax(rows, F.col("score"), temperature, "prob", F.col("__in")).drop("__in")
+    rows = scores.select(*KEYS, score.alias("score"))
+    chosen = top_peaks(rows, top_k, ID, "score", "cand_id").filter("score > 0")
+    # The softmax runs over the chosen ones alone: windows over at most top_k rows, in the partitioning they already have.
+    inside = W.partitionBy(*ID)
+    x = F.col("score") / F.lit(max(temperature, 1e-6))
+    chosen = chosen.withColumn("__e", F.exp(x - F.max(x).over(inside)))
+    chosen = chosen.select(*KEYS, (F.col("__e") / F.sum("__e").over(inside)).alias("prob"))
+    return rows.join(chosen, KEYS, "left").fillna(0.0, ["prob"])
 
 
 def utility(scores: DataFrame, false_weight: float = 1.2, temperature: float = 0.7) -> DataFrame:
@@ -90,7 +94,7 @@ def quality_labels(scores: DataFrame, top_k: int = 64, min_pos: int = 8, pool_k:
     score = F.round(F.greatest(raw, F.lit(0.0)) * support * support, 12)
     keep = (score > 0) & (support >= 0.20) & (sn >= 0.25) & (fe <= 0.80)
     rows = scores.select("*", support.alias("__support")).withColumn("__q", F.when(keep, score).otherwise(0.0))
-    rows = cut_lineage(with_group_stats(cut_lineage(rows), ID, __top=F.max("__q")))  # one row per candidate
+    rows = with_group_stats(write_once(rows, "quality-rows"), ID, __top=F.max("__q"))  # one row per candidate, used below again and again
     rows = rows.withColumn("quality", F.when(F.col("__top") > 1e-8, F.round(F.col("__q") / F.col("__top"), 9)).otherwise(0.0))
     fb = F.round(0.5 * F.col("__support") + 0.35 * sn + 0.15 * tn, 9)
     fb_keep = (fb > 0) & (F.col("__support") >= 0.05) & (fe <= 0.95)

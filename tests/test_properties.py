@@ -349,3 +349,40 @@ def test_conditions_expire(spark, tmp_path):
     assert got == [("a", 0.0), ("a", 49.0), ("a", 701.0), ("b", 1.0), ("c", 2.0), ("d", 30.0), ("d", 60.0), ("e", 500.0), ("e", 700.0)]
     held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert max(held) >= 3 and held[-1] <= 2
+
+
+def test_greedy_on_a_hot_spectrum(spark, monkeypatch):
+    """One spectrum with a third of all candidates, many more than a task sees at once, against plain greedy steps."""
+    monkeypatch.setattr(K, "HEAD", 40)
+    rng = random.Random(12)
+    cands, rows = [], []
+    for s, n in ((1, 900), (2, 30), (3, 5)):
+        for c in range(n):
+            cands.append((s, c, c % 50, round(rng.random(), 3)))
+            rows += [(s, c, b, float(rng.randint(1, 9))) for b in rng.sample(range(60), rng.randint(0, 6))]
+    cands += [(4, 7, None, 0.5), (4, 8, None, 0.9)]  # nothing to cover
+    df = spark.createDataFrame(cands, "spectrum_id long, cand_id long, group_id long, score double")
+    got = K.coverage_aware_topk(df, bins_of(spark, rows), 25).collect()
+    for s in (1, 2, 3, 4):
+        pool = {c: (g, x) for t, c, g, x in cands if t == s}
+        peaks = {c: {b: x for t, d, b, x in rows if t == s and d == c} for c in pool}
+        raw = sorted(x for _, x in pool.values())
+        spread, middle = max(float(np.std(raw, ddof=1)), 1e-6), raw[(len(raw) - 1) // 2]
+        covered, picked, blocked = {}, [], set()
+        bare = not any(peaks.values())
+
+        def gain(c):
+            total = sum(peaks[c].values())
+            base = pool[c][1] if bare else 0.2 * min(max((pool[c][1] - middle) / spread, -5.0), 5.0)
+            return round(base + sum(x / total * (0.1 - 0.45 * covered.get(b, 0.0)) for b, x in peaks[c].items()), 9)
+
+        while len(picked) < min(25, len(pool)):
+            free = [c for c in pool if c not in picked]
+            allowed = [c for c in free if pool[c][0] not in blocked] or free
+            best = max(allowed, key=lambda c: (gain(c), pool[c][1], -c))
+            picked.append(best)
+            if pool[best][0] is not None:
+                blocked.add(pool[best][0])
+            for b, x in peaks[best].items():
+                covered[b] = max(covered.get(b, 0.0), x / max(peaks[best].values()))
+        assert [r.cand_id for r in sorted(got, key=lambda r: r.step) if r.spectrum_id == s] == picked
