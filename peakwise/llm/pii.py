@@ -54,8 +54,34 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+# Spans are measured and written in blocks of this many, so that arrays and texts that grow by a step stay short.
+BLOCK = 64
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(items: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(block)`` of the blocks of an array, in order."""
+    number = F.ceil(F.size(items) / BLOCK).cast("int")
+    each = F.transform(F.sequence(F.lit(0), number - 1), lambda i: use(F.slice(items, i * BLOCK + 1, F.lit(BLOCK))))
+    return F.when(number > 0, each).otherwise(F.array())
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """What came before each value: 0, then the values so far put together by ``join``."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("before"))
+    step = lambda state, v: F.struct(join(state["at"], v).alias("at"), F.array_append(state["before"], state["at"]).alias("before"))
+    return F.aggregate(values, start, step, lambda state: state["before"])
+
+
 def _located(text: Column, pattern: str, k: int, keep: Callable[[Column], Column]) -> Column:
-    """Spans of the matches that ``keep`` accepts, with code-point offsets: gaps and matches are measured in turn."""
+    """Spans of the matches that ``keep`` accepts, with code-point offsets: gaps and matches are measured in turn.
+
+    Offsets are first taken from the start of a block of matches, then moved by what lies before the block.
+    """
     pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
                         lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
@@ -67,7 +93,12 @@ def _located(text: Column, pattern: str, k: int, keep: Callable[[Column], Column
         hit = piece["match"].isNotNull() & keep(piece["match"])
         return F.struct(end.alias("at"), F.when(hit, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    return F.aggregate(pieces, start, step, lambda state: state["spans"])
+    def moved(block: Column, by: Column) -> Column:
+        return F.transform(block["spans"], lambda s: F.struct(
+            (s["start"] + by).alias("start"), s["k"].alias("k"), (s["end"] + by).alias("end"), s["value"].alias("value")))
+
+    measured = _bound(pieces, lambda p: _blocks(p, lambda block: F.aggregate(block, start, step)))
+    return _bound(measured, lambda m: F.flatten(F.zip_with(m, _running(F.transform(m, lambda b: b["at"]), lambda x, y: x + y), moved)))
 
 
 def base_spans(text: Column) -> Column:
@@ -160,17 +191,32 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("text")
 
+    def write_block(block: Column, begin: Column) -> Column:
+        """The text from ``begin``, where the spans before this block end, up to the end of the last span of the block."""
+        near = F.substring(text, begin + 1, F.greatest(F.element_at(block, -1)["start"] - begin, F.lit(0)))
+        start = F.struct(begin.alias("at"), F.lit("").alias("out"))
+
+        def step(part: Column) -> Callable[[Column, Column], Column]:
+            def one(state: Column, s: Column) -> Column:
+                shown = F.when((s["k"] == len(PATTERNS)) & F.array_contains("removed", s["value"]), F.lit("")).otherwise(F.get(names, s["k"]))
+                kept = F.substring(part, state["at"] - begin + 1, s["start"] - state["at"])
+                inside = s["start"] < state["at"]
+                return F.struct(F.greatest(state["at"], s["end"]).alias("at"),
+                                F.when(inside, state["out"]).otherwise(F.concat(state["out"], kept, shown)).alias("out"))
+            return one
+
+        return _bound(near, lambda part: F.aggregate(block, start, step(part), lambda state: state["out"]))
+
     def write(spans: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        last = lambda block: F.array_max(F.transform(block, lambda s: s["end"]))
 
-        def step(state: Column, s: Column) -> Column:
-            shown = F.when((s["k"] == len(PATTERNS)) & F.array_contains("removed", s["value"]), F.lit("")).otherwise(F.get(names, s["k"]))
-            kept = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-            inside = s["start"] < state["at"]
-            return F.struct(F.greatest(state["at"], s["end"]).alias("at"),
-                            F.when(inside, state["out"]).otherwise(F.concat(state["out"], kept, shown)).alias("out"))
+        def joined(blocks: Column) -> Column:
+            ends = F.transform(blocks, last)
+            before = _running(ends, lambda x, y: F.greatest(x, y))
+            rest = F.substring(text, F.array_max(ends) + 1, F.length(text))
+            return F.concat(F.array_join(F.zip_with(blocks, before, write_block), ""), rest)
 
-        return F.aggregate(spans, start, step, lambda end: F.concat(end["out"], F.substring(text, end["at"] + 1, F.length(text))))
+        return _bound(_blocks(spans, lambda block: block), joined)
 
     written = F.when(F.size("spans") > 0, write(F.col("spans"))).otherwise(text)
     return found.withColumn("text", written).select(*back)

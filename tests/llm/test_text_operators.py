@@ -277,6 +277,31 @@ def test_disclosing_terms_of_the_whole_document(spark):
     assert all("zebulon" not in clean[1000 + i] and "zeb@" not in clean[1000 + i] for i in range(4))
 
 
+def plain_sanitised(text):
+    """The text with its spans replaced; of overlapping ones the first stays and takes all up to the end of the last."""
+    out, at = [], 0
+    for start, k, end in plain_spans(text):
+        if start >= at:
+            out += [text[at:start], f"[{pii.KINDS[k].upper()}]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def test_long_texts_are_sanitised_in_blocks(spark, monkeypatch):
+    """Spans, some of them overlapping, across the borders of blocks, and one text with twenty thousand of them."""
+    rng = random.Random(9)
+    bits = ["1.2.3.4", "me@here.org", "+49 30 123456 7890", "4539 1488 0343 6467", "é", "wort ", " ", "x@1.2.3.4", "+4539148803436467", "😀"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(120)]
+    texts += [" ".join(f"10.0.{i % 256}.{i // 256} é{i}" for i in range(20_000)), "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for block in (64, 3):
+        monkeypatch.setattr(pii, "BLOCK", block)
+        rows = frame if block == 64 else frame.filter("doc_id < 120")
+        got = {r["doc_id"]: r["text"] for r in pii.sanitise(rows, support=10 ** 9).collect()}
+        for i, text in got.items():
+            assert text == (None if texts[i] is None else plain_sanitised(texts[i])) or (texts[i] is None and text == "")
+
+
 @pytest.mark.parametrize("percent, n", [(90, 3), (80, 5)])
 def test_jaccard(spark, docs, rows, percent, n):
     rng = random.Random(percent)
