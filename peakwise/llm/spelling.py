@@ -407,7 +407,8 @@ def near_pairs(words: DataFrame, sample: int = SAMPLE, cell_words: int = CELL_WO
     # One row a cell, and cells are no more than an eighth of the sample.
     parts = {r["cell"]: max(1, -(-r["n"] // (2 * cell_words)), -(-r["chars"] // cell_chars)) for r in held.collect()}
     dealt = words.mapInArrow(_route(nodes, parts), "cell long, part int, asks boolean, word string, n long")
-    dealt = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part", "asks")
+    # About a task for each part, so that the longest task does not grow with the words.
+    dealt = dealt.repartition(max(1, sum(parts.values())), "cell", "part").sortWithinPartitions("cell", "part", "asks")
     found = dealt.mapInArrow(_answer, "word string, near string, n long, near_n long, same boolean")
     # Words of the same length ask each other; a longer word does not ask the shorter one.
     both = F.array(F.struct("word", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n")))
