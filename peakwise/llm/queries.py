@@ -182,11 +182,14 @@ phrases(p, label) AS (VALUES {phrases}),
 places AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM w) x
            JOIN phrases ON w[i:i + len(p) - 1] = p),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
-templates AS (SELECT list_distinct(regexp_extract_all({lowered.format("t")}, '{word}')) AS t, label FROM (VALUES {templates}) AS x(t, label)),
+templates AS (SELECT list_distinct(tw) AS t, 2 * len(tw) AS n, ceil({licenses.THRESHOLD} * len(list_distinct(tw)) - 1e-9) AS need, label
+              FROM (SELECT regexp_extract_all({lowered.format("t")}, '{word}') AS tw, label FROM (VALUES {templates}) AS x(t, label))),
 lines AS (SELECT DISTINCT doc_id, regexp_extract_all({lowered.format("line")}, '{word}') AS b
           FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
-found AS (SELECT doc_id, label, len(list_intersect(t, b))::DOUBLE / len(t) AS share FROM lines JOIN templates
-          ON len(list_intersect(t, b)) >= ceil({licenses.THRESHOLD} * len(t) - 1e-9)),
+runs AS (SELECT doc_id, t, label, need, w[s:s + n - 1] AS b FROM (
+         SELECT doc_id, w, t, n, need, label, unnest(generate_series(1, greatest(len(w) - n, 0) + 1)) AS s FROM w JOIN templates ON len(list_intersect(t, w)) >= need)),
+found AS (SELECT doc_id, label, len(list_intersect(t, b))::DOUBLE / len(t) AS share FROM lines JOIN templates ON len(list_intersect(t, b)) >= need
+          UNION ALL SELECT doc_id, label, len(list_intersect(t, b))::DOUBLE / len(t) FROM runs WHERE len(list_intersect(t, b)) >= need),
 more AS (SELECT doc_id, max(share) AS share, list(DISTINCT label) AS labels FROM found GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
