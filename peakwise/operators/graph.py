@@ -1,14 +1,16 @@
 """Molecule graphs as tables: cuts, fragments, fingerprints and statistics.
 
-A molecule is packed into one row (its atoms and bonds as arrays) only for
-cutting.  Molecules are small by nature; one above ``PACK_LIMIT`` atoms is cut
-by label propagation with joins instead.
+Single cuts walk through each molecule once, whatever its size.  For double
+cuts and recursive fragments, whose results grow with the square of a molecule
+and faster, a molecule is packed into one row (its atoms and bonds as arrays).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -16,9 +18,7 @@ from pyspark.sql.window import Window as W
 from peakwise import constants as K
 from peakwise.functions import formula as FX
 from peakwise.operators.transforms import top_peaks
-from peakwise.session import cut_lineage
 
-PACK_LIMIT = 512
 MASK_BITS = 63
 
 
@@ -60,49 +60,114 @@ def _parts(atoms: Column, labels: Column) -> Column:
         lambda one: F.transform(F.filter(pairs, lambda x: x["l"] == one), lambda x: x["i"]))
 
 
-def single_cuts(atoms: DataFrame, bonds: DataFrame, pack_limit: int = PACK_LIMIT) -> DataFrame:
+def _bridge_sides(atom_ids: np.ndarray, bonds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(bond, side of each atom, atoms) of every separating bond of one molecule.
+
+    ``bonds`` has rows (bond_id, a, b).  One depth-first walk numbers the atoms so that those below an atom stand side by
+    side; a bond separates exactly if nothing below it is bonded to anything above.  Linear in atoms and bonds.
+    """
+    n = len(atom_ids)
+    order = np.argsort(atom_ids, kind="stable")
+    at = np.searchsorted(atom_ids, bonds[:, 1:], sorter=order) if n else np.zeros((0, 2), np.int64)
+    known = (at < n).all(1) & (bonds[:, 1] != bonds[:, 2]) if n else np.zeros(len(bonds), bool)
+    known[known] &= (atom_ids[order[at[known]]] == bonds[known, 1:]).all(1)
+    bonds, ends = bonds[known], order[at[known]]
+    both = np.concatenate([ends, ends[:, ::-1]])
+    number = np.tile(np.arange(len(bonds)), 2)
+    by_atom = np.argsort(both[:, 0], kind="stable")
+    first = np.searchsorted(both[by_atom, 0], np.arange(n + 1)).tolist()
+    to, via = both[by_atom, 1].tolist(), number[by_atom].tolist()
+    seen, low, size, walk = [-1] * n, [0] * n, [1] * n, []
+    place = first[:-1]
+    for root in range(n):
+        if seen[root] >= 0:
+            continue
+        begin, found = len(walk), []
+        path = [(root, -1)]
+        seen[root] = low[root] = len(walk)
+        walk.append(root)
+        while path:
+            here, came = path[-1]
+            if place[here] < first[here + 1]:
+                step = place[here]
+                place[here] += 1
+                there, bond = to[step], via[step]
+                if bond == came:
+                    continue
+                if seen[there] < 0:
+                    seen[there] = low[there] = len(walk)
+                    walk.append(there)
+                    path.append((there, bond))
+                else:
+                    low[here] = min(low[here], seen[there])
+                continue
+            path.pop()
+            if path:
+                above = path[-1][0]
+                low[above] = min(low[above], low[here])
+                size[above] += size[here]
+                if low[here] > seen[above]:
+                    found.append((came, here))
+        part = atom_ids[np.array(walk[begin:])]
+        for bond, below in found:
+            inside = np.zeros(len(part), dtype=bool)
+            inside[seen[below] - begin:seen[below] - begin + size[below]] = True
+            first_below = ends[bond, 0] == below
+            yield int(bonds[bond, 0]), np.where(inside == first_below, 0, 1).astype(np.int32), part
+
+
+def single_cuts(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """Both sides of every bond whose removal separates its two atoms.
 
-    Rows (mol_id, cut, side, atom_id); side 0 holds the bond's first atom.
+    Rows (mol_id, cut, side, atom_id); side 0 holds the bond's first atom.  Atoms that are not connected with the bond
+    are not listed; bonds to unknown atoms do not count.  One way for molecules of every size: a task walks through its
+    molecules one after the other, in time that is linear in each molecule and its result.
     """
-    size = atoms.groupBy("mol_id").agg(F.count(F.lit(1)).alias("n"))
-    small = size.filter(F.col("n") <= pack_limit).select("mol_id")
-    packed = pack(atoms.join(small, "mol_id", "left_semi"), bonds.join(small, "mol_id", "left_semi"))
-    cuts = packed.withColumn("cut", F.explode("bonds"))
-    rest = F.filter("bonds", lambda e: e["bond_id"] != F.col("cut.bond_id"))
-    cuts = cuts.withColumn("labels", _labels(F.col("atoms"), rest))
-    label_of = lambda x: F.element_at("labels", F.array_position("atoms", x).cast("int"))
-    cuts = cuts.withColumn("la", label_of(F.col("cut.a"))).withColumn("lb", label_of(F.col("cut.b"))).filter("la <> lb")
-    cells = cuts.select(
-        "mol_id", F.col("cut.bond_id").alias("cut"), "la", "lb",
-        F.explode(F.arrays_zip(F.col("atoms").alias("i"), F.col("labels").alias("l"))).alias("x"))
-    side = F.when(F.col("x.l") == F.col("la"), 0).when(F.col("x.l") == F.col("lb"), 1)
-    rows = cells.select("mol_id", "cut", side.alias("side"), F.col("x.i").alias("atom_id")).filter("side IS NOT NULL")
-    large = size.filter(F.col("n") > pack_limit).select("mol_id")
-    if large.isEmpty():
-        return rows
-    return rows.unionByName(_single_cuts_by_joins(
-        atoms.join(large, "mol_id", "left_semi"), bonds.join(large, "mol_id", "left_semi")))
-
-
-def _single_cuts_by_joins(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """The same result by spreading each cut's side labels along the remaining bonds until nothing changes."""
-    both = bonds.select("mol_id", "bond_id", F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-        bonds.select("mol_id", "bond_id", F.col("b").alias("u"), F.col("a").alias("v")))
-    both = cut_lineage(both)
-    seen = bonds.select("mol_id", F.col("bond_id").alias("cut"), F.lit(0).alias("side"), F.col("a").alias("atom_id")).unionByName(
-        bonds.select("mol_id", F.col("bond_id").alias("cut"), F.lit(1).alias("side"), F.col("b").alias("atom_id")))
-    seen = cut_lineage(seen)
-    front = seen
-    while not front.isEmpty():
-        step = front.join(both.withColumnRenamed("u", "atom_id"), ["mol_id", "atom_id"]).filter(
-            F.col("bond_id") != F.col("cut")).select("mol_id", "cut", "side", F.col("v").alias("atom_id")).distinct()
-        front = cut_lineage(step.join(seen, ["mol_id", "cut", "side", "atom_id"], "left_anti"))
-        seen = cut_lineage(seen.unionByName(front))
-    # A bond on a ring reaches its other atom from both sides.
-    joined = seen.groupBy("mol_id", "cut", "atom_id").agg(F.count_distinct("side").alias("s")).filter("s > 1").select(
-        "mol_id", "cut").distinct()
-    return seen.join(joined, ["mol_id", "cut"], "left_anti")
+    none = F.lit(None).cast("long")
+    rows = atoms.select("mol_id", F.lit(0).alias("kind"), F.col("atom_id").cast("long").alias("x"), none.alias("a"), none.alias("b")).unionByName(
+        bonds.select("mol_id", F.lit(1).alias("kind"), F.col("bond_id").cast("long").alias("x"), F.col("a").cast("long"), F.col("b").cast("long")))
+    names = ["mol_id", "cut", "side", "atom_id"]
+
+    def run(batches):
+        here, atom_ids, found = None, [], []
+
+        def results():
+            held, total = [], 0
+            for bond, side, part in _bridge_sides(np.concatenate(atom_ids or [np.zeros(0, np.int64)]), np.concatenate(found or [np.zeros((0, 3), np.int64)])):
+                held.append((np.full(len(part), bond), side, part))
+                total += len(part)
+                if total >= 100_000:
+                    yield from packed(held)
+                    held, total = [], 0
+            yield from packed(held)
+
+        def packed(held):
+            if held:
+                cut, side, part = (np.concatenate(c) for c in zip(*held))
+                yield pa.RecordBatch.from_arrays([pa.array([here] * len(cut), batch.schema.field(0).type), pa.array(cut), pa.array(side), pa.array(part)], names)
+
+        for batch in batches:
+            mol = batch.column(0).to_pylist()
+            kind, x = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            ends = np.column_stack([x, batch.column(3).fill_null(-1).to_numpy(), batch.column(4).fill_null(-1).to_numpy()])
+            start = 0
+            while start < len(mol):
+                end = start
+                while end < len(mol) and mol[end] == mol[start]:
+                    end += 1
+                if mol[start] != here:
+                    yield from results()
+                    here, atom_ids, found = mol[start], [], []
+                is_bond = kind[start:end] == 1
+                atom_ids.append(x[start:end][~is_bond])
+                found.append(ends[start:end][is_bond])
+                start = end
+        if here is not None:
+            yield from results()
+
+    schema = f"mol_id {dict(rows.dtypes)['mol_id']}, cut long, side int, atom_id long"
+    known = rows.filter(F.col("mol_id").isNotNull() & F.col("x").isNotNull() & ((F.col("kind") == 0) | (F.col("a").isNotNull() & F.col("b").isNotNull())))
+    return known.repartition("mol_id").sortWithinPartitions("mol_id", "kind", "x").mapInArrow(run, schema)
 
 
 def double_cuts(atoms: DataFrame, bonds: DataFrame, order: Sequence[Column] = (), max_pairs: int | None = None) -> DataFrame:

@@ -248,14 +248,46 @@ def test_selection_queries_take_the_whole_pool(spark, monkeypatch, name):
     assert rows and asked.get("prefilter") is None
 
 
-def test_single_cuts_by_joins_equal_packed(spark):
-    edges = [(m, i, i, i + 1) for m in (1, 2) for i in range(1, 6)] + [(2, 9, 1, 6), (1, 10, 3, 7)]
-    bonds = spark.createDataFrame(edges, "mol_id long, bond_id long, a long, b long")
-    ids = sorted({(m, x) for m, _, a, b in edges for x in (a, b)})
-    atoms = spark.createDataFrame([(m, x, "C", 1) for m, x in ids], "mol_id long, atom_id long, element string, n_h int")
-    packed = sorted(map(tuple, G.single_cuts(atoms, bonds).collect()))
-    joined = sorted(map(tuple, G.single_cuts(atoms, bonds, pack_limit=1).select("mol_id", "cut", "side", "atom_id").collect()))
-    assert packed == joined and {r[0] for r in packed} == {1}  # molecule 2 is one ring
+def test_single_cuts_against_plain_search(spark):
+    rng = random.Random(5)
+    atoms, bonds = [], []
+    for m in range(25):
+        ids = rng.sample(range(100), rng.randint(1, 14))
+        atoms += [(m, x, "C", 1) for x in ids]
+        bonds += [(m, i, rng.choice(ids), rng.choice([*ids, 777] if i == 3 else ids)) for i in range(rng.randint(0, len(ids) + 2))]  # loops, doubles
+    want = set()
+    for m, cut, a, b in bonds:
+        ids = {x for t, x, _, _ in atoms if t == m}
+
+        def reach(start):
+            seen, todo = {start}, [start]
+            while todo:
+                here = todo.pop()
+                for t, i, p, q in bonds:
+                    if t == m and i != cut and {p, q} <= ids and here in (p, q):
+                        there = q if here == p else p
+                        if there not in seen:
+                            seen.add(there)
+                            todo.append(there)
+            return seen
+
+        if {a, b} <= ids and b not in reach(a):
+            want |= {(m, cut, 0, x) for x in reach(a)} | {(m, cut, 1, x) for x in reach(b)}
+    got = G.single_cuts(spark.createDataFrame(atoms, "mol_id long, atom_id long, element string, n_h int"),
+                        spark.createDataFrame(bonds, "mol_id long, bond_id long, a long, b long")).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_single_cuts_of_a_very_large_molecule(spark):
+    """Ten rings of 5 000 atoms in a row: the nine bonds between them separate."""
+    n, ring = 50_000, 5_000
+    k = F.col("id")
+    atoms = spark.range(n).select(F.lit(1).cast("long").alias("mol_id"), k.alias("atom_id"))
+    last = k % ring == ring - 1
+    bonds = spark.range(n).select(F.lit(1).cast("long").alias("mol_id"), k.alias("bond_id"), k.alias("a"), F.when(last, k - ring + 1).otherwise(k + 1).alias("b"))
+    between = spark.range(9).select(F.lit(1).cast("long").alias("mol_id"), (k + n).alias("bond_id"), ((k + 1) * ring).alias("a"), (k * ring + 7).alias("b"))
+    got = G.single_cuts(atoms, bonds.unionByName(between)).groupBy("cut", "side").count().collect()
+    assert {(r.cut, r.side): r["count"] for r in got} == {(n + i, s): (n - (i + 1) * ring if s == 0 else (i + 1) * ring) for i in range(9) for s in (0, 1)}
 
 
 def test_formula_round_trip(spark):
