@@ -38,6 +38,11 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> Dat
     return df.join(totals, list(keys))
 
 
+def _unbounded(rows: DataFrame) -> DataFrame:
+    """``rows`` that joins must not broadcast: Spark judges a written table by its compressed files, a fraction of its rows."""
+    return rows.hint("merge")
+
+
 def cut_groups(counted: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, bool]:
     """``counted`` plus ``part``, which never decreases with the value inside a group, and the group's ``total``.
 
@@ -91,10 +96,10 @@ def row_positions(df: DataFrame, keys: Sequence[str], value: str, tie: str, out:
     Rows need a value and a tie, both numbers; rows equal in both share a rank.  Ties are only ranked where there are any.
     """
     first = _counted_positions(df, keys, value).select(*keys, value, "n", (F.col("total") - F.col("before") - F.col("n")).alias("__ahead"))
-    rows = write_once(df.join(first, [*keys, value]), "ranked-rows")
+    rows = write_once(df.join(_unbounded(first), [*keys, value]), "ranked-rows")
     tied = _counted_positions(rows.filter("n > 1"), [*keys, value], tie).select(*keys, value, tie, F.col("before").alias("__same"))
     alone = rows.filter("n = 1").withColumn("__same", F.lit(0).cast("long"))
-    both = alone.unionByName(rows.filter("n > 1").join(tied, [*keys, value, tie]))
+    both = alone.unionByName(rows.filter("n > 1").join(_unbounded(tied), [*keys, value, tie]))
     return both.withColumn(out, (F.col("__ahead") + F.col("__same") + 1).cast("int")).drop("__ahead", "__same", "n")
 
 
@@ -103,7 +108,7 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     ranks = _counted_positions(df, keys, value).select(
         *keys, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(out)
     )
-    return df.join(ranks, [*keys, value])
+    return df.join(_unbounded(ranks), [*keys, value])
 
 
 def exact_quantiles(
