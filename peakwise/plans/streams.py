@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from peakwise.functions import normalize as N
+from peakwise.functions import spectrum as S
 from peakwise.functions.registry import register
 from peakwise.operators import transforms as T
 from peakwise.plans.inputs import library_path
@@ -158,7 +159,9 @@ def _(d):
 @query("u06_table_function_on_spectra", f"WITH {BINNED_SQL} SELECT spectrum_id, bin, round(intensity, 6) AS intensity FROM binned", "peaks")
 def _(d):
     register(d.spark)
-    arrays = d.peaks.filter("intensity > 0 AND mz < 1005").groupBy("spectrum_id").agg(F.collect_list(F.struct("mz", "intensity")).alias("p"))
+    # In order: Spark evaluates the arrays once for the lateral call and once to join its rows back, and both must agree.
+    on_axis = S.is_peak(F.col("mz"), F.col("intensity")) & S.bin_index(F.col("mz")).between(0, S.last_bin())
+    arrays = d.peaks.filter(on_axis).groupBy("spectrum_id").agg(F.sort_array(F.collect_list(F.struct("mz", "intensity"))).alias("p"))
     arrays.select("spectrum_id", F.transform("p", lambda x: x["mz"]).alias("mzs"), F.transform("p", lambda x: x["intensity"]).alias("intensities")
                   ).createOrReplaceTempView("ms_arrays")
     return d.spark.sql("SELECT spectrum_id, b.bin, round(b.intensity, 6) AS intensity FROM ms_arrays, LATERAL ms_bins_of(mzs, intensities, 0.01D) AS b")
