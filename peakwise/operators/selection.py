@@ -207,48 +207,104 @@ def _ranked_heads(entries: DataFrame, picks: DataFrame | None, rule: Greedy) ->
     return rows.join(heads, KEYS), beyond
 
 
-def _pick_in_task(rule: Greedy, budget: int):
-    """Greedy steps among the strongest candidates, as long as no candidate beyond them can be better."""
-    def run(table: pa.Table) -> pa.Table:
-        cols = {n: table.column(n).to_numpy(zero_copy_only=False) for n in table.column_names}
-        ids, at, ci = np.unique(cols["cand_id"], return_index=True, return_inverse=True)
-        _, bin_at, bi = np.unique(cols["bin"], return_index=True, return_inverse=True)
-        state = {m: cols[m][bin_at].astype(float) for m in rule.marks}
-        fixed, opened = cols["fixed"][at], cols["__open"][at].astype(int)
-        ties = [cols[c][at] for c in rule.order]
-        group = cols["group_id"][at] if rule.block else None
-        done, free = int(cols["__done"][0]), np.ones(len(ids), bool)
-        more = not np.isnan(float(cols["__t_open"][0]))
-        limit = tuple(cols[f"__t_{c}"][0] for c in ("open", "gain", *rule.order)) + (-cols["__t_cand"][0],) if more else None
-        picked: list[int] = []
-        while done + len(picked) < budget and free.any():
-            now = {m: v[bi] for m, v in state.items()}
-            gain = np.round(np.bincount(ci, rule.gain(cols, now, lambda x: np.minimum(x, 1.0)), len(ids)) + fixed, 9)
-            new = np.bincount(ci, np.all([v == 0 for v in now.values()], axis=0), len(ids))
-            if not picked:  # the first of the ranking, whatever the last digits of the sums are here
-                pick = int(ci[np.argmin(cols["__rank"])])
-                gain[pick] = cols["__gain"][np.argmin(cols["__rank"])]
-            else:
-                able = np.flatnonzero(free & (new >= rule.min_new))
-                if not len(able):
-                    break
-                pick = int(able[np.lexsort((ids[able], *[-t[able] for t in reversed(ties)], -gain[able], -opened[able]))[0]])
-                if more and (opened[pick], gain[pick], *[t[pick] for t in ties], -ids[pick]) <= limit:
-                    break
-            if rule.min_steps is not None and gain[pick] <= 0 and done + len(picked) >= rule.min_steps:
-                more = False
-                break
-            picked.append(pick)
-            free[pick] = False
-            if rule.block:
-                opened[group == group[pick]] = 0
-            mine = ci == pick
-            for m, (col, how) in rule.marks.items():
-                (np.maximum if how == "max" else np.add).at(state[m], bi[mine], cols[col][mine])
-        more = more and done + len(picked) < budget
-        return pa.table({
-            "spectrum_id": pa.array(np.full(len(picked), cols["spectrum_id"][0], dtype=np.int64)), "cand_id": pa.array(ids[picked].astype(np.int64)),
-            "step": pa.array(np.arange(done + 1, done + len(picked) + 1, dtype=np.int32)), "more": pa.array(np.full(len(picked), more))})
+def _pick_in_task(table: pa.Table, rule: Greedy, budget: int) -> pa.Table:
+    """Greedy steps among the strongest candidates of every spectrum, as long as no candidate beyond them can be better.
+
+    ``table`` is ordered by spectrum and candidate.  A step is taken in all spectra at once; those that are done leave.
+    """
+    cols = {n: table.column(n).to_numpy() for n in table.column_names if n not in ("group_id", "__t_cand")}
+    starts = lambda *keys: np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+    place = lambda at, n: np.repeat(np.arange(len(at)), np.diff(np.r_[at, n]))
+    n_rows, of_row = len(cols["spectrum_id"]), cols["spectrum_id"]
+    first = starts(of_row)  # first row of each spectrum
+    si = place(first, n_rows)
+    at = starts(of_row, cols["cand_id"])  # first row of each candidate
+    ci, ids, cs = place(at, n_rows), cols["cand_id"][at], si[at]
+    by_bin = np.lexsort((cols["bin"], si))
+    bi = np.empty(n_rows, np.int64)
+    cells = starts(si[by_bin], cols["bin"][by_bin])
+    bi[by_bin] = place(cells, n_rows)
+    state = {m: cols[m][by_bin[cells]].astype(float) for m in rule.marks}
+    fixed, opened = cols["fixed"][at], cols["__open"][at].astype(int)
+    ties = [cols[c][at] for c in rule.order]
+    if rule.block:
+        group = table.column("group_id").combine_chunks().dictionary_encode().indices.to_numpy()[at]
+        _, group = np.unique(np.stack([cs, group]), axis=1, return_inverse=True)
+        group = group.reshape(-1)
+    done, taken = cols["__done"][first].astype(int), np.zeros(len(first), int)
+    more = ~np.isnan(cols["__t_open"][first].astype(float))
+    limit = [cols[f"__t_{c}"][first] for c in ("open", "gain", *rule.order)] + [-table.column("__t_cand").fill_null(0).to_numpy()[first]]
+    free, going = np.ones(len(ids), bool), done < budget
+    found: list[np.ndarray] = []
+    live, live_cands = np.arange(n_rows), np.arange(len(ids))
+    while going.any():
+        if going[cs[live_cands]].mean() < 0.5:
+            live, live_cands = live[going[si[live]]], live_cands[going[cs[live_cands]]]
+        c, b = ci[live], bi[live]
+        entry = {n: v[live] for n, v in cols.items()}
+        now = {m: v[b] for m, v in state.items()}
+        gain = np.round(np.bincount(c, rule.gain(entry, now, lambda x: np.minimum(x, 1.0)), len(ids)) + fixed, 9)
+        if not found:  # the first of the ranking, whatever the last digits of the sums are here
+            order = np.lexsort((cols["__rank"][at], cs))
+            picks = order[starts(cs[order])]
+            gain[picks] = cols["__gain"][at[picks]]
+            picks = picks[going[cs[picks]]]
+        else:
+            new = np.bincount(c, np.all([v == 0 for v in now.values()], axis=0), len(ids))
+            able = live_cands[going[cs[live_cands]] & free[live_cands] & (new[live_cands] >= rule.min_new)]
+            order = able[np.lexsort((ids[able], *[-t[able] for t in reversed(ties)], -gain[able], -opened[able], cs[able]))]
+            picks = order[starts(cs[order])] if len(order) else order
+            s = cs[picks]
+            behind = np.ones(len(picks), bool)  # not better than the first candidate beyond
+            for x, bound in reversed(list(zip([opened, gain, *ties, -ids], limit))):
+                behind = (x[picks] < bound[s]) | ((x[picks] == bound[s]) & behind)
+            picks = picks[~(more[s] & behind)]
+        if rule.min_steps is not None:
+            s = cs[picks]
+            worthless = (gain[picks] <= 0) & (done[s] + taken[s] >= rule.min_steps)
+            more[s[worthless]] = False
+            picks = picks[~worthless]
+        s = cs[picks]
+        taken[s] += 1
+        going[:] = False
+        going[s] = done[s] + taken[s] < budget
+        free[picks] = False
+        found.append(picks)
+        if rule.block:
+            hit = np.zeros(group.max() + 1, bool)
+            hit[group[picks]] = True
+            opened[hit[group]] = 0
+        picked = np.zeros(len(ids), bool)
+        picked[picks] = True
+        mine = live[picked[c]]
+        for m, (col, how) in rule.marks.items():
+            (np.maximum if how == "max" else np.add).at(state[m], bi[mine], cols[col][mine])
+    picks = np.concatenate(found or [np.zeros(0, np.int64)])
+    s = cs[picks]
+    step = done[s] + 1 + np.repeat(np.arange(len(found)), [len(f) for f in found])
+    return pa.table({
+        "spectrum_id": pa.array(of_row[at[picks]].astype(np.int64)), "cand_id": pa.array(ids[picks].astype(np.int64)),
+        "step": pa.array(step.astype(np.int32)), "more": pa.array((more & (done + taken < budget))[s])})
+
+
+def _pick_in_batches(rule: Greedy, budget: int):
+    """Picks of the spectra of a partition, whole spectra in blocks of about ``HEAD_ROWS`` rows."""
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < HEAD_ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            ids = table.column("spectrum_id").to_numpy()
+            cut = int(np.searchsorted(ids, ids[-1]))  # the last spectrum may go on
+            if cut:
+                yield from _pick_in_task(table.slice(0, cut), rule, budget).to_batches()
+            held = table.slice(cut).to_batches()
+            rows -= cut
+        if rows:
+            yield from _pick_in_task(pa.Table.from_batches(held), rule, budget).to_batches()
 
     return run
 
@@ -274,7 +330,7 @@ def lazy_greedy(entries: DataFrame, budget: int, rule: Greedy) -> DataFrame:
             rows = rows.withColumn("__done", F.lit(0))
         else:
             rows = rows.join(picks.groupBy(*ID).agg(F.max("step").alias("__done")), ID)
-        found = rows.repartition(width, "spectrum_id").groupBy("spectrum_id").applyInArrow(_pick_in_task(rule, budget), f"{PICKS}, more boolean")
+        found = rows.repartition(width, "spectrum_id").sortWithinPartitions(*KEYS, "bin").mapInArrow(_pick_in_batches(rule, budget), f"{PICKS}, more boolean")
         found = write_once(found, "greedy-picks")
         mine = found.drop("more")
         picks = mine if picks is None else picks.unionByName(mine)
