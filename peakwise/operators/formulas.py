@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from peakwise.functions import formula as FX
 from peakwise.functions import spectrum as S
 from peakwise.operators import sampling
 from peakwise.operators.transforms import TINY, top_peaks
+from peakwise.session import write_once
 from peakwise.skew import exact_quantiles
 
 
@@ -148,20 +149,24 @@ def common_loss_lookup(
 
 
 def annotation_library(
-    annotated: DataFrame, split_of_group: Column, top_product: int | None = None, top_loss: int | None = None
+    annotated: DataFrame, split_of_group: Column, top_product: int | None = None, top_loss: int | None = None,
+    spelling: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Product and neutral-loss statistics of the training split, all or the strongest of each kind.
 
     ``annotated(group_key, parent_formula, intensity, formulas)`` has one row
     per peak; a peak's intensity is shared equally by its formulas.  Sums are
-    taken per (parent, formula) before any loss is computed.  ``left_out`` is the number of formulas of the kind beyond
-    its limit.
+    taken per (parent, formula) before any loss is computed and before ``spelling`` rewrites the formulas.
+    ``left_out`` is the number of formulas of the kind beyond its limit.
     """
     rows = annotated.withColumn("__split", split_of_group).filter(
         (F.col("__split") == "train") & F.col("parent_formula").isNotNull() & (F.size("formulas") > 0))
     share = F.greatest("intensity", F.lit(0.0)) / F.size("formulas")
     pairs = rows.select("parent_formula", share.alias("w"), F.explode("formulas").alias("formula")).groupBy(
         "parent_formula", "formula").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
+    if spelling is not None:
+        texts = pairs.select("formula").distinct().withColumn("__spelled", spelling(F.col("formula")))
+        pairs = pairs.join(texts, "formula").drop("formula").withColumnRenamed("__spelled", "formula")
     loss = FX.subtract(F.col("parent_formula"), F.col("formula"))
     both = pairs.select(F.lit("product").alias("kind"), "formula", "w", "n").unionByName(
         pairs.select(F.lit("neutral_loss").alias("kind"), loss.alias("formula"), "w", "n").filter("formula <> ''"))
@@ -186,12 +191,16 @@ def library_features(cands: DataFrame, library: DataFrame, keys: Sequence[str])
     library is small by its own top-n, but its size is left to Spark to check.
     ``left_out``: formulas of both kinds that the library's limits left out, whose candidates have no features.
     """
-    own = FX.hill(FX.counts(F.col("formula")))
-    rows = cands.withColumn("__own", own).withColumn("__loss", FX.subtract(F.col("parent_formula"), F.col("formula")))
+    # Formulas are parsed and looked up once per pair of texts, not once per candidate.
+    pairs = cands.select("formula", "parent_formula").distinct()
+    known = pairs.withColumn("__own", FX.hill(FX.counts(F.col("formula")))).withColumn(
+        "__loss", FX.subtract(F.col("parent_formula"), F.col("formula")))
     for kind, key, name in (("product", "__own", "product"), ("neutral_loss", "__loss", "loss")):
         part = library.filter(F.col("kind") == kind).select(
             F.col("formula").alias(key), F.lit(1.0).alias(f"{name}_hit"), F.col("log_intensity").alias(f"{name}_log"))
-        rows = rows.join(part, key, "left").fillna(0.0, [f"{name}_hit", f"{name}_log"])
+        known = known.join(part, key, "left").fillna(0.0, [f"{name}_hit", f"{name}_log"])
+    known = write_once(known.drop("__own", "__loss"), "formula-pairs").withColumnsRenamed({"formula": "__f", "parent_formula": "__p"})
+    rows = cands.join(known, F.col("formula").eqNullSafe(F.col("__f")) & F.col("parent_formula").eqNullSafe(F.col("__p"))).drop("__f", "__p")
     logs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in ("product_log", "loss_log")])
     long = rows.select(*keys, F.explode(logs).alias("x")).select(*keys, "x.*").filter("value > 0")
     scale = exact_quantiles(long, [*keys, "name"], "value", {"p95": 0.95}).groupBy(*keys).agg(*[
@@ -202,7 +211,7 @@ def library_features(cands: DataFrame, library: DataFrame, keys: Sequence[str])
         rows = rows.withColumn(name, F.when(
             F.coalesce(top > 1e-8, F.lit(False)), F.least(F.col(name) / top, F.lit(1.0))).otherwise(F.col(name))).drop(top)
     beyond = library.groupBy("kind").agg(F.max("left_out").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    return rows.drop("__own", "__loss").withColumn("left_out", beyond.scalar())
+    return rows.withColumn("left_out", beyond.scalar())
 
 
 def annotation_support(annotated: DataFrame, pool: DataFrame, pool_bins: DataFrame, bin_width: float = S.BIN_WIDTH) -> DataFrame:

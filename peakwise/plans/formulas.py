@@ -400,8 +400,7 @@ LIBRARY_ALL_SQL = LIBRARY_SQL.replace(_TOP_100, "").replace("greatest(count(*) O
 def library(d, top=100):
     group = N.group_key(F.col("inchikey"), F.lit(None).cast("string"), F.col("mol_id"))
     # The spelling of a product is its Hill form on both sides.
-    rows = annotated_peaks(d).withColumn("formulas", F.transform("formulas", lambda f: FX.hill(FX.counts(f))))
-    return C.annotation_library(rows, C.train_split(group), top, top)
+    return C.annotation_library(annotated_peaks(d), C.train_split(group), top, top, lambda f: FX.hill(FX.counts(f)))
 
 
 @query("a09_annotation_library", f"""WITH {LIBRARY_SQL}
