@@ -223,10 +223,11 @@ def recursive_fragments(
 def fragment_formulas(parts: DataFrame, keys: Sequence[str], atoms: DataFrame, h_min: int = -4, h_max: int = 4) -> DataFrame:
     """Formula of every fragment for each hydrogen shift (hydrogens clamped at zero).
 
-    ``parts(keys, mol_id, part)`` with atom-id arrays; equal shifts can share a
-    formula.
+    ``parts(keys, mol_id, part)`` with atom-id arrays, or a row per atom with
+    ``atom_id``; equal shifts can share a formula.
     """
-    cells = parts.select(*keys, "mol_id", F.explode("part").alias("atom_id")).join(atoms, ["mol_id", "atom_id"])
+    cells = parts if "atom_id" in parts.columns else parts.select(*keys, "mol_id", F.explode("part").alias("atom_id"))
+    cells = cells.join(atoms, ["mol_id", "atom_id"])
     group = list(dict.fromkeys([*keys, "mol_id"]))
     counts = cells.groupBy(*group, "element").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum("n_h").cast("int").alias("h"))
     rows = counts.groupBy(*group).agg(
@@ -351,6 +352,14 @@ def heavy_key(count_map: Column) -> Column:
     return FX.alphabetic(F.map_filter(count_map, lambda k, v: (k != "H") & (v > 0)))
 
 
+def with_heavy(df: DataFrame) -> DataFrame:
+    """``df`` plus ``heavy`` (text of the counts without hydrogen) and ``h`` of its ``formula``; every text is parsed once."""
+    m = FX.counts(F.col("__text"))
+    texts = df.select(F.col("formula").alias("__text")).distinct().select(
+        "__text", heavy_key(m).alias("heavy"), F.coalesce(m["H"], F.lit(0)).alias("h"))
+    return df.join(texts, F.col("formula").eqNullSafe(F.col("__text")), "left").drop("__text")
+
+
 def mark_structural(
     subsets: DataFrame, pool: DataFrame, top_n: int = 8, h_window: int = 4
 ) -> DataFrame:
@@ -363,8 +372,7 @@ def mark_structural(
     window counts.  Subsets with equal counts act once.
     """
     def described(df: DataFrame, *cols: str) -> DataFrame:
-        m = FX.counts(F.col("formula"))
-        return df.select(*cols, heavy_key(m).alias("heavy"), F.coalesce(m["H"], F.lit(0)).alias("h"))
+        return with_heavy(df).select(*cols, "heavy", "h")
 
     sub = described(subsets, "mol_id", "depth", "ring").groupBy("mol_id", "heavy", "h").agg(
         F.min("depth").alias("depth"), F.max("ring").alias("ring"))
@@ -392,7 +400,7 @@ def subset_formulas(
     divided by their sum.  ``subsets(mol_id, subset_id, formula, anchor)``,
     ``pool(mol_id, cand_id, formula)``.
     """
-    key = lambda df: df.withColumn("heavy", heavy_key(FX.counts(F.col("formula")))).drop("formula")
+    key = lambda df: with_heavy(df).drop("formula", "h")
     n = pool_bins.groupBy("mol_id", "cand_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("bin").alias("u"))
     cand = key(pool).join(n, ["mol_id", "cand_id"], "left").fillna(0, ["n", "u"])
     rows = key(subsets).join(cand, ["mol_id", "heavy"])

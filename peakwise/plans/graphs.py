@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from peakwise.operators import graph as G
 from peakwise.plans.registry import query
 from peakwise.plans.spectra import out
+from peakwise.session import write_once
 from peakwise.skew import r6
 
 
@@ -104,10 +105,6 @@ def _(d):
                        F.array_min("part").alias("first_atom"), F.size("part").alias("n_atoms"), "bonds_left")
 
 
-def sides_as_parts(d):
-    return G.single_cuts(atoms(d), bonds(d)).groupBy("mol_id", "cut", "side").agg(F.array_sort(F.collect_list("atom_id")).alias("part"))
-
-
 MASS_SQL = "c * 12.0 + n * 14.00307400443 + o * 15.99491461957 + h * 1.00782503223"
 FORMULA_SQL = """fr AS (SELECT s.mol_id, cut, side, count(*) FILTER (element = 'C') AS c, count(*) FILTER (element = 'N') AS n, count(*) FILTER (element = 'O') AS o, sum(n_h) AS h0
   FROM sides s JOIN atm ON atm.mol_id = s.mol_id AND atm.atom_id = s.atom_id GROUP BY 1, 2, 3),
@@ -120,7 +117,7 @@ ft AS (SELECT *, concat(CASE WHEN c > 0 THEN concat('C', CASE WHEN c > 1 THEN CA
 
 @query("g05_fragment_formulas", f"WITH {ATOMS_SQL}, {SIDES_SQL}, {FORMULA_SQL} SELECT mol_id, cut, side, h_shift, formula, round({MASS_SQL}, 6) AS mass FROM ft", "atoms")
 def _(d):
-    return out(G.fragment_formulas(sides_as_parts(d), ["cut", "side"], atoms(d), -2, 2), "mass")
+    return out(G.fragment_formulas(G.single_cuts(atoms(d), bonds(d)), ["cut", "side"], atoms(d), -2, 2), "mass")
 
 
 @query("g05_single_bond_masses", f"""WITH {ATOMS_SQL}, {SIDES_SQL} SELECT s.mol_id, cut, side, sum(CASE element WHEN 'C' THEN 12 WHEN 'N' THEN 14 ELSE 15 END) AS mass, count(*) AS n_atoms
@@ -199,17 +196,21 @@ def _(d):
     return masks.select("mol_id", "cut", "side", F.element_at("words", 1)["mask"].alias("mask"), atoms_text.alias("atoms"))
 
 
-def subsets(d):
-    frags = G.fragment_formulas(sides_as_parts(d), ["cut", "side"], atoms(d), 0, 0)
-    return frags.select("mol_id", (F.col("cut") * 2 + F.col("side")).alias("subset_id"), "formula",
-                        (F.col("cut") % 3 + 1).alias("depth"), (F.col("cut") % 2).alias("ring"))
+def shifted(d):
+    """Fragments of single cuts with shifted hydrogens, written once: subsets, pool and peaks are read from them."""
+    frags = write_once(G.fragment_formulas(G.single_cuts(atoms(d), bonds(d)), ["cut", "side"], atoms(d), -2, 2), "fragments")
+    return frags.withColumn("key", (F.col("cut") * 2 + F.col("side")) * 5 + F.col("h_shift") + 2)
+
+
+def subsets(frags):
+    return frags.filter("h_shift = 0").select(
+        "mol_id", (F.col("cut") * 2 + F.col("side")).alias("subset_id"), "formula",
+        (F.col("cut") % 3 + 1).alias("depth"), (F.col("cut") % 2).alias("ring"))
 
 
-def pool(d):
+def pool(frags):
     """Candidate formulas of a molecule: its fragments with shifted hydrogens."""
-    frags = G.fragment_formulas(sides_as_parts(d), ["cut", "side"], atoms(d), -2, 2)
-    key = (F.col("cut") * 2 + F.col("side")) * 5 + F.col("h_shift") + 2
-    return frags.select("mol_id", key.alias("cand_id"), "formula", ((key % 7) / 10.0).alias("prior"))
+    return frags.select("mol_id", F.col("key").alias("cand_id"), "formula", ((F.col("key") % 7) / 10.0).alias("prior"))
 
 
 POOL_SQL = """po AS (SELECT mol_id, (cut * 2 + side) * 5 + h_shift + 2 AS cand_id, c, n, o, h, (((cut * 2 + side) * 5 + h_shift + 2) % 7) / 10.0 AS prior FROM ft),
@@ -225,7 +226,8 @@ b AS (SELECT * FROM p WHERE h <= 0 OR near = 0 OR gap <= 1
 u AS (SELECT mol_id, cand_id, depth, ring FROM b UNION ALL SELECT mol_id, cand_id, depth, ring FROM p WHERE gap <= 1)
 SELECT mol_id, cand_id, min(depth) AS depth, max(ring) AS ring FROM u GROUP BY 1, 2""", "atoms")
 def _(d):
-    return G.mark_structural(subsets(d), pool(d), 2, 1)
+    frags = shifted(d)
+    return G.mark_structural(subsets(frags), pool(frags), 2, 1)
 
 
 SUBSET_SQL = f"""{POOL_SQL}, pb AS (SELECT mol_id, cand_id, CAST(floor(({MASS_SQL}) / 10) AS bigint) AS bin, 1.0 + cand_id % 3 AS intensity FROM po
@@ -236,14 +238,12 @@ ch AS (SELECT su.mol_id, su.subset_id, po.cand_id, row_number() OVER (PARTITION
 
 
 def _subset_inputs(d):
-    cands = pool(d)
-    frags = G.fragment_formulas(sides_as_parts(d), ["cut", "side"], atoms(d), -2, 2)
-    key = (F.col("cut") * 2 + F.col("side")) * 5 + F.col("h_shift") + 2
-    one = frags.select("mol_id", key.alias("cand_id"), F.floor(F.col("mass") / 10).alias("bin"))
+    frags = shifted(d)
+    one = frags.select("mol_id", F.col("key").alias("cand_id"), F.floor(F.col("mass") / 10).alias("bin"))
     bins = one.withColumn("intensity", 1.0 + F.col("cand_id") % 3).unionByName(
         one.filter("cand_id % 2 = 0").select("mol_id", "cand_id", (F.col("bin") + 1).alias("bin"), F.lit(1.0).alias("intensity")))
-    sub = subsets(d).withColumn("anchor", F.col("subset_id") * 5 + 2)
-    return G.subset_formulas(sub, cands, bins, 3, 2)
+    sub = subsets(frags).withColumn("anchor", F.col("subset_id") * 5 + 2)
+    return G.subset_formulas(sub, pool(frags), bins, 3, 2)
 
 
 @query("j18_subset_formulas", f"WITH {ATOMS_SQL}, {SIDES_SQL}, {FORMULA_SQL}, {SUBSET_SQL} SELECT * FROM ch", "atoms")
