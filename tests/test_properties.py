@@ -418,3 +418,28 @@ def test_greedy_on_a_hot_spectrum(spark, monkeypatch):
             for b, x in peaks[best].items():
                 covered[b] = max(covered.get(b, 0.0), x / max(peaks[best].values()))
         assert [r.cand_id for r in sorted(got, key=lambda r: r.step) if r.spectrum_id == s] == picked
+
+
+def test_library_search_writes_no_meetings(spark, monkeypatch):
+    """Spectra that all meet: what a search writes grows with the spectra, not with their pairs."""
+    n = 120
+    rows = [(i, b, 1.0 + (i * b) % 7) for i in range(n) for b in (1, 2, 3)]
+    bins = spark.createDataFrame(rows, "spectrum_id long, bin long, intensity double")
+    meta = spark.createDataFrame([(i, 100.0 + i * 1e-4) for i in range(n)], "spectrum_id long, precursor_mz double")
+    sizes, write = {}, LS.write_once
+
+    def counted(df, name):
+        table = write(df, name)
+        sizes[name] = table.count()
+        return table
+
+    monkeypatch.setattr(LS, "write_once", counted)
+    got = {(r.query_id, r["rank"]): (r.library_id, round(r.score, 9)) for r in library_search(bins, meta, bins, meta, 0.5, 3).collect()}
+    x = np.array([v for _, _, v in rows]).reshape(n, 3)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {}
+    for q in range(n):
+        best = sorted((-round(float(unit[q] @ unit[m]), 9), m) for m in range(n))[:3]
+        want |= {(q, rank): (m, -s) for rank, (s, m) in enumerate(best, 1)}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert max(sizes.values()) <= 3 * n
