@@ -145,16 +145,17 @@ class Fixtures:
 
     @cached_property
     def bonds(self) -> DataFrame:
-        last = self.atoms.groupBy("mol_id").agg(F.max("atom_id").alias("last"))
-        return (
-            self.atoms.join(last, "mol_id")
-            .filter(F.col("atom_id") < F.col("last"))
-            .select(
-                "mol_id",
-                F.col("atom_id").alias("bond_id"),
-                F.col("atom_id").alias("a"),
-                (F.col("atom_id") + 1).alias("b"),
-            )
+        order = W.partitionBy("l_orderkey").orderBy("l_extendedprice", "l_partkey")
+        rows = self.table("lineitem").select(
+            F.col("l_orderkey").alias("mol_id"),
+            F.row_number().over(order).cast("long").alias("atom_id"),
+            F.lead("l_orderkey").over(order).alias("next"),
+        )
+        return rows.filter(F.col("next").isNotNull()).select(
+            "mol_id",
+            F.col("atom_id").alias("bond_id"),
+            F.col("atom_id").alias("a"),
+            (F.col("atom_id") + 1).alias("b"),
         )
 
 

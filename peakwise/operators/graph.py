@@ -1,13 +1,18 @@
 """Molecule graphs as tables: cuts, fragments, fingerprints and statistics.
 
-Single cuts walk through each molecule once, whatever its size.  For double
-cuts and recursive fragments, whose results grow with the square of a molecule
-and faster, a molecule is packed into one row (its atoms and bonds as arrays).
+Cuts, fragments and the fingerprints of fragments are made where a molecule's
+atoms and bonds meet: one shuffle brings them together, and a task walks through
+its molecules, many at a time.  Fragments come as rows of atoms or, so that
+nothing about them needs a further shuffle, as one array each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import hashlib
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,59 +37,106 @@ def element_counts(atoms: DataFrame, h_cap: int = 0) -> DataFrame:
     return own.unionByName(hydrogen.filter("n > 0")).groupBy("mol_id", "element").agg(F.sum("n").alias("n"))
 
 
-def pack(atoms: DataFrame, bonds: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
-    """One row per molecule: sorted atom ids and bonds ``(p, bond_id, a, b)``, best ``order`` first."""
-    ids = atoms.groupBy("mol_id").agg(F.array_sort(F.collect_list("atom_id")).alias("atoms"))
-    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*order, F.col("bond_id")])])
-    edges = bonds.groupBy("mol_id").agg(
-        F.array_sort(F.collect_list(F.struct(rank.alias("p"), "bond_id", "a", "b"))).alias("bonds"))
-    return ids.join(edges, "mol_id")
-
-
-def _labels(atoms: Column, edges: Column) -> Column:
-    """Component label (its smallest atom id) of every atom, by merging labels edge by edge."""
-    at = lambda lab, x: F.element_at(lab, F.array_position(atoms, x).cast("int"))
-
-    def merge(lab: Column, e: Column) -> Column:
-        la, lb = at(lab, e["a"]), at(lab, e["b"])
-        return F.transform(lab, lambda x: F.when(x == F.greatest(la, lb), F.least(la, lb)).otherwise(x))
-
-    return F.aggregate(edges, atoms, merge)
-
+class Molecules:
+    """Whole molecules of a task: nodes sorted by molecule and atom id, and bonds between known nodes, in their order."""
+
+    def __init__(self, mol: pa.Array, kind: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray, carried: list[pa.Array]):
+        ids = mol.to_numpy(zero_copy_only=False)
+        start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        number = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(ids))))
+        is_atom = kind == 0
+        self.mol, self.number, self.atom_id = mol.take(pa.array(start)), number[is_atom], x[is_atom]
+        self.carried = [c.filter(pa.array(is_atom)) for c in carried]
+        known_ids, rank = np.unique(self.atom_id, return_inverse=True)
+        codes = self.number * (len(known_ids) + 1) + rank
+        ends, bond_mol = [a[~is_atom], b[~is_atom]], number[~is_atom]
+        known, nodes = np.ones(len(bond_mol), bool), []
+        for end in ends:
+            at = np.searchsorted(known_ids, end)
+            code = bond_mol * (len(known_ids) + 1) + at
+            node = np.searchsorted(codes, code)
+            at, node = (np.minimum(v, max(len(w) - 1, 0)) for v, w in ((at, known_ids), (node, codes)))
+            known &= (known_ids[at] == end) & (codes[node] == code) if len(codes) else False
+            nodes.append(node)
+        self.bond_mol, self.bond_id = bond_mol[known], x[~is_atom][known]
+        self.a, self.b = (n[known] for n in nodes)
+
+    def __iter__(self) -> Iterator[tuple[int, int, int, list[int], list[tuple[int, int]]]]:
+        """(molecule, its first and last but one node, bond ids, bonds between places from 0) of each molecule with bonds."""
+        n = len(self.mol)
+        nodes = np.searchsorted(self.number, np.arange(n + 1)).tolist()
+        bonds = np.searchsorted(self.bond_mol, np.arange(n + 1)).tolist()
+        bond_id, a, b = self.bond_id.tolist(), self.a.tolist(), self.b.tolist()
+        for i in range(n):
+            lo, hi = bonds[i], bonds[i + 1]
+            if lo < hi:
+                first = nodes[i]
+                yield i, first, nodes[i + 1], bond_id[lo:hi], [(x - first, y - first) for x, y in zip(a[lo:hi], b[lo:hi])]
+
+
+def in_molecules(
+    atoms: DataFrame, bonds: DataFrame, work: Callable[[Molecules], Iterator[pa.RecordBatch]], schema: str, carry: Sequence[str] = (), order: Sequence[Column] = ()
+) -> DataFrame:
+    """``work`` on the whole molecules of each task; bonds come best ``order`` first, then by id.
 
-def _parts(atoms: Column, labels: Column) -> Column:
-    """Array of the components, each an array of atom ids."""
-    pairs = F.arrays_zip(atoms.alias("i"), labels.alias("l"))
-    return F.transform(
-        F.array_distinct(labels),
-        lambda one: F.transform(F.filter(pairs, lambda x: x["l"] == one), lambda x: x["i"]))
+    Rows without molecule or atom id, and bonds to unknown atoms, do not count.
+    """
+    none = F.lit(None).cast("long")
+    ranks = [f"o{i}" for i in range(len(order))]
+    long = lambda c: F.col(c).cast("long")
+    rows = atoms.select("mol_id", F.lit(0).alias("kind"), long("atom_id").alias("x"), none.alias("a"), none.alias("b"), *carry).unionByName(
+        bonds.select("mol_id", F.lit(1).alias("kind"), long("bond_id").alias("x"), long("a").alias("a"), long("b").alias("b"),
+                     *[c.alias(r) for c, r in zip(order, ranks)]), allowMissingColumns=True)
+    known = rows.filter(F.col("mol_id").isNotNull() & F.col("x").isNotNull() & ((F.col("kind") == 0) | (F.col("a").isNotNull() & F.col("b").isNotNull())))
+    n_carry = len(carry)
 
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # the last molecule, which may go on
 
-def _bridge_sides(atom_ids: np.ndarray, bonds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(bond, side of each atom, atoms) of every separating bond of one molecule.
+        def whole():
+            table = pa.Table.from_batches(held).combine_chunks()
+            cols = [table.column(i).chunk(0) if table.num_rows else pa.array([]) for i in range(5 + n_carry)]
+            plain = [cols[1].to_numpy(), cols[2].to_numpy(), *(c.fill_null(0).to_numpy() for c in cols[3:5])]
+            yield from work(Molecules(cols[0], *plain, cols[5:]))
 
-    ``bonds`` has rows (bond_id, a, b).  One depth-first walk numbers the atoms so that those below an atom stand side by
-    side; a bond separates exactly if nothing below it is bonded to anything above.  Linear in atoms and bonds.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            cut = int(np.flatnonzero(ids == ids[-1])[0])
+            goes_on = not held or held[-1].column(0)[0] == batch.column(0)[0]
+            if cut or not goes_on:
+                held.append(batch.slice(0, cut))
+                yield from whole()
+                held.clear()
+            held.append(batch.slice(cut))
+        if held:
+            yield from whole()
+
+    return known.repartition("mol_id").sortWithinPartitions("mol_id", "kind", *ranks, "x").select("mol_id", "kind", "x", "a", "b", *carry).mapInArrow(run, schema)
+
+
+def _bridges(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes in walk order, separating bonds) of a graph of many molecules.
+
+    A bond is a row (bond, first place of its component, last but one, first place below it, last but one, whether its first
+    atom is below).  One depth-first walk numbers the nodes so that those below a node stand side by side; a bond separates
+    exactly if nothing below it is bonded to anything above.  Linear in nodes and bonds.
     """
-    n = len(atom_ids)
-    order = np.argsort(atom_ids, kind="stable")
-    at = np.searchsorted(atom_ids, bonds[:, 1:], sorter=order) if n else np.zeros((0, 2), np.int64)
-    known = (at < n).all(1) & (bonds[:, 1] != bonds[:, 2]) if n else np.zeros(len(bonds), bool)
-    known[known] &= (atom_ids[order[at[known]]] == bonds[known, 1:]).all(1)
-    bonds, ends = bonds[known], order[at[known]]
-    both = np.concatenate([ends, ends[:, ::-1]])
-    number = np.tile(np.arange(len(bonds)), 2)
-    by_atom = np.argsort(both[:, 0], kind="stable")
-    first = np.searchsorted(both[by_atom, 0], np.arange(n + 1)).tolist()
-    to, via = both[by_atom, 1].tolist(), number[by_atom].tolist()
-    seen, low, size, walk = [-1] * n, [0] * n, [1] * n, []
+    bonds = np.flatnonzero(a != b)
+    a, b = a[bonds], b[bonds]
+    both = np.concatenate([a, b])
+    by_node = np.argsort(both, kind="stable")
+    first = np.searchsorted(both[by_node], np.arange(n + 1)).tolist()
+    to, via = np.concatenate([b, a])[by_node].tolist(), np.tile(np.arange(len(bonds)), 2)[by_node].tolist()
+    seen, low, size, walk, found = [-1] * n, [0] * n, [1] * n, [], []
     place = first[:-1]
     for root in range(n):
         if seen[root] >= 0:
             continue
-        begin, found = len(walk), []
+        begin, before = len(walk), len(found)
         path = [(root, -1)]
-        seen[root] = low[root] = len(walk)
+        seen[root] = low[root] = begin
         walk.append(root)
         while path:
             here, came = path[-1]
@@ -98,8 +150,8 @@ def _bridge_sides(atom_ids: np.ndarray, bonds: np.ndarray) -> Iterator[tuple[int
                     seen[there] = low[there] = len(walk)
                     walk.append(there)
                     path.append((there, bond))
-                else:
-                    low[here] = min(low[here], seen[there])
+                elif seen[there] < low[here]:
+                    low[here] = seen[there]
                 continue
             path.pop()
             if path:
@@ -107,67 +159,106 @@ def _bridge_sides(atom_ids: np.ndarray, bonds: np.ndarray) -> Iterator[tuple[int
                 low[above] = min(low[above], low[here])
                 size[above] += size[here]
                 if low[here] > seen[above]:
-                    found.append((came, here))
-        part = atom_ids[np.array(walk[begin:])]
-        for bond, below in found:
-            inside = np.zeros(len(part), dtype=bool)
-            inside[seen[below] - begin:seen[below] - begin + size[below]] = True
-            first_below = ends[bond, 0] == below
-            yield int(bonds[bond, 0]), np.where(inside == first_below, 0, 1).astype(np.int32), part
+                    found.append((came, begin, 0, seen[here], seen[here] + size[here], here))
+        for i in range(before, len(found)):
+            found[i] = (*found[i][:2], len(walk), *found[i][3:])
+    cuts = np.array(found, np.int64).reshape(-1, 6)
+    cuts[:, 5] = a[cuts[:, 0]] == cuts[:, 5]
+    cuts[:, 0] = bonds[cuts[:, 0]]
+    return np.array(walk, np.int64), cuts
+
+
+ROWS = 100_000  # atoms of fragments that a task holds at once
+
+
+def _sides(m: Molecules) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bond, side, node) of some separating bonds at a time, a row for each atom."""
+    walk, cuts = _bridges(len(m.atom_id), m.a, m.b)
+    size = cuts[:, 2] - cuts[:, 1]
+    edge = np.flatnonzero(np.diff(np.cumsum(size) // ROWS)) + 1
+    for some in np.split(np.arange(len(cuts)), edge):
+        if not len(some):
+            continue
+        row = np.repeat(some, size[some])
+        step = np.arange(len(row)) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+        place = cuts[row, 1] + step
+        below = (place >= cuts[row, 3]) & (place < cuts[row, 4])
+        yield cuts[row, 0], np.where(below == (cuts[row, 5] == 1), 0, 1).astype(np.int32), walk[place]
 
 
 def single_cuts(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """Both sides of every bond whose removal separates its two atoms.
 
     Rows (mol_id, cut, side, atom_id); side 0 holds the bond's first atom.  Atoms that are not connected with the bond
-    are not listed; bonds to unknown atoms do not count.  One way for molecules of every size: a task walks through its
-    molecules one after the other, in time that is linear in each molecule and its result.
+    are not listed; bonds to unknown atoms do not count.  One way for molecules of every size, in time that is linear in
+    each molecule and its result.
     """
-    none = F.lit(None).cast("long")
-    rows = atoms.select("mol_id", F.lit(0).alias("kind"), F.col("atom_id").cast("long").alias("x"), none.alias("a"), none.alias("b")).unionByName(
-        bonds.select("mol_id", F.lit(1).alias("kind"), F.col("bond_id").cast("long").alias("x"), F.col("a").cast("long"), F.col("b").cast("long")))
-    names = ["mol_id", "cut", "side", "atom_id"]
-
-    def run(batches):
-        here, atom_ids, found = None, [], []
-
-        def results():
-            held, total = [], 0
-            for bond, side, part in _bridge_sides(np.concatenate(atom_ids or [np.zeros(0, np.int64)]), np.concatenate(found or [np.zeros((0, 3), np.int64)])):
-                held.append((np.full(len(part), bond), side, part))
-                total += len(part)
-                if total >= 100_000:
-                    yield from packed(held)
-                    held, total = [], 0
-            yield from packed(held)
-
-        def packed(held):
-            if held:
-                cut, side, part = (np.concatenate(c) for c in zip(*held))
-                yield pa.RecordBatch.from_arrays([pa.array([here] * len(cut), batch.schema.field(0).type), pa.array(cut), pa.array(side), pa.array(part)], names)
-
-        for batch in batches:
-            mol = batch.column(0).to_pylist()
-            kind, x = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            ends = np.column_stack([x, batch.column(3).fill_null(-1).to_numpy(), batch.column(4).fill_null(-1).to_numpy()])
-            start = 0
-            while start < len(mol):
-                end = start
-                while end < len(mol) and mol[end] == mol[start]:
-                    end += 1
-                if mol[start] != here:
-                    yield from results()
-                    here, atom_ids, found = mol[start], [], []
-                is_bond = kind[start:end] == 1
-                atom_ids.append(x[start:end][~is_bond])
-                found.append(ends[start:end][is_bond])
-                start = end
-        if here is not None:
-            yield from results()
-
-    schema = f"mol_id {dict(rows.dtypes)['mol_id']}, cut long, side int, atom_id long"
-    known = rows.filter(F.col("mol_id").isNotNull() & F.col("x").isNotNull() & ((F.col("kind") == 0) | (F.col("a").isNotNull() & F.col("b").isNotNull())))
-    return known.repartition("mol_id").sortWithinPartitions("mol_id", "kind", "x").mapInArrow(run, schema)
+    def work(m):
+        for bond, side, node in _sides(m):
+            yield pa.RecordBatch.from_arrays(
+                [m.mol.take(pa.array(m.number[node])), pa.array(m.bond_id[bond]), pa.array(side), pa.array(m.atom_id[node])], ["mol_id", "cut", "side", "atom_id"])
+
+    return in_molecules(atoms, bonds, work, f"mol_id {dict(atoms.dtypes)['mol_id']}, cut long, side int, atom_id long")
+
+
+def single_cut_parts(atoms: DataFrame, bonds: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """``single_cuts`` with one row per side: (mol_id, cut, side, part), ``part`` an array of (atom_id, *carry) by atom id."""
+    fields = ["atom_id", *carry]
+
+    def work(m):
+        for bond, side, node in _sides(m):
+            order = np.lexsort((node, side, bond))  # nodes follow the atom ids
+            bond, side, node = bond[order], side[order], node[order]
+            start = np.flatnonzero(np.concatenate([[True], (bond[1:] != bond[:-1]) | (side[1:] != side[:-1])]))
+            at = pa.array(node)
+            part = pa.StructArray.from_arrays([pa.array(m.atom_id[node]), *(c.take(at) for c in m.carried)], fields)
+            yield pa.RecordBatch.from_arrays(
+                [m.mol.take(pa.array(m.number[node[start]])), pa.array(m.bond_id[bond[start]]), pa.array(side[start]),
+                 pa.ListArray.from_arrays(pa.array(np.append(start, len(node)), pa.int32()), part)], ["mol_id", "cut", "side", "part"])
+
+    kinds = dict(atoms.dtypes)
+    inner = ", ".join(["atom_id: long", *(f"{c}: {kinds[c]}" for c in carry)])
+    return in_molecules(atoms, bonds, work, f"mol_id {kinds['mol_id']}, cut long, side int, part array<struct<{inner}>>", carry)
+
+
+def _parts(places: Sequence[int], bonds: Sequence[tuple[int, int]]) -> list[list[int]]:
+    """Components of the given places, each in their order."""
+    up = {x: x for x in places}
+    for x, y in bonds:
+        while up[x] != x:
+            x = up[x]
+        while up[y] != y:
+            y = up[y]
+        up[max(x, y)] = min(x, y)
+    parts: dict[int, list[int]] = {}
+    for x in places:
+        root = x
+        while up[root] != root:
+            root = up[root]
+        up[x] = root
+        parts.setdefault(root, []).append(x)
+    return list(parts.values())
+
+
+class _Rows:
+    """Rows (molecule, columns, part) collected into batches."""
+
+    def __init__(self, m: Molecules, names: Sequence[str], types: Sequence[pa.DataType]):
+        self.m, self.names, self.types = m, ["mol_id", *names], types
+        self.atom_id, self.held, self.size = m.atom_id.tolist(), [], 0
+
+    def add(self, i: int, first: int, part: Sequence[int], *cols) -> Iterator[pa.RecordBatch]:
+        self.held.append((i, *cols, [self.atom_id[first + x] for x in part]))
+        self.size += len(part)
+        if self.size >= ROWS:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            mol, *cols = zip(*self.held)
+            yield pa.RecordBatch.from_arrays(
+                [self.m.mol.take(pa.array(mol)), *(pa.array(c, t) for c, t in zip(cols, [*self.types, pa.list_(pa.int64())]))], [*self.names, "part"])
+            self.held, self.size = [], 0
 
 
 def double_cuts(atoms: DataFrame, bonds: DataFrame, order: Sequence[Column] = (), max_pairs: int | None = None) -> DataFrame:
@@ -176,22 +267,24 @@ def double_cuts(atoms: DataFrame, bonds: DataFrame, order: Sequence[Column] = ()
     Rows (mol_id, cut_a, cut_b, part); cuts that leave one piece give nothing.
     With ``max_pairs`` only the first pairs of a molecule are cut, and ``pairs_left`` counts the others.
     """
-    packed = pack(atoms, bonds, order)
-    n = F.size("bonds")
-    first = packed.select("*", n.cast("long").alias("n"), F.posexplode("bonds").alias("i", "x"))
-    pairs = first.select("*", F.posexplode(F.slice("bonds", F.col("i") + 2, n)).alias("step", "y"))
-    left = []
-    if max_pairs is not None:
-        i = F.col("i").cast("long")
-        number = (i * (2 * F.col("n") - i - 1) / 2).cast("long") + F.col("step")
-        pairs = pairs.filter(number < max_pairs)
-        left = [F.greatest((F.col("n") * (F.col("n") - 1) / 2).cast("long") - max_pairs, F.lit(0)).alias("pairs_left")]
-    rest = F.filter("bonds", lambda e: (e["bond_id"] != F.col("x.bond_id")) & (e["bond_id"] != F.col("y.bond_id")))
-    parts = pairs.withColumn("labels", _labels(F.col("atoms"), rest)).withColumn(
-        "parts", _parts(F.col("atoms"), F.col("labels"))).filter(F.size("parts") > 1)
-    return parts.select(
-        "mol_id", F.least("x.bond_id", "y.bond_id").alias("cut_a"), F.greatest("x.bond_id", "y.bond_id").alias("cut_b"),
-        F.explode("parts").alias("part"), *left)
+    def work(m):
+        names, types = (["cut_a", "cut_b"], [pa.int64()] * 2) if max_pairs is None else (["cut_a", "cut_b", "pairs_left"], [pa.int64()] * 3)
+        rows = _Rows(m, names, types)
+        for i, first, end, ids, ends in m:
+            places, n = range(end - first), len(ids)
+            left = [] if max_pairs is None else [max(n * (n - 1) // 2 - max_pairs, 0)]
+            pairs = islice(combinations(range(n), 2), max_pairs)
+            for x, y in pairs:
+                parts = _parts(places, ends[:x] + ends[x + 1:y] + ends[y + 1:])
+                if len(parts) > 1:
+                    a, b = sorted((ids[x], ids[y]))
+                    for part in parts:
+                        yield from rows.add(i, first, part, a, b, *left)
+        yield from rows.rest()
+
+    kept = "" if max_pairs is None else ", pairs_left long"
+    made = in_molecules(atoms, bonds, work, f"mol_id {dict(atoms.dtypes)['mol_id']}, cut_a long, cut_b long{kept}, part array<long>", order=order)
+    return made.select("mol_id", "cut_a", "cut_b", "part", *([] if max_pairs is None else ["pairs_left"]))
 
 
 def recursive_fragments(
@@ -202,22 +295,65 @@ def recursive_fragments(
     Rows (mol_id, depth, path, part, bonds_left): ``path`` lists the cut bonds
     in order.  With ``branch`` only the best bonds of a fragment are cut, and
     ``bonds_left`` counts the others of the fragment that was cut last.
-    Each level is one projection over the fragments of the level above.
+    A task holds one path of fragments at a time.
     """
-    level = pack(atoms, bonds, order).select("mol_id", "bonds", F.col("atoms").alias("part"), F.array().cast("array<long>").alias("path"))
-    out = None
-    for d in range(1, depth + 1):
-        inside = F.filter("bonds", lambda e: F.array_contains("part", e["a"]) & F.array_contains("part", e["b"]))
-        cuts = level.withColumn("inside", inside).withColumn("cut", F.explode(F.col("inside") if branch is None else F.slice("inside", 1, branch)))
-        left = F.lit(0) if branch is None else F.greatest(F.size("inside") - branch, F.lit(0))
-        rest = F.filter("inside", lambda e: e["bond_id"] != F.col("cut.bond_id"))
-        cuts = cuts.withColumn("labels", _labels(F.col("part"), rest)).withColumn("parts", _parts(F.col("part"), F.col("labels")))
-        level = cuts.filter(F.size("parts") > 1).select(
-            "mol_id", "bonds", F.concat("path", F.array(F.col("cut.bond_id").cast("long"))).alias("path"),
-            F.explode("parts").alias("part"), left.alias("bonds_left"))
-        found = level.select("mol_id", F.lit(d).alias("depth"), "path", "part", "bonds_left")
-        out = found if out is None else out.unionByName(found)
-    return out
+    def work(m):
+        rows = _Rows(m, ["depth", "path", "bonds_left"], [pa.int32(), pa.list_(pa.int64()), pa.int32()])
+
+        def cut(i, first, part, ids, ends, path):
+            left = 0 if branch is None else max(len(ids) - branch, 0)
+            for x in range(len(ids) if branch is None else min(branch, len(ids))):
+                parts = _parts(part, ends[:x] + ends[x + 1:])
+                if len(parts) < 2:
+                    continue
+                longer = [*path, ids[x]]
+                for piece in parts:
+                    yield from rows.add(i, first, piece, len(longer), longer, left)
+                    if len(longer) < depth and len(piece) > 1:
+                        held = set(piece)
+                        inside = [k for k, (a, b) in enumerate(ends) if a in held and b in held]
+                        yield from cut(i, first, piece, [ids[k] for k in inside], [ends[k] for k in inside], longer)
+
+        for i, first, end, ids, ends in m:
+            yield from cut(i, first, range(end - first), ids, ends, [])
+        yield from rows.rest()
+
+    made = in_molecules(
+        atoms, bonds, work, f"mol_id {dict(atoms.dtypes)['mol_id']}, depth int, path array<long>, bonds_left int, part array<long>", order=order)
+    return made.select("mol_id", "depth", "path", "part", "bonds_left")
+
+
+def cut_fingerprints(atoms: DataFrame, bonds: DataFrame, rounds: int = 3) -> DataFrame:
+    """``wl_fingerprint`` of both sides of every separating cut: rows (mol_id, cut, side, fingerprint)."""
+    def work(m):
+        digest = lru_cache(10_000)(lambda text: hashlib.sha256(text.encode()).hexdigest())  # small fragments are often alike
+        elements = m.carried[0].to_pylist()
+        near: dict[int, list[int]] = {}
+        for x, y in zip(m.a.tolist(), m.b.tolist()):
+            near.setdefault(x, []).append(y)
+            near.setdefault(y, []).append(x)
+
+        def fingerprint(part):
+            inside, labels = set(part), {x: elements[x] for x in part}
+            texts = []
+            for r in range(rounds + 1):
+                if r:
+                    around = {x: sorted(f"_{labels[y]}" for y in near.get(x, ()) if y in inside and labels[y] is not None) for x in part}
+                    labels = {x: None if labels[x] is None else digest(labels[x] + "".join(around[x])) for x in part}
+                texts += [f"{r:02d}|{'null' if label is None else label}|{n}" for label, n in Counter(labels.values()).items()]
+            return digest(";".join(sorted(texts)))
+
+        for bond, side, node in _sides(m):
+            order = np.lexsort((node, side, bond))
+            bond, side, node = bond[order], side[order], node[order]
+            start = np.flatnonzero(np.concatenate([[True], (bond[1:] != bond[:-1]) | (side[1:] != side[:-1])]))
+            ends, nodes = np.append(start[1:], len(node)).tolist(), node.tolist()
+            prints = [fingerprint(nodes[lo:hi]) for lo, hi in zip(start.tolist(), ends)]
+            yield pa.RecordBatch.from_arrays(
+                [m.mol.take(pa.array(m.number[node[start]])), pa.array(m.bond_id[bond[start]]), pa.array(side[start]), pa.array(prints)],
+                ["mol_id", "cut", "side", "fingerprint"])
+
+    return in_molecules(atoms, bonds, work, f"mol_id {dict(atoms.dtypes)['mol_id']}, cut long, side int, fingerprint string", ["element"])
 
 
 def fragment_formulas(parts: DataFrame, keys: Sequence[str], atoms: DataFrame, h_min: int = -4, h_max: int = 4) -> DataFrame:
@@ -244,11 +380,13 @@ def fragment_formulas(parts: DataFrame, keys: Sequence[str], atoms: DataFrame, h
         (F.col("__m") + F.col("__h") * F.lit(K.ISOTOPE_MASS["H"])).alias("mass"))
 
 
-def single_bond_masses(sides: DataFrame, atoms: DataFrame) -> DataFrame:
+def single_bond_masses(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """Whole-number atom masses of both sides of every separating cut (hydrogens not counted)."""
     table = F.create_map(*[F.lit(x) for e, m in K.ISOTOPE_MASS.items() for x in (e, int(m))])
-    return sides.join(atoms.select("mol_id", "atom_id", table[F.col("element")].alias("m")), ["mol_id", "atom_id"]).groupBy(
-        "mol_id", "cut", "side").agg(F.sum("m").alias("mass"), F.count(F.lit(1)).alias("n_atoms"))
+    parts = single_cut_parts(atoms.withColumn("m", table[F.col("element")]), bonds, ["m"])
+    known = F.filter(F.transform("part", lambda x: x["m"]), lambda m: m.isNotNull())
+    total = F.aggregate(known, F.lit(0).cast("long"), lambda s, m: s + m)
+    return parts.select("mol_id", "cut", "side", F.when(F.size(known) > 0, total).alias("mass"), F.size("part").cast("long").alias("n_atoms"))
 
 
 HETERO = ("N", "O", "P", "S")
@@ -331,13 +469,13 @@ def molecule_stats(atoms: DataFrame, bonds: DataFrame, elements: Sequence[str] =
     return stats.join(kinds, "mol_id", "left").fillna(0, ["num_bonds", "single", "double", "triple", "aromatic"])
 
 
-def atom_mask(sides: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Atom sets as ``words`` per group: an array of (word, mask), each with the atoms ``63 * word + 0..62``."""
-    bit = F.expr("shiftleft(cast(1 as bigint), cast(pmod(atom_id, 63) as int))")
-    word = F.floor(F.col("atom_id") / MASK_BITS).cast("int")
-    masks = sides.select(*keys, "atom_id").distinct().groupBy(*keys, word.alias("word")).agg(F.sum(bit).alias("mask"))
-    # One entry per 63 atom ids of a molecule.
-    return masks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("word", "mask"))).alias("words"))
+def atom_mask(atom_ids: Column) -> Column:
+    """A set of atoms, given as an array of ids, as ``words``: an array of (word, mask), each with the atoms ``63 * word + 0..62``."""
+    word = lambda x: F.floor(x / MASK_BITS).cast("int")
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(MASK_BITS)).cast("int"))
+    words = F.array_sort(F.array_distinct(F.transform(atom_ids, word)))
+    return F.transform(words, lambda w: F.struct(w.alias("word"), F.aggregate(
+        F.filter(atom_ids, lambda x: word(x) == w), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit(x))).alias("mask")))
 
 
 def mask_atoms(words: Column) -> Column:

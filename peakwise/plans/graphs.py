@@ -54,8 +54,8 @@ def _(d):
 @query("g02_components_after_cut", f"""WITH {ATOMS_SQL}, {SIDES_SQL} SELECT mol_id, cut, side, count(*) AS n_atoms, min(atom_id) AS first_atom FROM sides GROUP BY 1, 2, 3""",
        "atoms")
 def _(d):
-    return G.single_cuts(atoms(d), bonds(d)).groupBy("mol_id", "cut", "side").agg(
-        F.count(F.lit(1)).alias("n_atoms"), F.min("atom_id").alias("first_atom"))
+    return G.single_cut_parts(atoms(d), bonds(d)).select(
+        "mol_id", "cut", "side", F.size("part").cast("long").alias("n_atoms"), F.col("part")[0]["atom_id"].alias("first_atom"))
 
 
 DOUBLE_SQL = f"""pr AS (SELECT x.mol_id, n, x.bond_id AS i, y.bond_id AS j, x.mol_id % 3 = 0 AND n >= 3 AS ring FROM bd x JOIN bd y ON x.mol_id = y.mol_id AND x.bond_id < y.bond_id
@@ -123,7 +123,7 @@ def _(d):
 @query("g05_single_bond_masses", f"""WITH {ATOMS_SQL}, {SIDES_SQL} SELECT s.mol_id, cut, side, sum(CASE element WHEN 'C' THEN 12 WHEN 'N' THEN 14 ELSE 15 END) AS mass, count(*) AS n_atoms
 FROM sides s JOIN atm ON atm.mol_id = s.mol_id AND atm.atom_id = s.atom_id GROUP BY 1, 2, 3""", "atoms")
 def _(d):
-    return G.single_bond_masses(G.single_cuts(atoms(d), bonds(d)), atoms(d))
+    return G.single_bond_masses(atoms(d), bonds(d))
 
 
 @query("g06_bond_features", f"""WITH {ATOMS_SQL}, en AS (SELECT mol_id, a AS x, b AS y FROM bd UNION ALL SELECT mol_id, b, a FROM bd),
@@ -169,12 +169,7 @@ _SWL, _SWLS = wl_sql(1, "sa", "sb", ["mol_id", "cut", "side"])
 sb AS (SELECT x.mol_id, x.cut, x.side, bd.a, bd.b FROM bd JOIN sides x ON x.mol_id = bd.mol_id AND x.atom_id = bd.a JOIN sides y ON y.mol_id = bd.mol_id AND y.atom_id = bd.b
   AND x.cut = y.cut AND x.side = y.side), {_SWL} {_SWLS}""", "atoms")
 def _(d):
-    keys = ["mol_id", "cut", "side"]
-    sides = G.single_cuts(atoms(d), bonds(d))
-    sub_atoms = sides.join(atoms(d).select("mol_id", "atom_id", "element"), ["mol_id", "atom_id"])
-    ends = bonds(d).select("mol_id", "a", "b").join(sides.withColumnRenamed("atom_id", "a"), ["mol_id", "a"])
-    sub_bonds = ends.join(sides.withColumnRenamed("atom_id", "b"), [*keys, "b"])
-    return G.wl_fingerprint(sub_atoms, sub_bonds, 1, keys)
+    return G.cut_fingerprints(atoms(d), bonds(d), 1)
 
 
 @query("g09_molecule_stats", f"""WITH {ATOMS_SQL}, en AS (SELECT mol_id, a AS x FROM bd UNION ALL SELECT mol_id, b FROM bd), dg AS (SELECT mol_id, x, count(*) AS d FROM en GROUP BY 1, 2),
@@ -191,7 +186,8 @@ def _(d):
 @query("g10_mask_codec", f"""WITH {ATOMS_SQL}, {SIDES_SQL} SELECT mol_id, cut, side, CAST(sum(1::bigint << atom_id) AS bigint) AS mask, string_agg(atom_id, ',' ORDER BY atom_id) AS atoms FROM sides GROUP BY 1, 2, 3""",
        "atoms")
 def _(d):
-    masks = G.atom_mask(G.single_cuts(atoms(d), bonds(d)), ["mol_id", "cut", "side"])
+    ids = F.transform("part", lambda x: x["atom_id"])
+    masks = G.single_cut_parts(atoms(d), bonds(d)).select("mol_id", "cut", "side", G.atom_mask(ids).alias("words"))
     atoms_text = F.array_join(G.mask_atoms(F.col("words")).cast("array<string>"), ",")
     return masks.select("mol_id", "cut", "side", F.element_at("words", 1)["mask"].alias("mask"), atoms_text.alias("atoms"))
 

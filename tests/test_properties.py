@@ -443,3 +443,57 @@ def test_library_search_writes_no_meetings(spark, monkeypatch):
         want |= {(q, rank): (m, -s) for rank, (s, m) in enumerate(best, 1)}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
     assert max(sizes.values()) <= 3 * n
+
+
+def test_fragments_of_any_graph_in_one_walk(spark):
+    """Rings, several components and bonds to unknown atoms: parts of one and two cuts, of recursive cuts, and their fingerprints."""
+    rng = random.Random(5)
+    graphs = {}
+    for mol in range(40):
+        n = rng.randint(1, 7)
+        ids = rng.sample(range(100, 200), n)
+        bonds = [(i, rng.choice(ids), rng.choice([*ids, 999])) for i in range(rng.randint(0, 8))]
+        graphs[mol] = (ids, bonds)
+    atoms = spark.createDataFrame([(m, x, "CNO"[x % 3]) for m, (ids, _) in graphs.items() for x in ids], "mol_id long, atom_id long, element string")
+    bonds = spark.createDataFrame([(m, *b) for m, (_, bs) in graphs.items() for b in bs], "mol_id long, bond_id long, a long, b long")
+
+    def parts(ids, edges):
+        left, out = set(ids), []
+        while left:
+            part, todo = set(), [min(left)]
+            while todo:
+                x = todo.pop()
+                if x not in part:
+                    part.add(x)
+                    todo += [b if a == x else a for _, a, b in edges if x in (a, b)]
+            left -= part
+            out.append(tuple(sorted(part)))
+        return out
+
+    double, deep = set(), set()
+    for m, (ids, every) in graphs.items():
+        known = [b for b in every if b[1] in ids and b[2] in ids]
+        for x, y in itertools.combinations(known, 2):
+            cut = parts(ids, [b for b in known if b not in (x, y)])
+            double |= {(m, x[0], y[0], p) for p in cut if len(cut) > 1}
+        level = [((), tuple(ids))]
+        for _ in range(3):
+            below = []
+            for path, part in level:
+                inside = [b for b in known if b[1] in part and b[2] in part]
+                for x in inside:
+                    cut = parts(part, [b for b in inside if b != x])
+                    below += [((*path, x[0]), p) for p in cut if len(cut) > 1]
+            level = below
+            deep |= {(m, len(path), path, p) for path, p in level}
+    got = {(r.mol_id, r.cut_a, r.cut_b, tuple(r.part)) for r in G.double_cuts(atoms, bonds).collect()}
+    assert got == double
+    got = {(r.mol_id, r.depth, tuple(r.path), tuple(r.part)) for r in G.recursive_fragments(atoms, bonds).collect()}
+    assert got == deep
+    sides = G.single_cuts(atoms, bonds)
+    long = {(r.mol_id, r.cut, r.side, r.atom_id) for r in sides.collect()}
+    assert long == {(r.mol_id, r.cut, r.side, x.atom_id) for r in G.single_cut_parts(atoms, bonds, ["element"]).collect() for x in r.part}
+    keys = ["mol_id", "cut", "side"]
+    ends = bonds.join(sides.withColumnRenamed("atom_id", "a"), ["mol_id", "a"]).join(sides.withColumnRenamed("atom_id", "b"), [*keys, "b"])
+    plain = G.wl_fingerprint(sides.join(atoms, ["mol_id", "atom_id"]), ends, 2, keys)
+    assert {tuple(r) for r in plain.select(*keys, "fingerprint").collect()} == {tuple(r) for r in G.cut_fingerprints(atoms, bonds, 2).collect()}
