@@ -26,13 +26,27 @@ def find_library_files(spark: SparkSession, root: str, patterns: Sequence[str] =
 def structure_headers(
     spark: SparkSession, root: str, glob: str = "[Ii][Dd]*.[Mm][Oo][Ll]", id_pattern: str = r"(?i)/ID(\d+)\.MOL$"
 ) -> DataFrame:
-    """Name, source, CAS number and library id from the first lines of structure files.
+    """``headers_of_structures`` of the structure files below a folder."""
+    return headers_of_structures(structure_files(spark, root, glob), id_pattern)
+
+
+def structure_files(spark: SparkSession, root: str, glob: str = "[Ii][Dd]*.[Mm][Oo][Ll]") -> DataFrame:
+    """(path, value) of the structure files below a folder.
+
+    A store lists and opens files one by one, so large libraries are best written
+    as such a table once and read from it.
+    """
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def headers_of_structures(files: DataFrame, id_pattern: str = r"(?i)/ID(\d+)\.MOL$") -> DataFrame:
+    """Name, source, CAS number and library id from the first lines of structure files ``(path, value)``.
 
     The id comes from the file path (``ID<n>.MOL``) and stands in for a missing
     library id.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
-    number = F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1)
+    number = F.regexp_extract("path", id_pattern, 1)
     lines = F.split("value", r"\r?\n")
     note = F.coalesce(F.try_element_at(lines, F.lit(3)), F.lit(""))
     cas = F.nullif(F.regexp_extract(note, r"(?i)CAS\s*rn\s*=\s*([0-9]+)", 1), F.lit(""))
