@@ -214,6 +214,13 @@ def library_features(cands: DataFrame, library: DataFrame, keys: Sequence[str])
     return rows.withColumn("left_out", beyond.scalar())
 
 
+def with_canonical(df: DataFrame) -> DataFrame:
+    """``df`` plus ``canonical``, the spelling of its ``formula``; every text is parsed once."""
+    texts = df.select(F.col("formula").alias("__text")).distinct().select(
+        "__text", FX.canonical(FX.counts(F.col("__text"))).alias("canonical"))
+    return df.join(texts, F.col("formula").eqNullSafe(F.col("__text")), "left").drop("__text")
+
+
 def annotation_support(annotated: DataFrame, pool: DataFrame, pool_bins: DataFrame, bin_width: float = S.BIN_WIDTH) -> DataFrame:
     """Share of annotated peaks whose formula is in the pool, and in the peak's bin.
 
@@ -221,11 +228,10 @@ def annotation_support(annotated: DataFrame, pool: DataFrame, pool_bins: DataFra
     cand_id, formula)``, ``pool_bins(spectrum_id, cand_id, bin)``.
     """
     keys = ["spectrum_id", "canonical"]
-    canon = lambda c: FX.canonical(FX.counts(F.col(c)))
     terms = annotated.filter(F.size("formulas") > 0).select(
         "spectrum_id", "peak_no", S.bin_index(F.col("mz"), bin_width).alias("bin"),
-        F.explode("formulas").alias("formula")).withColumn("canonical", canon("formula"))
-    named = pool.withColumn("canonical", canon("formula"))
+        F.explode("formulas").alias("formula"))
+    terms, named = with_canonical(terms), with_canonical(pool)
     in_pool = named.select(*keys).distinct().withColumn("__pool", F.lit(1))
     in_bin = named.join(pool_bins.select("spectrum_id", "cand_id", "bin"), ["spectrum_id", "cand_id"]).select(
         *keys, "bin").distinct().withColumn("__bin", F.lit(1))
@@ -273,32 +279,32 @@ def annotation_table(peaks: DataFrame, spectra: DataFrame) -> tuple[DataFrame, D
     peak; ``spectra(spectrum_id, ion_formula)`` the precursor ion formula.  One
     bad annotation rejects its whole spectrum.
     """
-    texts = peaks.filter(F.col("annotation").isNotNull()).select(
-        "spectrum_id", "peak_no", "mz", "annotation",
-        F.posexplode(F.split("annotation", ";")).alias("part_no", "part"))
+    annotated = peaks.filter(F.col("annotation").isNotNull()).select("spectrum_id", "peak_no", "mz", "annotation")
+    # Annotations are read once per text, terms once per term and precursor: both repeat from peak to peak.
+    texts = annotated.select("annotation").distinct().select("annotation", F.posexplode(F.split("annotation", ";")).alias("part_no", "part"))
     stripped = F.regexp_replace(F.trim("part"), r" ?\d+/\d+$", "")
     core = F.split_part(F.split_part(stripped, F.lit("/"), F.lit(1)), F.lit("="), F.lit(1))
-    rows = texts.withColumn("__s", stripped).filter(~F.col("__s").isin("?", "more")).withColumn("product_text", core)
+    texts = texts.withColumn("__s", stripped).filter(~F.col("__s").isin("?", "more")).withColumn("product_text", core)
     error = (
         F.when(F.col("annotation").contains("|"), "glycans not supported")
         .when(F.col("annotation").rlike(r"^(?:a|b|y)\d+|^pi"), "peptides not supported")
         .when(F.col("__s") == "", "empty annotation")
         .otherwise(FX.annotation_error(F.col("product_text"))))
-    rows = rows.withColumn("error", error)
-    rejected = rows.filter(F.col("error").isNotNull()).groupBy("spectrum_id").agg(
+    texts = texts.select("annotation", "part_no", "product_text", error.alias("error"))
+    rejected = annotated.join(texts.filter(F.col("error").isNotNull()), "annotation").groupBy("spectrum_id").agg(
         F.min_by("error", F.struct("peak_no", "part_no")).alias("error"))
-    good = rows.join(rejected.select("spectrum_id"), "spectrum_id", "left_anti").join(
-        spectra.select("spectrum_id", "ion_formula"), "spectrum_id")
-    parsed = good.withColumn("__a", FX.parse_annotation(F.col("product_text"), F.col("ion_formula")))
-    parsed = parsed.withColumn("__f", F.col("__a.formula"))
-    loss = F.map_zip_with(FX.counts(F.col("ion_formula")), F.col("__f"),
+    good = annotated.join(texts.filter(F.col("error").isNull()).select("annotation", "product_text"), "annotation").join(
+        rejected.select("spectrum_id"), "spectrum_id", "left_anti").join(spectra.select("spectrum_id", "ion_formula"), "spectrum_id")
+    parsed = good.select(F.col("product_text").alias("__t"), F.col("ion_formula").alias("__i")).distinct()
+    parsed = parsed.withColumn("__a", FX.parse_annotation(F.col("__t"), F.col("__i"))).withColumn("__f", F.col("__a.formula"))
+    loss = F.map_zip_with(FX.counts(F.col("__i")), F.col("__f"),
                           lambda k, a, b: F.coalesce(a, F.lit(0)) - F.coalesce(b, F.lit(0)))
-    return parsed.select(
-        "spectrum_id", "peak_no", "mz", FX.alphabetic(F.col("__f"), True).alias("product"),
-        FX.alphabetic(loss, True).alias("loss"), F.col("__a.isotope").alias("isotope"),
-        F.col("__a.charge").alias("charge"),
-        (FX.mass_of(F.col("__f")) + F.col("__a.isotope") * F.lit(K.NEUTRON_MASS)).alias("exact_mz"),
-    ), rejected
+    parsed = parsed.select(
+        "__t", "__i", FX.alphabetic(F.col("__f"), True).alias("product"), FX.alphabetic(loss, True).alias("loss"),
+        F.col("__a.isotope").alias("isotope"), F.col("__a.charge").alias("charge"),
+        (FX.mass_of(F.col("__f")) + F.col("__a.isotope") * F.lit(K.NEUTRON_MASS)).alias("exact_mz"))
+    rows = good.join(parsed, (F.col("product_text") == F.col("__t")) & F.col("ion_formula").eqNullSafe(F.col("__i")))
+    return rows.select("spectrum_id", "peak_no", "mz", "product", "loss", "isotope", "charge", "exact_mz"), rejected
 
 
 def candidate_descriptors(cands: DataFrame, keys: Sequence[str], peaks: DataFrame) -> DataFrame:

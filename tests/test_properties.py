@@ -497,3 +497,33 @@ def test_fragments_of_any_graph_in_one_walk(spark):
     ends = bonds.join(sides.withColumnRenamed("atom_id", "a"), ["mol_id", "a"]).join(sides.withColumnRenamed("atom_id", "b"), [*keys, "b"])
     plain = G.wl_fingerprint(sides.join(atoms, ["mol_id", "atom_id"]), ends, 2, keys)
     assert {tuple(r) for r in plain.select(*keys, "fingerprint").collect()} == {tuple(r) for r in G.cut_fingerprints(atoms, bonds, 2).collect()}
+
+
+def test_structure_headers_of_files_and_of_a_table(spark, tmp_path):
+    """A table of structure files gives the rows that the files give, without opening a file for each."""
+    texts = {"ID7.MOL": "one\nsrc\nCAS rn = 50, Library ID = 8\nM  END", "sub/id12.mol": "two\r\n\r\n\r\nM  END", "note.txt": "x"}
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    want = {(7, "one", "src", "50", 8), (12, "two", None, None, 12)}
+    assert {tuple(r) for r in IO.structure_headers(spark, str(tmp_path)).collect()} == want
+    table = spark.createDataFrame([(f"lib/{name}", text) for name, text in texts.items()], "path string, value string")
+    assert {tuple(r) for r in IO.headers_of_structures(table).collect()} == want
+    headers = QUERIES["io07_structure_headers"](spark, "/root/testdata/sf0.01")
+    assert len(headers.inputFiles()) < headers.count() / 100
+
+
+def test_annotations_are_parsed_once_a_text(spark):
+    """Peaks without a precursor formula stay, and parsing happens below a distinct, not in every row."""
+    from peakwise.operators import formulas as C
+    peaks = spark.createDataFrame([(s, p, 10.0 * p, t) for s in (1, 2, 3) for p, t in ((1, "p-H2O/1ppm;? 3/9"), (2, "p-CO2=x/2ppm 4/5;p-H2O"))]
+                                  + [(4, 1, 5.0, "p-H2O"), (4, 2, 6.0, "y3 5/9")], "spectrum_id long, peak_no int, mz double, annotation string")
+    spectra = spark.createDataFrame([(1, "C6H12O6"), (2, "C6H12O6"), (3, None), (4, "C2H6O")], "spectrum_id long, ion_formula string")
+    table, rejected = C.annotation_table(peaks, spectra)
+    assert [tuple(r) for r in rejected.collect()] == [(4, "peptides not supported")]
+    got = sorted((r.spectrum_id, r.peak_no, r["loss"], round(r.exact_mz, 4)) for r in table.filter("spectrum_id < 3").collect())
+    assert got == [(s, p, *x) for s in (1, 2) for p, x in ((1, ("H2O1", 162.0528)), (2, ("C1O2", 136.0736)), (2, ("H2O1", 162.0528)))]
+    assert table.filter("spectrum_id = 3").count() == 3
+    for df in (table, C.with_canonical(spectra.withColumnRenamed("ion_formula", "formula"))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Aggregate [") >= 1
