@@ -509,7 +509,8 @@ def test_structure_headers_of_files_and_of_a_table(spark, tmp_path):
     assert {tuple(r) for r in IO.structure_headers(spark, str(tmp_path)).collect()} == want
     table = spark.createDataFrame([(f"lib/{name}", text) for name, text in texts.items()], "path string, value string")
     assert {tuple(r) for r in IO.headers_of_structures(table).collect()} == want
-    headers = QUERIES["io07_structure_headers"](spark, "/root/testdata/sf0.01")
+    import __spark_entry__ as entry_module
+    headers = entry_module.queries()["io07_structure_headers"](spark, "/root/testdata/sf0.01")
     assert len(headers.inputFiles()) < headers.count() / 100
 
 
@@ -527,3 +528,20 @@ def test_annotations_are_parsed_once_a_text(spark):
     for df in (table, C.with_canonical(spectra.withColumnRenamed("ion_formula", "formula"))):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Aggregate [") >= 1
+
+
+def test_pairs_of_peaks_meet_once(spark):
+    """Peaks paired in one shuffle give the pairs of the binned sides; shares and totals of spectra add no shuffle."""
+    rng = random.Random(3)
+    side = lambda: spark.createDataFrame(
+        [(rng.randrange(6), rng.choice([-1.0, 0.2, 0.4, 3.7, 99.5, 1004.9, 2000.0]) + rng.random() / 50, float(rng.randint(-1, 4))) for _ in range(200)],
+        "spectrum_id long, mz double, intensity double")
+    t, p = side(), side()
+    read = lambda df: sorted((r.spectrum_id, r.bin, round(r.t, 9), round(r.p, 9)) for r in df.collect())
+    paired = M.pair_peaks(t, p, 5, 1.0)
+    assert read(paired) == read(M.pair_bins(T.bin_spectra(t, bin_width=1.0), T.bin_spectra(p, bin_width=1.0)))
+    pre = spark.createDataFrame([(s, 3.8) for s in range(5)], "spectrum_id long, precursor_mz double")
+    edges = lambda x: T.bin_spectra_edges(x, 0.5, "max", pre)
+    assert read(M.pair_peaks_max(t, p, pre, 5, 0.5).filter("t > 0 OR p > 0")) == read(M.pair_bins(edges(t), edges(p)).filter("t > 0 OR p > 0"))
+    for scores in (M.barcode(paired), M.top_overlap(paired, 3), M.dice(paired), M.distances(paired, 1006)):
+        assert scores._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
