@@ -7,6 +7,7 @@ from peakwise.operators import metrics as M
 from peakwise.operators import transforms as T
 from peakwise.plans.registry import query
 from peakwise.plans.spectra import CAND_BINS_SQL, out
+from peakwise.session import parts_for
 from peakwise.skew import r6
 
 
@@ -57,7 +58,7 @@ def pred_bins(d, **kw):
 
 
 def pairs(d, **kw):
-    return M.pair_bins(true_bins(d, **kw), pred_bins(d, **kw))
+    return M.pair_peaks(d.peaks, d.pred_peaks, parts_for(d.table("lineitem")), **kw)
 
 
 @query("flagship_quality_by_instrument", f"""
@@ -121,9 +122,8 @@ pb AS (SELECT p.spectrum_id, CAST(floor(mz / 0.5) AS bigint) AS bin,
 SELECT spectrum_id, round({COS_SQL}, 6) AS cosine, round({SQRT_COS_SQL}, 6) AS sqrt_cosine FROM pairs GROUP BY 1""",
        "peaks pred_peaks spectra")
 def _(d):
-    t = T.bin_spectra_edges(d.peaks, 0.5, "max", d.spectra)
-    p = T.bin_spectra_edges(d.pred_peaks, 0.5, "max", d.spectra)
-    return out(M.cosine(M.pair_bins(t, p)), "cosine", "sqrt_cosine")
+    rows = M.pair_peaks_max(d.peaks, d.pred_peaks, d.spectra, parts_for(d.table("lineitem")), 0.5)
+    return out(M.cosine(rows), "cosine", "sqrt_cosine")
 
 
 @query("m03_js_similarity", f"WITH {PAIRS_SQL}, {SHARES_SQL} SELECT spectrum_id, round({JS_SQL}, 6) AS js FROM shares "
