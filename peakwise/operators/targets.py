@@ -23,22 +23,26 @@ from peakwise.skew import row_positions, with_group_stats
 KEYS = ["spectrum_id", "cand_id"]
 
 
-def overlap_scores(cand_bins: DataFrame, true_bins: DataFrame, tol_bins: int = 0, top: int = 20) -> DataFrame:
+def overlap_scores(cand_bins: DataFrame, true_bins: DataFrame, parts: int, tol_bins: int = 0, top: int = 20) -> DataFrame:
     """Per candidate the overlap of its unit-sum peaks with the unit-sum true spectrum.
 
     overlap_exact / overlap_near: share times true share in the same bin / the
     largest within ``tol_bins``; support_near, top_near: share on true bins /
     on the ``top`` strongest; false_exact: share on bins without a true peak.
+    Rows are dealt into ``parts`` partitions at each step; bins should come
+    dealt alike (``bin_spectra`` with ``parts``).
     """
-    share = shares(cand_bins.select(*KEYS, "bin", "intensity"), KEYS)
+    true_bins = true_bins.select(*ID, "bin", "intensity").repartition(parts, *ID)
     rank = F.row_number().over(W.partitionBy(*ID).orderBy(F.col("intensity").desc(), "bin"))  # bounded by the axis
-    true = shares(true_bins.select(*ID, "bin", "intensity")).withColumn("top", (rank <= top).cast("double"))
+    true = shares(true_bins).withColumn("top", (rank <= top).cast("double"))
     # One row per bin near a true peak: its own value, the largest around it, the top flag around it.
     moved = true.select(*ID, "bin", "intensity", "top", F.explode(F.sequence(F.lit(-tol_bins), F.lit(tol_bins))).alias("o"))
-    near = moved.groupBy(*ID, (F.col("bin") + F.col("o")).alias("bin")).agg(
+    moved = moved.withColumn("bin", F.col("bin") + F.col("o")).repartition(parts, *ID, "bin")
+    near = moved.groupBy(*ID, "bin").agg(
         F.max(F.when(F.col("o") == 0, F.col("intensity"))).alias("true_exact"), F.max("intensity").alias("true_near"),
         F.max("top").alias("near_top"))
-    rows = share.join(near, [*ID, "bin"], "left").fillna(0.0, ["true_exact", "true_near", "near_top"])
+    rows = cand_bins.select(*KEYS, "bin", "intensity").join(near, [*ID, "bin"], "left").fillna(0.0, ["true_exact", "true_near", "near_top"])
+    rows = shares(rows.repartition(parts, *KEYS), KEYS)  # a candidate's peaks meet once, for its total and its sums
     s = F.col("intensity")
     on = lambda c: F.when(F.col(c) > 0, s).otherwise(0.0)
     total = F.sum(s)

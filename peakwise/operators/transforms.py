@@ -41,19 +41,23 @@ def filter_peaks(peaks: DataFrame, min_intensity: float = 0.0, max_mz: float = 0
 
 def bin_spectra(
     peaks: DataFrame, keys: Sequence[str] = ID, bin_width: float = S.BIN_WIDTH,
-    max_mz: float = S.MAX_MZ, mode: str = "floor",
+    max_mz: float = S.MAX_MZ, mode: str = "floor", parts: int | None = None,
 ) -> DataFrame:
     """Summed intensity per (keys, bin) for 0 <= bin <= floor(max_mz / bin_width).
 
     After this step a spectrum has at most that many rows, so later windows
-    over one binned spectrum have a fixed size bound.
+    over one binned spectrum have a fixed size bound.  With ``parts`` the peaks
+    are dealt into so many partitions by spectrum and bin before they are
+    summed, and the result stays dealt that way.
     """
-    return (
+    rows = (
         peaks.filter(S.is_peak(F.col("mz"), F.col("intensity")))
         .withColumn("bin", S.bin_index(F.col("mz"), bin_width, mode))
         .filter(F.col("bin").between(0, S.last_bin(bin_width, max_mz)))
-        .groupBy(*keys, "bin").agg(F.sum("intensity").alias("intensity"))
     )
+    if parts:
+        rows = rows.select(*keys, "bin", "intensity").repartition(parts, *ID, "bin")
+    return rows.groupBy(*keys, "bin").agg(F.sum("intensity").alias("intensity"))
 
 
 def bin_spectra_centred(
@@ -266,14 +270,14 @@ def precursor_target(
 
 def bin_candidates(
     cand_peaks: DataFrame, k: int | None = 32, l1: bool = False, bin_width: float = S.BIN_WIDTH,
-    max_mz: float = S.MAX_MZ,
+    max_mz: float = S.MAX_MZ, parts: int | None = None,
 ) -> DataFrame:
     """Candidate peaks per bin, summed; the k strongest bins of each candidate.
 
     ``l1`` divides by the candidate total and then keeps bins in m/z order.
     """
     keys = ["spectrum_id", "cand_id"]
-    binned = bin_spectra(cand_peaks.filter(F.col("mz") < max_mz), keys, bin_width, max_mz)
+    binned = bin_spectra(cand_peaks.filter(F.col("mz") < max_mz), keys, bin_width, max_mz, parts=parts)
     if l1:
         binned = shares(binned, keys)
     if k is None:

@@ -12,6 +12,7 @@ from peakwise.plans.policies import F_VIEWS, POLICY_SQL, U48, U64, group_of, pol
 from peakwise.plans.quality import bins_sql, pairs_sql, pred_bins, true_bins
 from peakwise.plans.registry import query
 from peakwise.plans.spectra import CAND_BINS_SQL, candidate_probs, out, PROBS_SQL
+from peakwise.session import parts_for
 from peakwise.skew import r6
 
 CB = CAND_BINS_SQL
@@ -335,12 +336,17 @@ def _(d):
     return out(A.source_aggregate(rec, ["formula"], ["tax", "discount"]), "log_n", "h_mean", "ring_ratio", "tax_mean", "tax_max", "discount_mean", "discount_max")
 
 
+def overlaps(d, tol_bins=0):
+    parts = 2 * parts_for(d.table("lineitem"))  # a peak is up to three rows on the way
+    return G.overlap_scores(T.bin_candidates(d.cand_peaks, None, parts=parts), pred_bins(d, parts=parts), parts, tol_bins)
+
+
 OV_COLS = ("overlap_exact", "overlap_near", "support_exact", "support_near", "top_near", "false_exact")
 
 
 @query("a23_overlap_scores", f"WITH {OV_SQL} SELECT spectrum_id, cand_id, {', '.join(f'round({c}, 9) + 0.0 AS {c}' for c in OV_COLS)} FROM ov", PROBE_VIEWS)
 def _(d):
-    return G.overlap_scores(cand_bins(d), pred_bins(d), 1).withColumns({c: r6(c, 9) for c in OV_COLS})
+    return overlaps(d, 1).withColumns({c: r6(c, 9) for c in OV_COLS})
 
 
 @query("a23_quality_labels", f"""WITH {OV_SQL}, s0 AS (SELECT *, least(greatest(1 - false_exact, 0), 1) AS sup FROM ov),
@@ -357,7 +363,7 @@ s6 AS (SELECT *, CASE WHEN n < 2 THEN greatest(clean, fbl) ELSE clean END AS lb
 SELECT spectrum_id, cand_id, round(quality, 6) AS quality, clean AS clean_label, CASE WHEN lb = 1 AND row_number() OVER (PARTITION BY spectrum_id ORDER BY lb DESC, quality DESC, cand_id) <= 3
   THEN 1 ELSE 0 END AS label, pl AS pool_label, CAST(n < 2 AS int) AS fallback_used FROM s6""", PROBE_VIEWS)
 def _(d):
-    return out(G.quality_labels(G.overlap_scores(cand_bins(d), pred_bins(d), 1), 3, 2, 4), "quality")
+    return out(G.quality_labels(overlaps(d, 1), 3, 2, 4), "quality")
 
 
 TEACHER_SQL = f"""{OV_SQL}, sc AS (SELECT spectrum_id, cand_id, round(6 * overlap_exact + 0.5 * support_exact + 2 * top_exact - 2 * false_exact, 9) AS score FROM ov),
@@ -366,7 +372,7 @@ te AS (SELECT spectrum_id, cand_id, score, coalesce(exp(s - max(s) OVER w) / sum
 
 
 def teacher(d):
-    return G.overlap_teacher(G.overlap_scores(cand_bins(d), pred_bins(d)), 3)
+    return G.overlap_teacher(overlaps(d), 3)
 
 
 @query("a24_overlap_teacher", f"WITH {TEACHER_SQL} SELECT spectrum_id, cand_id, round(score, 6) + 0.0 AS score, round(prob, 6) AS prob FROM te", PROBE_VIEWS)
@@ -378,7 +384,7 @@ def _(d):
 SELECT spectrum_id, cand_id, round((raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w + 1e-8), 6) + 0.0 AS utility,
   round(exp(raw / 0.7) / sum(exp(raw / 0.7)) OVER w, 6) AS utility_prob FROM u WINDOW w AS (PARTITION BY spectrum_id)""", PROBE_VIEWS)
 def _(d):
-    return out(G.utility(G.overlap_scores(cand_bins(d), pred_bins(d))), "utility", "utility_prob")
+    return out(G.utility(overlaps(d)), "utility", "utility_prob")
 
 
 @query("a25_target_distribution", """WITH v AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY spectrum_id ORDER BY greatest(prior - 0.05, 0) DESC, cand_id) <= 2 THEN 1 ELSE 0 END AS kept,
