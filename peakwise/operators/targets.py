@@ -21,6 +21,7 @@ from peakwise.session import cut_lineage, write_once
 from peakwise.skew import row_positions, with_group_stats
 
 KEYS = ["spectrum_id", "cand_id"]
+POOL_ROWS = 10_000  # a spectrum of more candidates is not labelled by windows
 
 
 def overlap_scores(cand_bins: DataFrame, true_bins: DataFrame, parts: int, tol_bins: int = 0, top: int = 20) -> DataFrame:
@@ -90,38 +91,79 @@ def utility(scores: DataFrame, false_weight: float = 1.2, temperature: float = 0
     return rows.select(*KEYS, scaled.alias("utility"), "utility_prob")
 
 
-def quality_labels(scores: DataFrame, top_k: int = 64, min_pos: int = 8, pool_k: int = 96) -> DataFrame:
-    """Quality in [0, 1] and the clean, fallback-completed and pool labels of every candidate."""
+def quality_labels(scores: DataFrame, parts: int, top_k: int = 64, min_pos: int = 8, pool_k: int = 96, pool_rows: int = POOL_ROWS) -> DataFrame:
+    """Quality in [0, 1] and the clean, fallback-completed and pool labels of every candidate.
+
+    Spectra are dealt into ``parts`` partitions and labelled there; those of more than ``pool_rows`` candidates are ranked
+    in pieces and joined instead, so no window sees more.
+    """
     oe, on, sn, tn, fe = (F.col(c) for c in ("overlap_exact", "overlap_near", "support_near", "top_near", "false_exact"))
     support = F.least(F.greatest(1.0 - fe, F.lit(0.0)), F.lit(1.0))
     raw = 1.5 * oe + 0.4 * on + 0.35 * sn + 0.75 * tn - 1.2 * fe
     score = F.round(F.greatest(raw, F.lit(0.0)) * support * support, 12)
     keep = (score > 0) & (support >= 0.20) & (sn >= 0.25) & (fe <= 0.80)
-    rows = scores.select("*", support.alias("__support")).withColumn("__q", F.when(keep, score).otherwise(0.0))
-    rows = with_group_stats(write_once(rows, "quality-rows"), ID, __top=F.max("__q"))  # one row per candidate, used below again and again
-    rows = rows.withColumn("quality", F.when(F.col("__top") > 1e-8, F.round(F.col("__q") / F.col("__top"), 9)).otherwise(0.0))
-    fb = F.round(0.5 * F.col("__support") + 0.35 * sn + 0.15 * tn, 9)
-    fb_keep = (fb > 0) & (F.col("__support") >= 0.05) & (fe <= 0.95)
+    fb = F.round(0.5 * support + 0.35 * sn + 0.15 * tn, 9)
+    fb_keep = (fb > 0) & (support >= 0.05) & (fe <= 0.95)
     pool = F.round(3.0 * on + 1.5 * oe + 2.0 * tn + 0.25 * sn - 0.35 * fe, 9)
     pool_keep = ((on >= 5e-4) | (oe >= 1e-4) | (tn >= 5e-4)) & (fe <= 0.97)
+    rows = scores.select(
+        *KEYS, F.when(keep, score).otherwise(0.0).alias("__q"), F.when(fb_keep, fb).alias("__fb"), F.when(pool_keep, pool).alias("__pool"))
+    rows = write_once(rows, "quality-rows")  # one row per candidate, used below again and again
+    large = rows.groupBy(*ID).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > pool_rows).select(*ID)
+    large = write_once(large, "large-pools")
+    if large.isEmpty():
+        return _labels_inside(rows, parts, top_k, min_pos, pool_k)
+    return _labels_inside(rows.join(large, ID, "left_anti"), parts, top_k, min_pos, pool_k).unionByName(
+        _labels_across(rows.join(large, ID, "left_semi"), top_k, min_pos, pool_k))
+
+
+def _quality(top: Column) -> Column:
+    return F.when(top > 1e-8, F.round(F.col("__q") / top, 9)).otherwise(0.0)
+
+
+def _completed(min_pos: int) -> Column:
+    return F.when(F.col("__n") < min_pos, F.greatest("__clean", "__fbin")).otherwise(F.col("__clean"))
+
+
+def _label_columns(rows: DataFrame, min_pos: int) -> DataFrame:
+    return rows.select(
+        *KEYS, "quality", F.col("__clean").alias("clean_label"), "label", "pool_label",
+        (F.col("__n") < min_pos).cast("int").alias("fallback_used"))
+
+
+def _labels_inside(rows: DataFrame, parts: int, top_k: int, min_pos: int, pool_k: int) -> DataFrame:
+    """The labels by windows over whole spectra, whose candidates are bounded in number."""
+    inside = W.partitionBy(*ID)
+
+    def first(value: Column, n: int) -> Column:
+        return (value.isNotNull() & (F.row_number().over(inside.orderBy(value.desc(), "cand_id")) <= n)).cast("int")
+
+    quality = F.col("quality")
+    rows = rows.repartition(parts, *ID).withColumn("quality", _quality(F.max("__q").over(inside)))
     rows = rows.withColumns({
-        "__strict": (F.col("__q") > 0), "__fb": F.when(fb_keep, fb), "__pool": F.when(pool_keep, pool)})
+        "__clean": first(F.when(F.col("__q") > 0, quality), top_k), "__fbin": first(F.col("__fb"), min_pos),
+        "pool_label": first(F.col("__pool"), pool_k)})
+    rows = rows.withColumn("__n", F.sum("__clean").over(inside)).withColumn("__label", _completed(min_pos))
+    return _label_columns(rows.withColumn("label", first(F.when(F.col("__label") == 1, quality), top_k)), min_pos)
+
+
+def _labels_across(rows: DataFrame, top_k: int, min_pos: int, pool_k: int) -> DataFrame:
+    """The labels of few spectra with any number of candidates: totals and the first ones are joined back."""
+    rows = with_group_stats(rows, ID, __top=F.max("__q"))
+    rows = rows.withColumn("quality", _quality(F.col("__top")))
 
     def first(col: str, n: int, cond: Column, flag: str) -> DataFrame:
         return top_peaks(rows.filter(cond), n, ID, col, "cand_id").select(*KEYS, F.lit(1).alias(flag))
 
     rows = (
-        rows.join(first("quality", top_k, F.col("__strict"), "__clean"), KEYS, "left")
+        rows.join(first("quality", top_k, F.col("__q") > 0, "__clean"), KEYS, "left")
         .join(first("__fb", min_pos, F.col("__fb").isNotNull(), "__fbin"), KEYS, "left")
         .join(first("__pool", pool_k, F.col("__pool").isNotNull(), "pool_label"), KEYS, "left")
         .fillna(0, ["__clean", "__fbin", "pool_label"]))
     rows = with_group_stats(rows, ID, __n=F.sum("__clean"))
-    label = F.when(F.col("__n") < min_pos, F.greatest("__clean", "__fbin")).otherwise(F.col("__clean"))
-    rows = rows.withColumn("__label", label)
+    rows = rows.withColumn("__label", _completed(min_pos))
     kept = top_peaks(rows.filter("__label = 1"), top_k, ID, "quality", "cand_id").select(*KEYS, F.lit(1).alias("label"))
-    return rows.join(kept, KEYS, "left").fillna(0, ["label"]).select(
-        *KEYS, "quality", F.col("__clean").alias("clean_label"), "label", "pool_label",
-        (F.col("__n") < min_pos).cast("int").alias("fallback_used"))
+    return _label_columns(rows.join(kept, KEYS, "left").fillna(0, ["label"]), min_pos)
 
 
 def target_distribution(rows: DataFrame, value: str, top_k: int = 0, out: str = "target") -> DataFrame:

@@ -336,8 +336,12 @@ def _(d):
     return out(A.source_aggregate(rec, ["formula"], ["tax", "discount"]), "log_n", "h_mean", "ring_ratio", "tax_mean", "tax_max", "discount_mean", "discount_max")
 
 
+def dealt(d):
+    return 2 * parts_for(d.table("lineitem"))  # a peak is up to three rows on the way
+
+
 def overlaps(d, tol_bins=0):
-    parts = 2 * parts_for(d.table("lineitem"))  # a peak is up to three rows on the way
+    parts = dealt(d)
     return G.overlap_scores(T.bin_candidates(d.cand_peaks, None, parts=parts), pred_bins(d, parts=parts), parts, tol_bins)
 
 
@@ -363,7 +367,7 @@ s6 AS (SELECT *, CASE WHEN n < 2 THEN greatest(clean, fbl) ELSE clean END AS lb
 SELECT spectrum_id, cand_id, round(quality, 6) AS quality, clean AS clean_label, CASE WHEN lb = 1 AND row_number() OVER (PARTITION BY spectrum_id ORDER BY lb DESC, quality DESC, cand_id) <= 3
   THEN 1 ELSE 0 END AS label, pl AS pool_label, CAST(n < 2 AS int) AS fallback_used FROM s6""", PROBE_VIEWS)
 def _(d):
-    return out(G.quality_labels(overlaps(d, 1), 3, 2, 4), "quality")
+    return out(G.quality_labels(overlaps(d, 1), dealt(d), 3, 2, 4), "quality")
 
 
 TEACHER_SQL = f"""{OV_SQL}, sc AS (SELECT spectrum_id, cand_id, round(6 * overlap_exact + 0.5 * support_exact + 2 * top_exact - 2 * false_exact, 9) AS score FROM ov),
