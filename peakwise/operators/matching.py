@@ -43,6 +43,8 @@ def range_join(
 
     ``relative`` divides by the larger of ``min_mz`` and the ``divisor`` side's
     value.  The right side is the one copied; pass the smaller table there.
+    Without keys the pairs grow with the product of both sides: they are merged
+    bucket by bucket, so alike pairs lie side by side and are stored small.
     """
     a, b = F.col(left_mz), F.col(right_mz)
     l_rows = left.withColumn("__bucket", tolerance_bucket(a, tol, relative, min_mz))
@@ -50,6 +52,8 @@ def range_join(
     r_rows = right.withColumnsRenamed({k: f"__r_{k}" for k in keys}).withColumn(
         "__rb", F.explode(F.sequence(at - 1, at + 1))
     )
+    if not keys:
+        r_rows = r_rows.hint("merge")
     gap = F.abs(a - b)
     if relative:
         base = a if divisor == "left" else b
