@@ -18,11 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from peakwise import constants as K
 from peakwise.functions import formula as FX
-from peakwise.operators.transforms import top_peaks
+from peakwise.operators.search import _slices, _spread
+from peakwise.session import parts_for
 
 MASK_BITS = 63
 
@@ -74,6 +74,26 @@ class Molecules:
                 yield i, first, nodes[i + 1], bond_id[lo:hi], [(x - first, y - first) for x, y in zip(a[lo:hi], b[lo:hi])]
 
 
+def _whole_molecules(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[pa.Array]]:
+    """The columns of whole molecules, ordered by their id in the first one, with at least so many rows where there are."""
+    held: list[pa.RecordBatch] = []  # the last molecule may go on
+    rows = 0
+    whole = lambda parts: [c.combine_chunks() for c in pa.Table.from_batches(parts).columns]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        cut = int(np.flatnonzero(ids == ids[-1])[0])
+        ends = cut > 0 or (len(held) > 0 and held[-1].column(0)[-1] != batch.column(0)[0])
+        if ends and rows + cut >= least:
+            yield whole([*held, batch.slice(0, cut)])
+            held, rows, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        rows += batch.num_rows
+    if held:
+        yield whole(held)
+
+
 def in_molecules(
     atoms: DataFrame, bonds: DataFrame, work: Callable[[Molecules], Iterator[pa.RecordBatch]], schema: str, carry: Sequence[str] = (), order: Sequence[Column] = ()
 ) -> DataFrame:
@@ -88,31 +108,12 @@ def in_molecules(
         bonds.select("mol_id", F.lit(1).alias("kind"), long("bond_id").alias("x"), long("a").alias("a"), long("b").alias("b"),
                      *[c.alias(r) for c, r in zip(order, ranks)]), allowMissingColumns=True)
     known = rows.filter(F.col("mol_id").isNotNull() & F.col("x").isNotNull() & ((F.col("kind") == 0) | (F.col("a").isNotNull() & F.col("b").isNotNull())))
-    n_carry = len(carry)
 
     def run(batches):
-        held: list[pa.RecordBatch] = []  # the last molecule, which may go on
-
-        def whole():
-            table = pa.Table.from_batches(held).combine_chunks()
-            cols = [table.column(i).chunk(0) if table.num_rows else pa.array([]) for i in range(5 + n_carry)]
+        for cols in _whole_molecules(batches, 0):
             plain = [cols[1].to_numpy(), cols[2].to_numpy(), *(c.fill_null(0).to_numpy() for c in cols[3:5])]
             yield from work(Molecules(cols[0], *plain, cols[5:]))
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            cut = int(np.flatnonzero(ids == ids[-1])[0])
-            goes_on = not held or held[-1].column(0)[0] == batch.column(0)[0]
-            if cut or not goes_on:
-                held.append(batch.slice(0, cut))
-                yield from whole()
-                held.clear()
-            held.append(batch.slice(cut))
-        if held:
-            yield from whole()
-
     return known.repartition("mol_id").sortWithinPartitions("mol_id", "kind", *ranks, "x").select("mol_id", "kind", "x", "a", "b", *carry).mapInArrow(run, schema)
 
 
@@ -380,6 +381,54 @@ def fragment_formulas(parts: DataFrame, keys: Sequence[str], atoms: DataFrame, h
         (F.col("__m") + F.col("__h") * F.lit(K.ISOTOPE_MASS["H"])).alias("mass"))
 
 
+def cut_formulas(atoms: DataFrame, bonds: DataFrame, h_min: int = -4, h_max: int = 4) -> DataFrame:
+    """``fragment_formulas`` of both sides of every separating cut, with ``heavy`` and ``h`` as ``with_heavy`` gives them.
+
+    Rows (mol_id, cut, side, h_shift, formula, mass, heavy, h), made where a molecule's atoms and bonds meet: no row per
+    atom leaves the task, and a formula that many fragments of a task have is written once.
+    """
+    table, shifts = dict(K.ISOTOPE_MASS), np.arange(h_min, h_max + 1)
+
+    def described(elements, counts):
+        """Text of carbon, text of the other elements without hydrogen, key and mass of a fragment's elements."""
+        some = sorted((e, n) for e, n in zip(elements, counts) if n)
+        text = lambda pairs: "".join(e + (str(n) if n > 1 else "") for e, n in pairs)
+        mass = 0.0
+        for e, n in some:
+            mass = None if mass is None or e not in table else mass + table[e] * n
+        return (text(x for x in some if x[0] == "C"), text(x for x in some if x[0] not in ("C", "H")), text(x for x in some if x[0] != "H"),
+                np.nan if mass is None else mass)
+
+    def work(m):
+        coded = m.carried[0].dictionary_encode()
+        elements, code = coded.dictionary.to_pylist(), coded.indices.fill_null(len(coded.dictionary)).to_numpy()
+        known, n_h = m.carried[1].is_valid().to_numpy(zero_copy_only=False), m.carried[1].fill_null(0).to_numpy()
+        for bond, side, node in _sides(m):
+            order = np.lexsort((side, bond))
+            bond, side, node = bond[order], side[order], node[order]
+            start = np.flatnonzero(np.concatenate([[True], (bond[1:] != bond[:-1]) | (side[1:] != side[:-1])]))
+            counts = np.stack([np.add.reduceat((code[node] == i).astype(np.int64), start) for i in range(len(elements))], axis=1)
+            h = np.add.reduceat(n_h[node], start)[:, None] + shifts
+            h = np.where(np.add.reduceat(known[node].astype(np.int64), start)[:, None] > 0, np.maximum(h, 0), 0)
+            kinds, kind = np.unique(counts, axis=0, return_inverse=True)
+            names = [described(elements, row) for row in kinds.tolist()]
+            row, h = np.repeat(np.arange(len(start)), len(shifts)), h.reshape(-1)
+            kind = kind.reshape(-1)[row]
+            pairs, pair = np.unique(np.stack([kind, h], axis=1), axis=0, return_inverse=True)
+            one = lambda n: f"H{n}" if n > 1 else "H" * n
+            formula = pa.array([names[k][0] + one(n) + names[k][1] for k, n in pairs.tolist()], pa.string()).take(pa.array(pair.reshape(-1)))
+            mass = np.array([x[3] for x in names])[kind] + h * table["H"]
+            first = start[row]
+            yield pa.RecordBatch.from_arrays(
+                [m.mol.take(pa.array(m.number[node[first]])), pa.array(m.bond_id[bond[first]]), pa.array(side[first]),
+                 pa.array(np.tile(shifts, len(start)).astype(np.int32)), formula, pa.array(mass, mask=np.isnan(mass)),
+                 pa.array([x[2] for x in names], pa.string()).take(pa.array(kind)), pa.array(h.astype(np.int32))],
+                ["mol_id", "cut", "side", "h_shift", "formula", "mass", "heavy", "h"])
+
+    schema = f"mol_id {dict(atoms.dtypes)['mol_id']}, cut long, side int, h_shift int, formula string, mass double, heavy string, h int"
+    return in_molecules(atoms, bonds, work, schema, ["element", "n_h"])
+
+
 def single_bond_masses(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """Whole-number atom masses of both sides of every separating cut (hydrogens not counted)."""
     table = F.create_map(*[F.lit(x) for e, m in K.ISOTOPE_MASS.items() for x in (e, int(m))])
@@ -491,13 +540,53 @@ def heavy_key(count_map: Column) -> Column:
 
 
 def with_heavy(df: DataFrame) -> DataFrame:
-    """``df`` plus ``heavy`` (text of the counts without hydrogen) and ``h`` of its ``formula``; every text is parsed once."""
+    """``df`` plus ``heavy`` (text of the counts without hydrogen) and ``h`` of its ``formula``; every text is parsed once.
+
+    A table that has both columns is left as it is.
+    """
+    if {"heavy", "h"} <= set(df.columns):
+        return df
     m = FX.counts(F.col("__text"))
     texts = df.select(F.col("formula").alias("__text")).distinct().select(
         "__text", heavy_key(m).alias("heavy"), F.coalesce(m["H"], F.lit(0)).alias("h"))
     return df.join(texts, F.col("formula").eqNullSafe(F.col("__text")), "left").drop("__text")
 
 
+MOLECULE_ROWS = 200_000  # rows of molecules that are matched together
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+
+
+def _top(k: int, group: np.ndarray, value: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ``k`` largest values of each group, ties by ascending ``tie``, and their ranks from 1."""
+    order = np.lexsort((tie, -value, group))
+    rank = np.arange(len(order)) - np.searchsorted(group[order], group[order])
+    return order[rank < k], rank[rank < k] + 1
+
+
+def _molecule_rows(tables: Sequence[DataFrame], names: Sequence[str]) -> DataFrame:
+    """The rows of all tables, told apart by ``kind``, with whole molecules side by side in partitions of bounded size."""
+    rows = None
+    for kind, table in enumerate(tables):
+        part = table.filter(F.col("mol_id").isNotNull()).withColumn("kind", F.lit(kind))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    return rows.select("mol_id", "kind", *names).repartition(parts_for(rows), "mol_id").sortWithinPartitions("mol_id")
+
+
+def _numbered(mol: pa.Array, heavy: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 of the molecules, in order, and of (molecule, heavy atoms)."""
+    ids = mol.to_numpy(zero_copy_only=False)
+    number = np.cumsum(np.concatenate([[0], ids[1:] != ids[:-1]]).astype(np.int64))
+    coded = heavy.dictionary_encode()
+    code = coded.indices.fill_null(len(coded.dictionary)).to_numpy().astype(np.int64)
+    return number, number * (len(coded.dictionary) + 1) + code
+
+
 def mark_structural(
     subsets: DataFrame, pool: DataFrame, top_n: int = 8, h_window: int = 4
 ) -> DataFrame:
@@ -507,24 +596,83 @@ def mark_structural(
     prior)``.  By equal heavy atoms the ``top_n`` best by prior minus 0.05 per
     hydrogen difference count, inside the hydrogen window when any is, and only
     where the subset has hydrogens; by exact formula every candidate within the
-    window counts.  Subsets with equal counts act once.
+    window counts.  Subsets with equal counts act once.  Subsets and candidates
+    of a molecule meet in one shuffle, and pairs do not leave the task.
+    """
+    long = lambda c: F.col(c).cast("long").alias(c)
+    value = lambda c: F.col(c).cast("double").alias(c)
+    sub = with_heavy(subsets).filter(F.col("heavy").isNotNull()).select("mol_id", "heavy", long("h"), value("depth"), value("ring"))
+    cand = with_heavy(pool).filter(F.col("heavy").isNotNull()).select("mol_id", "heavy", long("h"), long("cand_id"), value("prior"))
+    names = ["heavy", "h", "depth", "ring", "cand_id", "prior"]
+
+    def run(batches):
+        for mol, kind, heavy, *cols in _whole_molecules(batches, MOLECULE_ROWS):
+            number, group = _numbered(mol, heavy)
+            kind = kind.to_numpy()
+            at, pl = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+            pl = pl[cols[3].take(pa.array(pl)).is_valid().to_numpy(zero_copy_only=False)]
+            if not len(at) or not len(pl):
+                continue
+            h, cand_id = cols[0].fill_null(0).to_numpy(), cols[3].fill_null(0).to_numpy()
+            depth, ring, prior = (c.to_numpy(zero_copy_only=False).astype(float) for c in (cols[1], cols[2], cols[4]))
+            at = at[np.lexsort((h[at], group[at]))]
+            first = _firsts(group[at], h[at])
+            sub_group, sub_h = group[at][first], h[at][first]
+            sub_depth, sub_ring = np.fmin.reduceat(depth[at], first), np.fmax.reduceat(ring[at], first)
+            pl = pl[np.argsort(group[pl], kind="stable")]
+            lo = np.searchsorted(group[pl], sub_group)
+            n = np.searchsorted(group[pl], sub_group, "right") - lo
+            found = []
+            for part in _slices(n):
+                s, place = _spread(n[part])
+                c, s = pl[place + lo[part][s]], s + part.start
+                gap = np.abs(h[c] - sub_h[s])
+                close = gap <= h_window
+                near = np.bincount(s, close, len(sub_h)) > 0
+                able = np.flatnonzero((sub_h[s] <= 0) | ~near[s] | close)
+                score = np.round(prior[c] - np.where(sub_h[s] > 0, 0.05 * gap, 0.0), 9)
+                score = np.where(np.isnan(score), -np.inf, score)[able]
+                best = able[_top(top_n, s[able], score, cand_id[c[able]])[0]]
+                both = np.concatenate([best, np.flatnonzero(close)])
+                found.append(np.stack([c[both], s[both]]))
+            if not found:
+                continue
+            c, s = np.concatenate(found, axis=1)
+            order = np.lexsort((cand_id[c], number[c]))
+            c, s = c[order], s[order]
+            first = _firsts(number[c], cand_id[c])
+            low, high = np.fmin.reduceat(sub_depth[s], first), np.fmax.reduceat(sub_ring[s], first)
+            yield pa.RecordBatch.from_arrays(
+                [mol.take(pa.array(c[first])), pa.array(cand_id[c[first]]), pa.array(low, mask=np.isnan(low)), pa.array(high, mask=np.isnan(high))],
+                ["mol_id", "cand_id", "depth", "ring"])
+
+    made = _molecule_rows([sub, cand], names).mapInArrow(run, f"mol_id {dict(subsets.dtypes)['mol_id']}, cand_id long, depth double, ring double")
+    kinds = {**dict(subsets.dtypes), "cand_id": dict(pool.dtypes)["cand_id"]}
+    return made.select("mol_id", *[F.col(c).cast(kinds[c]).alias(c) for c in ("cand_id", "depth", "ring")])
+
+
+def _chosen(number, group, subset, anchor, sub, cand_id, pool, base, top_r):
+    """(place of the subset, place of the candidate, rank) of the ``top_r`` best candidates of every subset.
+
+    Only the anchor's score depends on the subset, so the best of a group of equal heavy atoms and the anchor are all that can win.
     """
-    def described(df: DataFrame, *cols: str) -> DataFrame:
-        return with_heavy(df).select(*cols, "heavy", "h")
-
-    sub = described(subsets, "mol_id", "depth", "ring").groupBy("mol_id", "heavy", "h").agg(
-        F.min("depth").alias("depth"), F.max("ring").alias("ring"))
-    cand = described(pool, "mol_id", "cand_id", "prior").withColumnRenamed("h", "ch")
-    pairs = sub.join(cand, ["mol_id", "heavy"]).withColumn("gap", F.abs(F.col("ch") - F.col("h")))
-    exact = pairs.filter(F.col("gap") <= h_window)
-    group = ["mol_id", "heavy", "h"]
-    near = pairs.groupBy(*group).agg(F.max((F.col("gap") <= h_window).cast("int")).alias("any_near"))
-    scored = pairs.join(near, group).filter((F.col("h") <= 0) | (F.col("any_near") == 0) | (F.col("gap") <= h_window))
-    scored = scored.withColumn("s", F.round(F.col("prior") - F.when(F.col("h") > 0, 0.05 * F.col("gap")).otherwise(0.0), 9))
-    best = top_peaks(scored, top_n, group, "s", "cand_id")
-    cols = ["mol_id", "cand_id", "depth", "ring"]
-    return best.select(*cols).unionByName(exact.select(*cols)).groupBy("mol_id", "cand_id").agg(
-        F.min("depth").alias("depth"), F.max("ring").alias("ring"))
+    by_group = pool[np.lexsort((cand_id[pool], -base[pool], group[pool]))]
+    lo = np.searchsorted(group[by_group], group[sub])
+    s, place = _spread(np.minimum(np.searchsorted(group[by_group], group[sub], "right") - lo, top_r))
+    c, s = by_group[place + lo[s]], sub[s]
+    by_id = pool[np.lexsort((cand_id[pool], number[pool]))]
+    ids = np.unique(np.concatenate([cand_id[pool], anchor[sub]]))
+    code = lambda who, ids_of: number[who] * (len(ids) + 1) + np.searchsorted(ids, ids_of)
+    codes, wanted = code(by_id, cand_id[by_id]), code(sub, anchor[sub])
+    lo = np.searchsorted(codes, wanted)
+    own, place = _spread(np.searchsorted(codes, wanted, "right") - lo)
+    there, own = by_id[place + lo[own]], sub[own]
+    own, there = own[group[there] == group[own]], there[group[there] == group[own]]
+    s, c = np.unique(np.stack([np.concatenate([s, own]), np.concatenate([c, there])]), axis=1)
+    score = base[c] + np.where(cand_id[c] == anchor[s], 0.5, 0.0)
+    key = np.unique(np.stack([number[s], subset[s]]), axis=1, return_inverse=True)[1].reshape(-1)
+    keep, rank = _top(top_r, key, score, cand_id[c])
+    return s[keep], c[keep], rank
 
 
 def subset_formulas(
@@ -536,21 +684,72 @@ def subset_formulas(
     plus a quarter of the distinct bins plus half for the anchor; peaks are
     unit-sum per formula, added per bin, the strongest ``max_peaks`` kept and
     divided by their sum.  ``subsets(mol_id, subset_id, formula, anchor)``,
-    ``pool(mol_id, cand_id, formula)``.
+    ``pool(mol_id, cand_id, formula)``.  Ids are whole numbers.  Subsets,
+    candidates and peaks of a molecule meet in one shuffle.
     """
-    key = lambda df: with_heavy(df).drop("formula", "h")
-    n = pool_bins.groupBy("mol_id", "cand_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("bin").alias("u"))
-    cand = key(pool).join(n, ["mol_id", "cand_id"], "left").fillna(0, ["n", "u"])
-    rows = key(subsets).join(cand, ["mol_id", "heavy"])
-    score = F.col("n") + 0.25 * F.col("u") + F.when(F.col("cand_id") == F.col("anchor"), 0.5).otherwise(0.0)
+    long = lambda c, name: F.col(c).cast("long").alias(name)
+    sub = with_heavy(subsets).filter(F.col("subset_id").isNotNull()).select("mol_id", "heavy", long("subset_id", "id"), long("anchor", "other"))
+    cand = with_heavy(pool).filter(F.col("cand_id").isNotNull()).select("mol_id", "heavy", long("cand_id", "id"))
+    peaks = pool_bins.filter(F.col("cand_id").isNotNull()).select("mol_id", long("cand_id", "id"), long("bin", "other"), F.col("intensity").cast("double").alias("value"))
+    names = ["heavy", "id", "other", "value"]
     group = ["mol_id", "subset_id"]
-    chosen = top_peaks(rows.withColumn("s", score), top_r, group, "s", "cand_id").select(*group, "cand_id", "rank")
-    lone = subsets.filter(F.col("anchor").isNotNull()).join(chosen.select(*group).distinct(), group, "left_anti")
-    chosen = chosen.unionByName(lone.select(*group, F.col("anchor").alias("cand_id"), F.lit(1).alias("rank")))
-    total = pool_bins.groupBy("mol_id", "cand_id").agg(F.sum("intensity").alias("t"))
-    share = pool_bins.join(total, ["mol_id", "cand_id"]).filter("t > 0")
-    peaks = chosen.join(share, ["mol_id", "cand_id"]).groupBy(*group, "bin").agg(
-        F.round(F.sum(F.col("intensity") / F.col("t")), 12).alias("intensity"))
-    best = top_peaks(peaks, max_peaks, group, "intensity", "bin").drop("rank")
-    whole = W.partitionBy(*group)  # at most max_peaks rows
-    return chosen, best.withColumn("intensity", F.col("intensity") / F.sum("intensity").over(whole))
+
+    def matched(batches, wants_peaks):
+        for mol, kind, heavy, ids, other, value in _whole_molecules(batches, MOLECULE_ROWS):
+            number, by_heavy = _numbered(mol, heavy)
+            kind, has_heavy = kind.to_numpy(), heavy.is_valid().to_numpy(zero_copy_only=False)
+            anchored = other.is_valid().to_numpy(zero_copy_only=False)
+            ids, other, value = ids.to_numpy(), other.fill_null(-1).to_numpy(), value.fill_null(0.0).to_numpy()
+            subs, pooled, cells = (np.flatnonzero(kind == k) for k in range(3))
+            # Candidates of the peaks: number of rows, of distinct bins, and total.
+            cells = cells[np.lexsort((other[cells], ids[cells], number[cells]))]
+            first = _firsts(number[cells], ids[cells])
+            size = np.diff(np.append(first, len(cells)))
+            new = np.zeros(len(cells), np.int64)
+            new[_firsts(number[cells], ids[cells], other[cells])] = 1
+            known = np.unique(ids)
+            code = number * (len(known) + 1) + np.searchsorted(known, ids)
+            with_peaks = code[cells[first]]
+            unlike, total = (np.add.reduceat(x, first) if len(first) else np.zeros(0) for x in (new, value[cells]))
+
+            def peaks_of(wanted):
+                place = np.minimum(np.searchsorted(with_peaks, wanted), max(len(with_peaks) - 1, 0))
+                return place, with_peaks[place] == wanted if len(with_peaks) else np.zeros(len(wanted), bool)
+
+            base = np.zeros(len(ids))
+            place, found = peaks_of(code[pooled])
+            base[pooled[found]] = size[place[found]] + 0.25 * unlike[place[found]]
+            usable = np.where(anchored, other, np.iinfo(np.int64).min)
+            s, c, rank = _chosen(number, by_heavy, ids, usable, subs[has_heavy[subs]], ids, pooled[has_heavy[pooled]], base, top_r)
+            # Subsets without any candidate stand for their anchor.
+            lone = subs[anchored[subs] & ~np.isin(code[subs], code[s])]
+            s, cand, rank = np.concatenate([s, lone]), np.concatenate([ids[c], other[lone]]), np.concatenate([rank, np.ones(len(lone), np.int64)])
+            if not wants_peaks:
+                yield pa.RecordBatch.from_arrays(
+                    [mol.take(pa.array(s)), pa.array(ids[s]), pa.array(cand), pa.array(rank.astype(np.int32))], [*group, "cand_id", "rank"])
+                continue
+            where = np.searchsorted(known, cand)
+            place, found = peaks_of(np.where(known[np.minimum(where, len(known) - 1)] == cand, number[s] * (len(known) + 1) + where, -1))
+            found &= np.take(np.append(total, 0.0), np.where(found, place, len(total))) > 0
+            s, place = s[found], place[found]
+            at, step = _spread(size[place])
+            cell = cells[first[place][at] + step]
+            share = value[cell] / total[place][at]
+            order = np.lexsort((other[cell], code[s[at]]))
+            row, bins, share = s[at][order], other[cell][order], share[order]
+            first = _firsts(code[row], bins)
+            row, bins = row[first], bins[first]
+            strength = np.round(np.add.reduceat(share, first), 12) if len(first) else np.zeros(0)
+            keep, _ = _top(max_peaks, code[row], strength, bins)
+            row, bins, strength = row[keep], bins[keep], strength[keep]
+            first = _firsts(code[row])
+            whole = np.repeat(np.add.reduceat(strength, first), np.diff(np.append(first, len(row)))) if len(first) else strength
+            yield pa.RecordBatch.from_arrays([mol.take(pa.array(row)), pa.array(ids[row]), pa.array(bins), pa.array(strength / whole)], [*group, "bin", "intensity"])
+
+    rows = _molecule_rows([sub, cand, peaks], names)
+    kinds = {**dict(subsets.dtypes), **{c: dict(t.dtypes)[c] for t, c in ((pool, "cand_id"), (pool_bins, "bin"))}}
+    key = f"mol_id {kinds['mol_id']}, subset_id long"
+    back = lambda df: df.withColumns({c: F.col(c).cast(kinds[c]) for c in ("subset_id", "cand_id", "bin") if c in df.columns})
+    chosen = rows.mapInArrow(lambda b: matched(b, False), f"{key}, cand_id long, rank int")
+    made = rows.mapInArrow(lambda b: matched(b, True), f"{key}, bin long, intensity double")
+    return back(chosen), back(made)

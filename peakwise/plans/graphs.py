@@ -117,7 +117,7 @@ ft AS (SELECT *, concat(CASE WHEN c > 0 THEN concat('C', CASE WHEN c > 1 THEN CA
 
 @query("g05_fragment_formulas", f"WITH {ATOMS_SQL}, {SIDES_SQL}, {FORMULA_SQL} SELECT mol_id, cut, side, h_shift, formula, round({MASS_SQL}, 6) AS mass FROM ft", "atoms")
 def _(d):
-    return out(G.fragment_formulas(G.single_cuts(atoms(d), bonds(d)), ["cut", "side"], atoms(d), -2, 2), "mass")
+    return out(G.cut_formulas(atoms(d), bonds(d), -2, 2).drop("heavy", "h"), "mass")
 
 
 @query("g05_single_bond_masses", f"""WITH {ATOMS_SQL}, {SIDES_SQL} SELECT s.mol_id, cut, side, sum(CASE element WHEN 'C' THEN 12 WHEN 'N' THEN 14 ELSE 15 END) AS mass, count(*) AS n_atoms
@@ -194,19 +194,19 @@ def _(d):
 
 def shifted(d):
     """Fragments of single cuts with shifted hydrogens, written once: subsets, pool and peaks are read from them."""
-    frags = write_once(G.fragment_formulas(G.single_cuts(atoms(d), bonds(d)), ["cut", "side"], atoms(d), -2, 2), "fragments")
+    frags = write_once(G.cut_formulas(atoms(d), bonds(d), -2, 2), "fragments")
     return frags.withColumn("key", (F.col("cut") * 2 + F.col("side")) * 5 + F.col("h_shift") + 2)
 
 
 def subsets(frags):
     return frags.filter("h_shift = 0").select(
-        "mol_id", (F.col("cut") * 2 + F.col("side")).alias("subset_id"), "formula",
+        "mol_id", (F.col("cut") * 2 + F.col("side")).alias("subset_id"), "formula", "heavy", "h",
         (F.col("cut") % 3 + 1).alias("depth"), (F.col("cut") % 2).alias("ring"))
 
 
 def pool(frags):
     """Candidate formulas of a molecule: its fragments with shifted hydrogens."""
-    return frags.select("mol_id", F.col("key").alias("cand_id"), "formula", ((F.col("key") % 7) / 10.0).alias("prior"))
+    return frags.select("mol_id", F.col("key").alias("cand_id"), "formula", "heavy", "h", ((F.col("key") % 7) / 10.0).alias("prior"))
 
 
 POOL_SQL = """po AS (SELECT mol_id, (cut * 2 + side) * 5 + h_shift + 2 AS cand_id, c, n, o, h, (((cut * 2 + side) * 5 + h_shift + 2) % 7) / 10.0 AS prior FROM ft),
@@ -252,4 +252,4 @@ g AS (SELECT ch.mol_id, subset_id, bin, round(sum(intensity / t), 12) AS x FROM
 k AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY mol_id, subset_id ORDER BY x DESC, bin) <= 2)
 SELECT mol_id, subset_id, bin, round(x / sum(x) OVER (PARTITION BY mol_id, subset_id), 6) AS intensity FROM k""", "atoms")
 def _(d):
-    return out(_subset_inputs(d)[1], "intensity")
+    return out(write_once(_subset_inputs(d)[1], "subset-peaks"), "intensity")
