@@ -258,55 +258,86 @@ def teacher_audit(teachers: dict[str, DataFrame], cand_bins: DataFrame, true_bin
 # ---- probes of candidate pools ----
 
 
-def probe_candidates(cand_bins: DataFrame, true_bins: DataFrame, top: int = 20) -> DataFrame:
+def _true_ranks(rows: DataFrame, value: str, **totals: Column) -> DataFrame:
+    """``rows`` of binned spectra, dealt by spectrum, plus ``tr``, the rank by ``value``, and totals; bounded by the bins of the axis."""
+    whole = W.partitionBy(*ID)
+    order = whole.orderBy(F.col(value).desc(), "bin")
+    return rows.withColumns({"tr": F.row_number().over(order), **{n: c.over(whole) for n, c in totals.items()}})
+
+
+def probe_candidates(cand_bins: DataFrame, true_bins: DataFrame, parts: int, top: int = 20, pool_rows: int = POOL_ROWS) -> DataFrame:
     """Cosine, JS similarity, coverage, top recall, precision, recall and IoU of every candidate, with its rank by cosine.
 
     Only bins shared with the true spectrum are joined: what a candidate and
-    the spectrum have alone enters through their totals.
+    the spectrum have alone enters through their totals.  Rows are dealt into
+    ``parts`` partitions at each step; bins should come dealt alike
+    (``bin_spectra`` with ``parts``).  Spectra of more than ``pool_rows``
+    candidates are ranked in pieces.
     """
     x, t = F.col("intensity"), F.col("t")
-    cand = cand_bins.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("cn"), F.sum(x).alias("cs"), F.sqrt(F.sum(x * x)).alias("cnorm"))
-    order = W.partitionBy(*ID).orderBy(F.col("intensity").desc(), "bin")  # bounded by the bins of the axis
-    true = true_bins.select(*ID, "bin", x.alias("t"), F.row_number().over(order).alias("tr"))
-    totals = true.groupBy(*ID).agg(
-        F.count(F.lit(1)).alias("tn"), F.sum(t).alias("ts"), F.sqrt(F.sum(t * t)).alias("tnorm"))
-    head = cand.join(totals, ID, "left")
-    both = cand_bins.join(true, [*ID, "bin"]).join(head.select(*KEYS, "cs", "ts"), KEYS)
+    true = true_bins.select(*ID, "bin", x.alias("t")).repartition(parts, *ID)
+    true = write_once(_true_ranks(true, "t", tn=F.count(F.lit(1)), ts=F.sum(t), tt=F.sum(t * t)), "true-ranks")
+    shared = true.select(*ID, "bin", "t", "tr", "ts").repartition(parts, *ID, "bin")
+    # A candidate's peaks meet once, for its total and its sums.
+    both = cand_bins.select(*KEYS, "bin", "intensity").join(shared, [*ID, "bin"], "left").repartition(parts, *KEYS)
+    both = both.withColumn("cs", F.sum(x).over(W.partitionBy(*KEYS)))
     a, b = x / F.col("cs"), t / F.col("ts")
     m = (a + b) * 0.5
-    shared = both.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("bn"), F.sum(x * t).alias("dot"), F.sum(t).alias("bt"), F.sum(a).alias("ba"), F.sum(b).alias("bb"),
+    sums = both.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("cn"), F.sqrt(F.sum(x * x)).alias("cnorm"),
+        F.count(t).alias("bn"), F.sum(x * t).alias("dot"), F.sum(t).alias("bt"), F.sum(F.when(t.isNotNull(), a)).alias("ba"), F.sum(b).alias("bb"),
         F.sum(a * F.log(a / m) + b * F.log(b / m)).alias("kl"), F.sum((F.col("tr") <= top).cast("long")).alias("hits"))
-    rows = head.join(shared, KEYS, "left").fillna(0, ["bn", "hits"]).fillna(0.0, ["dot", "bt", "ba", "bb", "kl"])
-    n_both, n_c, n_t = F.col("bn"), F.col("cn"), F.coalesce("tn", F.lit(0))
-    js = 0.5 * ((1 - F.col("ba")) * M.LN2 + (1 - F.col("bb")) * M.LN2 + F.col("kl"))
-    sim = F.least(F.greatest(1.0 - F.greatest(js, F.lit(0.0)) / M.LN2, F.lit(0.0)), F.lit(1.0))
-    scored = rows.select(
-        *KEYS, F.round(M.cosine_expr(F.col("dot"), F.col("cnorm"), F.coalesce("tnorm", F.lit(0.0))), 9).alias("cosine"),
-        F.when(n_t > 0, sim).otherwise(0.0).alias("js"), (F.col("bt") / F.col("ts")).alias("coverage"),
-        (F.col("hits") / F.least(F.col("tn"), F.lit(top))).alias("top_recall"), (n_both / n_c).alias("precision"),
-        (n_both / F.col("tn")).alias("recall"), (n_both / (n_c + n_t - n_both)).alias("iou"))
-    return row_positions(scored, ID, "cosine", "cand_id", "rank")
-
-
-def union_at_k(cand_bins: DataFrame, ranks: DataFrame, true_bins: DataFrame, ks: Sequence[int] = (5, 10, 100, 1000), top: int = 20) -> DataFrame:
+    sums = write_once(sums.fillna(0, ["hits"]).fillna(0.0, ["dot", "bt", "ba", "bb", "kl"]), "candidate-sums")
+    totals = true.filter("tr = 1").select(*ID, "tn", "ts", F.sqrt("tt").alias("tnorm")).repartition(parts, *ID)
+
+    def scored(rows: DataFrame) -> DataFrame:
+        rows = rows.repartition(parts, *ID).join(totals, ID, "left")
+        n_both, n_c, n_t = F.col("bn"), F.col("cn"), F.coalesce("tn", F.lit(0))
+        js = 0.5 * ((1 - F.col("ba")) * M.LN2 + (1 - F.col("bb")) * M.LN2 + F.col("kl"))
+        sim = F.least(F.greatest(1.0 - F.greatest(js, F.lit(0.0)) / M.LN2, F.lit(0.0)), F.lit(1.0))
+        return rows.select(
+            *KEYS, F.round(M.cosine_expr(F.col("dot"), F.col("cnorm"), F.coalesce("tnorm", F.lit(0.0))), 9).alias("cosine"),
+            F.when(n_t > 0, sim).otherwise(0.0).alias("js"), (F.col("bt") / F.col("ts")).alias("coverage"),
+            (F.col("hits") / F.least(F.col("tn"), F.lit(top))).alias("top_recall"), (n_both / n_c).alias("precision"),
+            (n_both / F.col("tn")).alias("recall"), (n_both / (n_c + n_t - n_both)).alias("iou"))
+
+    def inside(rows: DataFrame) -> DataFrame:
+        return scored(rows).withColumn("rank", F.rank().over(W.partitionBy(*ID).orderBy(F.col("cosine").desc(), "cand_id")).cast("int"))
+
+    large = sums.groupBy(*ID).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > pool_rows).select(*ID)
+    large = write_once(large, "large-pools")
+    if large.isEmpty():
+        return inside(sums)
+    return inside(sums.join(large, ID, "left_anti")).unionByName(row_positions(scored(sums.join(large, ID, "left_semi")), ID, "cosine", "cand_id", "rank"))
+
+
+def union_at_k(
+    cand_bins: DataFrame, ranks: DataFrame, true_bins: DataFrame, parts: int, ks: Sequence[int] = (5, 10, 100, 1000), top: int = 20
+) -> DataFrame:
     """Coverage, top recall, precision and IoU of the union of the first k candidates, per spectrum and k.
 
-    The smallest rank per bin answers every k at once.
+    The smallest rank per bin answers every k at once; candidates behind the largest k are in no union.  Rows are dealt
+    into ``parts`` partitions at each step, as in ``probe_candidates``.
     """
-    first = cand_bins.join(ranks.select(*KEYS, "rank"), KEYS).groupBy(*ID, "bin").agg(F.min("rank").alias("first"))
-    order = W.partitionBy(*ID).orderBy(F.col("intensity").desc(), "bin")
-    true = true_bins.select(*ID, "bin", F.col("intensity").alias("t"), F.row_number().over(order).alias("tr"))
-    rows = first.join(true, [*ID, "bin"], "full_outer")
-    rows = rows.select("*", F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"))
-    inside, real = F.coalesce(F.col("first") <= F.col("k"), F.lit(False)), F.col("t").isNotNull()
+    best = ranks.filter(F.col("rank") <= max(ks)).select(*KEYS, "rank").repartition(parts, *KEYS)
+    first = cand_bins.select(*KEYS, "bin").repartition(parts, *KEYS).join(best, KEYS).select(*ID, "bin", "rank")
+    first = first.repartition(parts, *ID, "bin").groupBy(*ID, "bin").agg(F.min("rank").alias("first"))
+    rows = first.join(true_bins.select(*ID, "bin", F.col("intensity").alias("t")), [*ID, "bin"], "full_outer")
+    rows = _true_ranks(rows.repartition(parts, *ID), "t")  # bins without a true peak come last
+    real = F.col("t").isNotNull()
     count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
-    return rows.groupBy(*ID, "k").agg(
-        (F.sum(F.when(inside, F.col("t"))) / F.sum("t")).alias("coverage"),
-        (count(inside & real & (F.col("tr") <= top)) / F.nullif(count(real & (F.col("tr") <= top)), F.lit(0))).alias("top_recall"),
-        (count(inside & real) / F.nullif(count(inside), F.lit(0))).alias("precision"),
-        (count(inside & real) / F.nullif(count(inside | real), F.lit(0))).alias("iou")).fillna(0.0, ["coverage"])
+
+    def metrics(k: int) -> Column:
+        inside = F.coalesce(F.col("first") <= k, F.lit(False))
+        return F.struct(
+            F.lit(int(k)).alias("k"), (F.sum(F.when(inside, F.col("t"))) / F.sum("t")).alias("coverage"),
+            (count(inside & real & (F.col("tr") <= top)) / F.nullif(count(real & (F.col("tr") <= top)), F.lit(0))).alias("top_recall"),
+            (count(inside & real) / F.nullif(count(inside), F.lit(0))).alias("precision"),
+            (count(inside & real) / F.nullif(count(inside | real), F.lit(0))).alias("iou"))
+
+    # A spectrum's bins are together here, so its sums for all k need no further shuffle.
+    sums = rows.groupBy(*ID).agg(F.array(*[metrics(k) for k in ks]).alias("__m"))
+    return sums.select(*ID, F.explode("__m").alias("__m")).select(*ID, "__m.*").fillna(0.0, ["coverage"])
 
 
 # Overlapping source groups of a pool (source 1 structural, 2 common loss, 3 both).

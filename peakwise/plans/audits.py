@@ -167,7 +167,8 @@ PROBE_COLS = ("cosine", "js", "coverage", "top_recall", "precision", "recall", "
 
 
 def probe(d):
-    return G.probe_candidates(cand_bins(d), pred_bins(d))
+    parts = dealt(d)
+    return G.probe_candidates(T.bin_candidates(d.cand_peaks, None, parts=parts), pred_bins(d, parts=parts), parts)
 
 
 @query("a11_candidate_probe", f"WITH {PROBE_SQL} SELECT spectrum_id, cand_id, {', '.join(f'round({c}, 9) + 0.0 AS {c}' for c in PROBE_COLS)}, rank FROM pk",
@@ -184,7 +185,9 @@ SELECT spectrum_id, k, round(coalesce(sum(CASE WHEN ins THEN t END) / sum(t), 0)
   round(count(*) FILTER (ins AND t IS NOT NULL) / nullif(count(*) FILTER (ins), 0), 6) AS precision,
   round(count(*) FILTER (ins AND t IS NOT NULL) / nullif(count(*) FILTER (ins OR t IS NOT NULL), 0), 6) AS iou FROM j GROUP BY 1, 2""", PROBE_VIEWS)
 def _(d):
-    return out(G.union_at_k(cand_bins(d), probe(d), pred_bins(d), (1, 2, 5)), "coverage", "top_recall", "precision", "iou")
+    parts = dealt(d)
+    rows = G.union_at_k(T.bin_candidates(d.cand_peaks, None, parts=parts), probe(d), pred_bins(d, parts=parts), parts, (1, 2, 5))
+    return out(rows, "coverage", "top_recall", "precision", "iou")
 
 
 @query("a12_source_groups", f"""WITH {CB}, {TB}, tr AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY spectrum_id ORDER BY intensity DESC, bin) <= 20 THEN 1 ELSE 0 END AS top FROM tb),
