@@ -446,13 +446,14 @@ def region_set_cover(
     best remaining candidates.  ``left_out`` is the number of candidates of the
     spectrum that did not fit.
     """
-    sized = with_group_stats(cands, ID, __n=F.count(F.lit(1)))
+    sized = write_once(with_group_stats(cands, ID, __n=F.count(F.lit(1))), "cover-pool")
     whole = sized.filter(F.col("__n") <= max_keep).select(*KEYS, F.lit("whole").alias("stage"), F.lit(0).cast("long").alias("left_out"))
-    big = write_once(sized.filter(F.col("__n") > max_keep), "cover-pool")
+    big = sized.filter(F.col("__n") > max_keep)
     left_out = big.select(*ID, (F.col("__n") - max_keep).alias("left_out")).distinct()
     big = big.drop("__n")
     bins = cand_bins.join(big.select(*KEYS, "base_score"), KEYS).select(*KEYS, "bin", "base_score")
-    bins = with_group_stats(bins, KEYS, first=F.min("bin"))
+    # Read again in every region; the window sees the bins of one candidate.
+    bins = write_once(bins.withColumn("first", F.min("bin").over(W.partitionBy(*KEYS))), "cover-bins")
 
     def room(chosen: DataFrame) -> DataFrame:
         return chosen.groupBy(*ID).agg((F.lit(max_keep) - F.count(F.lit(1))).alias("__room"))
